@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package, table  # noqa: F401
+from ..session import durable, ship_package, table  # noqa: F401
 
 #: Stands for a null doc_id inside joins; sorts before every real id.
 NULL_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing."""
-    path = os.path.join(shared_dir(df.sparkSession), f"tessera-{tag}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def id_key(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col), F.lit(NULL_ID))
 
