@@ -135,10 +135,14 @@ def _with_estimates(pairs: DataFrame, nodes: DataFrame, percent: int, k: int, sl
     return joined.mapInArrow(run, "a long, b long, est double")
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    """A table of ids, broadcast if it is small enough."""
+    return F.broadcast(keys) if keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS else keys
+
+
 def full_sets(keys: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """key, set (packed hashes) of the given nodes; of rows with one key the first set by bytes."""
-    n = keys.count()
-    needed = docs.select(id_key().alias("key"), "text").join(F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys, "key", "left_semi")
+    needed = docs.select(id_key().alias("key"), "text").join(_sized(keys), "key", "left_semi")
 
     def sets(keys_, texts):
         return pa.RecordBatch.from_arrays([pa.array(keys_, pa.int64()), pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())], ["key", "set"])
@@ -173,7 +177,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     rows = durable(sketch_table(docs, words, k), "sketches")
     copies = rows.where("n > 0").groupBy("print").agg(F.min("key").alias("rep"))
     named = rows.where("n > 0").select("key", "print").join(copies, "print").select("key", "rep").distinct()
-    nodes = durable(rows.where("n > 0").join(copies, ["print"]).where("key = rep").dropDuplicates(["print"]).select("print", "key", "n", "sketch"), "nodes")
+    nodes = rows.where("n > 0").join(_sized(durable(copies.select(F.col("rep").alias("key")).distinct(), "reps")), "key", "left_semi").select("key", "n", "sketch")
     links = durable(near_links(nodes, docs, words, percent, k, hubs, small_list), "links")
     every = links.unionByName(named.where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b")))
     comp = components(every)
@@ -245,6 +249,7 @@ def _unresolved(long: DataFrame, nodes: DataFrame, full: DataFrame, links: DataF
 
 def dedup_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; of rows that repeat a doc_id one stays."""
-    verdict = near_duplicates(docs, words, percent).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__key")).distinct()
-    first = docs.dropDuplicates(["doc_id"])
-    return first.join(verdict, id_key() == F.col("__key"), "left_semi")
+    kept = near_duplicates(docs, words, percent).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__key")).distinct()
+    repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    rows = docs.dropDuplicates(["doc_id"]) if repeats else docs
+    return rows.join(_sized(durable(kept, "kept")), id_key() == F.col("__key"), "left_semi")

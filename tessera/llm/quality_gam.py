@@ -25,6 +25,8 @@ from .common import as_utf8, durable, map_batches, small_batches
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
+#: Ids of labelled rows are broadcast only up to this many (8 bytes each); beyond that the join shuffles.
+MAX_BROADCAST_IDS = 1_000_000
 _UPPER = np.array([65 <= i <= 90 for i in range(256)], float)
 _CLASSES = np.stack([
     _UPPER, np.array([97 <= i <= 122 or i >= 128 for i in range(256)], float), np.array([48 <= i <= 57 for i in range(256)], float),
@@ -205,7 +207,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of docs whose score reaches threshold, with all their columns."""
-    known = docs.join(labels.where("quality is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = durable(labels.where("quality is not null").select("doc_id").distinct(), "labelled")
+    small = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    known = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     model = train(feature_table(known), labels, max_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
