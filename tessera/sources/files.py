@@ -67,12 +67,29 @@ def is_binary(head: bytes) -> bool:
     return sum(c < 32 and c not in b"\t\n\r\f\b" or c >= 127 for c in head) > 0.3 * len(head)
 
 
+def ignore_rules(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """Folder -> lines of its .gitignore. Spark's readers skip hidden files, so the file system is asked; rule files are few and small."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(path).toString().rstrip("/")
+    out, found = {}, fs.listFiles(path, True)
+    while found.hasNext():
+        f = found.next().getPath()
+        if f.getName() == ".gitignore":
+            stream = fs.open(f)
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            out[f.getParent().toString()[len(base) :].strip("/")] = text.splitlines()
+    return out
+
+
 def scan_repository(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, language, content of the text files that no rule ignores, by path."""
+    """relative_path, language, content of the text files that no rule ignores, by path; hidden files are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
     files = files.select(rel.alias("relative_path"), "content")
-    rules = {r["relative_path"].rpartition("/")[0]: bytes(r["content"]).decode("utf-8", "replace").splitlines() for r in files.where("relative_path rlike '(^|/)[.]gitignore$'").collect()}
+    rules = ignore_rules(spark, root)
     ship_package(spark)
 
     @F.pandas_udf("boolean")

@@ -43,7 +43,7 @@ def debounce(events: DataFrame, gap_s: int) -> DataFrame:
 
 def stream_debounce(events: DataFrame, gap_s: int, delay: str = "10 minutes") -> DataFrame:
     """debounce() on a stream in append mode; late data is bounded by the watermark. One session is one row of state."""
-    s = events.withWatermark("ts", delay).groupBy(F.session_window("ts", f"{gap_s} seconds").alias("w")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "path", "change"))).alias("xs"))
+    s = events.withColumn("all", F.col("event_id") * 0).withWatermark("ts", delay).groupBy(F.session_window("ts", f"{gap_s} seconds").alias("w"), "all").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "path", "change"))).alias("xs"))
     own = lambda p: F.aggregate(F.filter("xs", lambda x: x["path"] == p), F.lit("N"), lambda a, x: merge_step(a, x["change"]))
     paths = F.array_distinct(F.transform("xs", lambda x: x["path"]))
     rows = s.select(F.col("w.start").alias("batch_start"), F.explode(F.transform(paths, lambda p: F.struct(p.alias("path"), own(p).alias("change")))).alias("r"))
