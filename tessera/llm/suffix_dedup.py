@@ -100,24 +100,34 @@ def repeat_classes(blob: np.ndarray, ends: np.ndarray, min_len: int) -> tuple[np
     transform. Rows still without a boundary at ``min_len`` share that many symbols.
     """
     n = len(blob)
-    rank = blob.astype(np.int64)
-    step = 1
-    while step < min_len:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - step] = rank[step:] + 1
-        key = rank * (int(rank.max()) + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.empty(n, np.int64)
-        fresh[0] = 0
-        np.cumsum(sorted_key[1:] != sorted_key[:-1], out=fresh[1:])
+    head = 7  # symbols of nine bits in the first sort key
+    symbol = np.minimum(blob, 256).astype(np.int64)
+    to_end = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
+    key = symbol.copy()
+    for i in range(1, head):
+        key <<= 9
+        key[: n - i] |= np.where(to_end[: n - i] >= i, symbol[i:], 0)
+    closed = to_end < head
+    order = np.argsort(key)
+    at = np.flatnonzero(closed[order])
+    order[at] = order[at][np.lexsort((order[at], key[order[at]]))]
+    fresh = np.ones(n, bool)
+    fresh[1:] = (key[order][1:] != key[order][:-1]) | closed[order][1:]
+    step = head
+    while True:
+        number = np.cumsum(fresh) - 1
         rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        step *= 2
-        if fresh[-1] == n - 1:
+        rank[order] = number
+        if step >= min_len or number[-1] == n - 1:
             break
+        key = rank * (n + 1)
+        key[: n - step] += rank[step:] + 1
+        order = np.argsort(key)
+        sorted_key = key[order]
+        fresh[1:] = sorted_key[1:] != sorted_key[:-1]
+        step *= 2
     sa = order
-    bwt = blob[sa - 1]
+    bwt = symbol[sa - 1].astype(np.uint16)
     by_symbol = np.argsort(bwt, kind="stable")
     lf = np.empty(n, np.int64)
     lf[by_symbol] = np.arange(n)
@@ -125,19 +135,24 @@ def repeat_classes(blob: np.ndarray, ends: np.ndarray, min_len: int) -> tuple[np
     same = bwt[by_symbol[1:]] == bwt[by_symbol[:-1]]
     prev[by_symbol[1:][same]] = by_symbol[:-1][same]
     boundary = np.zeros(n, bool)
-    first = blob[sa]
+    first = symbol[sa]
     boundary[0] = True
-    boundary[1:] = first[1:] != first[:-1]
-    active = np.flatnonzero(~boundary[lf])
+    boundary[1:] = (first[1:] != first[:-1]) | (first[1:] == 256)
+    active = np.flatnonzero(~boundary[lf] & (bwt != 256))
+    before, goal = prev[active], lf[active]
+    gone = 0
     for _ in range(1, min_len):
-        if not len(active):
-            break
         seen = np.cumsum(boundary, dtype=np.int32)
-        hit = seen[active] != seen[prev[active]]
-        if not hit.any():
+        hit = np.flatnonzero(np.take(seen, active) != np.take(seen, before))
+        places = goal[hit]
+        new = int((~boundary[places]).sum())
+        if not new:
             break
-        boundary[lf[active[hit]]] = True
-        active = active[~hit]
+        boundary[places] = True
+        gone += new
+        if gone * 8 > len(active):
+            left = np.flatnonzero(~boundary[goal])
+            active, before, goal, gone = active[left], before[left], goal[left], 0
     return sa, boundary
 
 
