@@ -8,8 +8,8 @@
    (size - floor + 1) values need lists, and nodes with fewer than ``floor`` shared values have
    no partner at all. Frequent values thus drop out unless most of a sketch is frequent.
 3. In a list of up to ``small_list`` nodes every pair is a candidate. In a longer list each node meets
-   ``hubs`` nodes of the list; what the hubs leave in different components is then compared exactly
-   in ``_unresolved``, so no list is cut short.
+   ``hubs`` nodes of the list; what the hubs leave in different components gets exact lists of the
+   rarest values of its full sets in ``_unresolved``, so no list is cut short.
 4. The union's sketch estimates the similarity of each candidate and drops those far below the
    threshold; intersection and union of the full sets confirm the rest. A pair whose ends are
    already connected needs no check, as it cannot change a component.
@@ -232,19 +232,59 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where("r_a <> r_b").select("a", "b")
 
 
+def _rare_prefixes(full: DataFrame, percent: int) -> DataFrame:
+    """key, n, c, v: the values of each set that a partner at the threshold must share one of, rarest first.
+
+    c is how many of the set's values stand at v or after it in the common order (count, v). A value
+    that one set alone holds comes first in that order and needs no row.
+    """
+
+    def explode(keys, sets):
+        s = [np.frombuffer(x, np.int64) for x in sets]
+        n = np.fromiter(map(len, s), np.int64, len(s))
+        sid = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in sets]
+        flat = [pa.array(np.repeat(np.asarray(c, np.int64), n)) for c in (keys, sid, n)]
+        return pa.RecordBatch.from_arrays([*flat, pa.array(np.concatenate(s))], ["key", "sid", "n", "v"])
+
+    values = durable(map_batches(small_batches(full.select("key", "set")), explode, "key long, sid long, n long, v long"), "values")
+    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    held = values.join(shared, "v").groupBy("key", "sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    first = F.size("vs") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    rows = held.where(first > 0).select("key", "n", F.size("vs").alias("m"), F.posexplode(F.slice("vs", F.lit(1), first)).alias("i", "x"))
+    return rows.select("key", "n", (F.col("m") - F.col("i")).alias("c"), F.col("x.v").alias("v"))
+
+
 def _unresolved(long: DataFrame, nodes: DataFrame, full: DataFrame, links: DataFrame, percent: int, k: int, slack: float) -> DataFrame | None:
-    """Links that hubs missed: members of one long list in different components, compared without exception."""
+    """Links that hubs missed between members of one long list that lie in different components.
+
+    These members get exact lists over their full sets. At the rarest value that two sets share, both
+    can share no more than what follows it, so a pair goes on only if that reaches the threshold; texts
+    that have a frequent passage in common but too much else of their own never meet. In each list the
+    member with the least of its own comes first as a hub, then the pairs left between components.
+    """
     roots = durable(_roots(nodes, links), "roots")
     placed = long.join(roots, "key")
     mixed = placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
-    left = durable(placed.join(mixed, "v").join(nodes.select("key", "n"), "key"), "mixed")
+    left = durable(placed.join(mixed, "v").select("key").distinct(), "mixed")
     if not left.limit(1).count():
         return None
-    a = left.select("v", F.col("key").alias("a"), F.col("root").alias("r_a"), F.col("n").alias("n_a"))
-    b = left.select("v", F.col("key").alias("b"), F.col("root").alias("r_b"), F.col("n").alias("n_b"))
-    fit = (F.col("r_a") != F.col("r_b")) & (F.col("a") > F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    pairs = a.join(b, "v").where(fit).select("a", "b").distinct()
-    return _confirm(_with_estimates(pairs, nodes, percent, k, slack), full, percent)
+    rare = durable(_rare_prefixes(full.join(_sized(left), "key", "left_semi"), percent), "rare")
+    fit = ((100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("n_a") + F.col("n_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    side = lambda t: [F.col("key").alias(t), F.col("n").alias(f"n_{t}"), F.col("c").alias(f"c_{t}")]
+    hub = rare.groupBy("v").agg(F.min_by(F.struct("key", "n", "c"), F.struct(F.col("n") / F.col("c"), "key")).alias("h"), F.count("*").alias("size")).where("size > 1").select("v", "h.*")
+    near_hub = rare.select("v", *side("a")).join(hub.select("v", *side("b")), "v").where(fit & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = durable(_confirm(_with_estimates(_between(near_hub, roots), nodes, percent, k, slack), full, percent), "hub-links")
+    roots = durable(_roots(nodes, links.unionByName(found)), "roots")
+    rest = rare.join(roots, "key")
+    mixed = rest.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
+    # sizes of a pair lie in one class or in neighbouring ones
+    step = float(np.log(100 / percent) * 1.01 + 1e-9)
+    rest = rest.join(mixed, "v").withColumn("class", F.floor(F.log("n") / step))
+    a = rest.select("v", *side("a"), F.col("root").alias("r_a"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
+    b = rest.select("v", *side("b"), F.col("root").alias("r_b"), "class")
+    once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    pairs = a.join(b, ["v", "class"]).where((F.col("r_a") != F.col("r_b")) & once & fit).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return found.unionByName(_confirm(_with_estimates(pairs, nodes, percent, k, slack), full, percent))
 
 
 def dedup_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -147,6 +147,24 @@ def test_near_dedup(spark, docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id = 5").count() == 0 and kept.where("doc_id is null").count() == 1
 
 
+def test_near_dedup_of_texts_with_one_long_passage(spark):
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts = words(120), []
+    for _ in range(90):  # from a few words of their own to nearly half of the text
+        own = words(rng.choice([2, 5, 9, 12, 15, 20, 30, 45, 60, 90]))
+        at = rng.randrange(len(own) + 1)
+        texts.append(own[:at] + passage + own[at:])
+    for _ in range(30):
+        w = rng.choice(texts[:90])
+        at = rng.randrange(len(w))
+        texts.append(w[:at] + words(rng.randrange(1, 8)) + w[at:])
+    rng.shuffle(texts)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 5, 80)
+
+
 def test_quality_gam(spark, docs, empty):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     learn = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
