@@ -97,7 +97,9 @@ def repeat_classes(blob: np.ndarray, ends: np.ndarray, min_len: int) -> tuple[np
     blob: symbols, each string closed by its own symbol above 255; ends: places of those symbols.
     Common-prefix values come by increasing value: value v+1 belongs between the rows LF(i) and its
     predecessor if a boundary of value at most v lies between the two places of that symbol in the
-    transform. Rows still without a boundary at ``min_len`` share that many symbols.
+    transform. Where the two places adjoin, only a boundary of value v on the row counts, so such rows
+    are followed from the newest boundaries; the others are tested against all of them. Rows still
+    without a boundary at ``min_len`` share that many symbols.
     """
     n = len(blob)
     head = 7  # symbols of nine bits in the first sort key
@@ -131,28 +133,43 @@ def repeat_classes(blob: np.ndarray, ends: np.ndarray, min_len: int) -> tuple[np
     by_symbol = np.argsort(bwt, kind="stable")
     lf = np.empty(n, np.int64)
     lf[by_symbol] = np.arange(n)
-    prev = np.full(n, -1, np.int64)
-    same = bwt[by_symbol[1:]] == bwt[by_symbol[:-1]]
-    prev[by_symbol[1:][same]] = by_symbol[:-1][same]
     boundary = np.zeros(n, bool)
     first = symbol[sa]
     boundary[0] = True
     boundary[1:] = (first[1:] != first[:-1]) | (first[1:] == 256)
-    active = np.flatnonzero(~boundary[lf] & (bwt != 256))
-    before, goal = prev[active], lf[active]
-    gone = 0
+    same = bwt[by_symbol[1:]] == bwt[by_symbol[:-1]]
+    row, before = by_symbol[1:][same], by_symbol[:-1][same]
+    live = ~boundary[lf[row]] & (bwt[row] != 256)
+    row, before = row[live], before[live]
+    # Next to its predecessor: a boundary reaches it only by lying on the row itself.
+    adjacent = row == before + 1
+    inside_run = np.zeros(n, bool)
+    inside_run[row[adjacent]] = True
+    apart = np.sort(row[~adjacent])
+    prev = np.empty(n, np.int64)
+    prev[row] = before
+    apart_before = prev[apart]
+    newest, gone = np.flatnonzero(boundary), 0
     for _ in range(1, min_len):
-        seen = np.cumsum(boundary, dtype=np.int32)
-        hit = np.flatnonzero(np.take(seen, active) != np.take(seen, before))
-        places = goal[hit]
-        new = int((~boundary[places]).sum())
-        if not new:
+        reached = [newest[inside_run[newest]]]
+        if len(apart):
+            if len(apart) * 16 > n:
+                seen = np.cumsum(boundary, dtype=np.int32)
+                hit = np.take(seen, apart) != np.take(seen, apart_before)
+            else:
+                at = np.sort(newest)
+                hit = np.searchsorted(at, apart, "right") != np.searchsorted(at, apart_before, "right")
+            reached.append(apart[hit])
+        newest = lf[np.concatenate(reached)]
+        newest = newest[~boundary[newest]]
+        if not len(newest):
             break
-        boundary[places] = True
-        gone += new
-        if gone * 8 > len(active):
-            left = np.flatnonzero(~boundary[goal])
-            active, before, goal, gone = active[left], before[left], goal[left], 0
+        boundary[newest] = True
+        if len(apart):
+            gone += int(np.count_nonzero(hit))
+            if gone * 8 > len(apart):
+                left = np.flatnonzero(~boundary[lf[apart]])
+                apart, apart_before, gone = apart[left], apart_before[left], 0
     return sa, boundary
 
 
