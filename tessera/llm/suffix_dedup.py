@@ -249,7 +249,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return texts, numbers
 
 
-def suffix_dedup(docs: DataFrame, min_len: int = 100, block_bytes: int = 2_000_000, hot_pieces: int = 4096) -> DataFrame:
+def suffix_dedup(docs: DataFrame, min_len: int = 100, block_bytes: int = 500_000, hot_pieces: int = 4096) -> DataFrame:
     """doc_id, n_bytes, spans (removed [start, end) runs of bytes) and kept (the other bytes), one row a document."""
     if min_len < 2 * GRAM:
         raise ValueError(f"min_len must be {2 * GRAM} or more")
