@@ -32,11 +32,14 @@ def top_k(scored: DataFrame, group: list[str], order: list[Column], k: int, rank
     return scored.withColumn(rank, F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("bigint")).where(F.col(rank) <= k)
 
 
+def _broadcast_if_small(rows: DataFrame) -> DataFrame:
+    """Queries, or their terms, are broadcast up to MAX_BROADCAST_QUERIES rows; beyond that the join is left to the optimizer."""
+    return F.broadcast(rows) if rows.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES else rows
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """corpus(id, vec) x queries(qid, qvec) -> qid, id, score, rank. Rows of another dimension are invisible."""
-    n = queries.limit(MAX_BROADCAST_QUERIES + 1).count()
-    q = queries.withColumn("dim", F.size("qvec"))
-    q = F.broadcast(q) if n <= MAX_BROADCAST_QUERIES else q
+    q = _broadcast_if_small(queries.withColumn("dim", F.size("qvec")))
     scored = corpus.withColumn("dim", F.size("vec")).join(q, "dim").select("qid", "id", F.round(vx.cosine(F.col("qvec"), F.col("vec")), 9).alias("score"))
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("id")], k)
 
@@ -48,13 +51,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     tokens = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     base = docs.select("id", tokens.alias("tokens"))
     stats = base.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_dl"))
-    post = base.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(F.broadcast(wanted), "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    post = base.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(_broadcast_if_small(wanted), "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, 1e-6).otherwise(raw)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     weighted = post.join(df, "term").join(F.broadcast(stats)).select("term", "id", part.alias("part"))
-    scored = weighted.join(F.broadcast(terms), "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    scored = weighted.join(_broadcast_if_small(terms), "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -72,7 +75,7 @@ def hybrid(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     vec = knn(corpus.select("id", "vec"), queries.select("qid", "qvec"), 4 * k)
     lex = bm25(corpus.select("id", "text"), queries.select("qid", "text"), 4 * k)
     fused = fuse(vec, lex, k)
-    scored = fused.join(corpus.select("id", "vec"), "id").join(F.broadcast(queries.select("qid", "qvec")), "qid")
+    scored = fused.join(corpus.select("id", "vec"), "id").join(_broadcast_if_small(queries.select("qid", "qvec")), "qid")
     return scored.select("qid", "id", "rank", "vec_rank", "lex_rank", F.round(vx.cosine(F.col("qvec"), F.col("vec")), 6).alias("score"))
 
 

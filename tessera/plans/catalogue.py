@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 _TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda t: t <> '')"
 _TERMS = "list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda t: lower(t)))"
 _BM25 = f"""
-qt AS (SELECT DISTINCT item_id AS qid, unnest({_TERMS}) AS term FROM benchmark WHERE item_id < 20),
+qt AS (SELECT DISTINCT item_id AS qid, unnest({_TERMS}) AS term FROM benchmark WHERE item_id % 20 = 0),
 tok AS (SELECT doc_id AS id, {_TOK} AS t FROM documents),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avg_dl FROM tok),
 post AS (SELECT id, len(t) AS dl, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM qt) GROUP BY id, len(t), term),
@@ -53,8 +53,8 @@ def _vec_queries(spark, d):
 
 
 def _text_queries(spark, d):
-    """The benchmark's first 20 items are the stated question set of the retrieval queries."""
-    return table(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("qid"), "text")
+    """Every item whose id is divisible by 20 is a question of the retrieval queries."""
+    return table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), "text")
 
 
 @query(f"WITH {_KNN.format(where='')} SELECT qid, id, round(score, 6) AS score, rank FROM knn WHERE rank <= 5")
@@ -75,7 +75,7 @@ def bm25_topk(spark, d):
 
 
 @query(f"""WITH {_BM25},
-v0 AS (SELECT item_id AS qid, embedding AS qvec FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id < 20),
+v0 AS (SELECT item_id AS qid, embedding AS qvec FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 20 = 0),
 sc AS (SELECT qid, vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qvec AS DOUBLE[])), 9) AS score FROM embeddings JOIN documents ON doc_id = vec_id, v0),
 vec AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc),
 lexd AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM lex WHERE id IN (SELECT vec_id FROM embeddings)),
@@ -409,13 +409,13 @@ def group_communities(spark, d):
     return cl.communities(adj, table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("member"), F.col("s_nationkey").cast("string").alias("group")))
 
 
-@query("""WITH c AS (SELECT source AS feature, doc_id AS ordinal, (doc_id * 7) % 300 AS handle FROM documents), k AS (SELECT doc_id AS handle FROM documents WHERE doc_id < 250),
+@query("""WITH c AS (SELECT source AS feature, doc_id AS ordinal, doc_id - doc_id % 3 AS handle FROM documents), k AS (SELECT doc_id AS handle FROM documents),
 f AS (SELECT handle, feature FROM (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY ordinal, feature) AS r FROM c WHERE handle IN (SELECT handle FROM k)) WHERE r = 1)
 SELECT * FROM f UNION ALL SELECT handle, 'other' FROM k WHERE handle NOT IN (SELECT handle FROM f)""")
 def plan_repair(spark, d):
     docs = table(spark, d, "documents")
-    claims = docs.select(F.col("source").alias("feature"), F.col("doc_id").alias("ordinal"), (F.col("doc_id") * 7 % 300).alias("handle"))
-    return cl.repair_plan(claims, docs.where("doc_id < 250").select(F.col("doc_id").alias("handle")))
+    claims = docs.select(F.col("source").alias("feature"), F.col("doc_id").alias("ordinal"), (F.col("doc_id") - F.col("doc_id") % 3).alias("handle"))
+    return cl.repair_plan(claims, docs.select(F.col("doc_id").alias("handle")))
 
 
 @query("""SELECT p_partkey, slug, slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS anchor FROM (SELECT p_partkey, slug, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS n FROM
@@ -443,10 +443,27 @@ def html_sanitize(spark, d):
 
 @query("SELECT r_name, n_name, count(*) AS n, round(sum(c_acctbal), 2) AS bal, CAST(grouping(r_name) AS TINYINT) AS g FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY CUBE (r_name, n_name)")
 def cube_rollup(spark, d):
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return c.cube("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("bal"), F.grouping("r_name").alias("g"))
 
 
+@query("""SELECT 'sets' AS kind, o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS g FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())
+UNION ALL SELECT 'rollup', o_orderstatus, o_orderpriority, count(*), CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")
+def grouping_sets_rollup(spark, d):
+    o = table(spark, d, "orders")
+    keys = [F.col("o_orderstatus"), F.col("o_orderpriority")]
+    counts = lambda kind, g: g.agg(F.count("*").alias("n"), F.grouping_id().alias("g")).select(F.lit(kind).alias("kind"), *keys, "n", "g")
+    return counts("sets", o.groupingSets([keys[:1], keys[1:], []], *keys)).unionByName(counts("rollup", o.rollup(*keys)))
+
+
+@query("""SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
+AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
+def semi_anti(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment").join(o.where("o_orderstatus = 'F'"), "c_custkey", "left_semi")
+    return c.join(o.where("o_orderpriority = '1-URGENT'"), "c_custkey", "left_anti")
+
+
 @query("""SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS last3, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS quarter
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS 2 PRECEDING)""")
 def window_frames(spark, d):
