@@ -283,11 +283,13 @@ def suffix_dedup(docs: DataFrame, min_len: int = 100, block_bytes: int = 500_000
 
     occ = durable(map_batches(data, occurrences, "fp long, ph long, key long, at long, again boolean"), "occurrences")
     once = occ.where("not again")
-    by_fp = once.groupBy("fp").agg(F.min("ph").alias("lo"), F.max("ph").alias("hi"), F.min("key").alias("key"), F.min_by("at", "key").alias("at"))
+    variants = durable(once.groupBy("fp", "ph").agg(F.min("key").alias("key"), F.min_by("at", "key").alias("at")), "variants")
+    by_fp = variants.groupBy("fp").agg(F.min("ph").alias("lo"), F.max("ph").alias("hi"), F.min("key").alias("key"), F.min_by("at", "key").alias("at"))
     settled = durable(by_fp, "settled")
     plain_first = settled.where("lo = hi").select("key", "at")
     mixed = settled.where("lo <> hi").select("fp")
-    pieces = durable(once.join(mixed, "fp").groupBy("fp", "ph").agg(F.min("key").alias("key"), F.min_by("at", "key").alias("at")), "pieces")
+    # Copies are collapsed and nothing is grouped after this join, so a hot anchor's partition can be split.
+    pieces = durable(variants.join(mixed, "fp", "left_semi"), "pieces")
     n_pieces = pieces.count()
     first = plain_first
     if n_pieces:
