@@ -18,6 +18,19 @@ def id_key(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col), F.lit(NULL_ID))
 
 
+def row_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with a long __key of its own for each row, in the order of doc_id, and whether doc_ids repeat.
+
+    The key is id_key() where that is unique. Else it numbers the rows by (doc_id, text, other columns),
+    nulls first; rows are written once, so that a number stays with its row.
+    """
+    if not docs.groupBy(id_key().alias("__key")).count().where("count > 1").limit(1).count():
+        return docs.withColumn("__key", id_key()), False
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    ordered = docs.orderBy("doc_id", "text", *([F.to_json(F.struct(*rest))] if rest else []))
+    return durable(ordered.withColumn("__key", F.monotonically_increasing_id()), "rows"), True
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn: list of columns as Python lists, one call a batch -> dict of columns. Arrow both ways."""
     names = df.columns

@@ -18,9 +18,9 @@
 A pair at the threshold is missed where its sketches share fewer than ``floor`` values: about one
 in 10^6 for k = 64 (sets of at most k shingles are compared as they are).
 
-Null texts and texts without words have an empty set and link with nothing. Rows that share a
-doc_id are one node with the links of all of them; a null doc_id is one node too, sorted first.
-Extra columns are of no account.
+Null texts and texts without words have an empty set and link with nothing. Each row is a node of
+its own, also where doc_ids repeat or are null; the least row of a component is the one of least
+(doc_id, text, other columns), nulls first. component_id is that row's doc_id, and so may be null.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import NULL_ID, as_utf8, durable, id_key, map_batches, small_batches
+from .common import NULL_ID, as_utf8, durable, map_batches, row_keys, small_batches
 
 K = 64
 #: Node ids are broadcast to pick texts only up to this many (16 bytes each); beyond that the join shuffles.
@@ -69,7 +69,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame, words: int, k: int = K) -> DataFrame:
-    """key, n (set size), print (fingerprint of the set), sketch (k least hashes, ascending)."""
+    """key, n (set size), print (fingerprint of the set), sketch (k least hashes, ascending) of keyed rows."""
 
     def run(keys, texts):
         n, prints, sketches = [], [], []
@@ -81,7 +81,7 @@ def sketch_table(docs: DataFrame, words: int, k: int = K) -> DataFrame:
             sketches.append(np.sort(np.partition(m, k - 1)[:k] if len(m) > k else m).view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["key", "n", "print", "sketch"])
 
-    return map_batches(small_batches(docs).select(id_key().alias("key"), "text"), run, "key long, n long, print binary, sketch array<long>")
+    return map_batches(small_batches(docs).select(F.col("__key").alias("key"), "text"), run, "key long, n long, print binary, sketch array<long>")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -141,8 +141,8 @@ def _sized(keys: DataFrame) -> DataFrame:
 
 
 def full_sets(keys: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """key, set (packed hashes) of the given nodes; of rows with one key the first set by bytes."""
-    needed = docs.select(id_key().alias("key"), "text").join(_sized(keys), "key", "left_semi")
+    """key, set (packed hashes) of the given nodes."""
+    needed = docs.select(F.col("__key").alias("key"), "text").join(_sized(keys), "key", "left_semi")
 
     def sets(keys_, texts):
         return pa.RecordBatch.from_arrays([pa.array(keys_, pa.int64()), pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())], ["key", "set"])
@@ -172,8 +172,8 @@ def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("key").join(comp.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, hubs: int = 3, small_list: int = 24) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id is its component's least) for every row of docs."""
+def _grouped(docs: DataFrame, words: int, percent: int, k: int = K, hubs: int = 3, small_list: int = 24) -> DataFrame:
+    """key, n and root (least key of the component) of every keyed row of docs."""
     rows = durable(sketch_table(docs, words, k), "sketches")
     copies = rows.where("n > 0").groupBy("print").agg(F.min("key").alias("rep"))
     named = rows.where("n > 0").select("key", "print").join(copies, "print").select("key", "rep").distinct()
@@ -181,9 +181,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     links = durable(near_links(nodes, docs, words, percent, k, hubs, small_list), "links")
     every = links.unionByName(named.where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b")))
     comp = components(every)
-    out = rows.select("key", "n").join(comp.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"))
-    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(real("key").alias("doc_id"), F.col("n").alias("n_shingles"), real("root").alias("component_id"), (F.col("key") == F.col("root")).alias("kept"))
+    return rows.select("key", "n").join(comp.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, hubs: int = 3, small_list: int = 24) -> DataFrame:
+    """doc_id, n_shingles, component_id (doc_id of the component's least row) and kept (is that row) for every row of docs."""
+    keyed, repeats = row_keys(docs.select("doc_id", "text"))
+    out = _grouped(keyed, words, percent, k, hubs, small_list)
+    if repeats:
+        ids = keyed.select(F.col("__key").alias("key"), "doc_id")
+        out = out.join(ids, "key").join(ids.select(F.col("key").alias("root"), F.col("doc_id").alias("component_id")), "root")
+    else:
+        real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+        out = out.withColumns({"doc_id": real("key"), "component_id": real("root")})
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("key") == F.col("root")).alias("kept"))
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, words: int, percent: int, k: int, hubs: int, small_list: int) -> DataFrame:
@@ -288,8 +299,7 @@ def _unresolved(long: DataFrame, nodes: DataFrame, full: DataFrame, links: DataF
 
 
 def dedup_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of rows that repeat a doc_id one stays."""
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__key")).distinct()
-    repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    rows = docs.dropDuplicates(["doc_id"]) if repeats else docs
-    return rows.join(_sized(durable(kept, "kept")), id_key() == F.col("__key"), "left_semi")
+    """docs without the rows whose component has a lesser row."""
+    keyed, _ = row_keys(docs)
+    kept = _grouped(keyed, words, percent).where("key = root").select(F.col("key").alias("__key"))
+    return keyed.join(_sized(durable(kept, "kept")), "__key", "left_semi").drop("__key")

@@ -165,6 +165,20 @@ def test_near_dedup_of_texts_with_one_long_passage(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 5, 80)
 
 
+def test_near_dedup_where_ids_repeat_or_are_null(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a, "x"), (None, b, "x"), (None, c, "x"), (7, a + " tail", "x"), (8, b + " tail", "x"), (9, d, "z"), (9, d, "y"), (9, e, "x"), (9, c + " tail", "x"), (10, text(), "x"), (None, "", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    kept = sorted(map(str, map(tuple, near_dedup.dedup_documents(df).collect())))
+    lost = [(7, a + " tail", "x"), (8, b + " tail", "x"), (9, d, "z"), (9, c + " tail", "x")]
+    assert kept == sorted(str(r) for r in rows if r not in lost)
+    got = near_dedup.near_duplicates(df).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == len(kept)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] in (7, 8, 10)} == {7: None, 8: None, 10: 10}
+
+
 def test_quality_gam(spark, docs, empty):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     learn = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
