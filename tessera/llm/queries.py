@@ -53,7 +53,7 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontam.scan_documents(docs, table(spark, sf_dir, "benchmark"))
     h = F.col("hits")
-    return out.select("row.doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", h["items"]), 256).alias("items_sha256"), (h["n_hit"] > 0).alias("contaminated"))
+    return out.select("row.doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", h["items"]), 256).alias("items_sha256"), (h["n_hit"] > 0).alias("contaminated"), F.size(h["near"]).cast("long").alias("n_near"), F.concat_ws(",", h["near"]).alias("near_items"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

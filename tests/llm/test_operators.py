@@ -1,5 +1,6 @@
 """Edge cases and brute-force comparisons of the training-data operators on small fixtures."""
 
+import collections
 import os
 import random
 import sys
@@ -105,6 +106,38 @@ def test_decontam(spark, docs, empty):
     assert decontam.near_matches(docs, items).where("key in (4, 5, 6)").count() > 0
 
 
+def brute_near(texts, items, window=10, distance=5, pivots=3):
+    words = [(t or "").lower().split() for t in texts]
+    count = collections.Counter(w for t in words for w in t)
+    pairs = set()
+    for item, text in items:
+        w = text.split()
+        for i in range(max(len(w) - window + 1, 1)):
+            win = w[i : i + window]
+            rare = sorted((count[x], x) for x in set(win) if count[x])[:pivots]
+            alone = len(set(win)) == 1
+            pairs |= {(a, b, int(alone and len(win) > 1), str(item)) for _, a in rare for _, b in rare if a < b or alone}
+    near = lambda t, a, b, least: any(least <= abs(p - q) <= distance for p, x in enumerate(t) if x == a for q, y in enumerate(t) if y == b)
+    return [sorted({i for a, b, least, i in pairs if near(t, a, b, least)}) for t in words]
+
+
+def test_decontam_near_matches(spark):
+    rng = random.Random(9)
+    passage = [f"q{i}" for i in range(40)]
+    changed = [w if i % 8 else "other" for i, w in enumerate(passage)]  # no ten words in a row are left
+    inserted = [x for i, w in enumerate(passage) for x in ([w] if i % 8 else ["plus", w])]
+    items = [(1, " ".join(["never", *passage[1:9], "seen"])), (2, " ".join(passage)), (3, "solo"), (4, "echo echo"), (5, " ".join(rng.choices(WORDS, k=30)))]
+    texts = [" ".join(changed), " ".join(inserted), " ".join(passage), "a solo b", "echo x echo", "echo one two three four five six echo", None, "q1 far " + "x " * 9 + "q2"]
+    texts += [" ".join(rng.choices(WORDS, k=80)) for _ in range(20)]
+    ids = [0, None, None] + [7] * (len(texts) - 3)
+    df = spark.createDataFrame(list(zip(ids, texts, range(len(texts)), strict=True)), "doc_id long, text string, n long")
+    out = decontam.scan_documents(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {r["row"]["n"]: r["hits"] for r in out}
+    assert [got[i]["near"] for i in range(len(texts))] == brute_near(texts, items)
+    assert got[0]["n_hit"] == got[1]["n_hit"] == 0 and got[2]["n_hit"] == 40
+    assert got[0]["near"] == got[1]["near"] == got[2]["near"] == ["1", "2"] and got[3]["near"] == ["3"] and got[4]["near"] == ["4"] and got[5]["near"] == got[6]["near"] == got[7]["near"] == []
+
+
 def test_quality_rules(docs, empty):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     for i, t in enumerate(EDGE):
