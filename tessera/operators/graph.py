@@ -35,6 +35,16 @@ def ego_network(edges: DataFrame, root: str) -> DataFrame:
     return inside.join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "type").distinct()
 
 
+def ego_networks(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, src, dst, type: for each root(id) the edges induced by it and its neighbours; none for a root without edges."""
+    r = roots.select(F.col("id").alias("root")).distinct()
+    out = edges.join(r, F.col("src") == F.col("root")).select("root", "src", "dst")
+    into = edges.join(r, F.col("dst") == F.col("root")).select("root", "src", "dst")
+    nodes = out.union(into).select("root", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    inside = edges.select("src", "dst", "type").distinct().join(nodes.withColumnRenamed("id", "src"), "src")
+    return inside.join(nodes.withColumnRenamed("id", "dst"), ["root", "dst"], "left_semi").select("root", "src", "dst", "type")
+
+
 def degree(edges: DataFrame) -> DataFrame:
     """id, degree: distinct related nodes both ways."""
     both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
@@ -52,6 +62,17 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
     return seen
 
 
+def bfs_of_each(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
+    """root, id, depth: least number of steps from each root(id), as in bfs but for each root alone."""
+    e = durable(edges.select("src", "dst").distinct(), "edges")
+    seen = frontier = roots.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0))
+    for d in range(1, depth + 1):
+        step = e.join(frontier, F.col("src") == F.col("id")).select("root", F.col("dst").alias("id")).distinct()
+        frontier = durable(step.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(d)), "frontier")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def alias_targets(alias: DataFrame, rounds: int = 8) -> DataFrame:
     """alias(old, new) -> old, target: where the chain of each old ends. Pointer doubling; a cycle has no target."""
     a = alias.select("old", F.col("new").alias("target"))

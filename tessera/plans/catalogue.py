@@ -239,6 +239,61 @@ def dfs_sequence(spark, d):
     return walk.select("id", "depth", (F.row_number().over(W.orderBy("path")) - 1).cast("bigint").alias("position"))
 
 
+# The graph searches over all nodes, or from every node whose key is divisible by 20, each root by itself.
+_ROOTS = "v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), roots AS (SELECT id FROM v WHERE CAST(substr(id, 2) AS BIGINT) % 20 = 0)"
+
+
+def _nodes(e: DataFrame) -> DataFrame:
+    return e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
+
+
+def _roots(e: DataFrame) -> DataFrame:
+    return _nodes(e).where(F.substring("id", 2, 20).cast("bigint") % 20 == 0)
+
+
+@query(f"WITH {_EDGES} SELECT DISTINCT src AS id, dst AS other, type FROM e")
+def dependencies_1hop_all(spark, d):
+    e = edges(spark, d)
+    return graph.dependencies(e, _nodes(e))
+
+
+@query(f"WITH {_EDGES} SELECT DISTINCT dst AS id, src AS other, type FROM e WHERE type = 'located_in'")
+def dependents_1hop_all(spark, d):
+    e = edges(spark, d)
+    return graph.dependents(e, _nodes(e), "located_in")
+
+
+@query(f"WITH {_EDGES} SELECT src AS id, dst AS other FROM e UNION SELECT dst, src FROM e")
+def both_directions_all(spark, d):
+    e = edges(spark, d)
+    return graph.neighbours(e, _nodes(e))
+
+
+@query(f"WITH {_EDGES}, {_ROOTS}, b AS (SELECT src AS id, dst AS o FROM e UNION SELECT dst, src FROM e), n AS (SELECT roots.id AS root, o AS id FROM roots JOIN b ON b.id = roots.id UNION SELECT id, id FROM roots) SELECT DISTINCT x.root, src, dst, type FROM e JOIN n x ON x.id = src JOIN n y ON y.id = dst AND y.root = x.root")
+def ego_network_roots(spark, d):
+    e = edges(spark, d)
+    return graph.ego_networks(e, _roots(e))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_ROOTS}, b AS (SELECT DISTINCT src, dst FROM e), w AS (SELECT id AS root, id, 0 AS depth FROM roots UNION SELECT root, dst, depth + 1 FROM w JOIN b ON src = id WHERE depth < 6) SELECT root, id, min(depth) AS depth FROM w GROUP BY root, id")
+def bfs_depth_roots(spark, d):
+    e = edges(spark, d)
+    return graph.bfs_of_each(e, _roots(e), 6)
+
+
+@query(f"WITH RECURSIVE {_CALLS}, e AS (SELECT caller AS src, callee AS dst FROM c), {_ROOTS}, w AS (SELECT id AS root, id, 0 AS depth, id AS path FROM roots UNION ALL SELECT root, callee, depth + 1, path || '/' || lpad(CAST(line AS VARCHAR), 6, '0') || ':' || callee FROM w JOIN c ON caller = id WHERE depth < 6) SELECT root, id, depth, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS position FROM w")
+def dfs_sequence_roots(spark, d):
+    calls = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("callee"), F.concat(F.lit("r"), "n_regionkey").alias("caller"), F.col("n_nationkey").alias("line")).distinct().unionByName(
+        table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("callee"), F.concat(F.lit("n"), "s_nationkey").alias("caller"), F.col("s_suppkey").cast("int").alias("line")))
+    roots = _roots(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")))
+    level = walk = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.col("id").alias("path"))
+    for _ in range(6):
+        step = F.concat("path", F.lit("/"), F.lpad(F.col("line").cast("string"), 6, "0"), F.lit(":"), "callee")
+        level = level.join(calls, F.col("caller") == F.col("id")).select("root", F.col("callee").alias("id"), (F.col("depth") + 1).alias("depth"), step.alias("path"))
+        walk = walk.unionByName(level)
+    return walk.select("root", "id", "depth", (F.row_number().over(W.partitionBy("root").orderBy("path")) - 1).cast("bigint").alias("position"))
+
+
 @query("""WITH RECURSIVE a AS (SELECT o_orderkey AS old, o_orderkey // 2 AS new FROM orders WHERE o_orderkey % 3 <> 0),
 w AS (SELECT old, new AS target FROM a UNION SELECT w.old, a.new FROM w JOIN a ON a.old = w.target) SELECT old, target FROM w WHERE target NOT IN (SELECT old FROM a)""")
 def alias_chain(spark, d):
