@@ -73,13 +73,18 @@ def bfs_of_each(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame
     return seen
 
 
-def alias_targets(alias: DataFrame, rounds: int = 8) -> DataFrame:
-    """alias(old, new) -> old, target: where the chain of each old ends. Pointer doubling; a cycle has no target."""
+def alias_targets(alias: DataFrame) -> DataFrame:
+    """alias(old, new) -> old, target: where the chain of each old ends. Pointer doubling; a cycle has no target.
+
+    A chain has at most as many hops as alias has rows, so doublings up to that length leave only cycles.
+    """
     a = alias.select("old", F.col("new").alias("target"))
-    for _ in range(rounds):
+    live = alias.select(F.col("old").alias("target")).distinct()
+    for _ in range(alias.count().bit_length()):
+        if not a.join(live, "target", "left_semi").limit(1).count():
+            break
         nxt = a.select(F.col("old").alias("target"), F.col("target").alias("jump"))
         a = durable(a.join(nxt, "target", "left").select("old", F.coalesce("jump", "target").alias("target")), "alias")
-    live = alias.select(F.col("old").alias("target"))
     return a.join(live, "target", "left_anti").select("old", "target")
 
 
