@@ -257,3 +257,19 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert 0.4 * n < out.count() < n and out.where("n_tokens = 0").count() == 0
+
+
+def test_quality_rules_agree_with_labels(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.quality_rules(d).where("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    junk, good = ([r["kept"] for r in rows if r["quality"] == q] for q in (0, 1))
+    assert len(junk) > 20 and sum(junk) <= 0.2 * len(junk) and sum(good) >= 0.98 * len(good)
+
+
+def test_line_labels_do_not_follow_length():
+    w, t = quality_rules.model()
+    litter = " ".join(x + "***" if i % 2 else x + "%%%" for i, x in enumerate(TEXT.split()))
+    menu = " | ".join(TEXT.split()[:60])
+    assert quality_rules.judge(litter, w, t)[5] == quality_rules.judge(menu, w, t)[5] == 0.0
+    assert quality_rules.judge(TEXT + ".", w, t)[5] == 1.0
+    assert quality_rules.judge("\n".join([TEXT + ".", menu, TEXT + "."]), w, t)[5] > 0.5
