@@ -45,9 +45,13 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def small_batches(df: DataFrame, rows: int = 256) -> DataFrame:
-    """Documents can be long: fewer rows in an Arrow batch bound a worker's memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows in an Arrow batch of documents: texts can be long, and a worker holds one batch at a time.
+ARROW_ROWS = 256
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df after ARROW_ROWS is set for the session; all operators set the same number, so their order is of no account."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df
 
 

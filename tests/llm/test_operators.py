@@ -273,3 +273,29 @@ def test_line_labels_do_not_follow_length():
     assert quality_rules.judge(litter, w, t)[5] == quality_rules.judge(menu, w, t)[5] == 0.0
     assert quality_rules.judge(TEXT + ".", w, t)[5] == 1.0
     assert quality_rules.judge("\n".join([TEXT + ".", menu, TEXT + "."]), w, t)[5] > 0.5
+
+
+def test_langid_against_substring_search(spark):
+    rng = random.Random(1)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    han = "".join(chr(0x4E00 + i) for i in range(420))
+    samples = {"en": draw("abcde ", 3000), "fr": draw("abcdéz ", 3000), "ja": draw(han[:400], 2000), "ru": draw("абвгд ", 500)}
+    texts = [None, "", "12 3", "a", "é"] + [draw(a, n) for a in ("abcde ", "abcdéz ", "abxyz", "абж ", han) for n in (1, 50, 1023, 1024, 1025, 5000)]
+    want = [langid.brute_force(t, samples) for t in texts]
+    for cells in (langid.DENSE_CELLS, 0):
+        got = langid.Parsers(samples, cells).predict(texts)
+        assert [g[0] for g in got] == [x[0] for x in want] and all(abs(g[1] - x[1]) < 1e-12 for g, x in zip(got, want, strict=True))
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(df, samples).collect())
+    assert rows == sorted((i // 2, *x) for i, x in enumerate(want))
+
+
+def test_langid_of_a_very_long_text():
+    samples = {"en": "the cat sat on the mat and the dog ", "fr": "le chat est sur la table et le chien "}
+    assert [p[0] for p in langid.Parsers(samples).predict(["le chien est sur le chat " * 60_000, "the dog sat on the cat"])] == ["fr", "en"]
+
+
+def test_langid_sample_is_shared_out(spark):
+    rows = [(i, "x" * 50_000 if i == 0 else f"word{i} " * 20, "en") for i in range(40)] + [(99, "seul", "fr"), (100, None, "de"), (101, "z", None)]
+    got = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars_per_lang=2000)
+    assert set(got) == {"en", "fr"} and len(got["en"]) <= 2100 and sum(f"word{i} " in got["en"] for i in range(1, 40)) == 39 and got["fr"] == "seul"
