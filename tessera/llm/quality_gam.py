@@ -7,9 +7,11 @@ Then the pairs with the largest residual gain get tables of their own in the sam
 the logistic of a sum of looked-up bins, added up vectorised for a whole Arrow batch.
 
 Training takes at most ``max_rows`` labelled rows (those with the least hash of doc_id); scoring
-covers every text. Null and empty texts have zero features and get a score too. Labels whose
-quality is null are left out; several labels of one doc_id count as their maximum. Without labels
-(or with one class only) every score is the smoothed share of label 1. Repeated rows are scored alike.
+covers every text, of any length. Null and empty texts have zero features and get a score too. Labels
+whose quality is null are left out; several labels of one doc_id count as their maximum. Without labels
+(or with one class only) every score is the smoothed share of label 1. Repeated rows are scored alike,
+rows of null doc_id too, which no label covers; rows of equal hash are taken by doc_id. Other columns
+are of no account, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -83,6 +85,13 @@ class Gam:
             s += t[np.searchsorted(a, x[:, i], side="right"), np.searchsorted(b, x[:, j], side="right")]
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
+    def score_one(self, x: np.ndarray) -> float:
+        """The score of one row by walking its bins; for tests."""
+        at = lambda borders, v: sum(b <= v for b in borders)
+        s = self.base + sum(t[at(e, x[j])] for j, (e, t) in enumerate(zip(self.edges, self.tables, strict=True)))
+        s += sum(t[at(a, x[i]), at(b, x[j])] for (i, j), (a, b), t in self.pairs)
+        return 1 / (1 + np.exp(-min(max(s, -30), 30)))
+
 
 def _best_cut(g: np.ndarray, h: np.ndarray, least: float) -> tuple[float, int]:
     """Gain and place of the best split of a row of bins."""
@@ -175,9 +184,15 @@ def feature_table(docs: DataFrame) -> DataFrame:
 
 
 def train(table: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
-    """labels: doc_id, quality. The training rows come to the driver; max_rows bounds them."""
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
-    rows = table.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_rows).select("x", "y").collect()
+    """labels: doc_id, quality. The rows of least hash come to the driver; max_rows bounds them.
+
+    A hash threshold goes before the ordering, so that what each task sends is a share of max_rows.
+    """
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    n = known.count()
+    if n > 2 * max_rows:
+        known = known.where(F.col("h").cast("double") < F.lit(-(2.0**63) + 2.0**64 * 1.5 * max_rows / n))
+    rows = table.join(known, "doc_id").orderBy("h", "doc_id", "x").limit(max_rows).select("x", "y").collect()
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, N_FEATURES).astype(float)
     return fit(x, np.array([int(r["y"] > 0) for r in rows], float))
 
