@@ -239,16 +239,21 @@ def training_sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars_per
     return {k: " ".join(x[: share[k]] for x in t) for k, t in texts.items()}
 
 
+def parsers(key: int, samples: dict[str, str]) -> Parsers:
+    """The parsers of the samples with this hash; a worker keeps the last ones."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Parsers(samples)
+    return _MODELS[key]
+
+
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """doc_id, lang_pred and score for every row. samples: lang -> text; each worker builds the automata once."""
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     key = hash(tuple(sorted(samples.items())))
 
     def run(ids, texts):
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Parsers(shared.value)
-        got = _MODELS[key].predict(texts)
+        got = parsers(key, shared.value).predict(texts)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return map_batches(small_batches(docs).select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
