@@ -28,15 +28,15 @@ from .common import as_utf8, map_batches, small_batches
 LEAF = 16
 _NONE = 1 << 60
 _CACHE_ITEMS = 400_000
-_CODERS: dict[str, Coder] = {}
+_CODERS: dict[tuple[str, str], Coder] = {}
 
 
 class Coder:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str):
+        """ranks: the content of a rank file."""
         import regex
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
         self.tokens = {i: b for b, i in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.windows: dict[tuple[int, ...], list[int]] = {}
@@ -147,21 +147,33 @@ class _Pieces(dict):
         return ids
 
 
-def coder(path: str, pattern: str) -> Coder:
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path, pattern)
-    return _CODERS[path]
+def read_ranks(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def coder(ranks: bytes, pattern: str, digest: str | None = None) -> Coder:
+    """One coder a worker for each rank file (named by its digest) and pattern."""
+    key = (digest or hashlib.sha256(ranks).hexdigest(), pattern)
+    if key not in _CODERS:
+        _CODERS[key] = Coder(ranks, pattern)
+    return _CODERS[key]
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit, as binary) and decoded (bytes), one row a document.
 
+    The rank file is read by the driver and broadcast (its size does not depend on docs), so executors need no such file.
     With keep_ids False the two byte columns are replaced by their lowercase hex sha256, made where
     the bytes are, as ids_sha256 and decoded_sha256.
     """
 
+    content = read_ranks(path)
+    digest = hashlib.sha256(content).hexdigest()
+    ranks = docs.sparkSession.sparkContext.broadcast(content)
+
     def run(ids, texts):
-        c = coder(path, pattern)
+        c = coder(ranks.value, pattern, digest)
         coded = [c.encode(t) for t in texts]
         plain = [c.decode(x) for x in coded]
         n = [len(x) // 4 for x in coded]

@@ -6,6 +6,7 @@ import random
 import sys
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def test_byte_bpe(docs, empty):
     import tiktoken
 
     path, pattern = tokenizer()
-    c = byte_bpe.coder(path, pattern)
+    c = byte_bpe.coder(byte_bpe.read_ranks(path), pattern)
     enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=c.ranks, special_tokens={})
     rng = random.Random(2)
     for alphabet in ("ab", "the and ing", " \n\t", "éü日本", "-=#", "0123456789"):
@@ -299,3 +300,45 @@ def test_langid_sample_is_shared_out(spark):
     rows = [(i, "x" * 50_000 if i == 0 else f"word{i} " * 20, "en") for i in range(40)] + [(99, "seul", "fr"), (100, None, "de"), (101, "z", None)]
     got = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars_per_lang=2000)
     assert set(got) == {"en", "fr"} and len(got["en"]) <= 2100 and sum(f"word{i} " in got["en"] for i in range(1, 40)) == 39 and got["fr"] == "seul"
+
+
+def test_quality_gam_against_a_walk_of_its_tables(spark, docs):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, quality_gam.N_FEATURES)).astype(np.float32).astype(float)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    m = quality_gam.fit(x, y)
+    assert m.pairs and np.allclose(m.score(x), [m.score_one(r) for r in x], atol=1e-12)
+    assert ((m.score(x) > 0.5) == y).mean() > 0.9
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality_gam.train(quality_gam.feature_table(d), labels)
+    rows = docs.union(docs)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["score"]) for r in quality_gam.quality_scores(rows, labels.limit(0)).collect())
+    assert len(got) == 2 * len(EDGE)
+    table = quality_gam.feature_table(rows)
+    scores = sorted((r["doc_id"] is not None, r["doc_id"] or 0, round(r["score"], 9)) for r in quality_gam.with_scores(table, m, ["doc_id"]).collect())
+    want = [(i != 3, i if i != 3 else 0, round(m.score_one(quality_gam.features(t).astype(float)), 9)) for i, t in enumerate(EDGE)]
+    assert scores == sorted(want * 2)
+
+
+def test_quality_gam_training_rows_are_bounded(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    table = quality_gam.feature_table(d).cache()
+    known = labels.where("quality is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "quality").join(table, "doc_id").orderBy("h", "doc_id").limit(50).collect()
+    want = quality_gam.fit(np.frombuffer(b"".join(bytes(r["x"]) for r in known), np.float32).reshape(-1, quality_gam.N_FEATURES).astype(float), np.array([float(r["quality"]) for r in known]))
+    got = quality_gam.train(table, labels, max_rows=50)
+    assert all(np.array_equal(a, b) for a, b in zip(got.tables, want.tables, strict=True))
+
+
+def test_byte_bpe_on_documents(spark):
+    import hashlib
+
+    import tiktoken
+
+    path, pattern = tokenizer()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.coder(byte_bpe.read_ranks(path), pattern).ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op3_byte_bpe"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = np.array(enc.encode_ordinary(texts[r["doc_id"]]), "<u4")
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
