@@ -7,7 +7,9 @@ rules in an exact hash join, which removes false positives. The longest rule win
 no rule gets ``default``.
 
 Null URLs and URLs without ``://`` have empty host and path and get ``default``. Repeated and null
-page ids are kept as they are; other columns are of no account. An empty rule list gives ``default``.
+page ids are kept as they are; other columns are passed on. Of matching rules of equal length the one with
+the longer host wins, then the greater key and verdict. An empty rule list gives ``default``, an empty table
+no rows. A filter of over ``FILTER_MAX_BYTES`` is not sent: then all candidates go to the exact join.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .common import durable
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = 8  # 64-bit words in a block
@@ -48,57 +51,70 @@ def _bits(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_filter(keys: DataFrame, blocks: int) -> np.ndarray:
-    """Blocks as rows of 64-bit words; each executor task folds its keys by block first."""
+    """Blocks as rows of 64-bit words. Executors set the bits and join them by OR; one row a used block reaches the driver."""
 
-    def fold(batches):
+    def bits_of(batches):
         for pdf in batches:
-            words = np.zeros((blocks, _WORDS), np.uint64)
             b, bits = _bits(pdf["h"].to_numpy(), blocks)
+            words = np.zeros((len(b), _WORDS), np.uint64)
+            at = np.arange(len(b))
             for i in range(_HASHES):
-                np.bitwise_or.at(words, (b, bits[:, i] >> 6), np.uint64(1) << (bits[:, i] & 63).astype(np.uint64))
-            used = np.flatnonzero(words.any(axis=1))
-            yield pd.DataFrame({"block": used, "words": list(words[used].view(np.int64))})
+                words[at, bits[:, i] >> 6] |= np.uint64(1) << (bits[:, i] & 63).astype(np.uint64)
+            yield pd.DataFrame({"block": b, **{f"w{i}": words[:, i].view(np.int64) for i in range(_WORDS)}})
 
     ship_package(keys.sparkSession)
+    names = [f"w{i}" for i in range(_WORDS)]
+    set_bits = keys.mapInPandas(bits_of, ", ".join(["block long", *(f"{w} long" for w in names)]))
     out = np.zeros((blocks, _WORDS), np.uint64)
-    for r in keys.coalesce(4).mapInPandas(fold, "block long, words array<long>").toLocalIterator():
-        out[r["block"]] |= np.array(r["words"], np.int64).view(np.uint64)
+    for r in set_bits.groupBy("block").agg(*[F.bit_or(w).alias(w) for w in names]).collect():
+        out[r["block"]] = np.array([r[w] for w in names], np.int64).view(np.uint64)
     return out
 
 
-def url_verdicts(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """urls (url) and rules (host, path, verdict) -> url, host, path, rule, verdict for each distinct url."""
-    spark = urls.sparkSession
-    listed = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"), F.concat("host", "path").alias("key")).where("key is not null")
-    shape = listed.agg(F.count("*"), F.max(F.size(F.split("r_host", "[.]"))), F.collect_set(F.length("r_path"))).first()
-    n, labels, lengths = shape[0], shape[1] or 0, sorted(shape[2])
-    parsed = urls.select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    if not n:
-        return parsed.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    parts = F.split("host", "[.]")
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda k: F.array_join(F.slice(parts, -k, k), "."))
-    prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda m: m <= F.length("path")), lambda m: F.substring(F.col("path"), F.lit(1), m))
-    keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
-    cand = parsed.where("host <> ''").select("url", F.explode(keys).alias("key"))
+def _possible_keys(pages: DataFrame, keys: Column, listed: DataFrame, n: int) -> Column:
+    """Of each row's candidate keys those that the Bloom filter lets through, in place; all of them if the filter would be too large to send."""
     blocks = max(16, int(np.ceil(n * 12 / (64 * _WORDS))))
-    if blocks * _WORDS * 8 <= FILTER_MAX_BYTES:
-        shared = spark.sparkContext.broadcast(build_filter(listed.select(F.xxhash64("key").alias("h")), blocks))
+    if blocks * _WORDS * 8 > FILTER_MAX_BYTES:
+        return keys
+    shared = pages.sparkSession.sparkContext.broadcast(build_filter(listed.select(F.xxhash64("key").alias("h")), blocks))
 
-        @F.pandas_udf("boolean")
-        def possible(h: pd.Series) -> pd.Series:
-            words = shared.value
-            b, bits = _bits(h.to_numpy(), len(words))
-            hit = (words[b[:, None], bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)
-            return pd.Series(hit.all(axis=1))
+    @F.pandas_udf("array<boolean>")
+    def possible(hashes: pd.Series) -> pd.Series:
+        sizes = hashes.map(len).to_numpy()
+        if not sizes.sum():
+            return pd.Series([[] for _ in sizes])
+        words = shared.value
+        b, bits = _bits(np.concatenate(hashes.to_numpy()), len(words))
+        hit = (((words[b[:, None], bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)) == 1).all(axis=1)
+        return pd.Series(np.split(hit, np.cumsum(sizes)[:-1]))
 
-        cand = cand.where(possible(F.xxhash64("key")))
-    exact = F.broadcast(listed) if n <= RULES_MAX_BROADCAST else listed
-    best = cand.join(exact, "key").groupBy("url").agg(F.max(F.struct(F.length("key").alias("n"), F.length("r_host").alias("m"), "key", "r_verdict")).alias("b"))
-    return parsed.join(best, "url", "left").select("url", "host", "path", F.col("b.key").alias("rule"), F.coalesce("b.r_verdict", F.lit(default)).alias("verdict"))
+    pairs = F.arrays_zip(keys.alias("k"), possible(F.transform(keys, lambda k: F.xxhash64(k))).alias("p"))
+    return F.transform(F.filter(pairs, lambda x: x["p"]), lambda x: x["k"])
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """pages with host, path, rule and verdict for every row; the page columns named like these are replaced."""
-    verdicts = url_verdicts(pages, rules, default).withColumnRenamed("url", "__url")
+    """pages with host, path, rule and verdict for every row; the page columns named like these are replaced.
+
+    Every row is judged where it stands. Rows without a possible key take the default at once; the others are
+    numbered, meet the rules in the hash join and are put together again by number, so neither a popular url
+    nor a null one gathers in a task.
+    """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return pages.select(kept).join(verdicts, F.col("url").eqNullSafe(F.col("__url")), "left").drop("__url")
+    listed = rules.select(F.col("host").alias("r_host"), F.col("verdict").alias("r_verdict"), F.length("path").alias("r_length"), F.concat("host", "path").alias("key")).where("key is not null")
+    shape = listed.agg(F.count("*"), F.max(F.size(F.split("r_host", "[.]"))), F.collect_set("r_length")).first()
+    n, labels, lengths = shape[0], shape[1] or 0, sorted(shape[2])
+    row = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    none = [F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")]
+    if not n:
+        return row.select("row.*", "host", "path", *none)
+    parts = F.split("host", "[.]")
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda k: F.array_join(F.slice(parts, -k, k), "."))
+    prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda m: m <= F.length("path")), lambda m: F.substring(F.col("path"), F.lit(1), m))
+    keys = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p)))))
+    cand = row.withColumn("keys", keys)
+    judged = durable(cand.select("row", "host", "path", _possible_keys(pages, F.col("keys"), listed, n).alias("keys"), F.monotonically_increasing_id().alias("no")), "urls")
+    exact = F.broadcast(listed) if n <= RULES_MAX_BROADCAST else listed
+    met = judged.where("size(keys) > 0").select("no", F.explode("keys").alias("key")).join(exact, "key")
+    best = met.groupBy("no").agg(F.max(F.struct(F.length("key").alias("n"), F.length("r_host").alias("m"), "key", "r_verdict")).alias("b"))
+    done = judged.where("size(keys) > 0").join(best, "no", "left").select("row.*", "host", "path", F.col("b.key").alias("rule"), F.coalesce("b.r_verdict", F.lit(default)).alias("verdict"))
+    return done.unionByName(judged.where("size(keys) = 0").select("row.*", "host", "path", *none))

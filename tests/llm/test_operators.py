@@ -342,3 +342,28 @@ def test_byte_bpe_on_documents(spark):
     for r in rows:
         ids = np.array(enc.encode_ordinary(texts[r["doc_id"]]), "<u4")
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_url_filter_judges_hot_urls_in_place(spark, monkeypatch):
+    rules = spark.createDataFrame([("net", "/a/", "block"), ("x.net", "/", "allow"), ("com", "/a/", "block")], "host string, path string, verdict string")
+    rng = random.Random(6)
+    urls = [None] * 60 + ["http://x.net/a/b"] * 60 + [f"http://{rng.choice(['x.', 'y.', ''])}{rng.choice(['net', 'com', 'org'])}/{rng.choice(['a/', 'b/', ''])}{i}" for i in range(80)]
+    pages = spark.createDataFrame([(i % 150, u, "old", i) for i, u in enumerate(urls)], "page_id long, url string, verdict string, n long")
+
+    def want(u):
+        host, path = url_parts(u)
+        fit = [(len(h + p), len(h), h + p, v) for h, p, v in [("net", "/a/", "block"), ("x.net", "/", "allow"), ("com", "/a/", "block")] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[2:] if fit else (None, "allow")
+
+    for limit in (url_filter.FILTER_MAX_BYTES, 0):  # with the filter and without
+        monkeypatch.setattr(url_filter, "FILTER_MAX_BYTES", limit)
+        got = {r["n"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules).collect()}
+        assert got == {i: want(u) for i, u in enumerate(urls)}
+
+
+def url_parts(u):
+    if u is None or "://" not in u:
+        return "", ""
+    rest = u.split("://", 1)[1]
+    host = rest.split("/", 1)[0].lower()
+    return host, rest[len(host) :]
