@@ -65,7 +65,8 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold(n: int):
-    return F.crc32(F.col("doc_id").cast("string")) % n
+    """The remainder of crc32 of the id as text; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
 def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +97,9 @@ m AS (SELECT rn, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length
   FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rn)
 SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM p LEFT JOIN m USING (rn)""",
     "op5_chat_format": """
-WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS l FROM t GROUP BY conv_id),
+WITH rows AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text, row_number() OVER () AS rn FROM conversations),
+t AS (SELECT DISTINCT conv_id AS c, NULL AS rn, turn, role, text FROM rows WHERE conv_id IS NOT NULL UNION ALL SELECT NULL, rn, NULL, role, text FROM rows WHERE conv_id IS NULL),
+c AS (SELECT c AS conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS l FROM t GROUP BY c, rn),
 g AS (SELECT l, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY l),
 inner_ AS (SELECT DISTINCT list_slice(l, 1, i) AS l FROM (SELECT l, unnest(range(1, n)) AS i FROM g))
 SELECT conv_id, n AS n_turns, n_copies,

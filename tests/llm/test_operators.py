@@ -95,6 +95,23 @@ def test_chat_format(spark):
     assert "< |im_end|>" in got[None][2] and chat_format.format_chats(convs.limit(0)).count() == 0
 
 
+def test_chat_format_without_ids_and_of_many_turns(spark):
+    import duckdb
+
+    rng = random.Random(5)
+    rows = [(None, i, "user", "hello") for i in range(40)] + [(None, 0, "user", "start"), (None, None, None, None), (None, 3, "user", f"only {1}")]
+    rows += [(7, i, "user" if i % 2 else "assistant", f"turn {i} " * rng.randint(1, 4)) for i in range(3000)] + [(8, i, "user" if i % 2 else "assistant", None) for i in range(20)]
+    rows += [(9, 0, "user", "start"), (9, 1, "assistant", "more"), (10, 0, "user", "hello"), (11, 0, None, ""), (12, 1, "user", "tie b"), (12, 1, "user", "tie a"), (12, 1, "assistant", "z")]
+    convs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(map(str, chat_format.format_chats(convs).collect()))
+    pdf = convs.toPandas()
+    pdf = pdf.astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", pdf)
+    assert got == sorted(_row(["conv_id", "n_turns", "n_copies", "chat"], r) for r in con.execute(ORACLES["op5_chat_format"]).fetchall())
+    assert len(got) == 7 and not any("start" in g and "conv_id=None" in g for g in got)
+
+
 def test_decontam(spark, docs, empty):
     item = " ".join(TEXT.split()[30:45])
     items = spark.createDataFrame([(1, item), (2, "tail"), (3, None), (4, ""), (5, "not there")], "item_id long, text string")
