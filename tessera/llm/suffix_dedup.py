@@ -32,11 +32,20 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, as_utf8, durable, id_key, map_batches, small_batches
 
 GRAM = 24
+#: Longest strings that winnowing in chunks of _CHUNK windows and the packed runs allow.
+MAX_LEN = 30_000
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POS_BITS = np.uint64(17)
 _CHUNK = 100_000
+#: Bits of a packed (start, number of windows) that hold the number, which is under min_len.
+_RUN_BITS = 16
+_RUN_MASK = (1 << _RUN_BITS) - 1
+#: An anchor with more pieces than this is dealt over parts of this many when it meets its pieces.
+JOIN_PIECES = 256
+#: Hot anchors are broadcast only up to this many (16 bytes each); beyond that the join shuffles.
+MAX_BROADCAST_HOT = 1_000_000
 #: A Bloom filter of repeated anchors is sent to the executors only up to this many anchors (12 bits each).
 BLOOM_MAX_ITEMS = 40_000_000
 
@@ -241,18 +250,16 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     base = docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     if not base.groupBy("key").count().where("count > 1").limit(1).count():
         return base, None
-    spark = docs.sparkSession
     distinct = base.select("key", F.sha2("text", 256).alias("text_sha"), "text").distinct()
-    ordered = distinct.orderBy("key", "text").select("key", "text_sha").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    numbers = durable(spark.createDataFrame(ordered, "doc long, text_sha string, key long"), "numbers")
-    texts = distinct.withColumnRenamed("key", "doc").join(numbers, ["doc", "text_sha"]).select("key", "text")
-    return texts, numbers
+    ordered = distinct.orderBy("key", "text").withColumn("no", F.monotonically_increasing_id())
+    texts = durable(ordered.select(F.col("key").alias("doc"), "text_sha", "text", F.col("no").alias("key")), "numbered")
+    return texts.select("key", "text"), texts.select("doc", "text_sha", "key")
 
 
 def suffix_dedup(docs: DataFrame, min_len: int = 100, block_bytes: int = 500_000, hot_pieces: int = 4096) -> DataFrame:
     """doc_id, n_bytes, spans (removed [start, end) runs of bytes) and kept (the other bytes), one row a document."""
-    if min_len < 2 * GRAM:
-        raise ValueError(f"min_len must be {2 * GRAM} or more")
+    if not 2 * GRAM <= min_len <= MAX_LEN:
+        raise ValueError(f"min_len must be {2 * GRAM} to {MAX_LEN}")
     spark = docs.sparkSession
     texts, numbers = _keyed(small_batches(docs))
     data = texts.select("key", F.encode("text", "utf-8").alias("data"))
@@ -276,7 +283,7 @@ def suffix_dedup(docs: DataFrame, min_len: int = 100, block_bytes: int = 500_000
                 order = np.lexsort((s, ph, fp))
                 again = np.zeros(len(fp), bool)
                 again[order[1:]] = (fp[order][1:] == fp[order][:-1]) & (ph[order][1:] == ph[order][:-1])
-                for c, x in zip(cols, (fp.view(np.int64), ph.view(np.int64), np.full(len(fp), key, np.int64), (s << 8) | run, again), strict=True):
+                for c, x in zip(cols, (fp.view(np.int64), ph.view(np.int64), np.full(len(fp), key, np.int64), (s << _RUN_BITS) | run, again), strict=True):
                     c.append(x)
         empty = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else e) for c, e in zip(cols, empty, strict=True)], ["fp", "ph", "key", "at", "again"])
@@ -284,22 +291,25 @@ def suffix_dedup(docs: DataFrame, min_len: int = 100, block_bytes: int = 500_000
     occ = durable(map_batches(data, occurrences, "fp long, ph long, key long, at long, again boolean"), "occurrences")
     once = occ.where("not again")
     variants = durable(once.groupBy("fp", "ph").agg(F.min("key").alias("key"), F.min_by("at", "key").alias("at")), "variants")
-    by_fp = variants.groupBy("fp").agg(F.min("ph").alias("lo"), F.max("ph").alias("hi"), F.min("key").alias("key"), F.min_by("at", "key").alias("at"))
+    by_fp = variants.groupBy("fp").agg(F.min("ph").alias("lo"), F.max("ph").alias("hi"), F.min("key").alias("key"), F.min_by("at", "key").alias("at"), F.count("*").alias("n"))
     settled = durable(by_fp, "settled")
     plain_first = settled.where("lo = hi").select("key", "at")
-    mixed = settled.where("lo <> hi").select("fp")
-    # Copies are collapsed and nothing is grouped after this join, so a hot anchor's partition can be split.
-    pieces = durable(variants.join(mixed, "fp", "left_semi"), "pieces")
+    # Anchors of many pieces meet them in parts, so that no task gets all pieces of one anchor.
+    many = settled.where(F.col("n") > JOIN_PIECES).select("fp", F.ceil(F.col("n") / JOIN_PIECES).alias("n_parts"))
+    many = F.broadcast(many) if many.limit(MAX_BROADCAST_HOT + 1).count() <= MAX_BROADCAST_HOT else many
+    mixed = settled.where("lo <> hi").select("fp", F.when(F.col("n") > hot_pieces, F.ceil(F.col("n") / hot_pieces)).alias("parts"),
+                                             F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / JOIN_PIECES).cast("int") - 1)).alias("part"))
+    dealt = variants.join(many, "fp", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("ph"), F.col("n_parts")), F.lit(0)).cast("int")).drop("n_parts")
+    pieces = durable(dealt.join(mixed, ["fp", "part"]).drop("part"), "pieces")
     n_pieces = pieces.count()
     first = plain_first
     if n_pieces:
         blocks = int(max(1, np.ceil(n_pieces * 1.4 * min_len / block_bytes)))
-        hot = pieces.groupBy("fp").count().where(F.col("count") > hot_pieces).select("fp", F.ceil(F.col("count") / hot_pieces).alias("parts"))
-        placed = pieces.join(hot, "fp", "left").select(
+        placed = pieces.select(
             "key", "at", F.col("parts").isNotNull().alias("hot"),
             F.pmod(F.when(F.col("parts").isNull(), F.xxhash64("fp")).otherwise(F.xxhash64("fp", F.pmod(F.xxhash64("ph"), F.col("parts")))), F.lit(blocks)).alias("block"),
         )
-        start, run = F.shiftright("at", 8), F.col("at").bitwiseAND(255)
+        start, run = F.shiftright("at", _RUN_BITS), F.col("at").bitwiseAND(_RUN_MASK)
         routed = placed.join(data, "key").select("block", "hot", "key", start.alias("start"), F.substring("data", (start + 1).cast("int"), (run + min_len - 1).cast("int")).alias("piece"))
 
         def expand(pdf):
@@ -310,10 +320,10 @@ def suffix_dedup(docs: DataFrame, min_len: int = 100, block_bytes: int = 500_000
             rows: list[tuple] = []
             for key, s, hot_, piece, f in zip(pdf["key"], pdf["start"], pdf["hot"], pdf["piece"], flags, strict=True):
                 if hot_:
-                    rows += [(key, ((s + i) << 8) | 1, hashlib.blake2b(piece[i : i + min_len], digest_size=16).digest()) for i in np.flatnonzero(f).tolist()]
+                    rows += [(key, ((s + i) << _RUN_BITS) | 1, hashlib.blake2b(piece[i : i + min_len], digest_size=16).digest()) for i in np.flatnonzero(f).tolist()]
                 else:
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], f.view(np.int8), [0]))))
-                    rows += [(key, ((s + a) << 8) | (z - a), None) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+                    rows += [(key, ((s + a) << _RUN_BITS) | (z - a), None) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
             return pd.DataFrame(rows, columns=["key", "at", "window"])
 
         expanded = durable(routed.groupBy("block").applyInPandas(expand, "key long, at long, window binary"), "expanded")
@@ -332,7 +342,7 @@ def suffix_dedup(docs: DataFrame, min_len: int = 100, block_bytes: int = 500_000
                 kept.append(b)
                 continue
             m = np.asarray(m, np.int64)
-            s, run, is_first = m >> 9, (m >> 1) & 255, (m & 1) == 1
+            s, run, is_first = m >> (_RUN_BITS + 1), (m >> 1) & _RUN_MASK, (m & 1) == 1
             gone = np.zeros(len(b) + 1, np.int32)
             for sign, pick in ((1, ~is_first), (-1, is_first)):
                 np.add.at(gone, s[pick], sign)

@@ -384,3 +384,30 @@ def url_parts(u):
     rest = u.split("://", 1)[1]
     host = rest.split("/", 1)[0].lower()
     return host, rest[len(host) :]
+
+
+@pytest.mark.parametrize("min_len", [48, 279, 300, 400, 1000])
+def test_suffix_dedup_of_long_strings(spark, min_len):
+    rng = random.Random(min_len)
+    draw = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    shared = [draw(3 * min_len) for _ in range(4)]
+    texts = []
+    for _ in range(60):
+        s = rng.choice(shared)
+        a = rng.randrange(len(s) // 2)
+        texts.append(draw(rng.randrange(50)) + s[a : a + rng.randrange(min_len // 2, 2 * min_len)] + draw(rng.randrange(50)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: ([(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(df, min_len, hot_pieces=8).collect()}
+    assert got == suffix_dedup.brute_force(list(enumerate(texts)), min_len)
+    assert any(x[0] for x in got.values())
+
+
+def test_suffix_dedup_deals_hot_anchors_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "JOIN_PIECES", 3)
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot = draw(130)
+    texts = [draw(rng.randrange(60)) + hot + draw(rng.randrange(60)) for _ in range(50)] + [None, "", draw(20_000) + hot]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.suffix_dedup(df, hot_pieces=8).collect()}
+    assert got == {k: v[1] for k, v in suffix_dedup.brute_force(list(enumerate(texts))).items()}
