@@ -206,10 +206,10 @@ def near_links(nodes: DataFrame, docs: DataFrame, words: int, percent: int, k: i
     held = values.join(shared, "v").groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     few = held.withColumn("floor", F.greatest(floor, F.lit(1))).where("size(vs) >= floor").select("key", F.explode(F.slice("vs", F.lit(1), F.greatest(F.size("vs") - F.col("floor") + 1, F.lit(1)).cast("int"))).alias("x"))
     lists = durable(few.select("key", F.col("x.v").alias("v")), "lists")
-    sizes = lists.groupBy("v").agg(F.count("*").alias("n"))
-    short = lists.join(sizes.where((F.col("n") > 1) & (F.col("n") <= small_list)).select("v"), "v")
+    sizes = durable(lists.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    short = lists.join(_sized(sizes.where(F.col("n") <= small_list).select("v")), "v", "left_semi")
     within = short.groupBy("v").agg(F.array_sort(F.collect_list("key")).alias("m")).select("m", F.explode("m").alias("a")).select("a", F.explode(F.filter("m", lambda b: b < F.col("a"))).alias("b"))
-    long = durable(lists.join(sizes.where(F.col("n") > small_list).select("v"), "v"), "long")
+    long = durable(lists.join(_sized(sizes.where(F.col("n") > small_list).select("v")), "v", "left_semi"), "long")
     pairs = within.unionByName(_hub_pairs(long, hubs)).distinct()
     scored = durable(_with_estimates(pairs, nodes, percent, k, slack), "scored")
     ends = scored.select(F.col("a").alias("key")).unionByName(scored.select(F.col("b").alias("key"))).unionByName(long.select("key")).distinct()
@@ -231,8 +231,8 @@ def _hub_pairs(long: DataFrame, hubs: int) -> DataFrame:
     """
     some = long.where(F.pmod("v", F.lit(4)) == 0)
     least = [F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"h{i}") for i in range(hubs)]
-    picked = some.groupBy("v").agg(*least).select("v", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(hubs)]))).alias("hub"))
-    joined = some.join(picked, "v").where("key <> hub")
+    picked = durable(some.groupBy("v").agg(*least).select("v", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(hubs)]))).alias("hub")), "hubs")
+    joined = some.join(_sized(picked), "v").where("key <> hub")
     return joined.select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b"))
 
 
@@ -275,27 +275,47 @@ def _unresolved(long: DataFrame, nodes: DataFrame, full: DataFrame, links: DataF
     """
     roots = durable(_roots(nodes, links), "roots")
     placed = long.join(roots, "key")
-    mixed = placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
-    left = durable(placed.join(mixed, "v").select("key").distinct(), "mixed")
+    mixed = _mixed_lists(placed)
+    left = durable(placed.join(mixed, "v", "left_semi").select("key").distinct(), "mixed")
     if not left.limit(1).count():
         return None
     rare = durable(_rare_prefixes(full.join(_sized(left), "key", "left_semi"), percent), "rare")
     fit = ((100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("n_a") + F.col("n_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     side = lambda t: [F.col("key").alias(t), F.col("n").alias(f"n_{t}"), F.col("c").alias(f"c_{t}")]
     hub = rare.groupBy("v").agg(F.min_by(F.struct("key", "n", "c"), F.struct(F.col("n") / F.col("c"), "key")).alias("h"), F.count("*").alias("size")).where("size > 1").select("v", "h.*")
-    near_hub = rare.select("v", *side("a")).join(hub.select("v", *side("b")), "v").where(fit & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    near_hub = rare.select("v", *side("a")).join(_sized(durable(hub.select("v", *side("b")), "list-hubs")), "v").where(fit & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     found = durable(_confirm(_with_estimates(_between(near_hub, roots), nodes, percent, k, slack), full, percent), "hub-links")
     roots = durable(_roots(nodes, links.unionByName(found)), "roots")
     rest = rare.join(roots, "key")
-    mixed = rest.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
-    # sizes of a pair lie in one class or in neighbouring ones
+    rest = durable(rest.join(_mixed_lists(rest), "v", "left_semi"), "open-lists")
+    pairs = _fitting_pairs(rest, percent)
+    return found.unionByName(_confirm(_with_estimates(pairs, nodes, percent, k, slack), full, percent))
+
+
+def _mixed_lists(placed: DataFrame) -> DataFrame:
+    """The values v of placed(v, root) whose members have different roots."""
+    return _sized(durable(placed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v"), "mixed-lists"))
+
+
+def _fitting_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots in a list of rest(v, key, n, c, root) that can reach the threshold by what follows the list's value.
+
+    With r = (100 + percent) / percent a pair fits if neither size exceeds r * c - n of the other. The lesser
+    set of a pair must thus allow its own size; texts of one template with much of their own do not, so
+    such a list brings no rows to the join. The greater set must allow the least of the lesser ones.
+    Sets are joined within a class of size, or with the next class.
+    """
+    room = F.floor((F.col("c") * (100 + percent)) / percent - F.col("n"))
     step = float(np.log(100 / percent) * 1.01 + 1e-9)
-    rest = rest.join(mixed, "v").withColumn("class", F.floor(F.log("n") / step))
-    a = rest.select("v", *side("a"), F.col("root").alias("r_a"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
-    b = rest.select("v", *side("b"), F.col("root").alias("r_b"), "class")
+    sized = rest.withColumn("room", room).withColumn("class", F.floor(F.log("n") / step))
+    lesser = durable(sized.where("room >= n"), "lesser")
+    least = lesser.groupBy("v").agg(F.min("n").alias("least"))
+    greater = durable(sized.join(_sized(durable(least, "least")), "v").where("room >= least and n >= least"), "greater")
+    a = lesser.select("v", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"), F.col("root").alias("r_a"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
+    b = greater.select("v", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"), F.col("root").alias("r_b"), "class")
     once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    pairs = a.join(b, ["v", "class"]).where((F.col("r_a") != F.col("r_b")) & once & fit).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return found.unionByName(_confirm(_with_estimates(pairs, nodes, percent, k, slack), full, percent))
+    allowed = (F.col("room_a") >= F.col("n_b")) & (F.col("room_b") >= F.col("n_a")) & (100 * F.col("n_a") >= percent * F.col("n_b"))
+    return a.join(b, ["v", "class"]).where((F.col("r_a") != F.col("r_b")) & once & allowed).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def dedup_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

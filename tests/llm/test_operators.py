@@ -411,3 +411,34 @@ def test_suffix_dedup_deals_hot_anchors_in_parts(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.suffix_dedup(df, hot_pieces=8).collect()}
     assert got == {k: v[1] for k, v in suffix_dedup.brute_force(list(enumerate(texts))).items()}
+
+
+def test_near_dedup_meets_few_rows_of_a_template(spark):
+    """Pages of one template with too much of their own: no list of theirs makes pairs, whatever their number."""
+    rng = random.Random(21)
+    template = [f"t{i}" for i in range(120)]
+    pages = [(i, " ".join(template[:60] + [f"own{i}x{j}" for j in range(21)] + template[60:])) for i in range(150)]
+    close = [(1000 + i, " ".join(template[:60] + [f"few{i}x{j}" for j in range(5)] + template[60:])) for i in range(30)]
+    made = []
+    inner = near_dedup._fitting_pairs
+
+    def counted(rest, percent):
+        out = inner(rest, percent).cache()
+        made.append((rest.count(), out.count()))
+        return out
+
+    near_dedup._fitting_pairs = counted
+    try:
+        for rows in (pages, pages + close):
+            rng.shuffle(rows)
+            got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5).collect()
+            assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 5, 80)
+    finally:
+        near_dedup._fitting_pairs = inner
+    assert all(pairs <= 4 * rows for rows, pairs in made), made
+    rest = spark.createDataFrame([(1, k, 137, 116, k) for k in range(200)], "v long, key long, n long, c long, root long")
+    assert inner(rest, 80).count() == 0
+    rest = spark.createDataFrame([(1, 1, 100, 100, 1), (1, 2, 120, 100, 2), (1, 3, 126, 101, 3), (1, 4, 90, 80, 4), (2, 5, 100, 100, 5)], "v long, key long, n long, c long, root long")
+    fits = lambda x, y: 180 * min(x[1], y[1]) >= 80 * (x[0] + y[0]) and 100 * min(x[0], y[0]) >= 80 * max(x[0], y[0])
+    sets = {1: (100, 100), 2: (120, 100), 3: (126, 101), 4: (90, 80)}
+    assert {(r["a"], r["b"]) for r in inner(rest, 80).collect()} == {(a, b) for a in sets for b in sets if a > b and fits(sets[a], sets[b])}
