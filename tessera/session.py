@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +21,9 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-code-"), "tessera.zip")
+    folder = tempfile.mkdtemp(prefix="tessera-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "tessera.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(root):
             for name in sorted(names):
@@ -33,17 +38,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCRATCH: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a fresh local one in local mode (tests); a cluster must set it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing."""
-    path = os.path.join(shared_dir(df.sparkSession), f"tessera-{tag}-{uuid.uuid4().hex}")
+def durable(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing.
+
+    It lies in the innermost scratch() folder, if there is one, unless a folder is given.
+    """
+    spark = df.sparkSession
+    path = os.path.join(folder or (_SCRATCH[-1] if _SCRATCH else shared_dir(spark)), f"tessera-{tag}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes durable tables that no plan yet to run reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._durable_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Durable tables made inside are deleted at the end; what shall stay is written to a folder outside first."""
+    folder = os.path.join(shared_dir(spark), f"tessera-scratch-{uuid.uuid4().hex}")
+    _SCRATCH.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.remove(folder)
+        _delete(spark, folder)
