@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import forget, ship_package
 from .common import NULL_ID, as_utf8, durable, map_batches, row_keys, small_batches
 
 K = 64
 #: Node ids are broadcast to pick texts only up to this many (16 bytes each); beyond that the join shuffles.
-MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_KEYS = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(5)
 _MUL = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,6 +97,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         new = durable(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
         tops = new.select("b").distinct().join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
         done = not tops.limit(1).count() and not new.groupBy("a").count().where("count > 1").limit(1).count()
+        forget(e, down)
         e = new
         if done:
             break
@@ -175,12 +176,11 @@ def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, words: int, percent: int, k: int = K, hubs: int = 3, small_list: int = 24) -> DataFrame:
     """key, n and root (least key of the component) of every keyed row of docs."""
     rows = durable(sketch_table(docs, words, k), "sketches")
-    copies = rows.where("n > 0").groupBy("print").agg(F.min("key").alias("rep"))
-    named = rows.where("n > 0").select("key", "print").join(copies, "print").select("key", "rep").distinct()
-    nodes = rows.where("n > 0").join(_sized(durable(copies.select(F.col("rep").alias("key")).distinct(), "reps")), "key", "left_semi").select("key", "n", "sketch")
+    copies = durable(rows.where("n > 0").groupBy("print").agg(F.min("key").alias("rep"), F.count("*").alias("size")).where("size > 1").select("print", "rep"), "copies")
+    named = durable(rows.join(_sized(copies), "print").where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b")), "named")
+    nodes = rows.where("n > 0").join(_sized(named.select(F.col("a").alias("key"))), "key", "left_anti").select("key", "n", "sketch")
     links = durable(near_links(nodes, docs, words, percent, k, hubs, small_list), "links")
-    every = links.unionByName(named.where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b")))
-    comp = components(every)
+    comp = components(links.unionByName(named))
     return rows.select("key", "n").join(comp.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"))
 
 
