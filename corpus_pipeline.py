@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import byte_bpe, decontam, near_dedup, pii, quality_gam
 from tessera.llm.common import durable, table
 from tessera.llm.queries import tokenizer
+from tessera.session import scratch, shared_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +42,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each result written and read again."""
+    """The stages applied to documents, each result written and read again; what a stage wrote besides goes when it is done."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = durable(docs, f"stage{i}")
-    return docs
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        kept = shared_dir(spark)
+        with scratch(spark):
+            docs = durable(stage(spark, docs, sf_dir), f"stage{i}", kept)
