@@ -102,7 +102,7 @@ def scan_repository(spark: SparkSession, root: str) -> DataFrame:
 
     kept = files.where(~F.coalesce(rule_says("relative_path"), is_excluded(F.col("relative_path")))).where(~binary("content"))
     head = F.decode(F.substring("content", 1, 8192), "UTF-8")
-    shebang = F.when(head.rlike(r"^#!.*\bpython"), "python").when(head.rlike(r"^#!.*\bnode\b"), "javascript")
+    shebang = F.when(head.rlike(r"(?i)^#!/[^\n]*python"), "Python").when(head.rlike(r"(?i)^#!/[^\n]*node"), "JavaScript")
     return kept.select("relative_path", F.coalesce(language_of(F.col("relative_path")), shebang).alias("language"), "content").orderBy("relative_path")
 
 
@@ -176,7 +176,7 @@ def markdown_sections(text: str) -> list[tuple[str, str, int, int]]:
 
 def extract_symbols(files: DataFrame) -> DataFrame:
     """files(path, language, text) -> path, kind, name, start, end, status; a file that fails is one row with status 'failure'."""
-    by = {"python": python_symbols, "markdown": markdown_sections} | dict.fromkeys(("javascript", "typescript", "java", "go", "rust"), brace_symbols)
+    by = {"Python": python_symbols, "Markdown": markdown_sections} | dict.fromkeys(("JavaScript", "TypeScript", "Java", "Go", "Rust"), brace_symbols)
 
     def run(batches):
         import pandas as pd
