@@ -16,9 +16,28 @@ def recent_messages(messages: DataFrame, role: str, n: int = 3) -> DataFrame:
     return last.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"]).alias("texts"))
 
 
-def enriched_query(messages: DataFrame, n: int = 3) -> DataFrame:
-    """The last n user texts joined by newlines, newest last."""
-    return recent_messages(messages, "user", n).select("conv_id", F.concat_ws("\n", "texts").alias("query"))
+def recent_citations(messages: DataFrame, n: int = 3) -> DataFrame:
+    """messages(conv_id, turn, role, cited array): what the last n assistant messages cite, newest first, each once."""
+    w = W.partitionBy("conv_id").orderBy(F.desc("turn"))
+    last = messages.where("role = 'assistant'").withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("r", "cited"))), lambda m: m["cited"])
+    return last.groupBy("conv_id").agg(F.array_distinct(F.flatten(lists)).alias("cited"))
+
+
+def enriched_query(messages: DataFrame, questions: DataFrame, n: int = 3) -> DataFrame:
+    """questions(conv_id, question), messages(conv_id, turn, role, text, cited) -> conv_id, query.
+
+    Up to n recent questions, then what up to n recent answers cite (oldest first, each once), then the question,
+    a line each; without a history the question alone.
+    """
+    asked = recent_messages(messages, "user", n)
+    w = W.partitionBy("conv_id").orderBy(F.desc("turn"))
+    last = messages.where("role = 'assistant'").withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("turn", "cited"))), lambda m: m["cited"])
+    cited = last.groupBy("conv_id").agg(F.array_distinct(F.flatten(lists)).alias("cited"))
+    j = questions.join(asked, "conv_id", "left").join(cited, "conv_id", "left")
+    line = lambda title, items, sep: F.when(F.size(items) > 0, F.concat(F.lit(title), F.array_join(items, sep)))
+    return j.select("conv_id", F.concat_ws("\n", line("Recent conversation questions: ", "texts", " | "), line("Recently discussed code: ", "cited", ", "), F.col("question")).alias("query"))
 
 
 def history_budget(messages: DataFrame, budget: int) -> DataFrame:
@@ -28,34 +47,89 @@ def history_budget(messages: DataFrame, budget: int) -> DataFrame:
     return messages.withColumn("cost", cost).withColumn("total", F.sum("cost").over(w)).where(F.col("total") <= budget).select("conv_id", "turn", "cost", "total")
 
 
-def trim_evidence(evidence: list[tuple[str, float]], budget: int, marker: str = " [truncated]") -> list[str]:
-    """Shorten the worst evidence first; nothing is dropped and the best keeps a character at least."""
-    est = lambda s: 0 if not s else len(s) // 3 + 1
-    texts = [t for t, _ in evidence]
-    for i in range(len(texts) - 1, -1, -1):
-        over = sum(map(est, texts)) - budget
+#: Marks of shortened text.
+TRUNCATED = "\n\n[...truncated to fit the context budget...]"
+README_TRUNCATED = "\n\n[...truncated...]"
+#: READMEs that no parser reads, first match wins.
+README_NAMES = ["README", "README.rst", "README.txt", "Readme.rst", "readme.txt"]
+
+
+def fit_context(history: list[str], readme: str, evidence: list[str], budget: int) -> tuple[int, str, list[str]]:
+    """(history messages dropped, README, evidence) that fit the budget of estimated tokens.
+
+    The oldest messages ("role: text") go first, then the end of the README, then the ends of the evidence
+    from the worst on. No evidence is dropped, and what is left of the best has a character at least.
+    """
+    est = lambda s: int(len(s) / 3.0) + 1 if s else 0
+    costs = [est(m) for m in history]
+    rest, evidence = est(readme) + sum(map(est, evidence)), list(evidence)
+    over = sum(costs) + rest - budget
+    dropped = 0
+    while over > 0 and dropped < len(costs):
+        over -= costs[dropped]
+        dropped += 1
+    if over > 0 and readme:
+        keep = len(readme) - 3 * over - len(TRUNCATED)
+        short = readme[:keep].rstrip() + TRUNCATED if keep > 0 else ""
+        over += est(short) - est(readme)
+        readme = short
+    for i in reversed(range(len(evidence))):
         if over <= 0:
             break
-        room = max(1 if i == 0 else 0, 3 * (est(texts[i]) - over - est(marker)))
-        if room < len(texts[i]):
-            texts[i] = texts[i][:room] + marker
-    return texts
+        text = evidence[i]
+        keep = max(len(text) - 3 * over - len(TRUNCATED), 1 if i == 0 else 0)
+        if keep < len(text):
+            evidence[i] = (text[:keep].rstrip() or text[:1]) + TRUNCATED
+            over += est(evidence[i]) - est(text)
+    return dropped, readme, evidence
+
 
+def context_budget(contexts: DataFrame, budget: int) -> DataFrame:
+    """contexts(id, history array<string>, readme, evidence array<string>) with the three cut to the budget and the number of messages dropped.
 
-def context_budget(messages: DataFrame, budget: int) -> DataFrame:
-    """Whole budget by conversation: the texts in order, shortened from the end. One conversation is one group."""
+    One context is one row, whatever the number of rows, so nothing is shuffled.
+    """
 
-    def fold(pdf):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        pdf = pdf.sort_values("turn")
-        out = trim_evidence([(t or "", 0.0) for t in pdf["text"]], budget)
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "turn": pdf["turn"], "text": out})
+        for b in batches:
+            cut = [fit_context(h or [], r or "", e or [], budget) for h, r, e in zip(*(b.column(c).to_pylist() for c in ("history", "readme", "evidence")), strict=True)]
+            kept = [(h or [])[x[0] :] for h, x in zip(b.column("history").to_pylist(), cut, strict=True)]
+            texts = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(kept, texts), pa.array([x[1] for x in cut], pa.string()), pa.array([x[2] for x in cut], texts), pa.array([x[0] for x in cut], pa.int64())], ["id", "history", "readme", "evidence", "dropped"])
 
     from ..session import ship_package
 
-    ship_package(messages.sparkSession)
-    return messages.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(fold, "conv_id long, turn long, text string")
+    ship_package(contexts.sparkSession)
+    kind = contexts.schema["id"].dataType.simpleString()
+    return contexts.select("id", "history", "readme", "evidence").mapInArrow(run, f"id {kind}, history array<string>, readme string, evidence array<string>, dropped long")
+
+
+def prompt_text(contexts: DataFrame) -> DataFrame:
+    """contexts(id, question, history, readme_path, readme, evidence) -> id, prompt: the sections that are not empty, then the question."""
+    section = lambda title, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(title, F.lit(":\n"), body))
+    parts = [section(F.lit("Conversation so far"), F.array_join("history", "\n")), section(F.concat(F.lit("Project README ("), "readme_path", F.lit(")")), F.col("readme")), section(F.lit("Retrieved evidence"), F.array_join("evidence", "\n\n"))]
+    return contexts.select("id", F.concat_ws("\n\n", *parts, F.col("question")).alias("prompt"))
+
+
+def answer_text(answers: DataFrame) -> DataFrame:
+    """answers(id, raw, insufficient, ambiguous) -> id, text: a note before a weakly founded answer and after an ambiguous one; never empty."""
+    weak = "The repository does not contain enough evidence to fully answer this question. Here is the nearest relevant local evidence found:"
+    close = "Multiple retrieved fragments were similarly relevant to this question."
+    none = "The model did not return an answer for this question."
+    body = F.nullif(F.regexp_replace(F.coalesce("raw", F.lit("")), r"^\s+|\s+$", ""), F.lit(""))
+    text = F.concat_ws("\n\n", F.when(F.col("insufficient"), F.lit(weak)), body, F.when(F.col("ambiguous"), F.lit(close)))
+    return answers.select("id", F.coalesce(F.nullif(text, F.lit("")), F.lit(none)).alias("text"))
+
+
+def read_readme(files: DataFrame, limit: int = 8000) -> DataFrame:
+    """files(path, text) of a repository's root -> path, content of the first README in README_NAMES' order, cut with a mark; no row if it is blank or absent."""
+    order = F.array_position(F.array(*map(F.lit, README_NAMES)), F.col("path"))
+    found = files.withColumn("o", order).where("o > 0").orderBy("o").limit(1)
+    body = F.regexp_replace("text", r"^\s+|\s+$", "")
+    cut = F.concat(F.regexp_replace(F.substring(body, 1, limit), r"\s+$", ""), F.lit(README_TRUNCATED))
+    return found.select("path", F.when(F.length(body) > limit, cut).otherwise(body).alias("content")).where("content <> ''")
 
 
 def session_recency(messages: DataFrame, last: str, keep: int = 64) -> DataFrame:
