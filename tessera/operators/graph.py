@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import suffixes
 from ..session import durable
 
+#: Ids are broadcast only up to this many.
+MAX_BROADCAST_IDS = 1_000_000
+
 
 def dedupe_edges(edges: DataFrame, order: str) -> DataFrame:
     """One row a (src, dst, type); the metadata of the first by ``order`` stays."""
@@ -51,28 +55,56 @@ def degree(edges: DataFrame) -> DataFrame:
     return both.distinct().groupBy("id").agg(F.count("*").alias("degree"))
 
 
+def _if_small(ids: DataFrame) -> DataFrame:
+    """A durable table of ids, broadcast if it is small enough; the edges then stay where they are."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
 def bfs(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
-    """id, depth: least number of steps from any root. One join a level; seen nodes leave by anti-join."""
-    e = durable(edges.select("src", "dst").distinct(), "edges")
-    seen = frontier = roots.select("id", F.lit(0).alias("depth"))
-    for d in range(1, depth + 1):
-        step = e.join(frontier, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = durable(step.join(seen, "id", "left_anti").select("id", F.lit(d).alias("depth")), "frontier")
-        seen = seen.unionByName(frontier)
-    return seen
+    """id, depth: least number of steps from any root. Each level writes its new nodes only; seen nodes leave by anti-join."""
+    found = _levels(edges, roots.select(F.lit(0).alias("root"), "id").distinct(), depth)
+    return found.select("id", "depth")
 
 
 def bfs_of_each(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
     """root, id, depth: least number of steps from each root(id), as in bfs but for each root alone."""
+    return _levels(edges, roots.select(F.col("id").alias("root"), "id").distinct(), depth)
+
+
+def _levels(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     e = durable(edges.select("src", "dst").distinct(), "edges")
-    seen = frontier = roots.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0))
+    seen = frontier = durable(starts.withColumn("depth", F.lit(0)), "frontier")
     for d in range(1, depth + 1):
-        step = e.join(frontier, F.col("src") == F.col("id")).select("root", F.col("dst").alias("id")).distinct()
+        step = e.join(_if_small(frontier.select("root", F.col("id").alias("src"))), "src").select("root", F.col("dst").alias("id")).distinct()
         frontier = durable(step.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(d)), "frontier")
+        if not frontier.limit(1).count():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def dfs_of_each(calls: DataFrame, roots: DataFrame, depth: int = 6, most: int = 1000) -> DataFrame:
+    """calls(src, dst, line), roots(id) -> root, id, depth, position, truncated: pre-order walks, children by (line, id).
+
+    There is no visited set: a repeated call is walked again. A walk is cut after ``most`` steps, and truncated
+    says so; the paths that can stand among the first ones are all a level keeps, so a walk does not grow with
+    the number of paths.
+    """
+    kids = calls.select("src", F.col("dst").alias("id"), F.concat(F.lpad(F.col("line").cast("string"), 9, "0"), F.lit(":"), "dst").alias("step")).distinct()
+    kids = durable(kids, "calls")
+    level = walk = durable(roots.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0)).withColumn("path", F.lit("")), "level")
+    by_path = W.partitionBy("root").orderBy("path")
+    for d in range(1, depth + 1):
+        step = level.select("root", F.col("id").alias("src"), "path").join(kids, "src").select("root", "id", F.lit(d).alias("depth"), F.concat("path", F.lit("\u0001"), "step").alias("path"))
+        level = durable(step.withColumn("r", F.row_number().over(by_path)).where(F.col("r") <= most).drop("r"), "level")
+        if not level.limit(1).count():
+            break
+        walk = walk.unionByName(level)
+    placed = walk.withColumn("position", (F.row_number().over(by_path) - 1).cast("bigint"))
+    cut = F.max(F.col("position") >= most).over(W.partitionBy("root"))
+    return placed.withColumn("truncated", cut).where(F.col("position") < most).select("root", "id", "depth", "position", "truncated")
+
+
 def alias_targets(alias: DataFrame) -> DataFrame:
     """alias(old, new) -> old, target: where the chain of each old ends. Pointer doubling; a cycle has no target.
 
