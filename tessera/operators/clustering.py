@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import ancestors
 
-def adjacency(members: DataFrame, group: str, member: str) -> DataFrame:
-    """a, b, w: how many groups two members share, both ways round."""
-    m = members.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
-    pairs = m.select("g", F.col("m").alias("a")).join(m.select("g", F.col("m").alias("b")), "g").where("a <> b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("w"))
+
+def adjacency(imports: DataFrame) -> DataFrame:
+    """imports(src, dst, w) -> a, b, w: the coupling of two nodes, both ways round, whoever imports whom. Linear in the edges."""
+    own = imports.where("src <> dst")
+    both = own.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w").unionByName(own.select(F.col("dst").alias("a"), F.col("src").alias("b"), "w"))
+    return both.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
 def propagate(adj: DataFrame, seeds: DataFrame, sweeps: int = 2) -> DataFrame:
@@ -25,11 +27,22 @@ def propagate(adj: DataFrame, seeds: DataFrame, sweeps: int = 2) -> DataFrame:
     return labels
 
 
-def absorb_small(members: DataFrame, least: int) -> DataFrame:
-    """members(dir, member): folders with fewer than ``least`` members fold into their parent (one level)."""
-    n = F.count("*").over(W.partitionBy("dir"))
-    parent = F.when(F.instr("dir", "/") > 0, F.regexp_replace("dir", "/[^/]*$", "")).otherwise(F.col("dir"))
-    return members.select("member", F.when(n < least, parent).otherwise(F.col("dir")).alias("dir"))
+def absorb_small(members: DataFrame, adj: DataFrame, least: int = 2) -> DataFrame:
+    """members(member, dir), adj(a, b, w) -> member, dir: folders of fewer than ``least`` members join another.
+
+    A small folder goes to the large one it is coupled to most (ties: least name), else to its nearest large
+    ancestor below the root, else it stays. Targets are chosen among the folders as they were.
+    """
+    sizes = members.groupBy("dir").agg(F.count("*").alias("n"))
+    small, large = sizes.where(F.col("n") < least).select("dir"), sizes.where(F.col("n") >= least).select("dir")
+    out = members.join(small, "dir", "left_semi").select(F.col("member").alias("a"), "dir")
+    into = members.join(large, "dir", "left_semi").select(F.col("member").alias("b"), F.col("dir").alias("target"))
+    coupled = adj.join(out, "a").join(into, "b").groupBy("dir", "target").agg(F.sum("w").alias("w"))
+    coupled = coupled.groupBy("dir").agg(F.min_by("target", F.struct(-F.col("w"), F.col("target"))).alias("by_coupling"))
+    up = small.select("dir", F.posexplode(ancestors(F.col("dir"))).alias("i", "target"))
+    above = up.join(large.withColumnRenamed("dir", "target"), "target").groupBy("dir").agg(F.min_by("target", "i").alias("by_path"))
+    moves = small.join(coupled, "dir", "left").join(above, "dir", "left").select("dir", F.coalesce("by_coupling", "by_path").alias("target"))
+    return members.join(moves, "dir", "left").select("member", F.coalesce("target", "dir").alias("dir"))
 
 
 def anchors(adj: DataFrame, groups: DataFrame) -> DataFrame:
@@ -40,44 +53,42 @@ def anchors(adj: DataFrame, groups: DataFrame) -> DataFrame:
     return inner.groupBy("ga").agg(F.min_by("a", F.struct(-F.col("w"), F.col("a"))).alias("anchor")).select(F.col("ga").alias("group"), "anchor")
 
 
-def repair_plan(claims: DataFrame, known: DataFrame) -> DataFrame:
-    """claims(feature, ordinal, handle): unknown handles drop, the first claim of a handle wins, unclaimed handles go to 'other'."""
-    first = claims.join(known, "handle", "left_semi").groupBy("handle").agg(F.min_by("feature", F.struct("ordinal", "feature")).alias("feature"))
-    rest = known.join(first, "handle", "left_anti").select("handle", F.lit("other").alias("feature"))
-    return first.select("handle", "feature").unionByName(rest)
-
+def communities(adj: DataFrame, groups: DataFrame, sweeps: int = 10, threshold: int = 12) -> DataFrame:
+    """adj(a, b, w), groups(group, member) of strings -> group, member, community for every member.
 
-def communities(adj: DataFrame, groups: DataFrame, sweeps: int = 10) -> DataFrame:
-    """Order-dependent propagation inside each group (key order, in place); kept only if every community has two members."""
+    Groups of more than ``threshold`` members are split by propagation in key order, in place. A split with a
+    community of one member, or of one community, is dropped: then all members have the least of them as their
+    community. The order makes a group one task; a folder of a repository is meant, not an unbounded key.
+    """
 
-    def run(pdf):
+    def run(members, edges):
         import pandas as pd
 
-        nodes = sorted(set(pdf["a"]) | set(pdf["b"]))
+        nodes = sorted(members["member"])
         near: dict = {n: [] for n in nodes}
-        for a, b, w in zip(pdf["a"], pdf["b"], pdf["w"], strict=True):
+        for a, b, w in zip(edges["a"], edges["b"], edges["w"], strict=True):
             near[a].append((b, w))
         label = {n: n for n in nodes}
-        for _ in range(sweeps):
-            moved = False
+        for _ in range(sweeps if len(nodes) > threshold else 0):
+            before = dict(label)
             for n in nodes:
                 votes: dict = {}
                 for b, w in near[n]:
                     votes[label[b]] = votes.get(label[b], 0) + w
-                best = min(votes, key=lambda x: (-votes[x], x)) if votes else label[n]
-                moved |= best != label[n]
-                label[n] = best
-            if not moved:
+                if votes:
+                    label[n] = min(votes, key=lambda x: (-votes[x], x))
+            if label == before:
                 break
         sizes = pd.Series(label).value_counts()
-        if (sizes < 2).any():
+        if len(sizes) < 2 or (sizes < 2).any():
             label = dict.fromkeys(nodes, nodes[0])
-        return pd.DataFrame({"group": pdf["group"].iloc[0], "member": nodes, "community": [label[n] for n in nodes]})
+        return pd.DataFrame({"group": members["group"].iloc[0], "member": nodes, "community": [label[n] for n in nodes]})
 
     from ..session import ship_package
 
     ship_package(adj.sparkSession)
     g = groups.select(F.col("member").alias("a"), F.col("group"))
     h = groups.select(F.col("member").alias("b"), F.col("group").alias("gb"))
-    inner = adj.join(g, "a").join(h, "b").where(F.col("group") == F.col("gb")).select("group", "a", "b", "w")
-    return inner.groupBy("group").applyInPandas(run, "group string, member string, community string")
+    inner = adj.join(g, "a").join(h, "b").where("`group` = gb").select(F.col("group").alias("group"), "a", "b", "w")
+    members = groups.select(F.col("group").alias("group"), "member")
+    return members.groupBy("group").cogroup(inner.groupBy("group")).applyInPandas(run, "group string, member string, community string")
