@@ -6,26 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import html, vectors
+from ..functions import html
 from ..functions import text as tx
-from ..operators import clustering as cl
 from ..operators import context, graph, retrieval, store
 from ..session import table
 from ..streaming import changes
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 _TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda t: t <> '')"
 _TERMS = "list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda t: lower(t)))"
@@ -64,7 +50,7 @@ def knn_cosine_topk(spark, d):
 
 @query(f"WITH {_KNN.format(where='WHERE label = 3')} SELECT qid, id, round(score, 6) AS score, rank FROM knn WHERE rank <= 5")
 def knn_filtered_topk(spark, d):
-    c = retrieval.metadata_filter(_corpus(spark, d), {"label": 3, "model": None}, {"label": "label", "model": "model"})
+    c = retrieval.metadata_filter(_corpus(spark, d), {"label": 3, "model": None, "unknown": 1}, {"label": "label", "model": "model"})
     return retrieval.knn(c, _vec_queries(spark, d), 5).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -74,55 +60,6 @@ def bm25_topk(spark, d):
     return retrieval.bm25(docs, _text_queries(spark, d), 10).select("qid", "id", F.round("score", 4).alias("score"))
 
 
-@query(f"""WITH {_BM25},
-v0 AS (SELECT item_id AS qid, embedding AS qvec FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 20 = 0),
-sc AS (SELECT qid, vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qvec AS DOUBLE[])), 9) AS score FROM embeddings JOIN documents ON doc_id = vec_id, v0),
-vec AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc),
-lexd AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM lex WHERE id IN (SELECT vec_id FROM embeddings)),
-f AS (SELECT coalesce(v.qid, x.qid) AS qid, coalesce(v.id, x.id) AS id, v.rank AS vec_rank, x.rank AS lex_rank, round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + x.rank), 0), 9) AS rrf
-  FROM (SELECT * FROM vec WHERE rank <= 20) v FULL JOIN (SELECT * FROM lexd WHERE rank <= 20) x ON v.qid = x.qid AND v.id = x.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS rank FROM f)
-SELECT qid, id, rank, vec_rank, lex_rank, round(score, 6) AS score FROM r JOIN sc USING (qid, id) WHERE rank <= 5""".replace("SELECT doc_id AS id, " + _TOK + " AS t FROM documents", "SELECT doc_id AS id, " + _TOK + " AS t FROM documents JOIN embeddings ON doc_id = vec_id"))
-def hybrid_rrf_topk(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    corpus = docs.join(_corpus(spark, d), "id")
-    q = _text_queries(spark, d).join(_corpus(spark, d).select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid")
-    return retrieval.hybrid(corpus, q, 5)
-
-
-@query(f"""WITH {_KNN.format(where='')}, r AS (SELECT * FROM knn WHERE rank <= 5), t AS (SELECT qid, score AS top FROM r WHERE rank = 1)
-SELECT qid, top < 0.15 AS insufficient, count(*) FILTER (top - score <= 0.05) >= 2 AS ambiguous FROM r JOIN t USING (qid) GROUP BY qid, top""")
-def evidence_flags(spark, d):
-    return retrieval.evidence_flags(retrieval.knn(_corpus(spark, d), _vec_queries(spark, d), 5))
-
-
-@query(f"""WITH {_KNN.format(where='')}, r AS (SELECT * FROM knn WHERE rank <= 5)
-SELECT qid, id, rank, row_number() OVER (PARTITION BY qid ORDER BY (id % 3 = 0) DESC, rank) AS new_rank FROM r""")
-def graph_rerank(spark, d):
-    r = retrieval.knn(_corpus(spark, d), _vec_queries(spark, d), 5)
-    return retrieval.rerank_adjacent(r, r.where("id % 3 = 0")).select("qid", "id", "rank", "new_rank")
-
-
-@query("""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+'), lambda x: lower(x)) AS ts FROM documents),
-e AS (SELECT doc_id, CAST(('0x' || substr(sha1(t), 1, 8)) AS BIGINT) % 128 AS b, 12 + least(length(t), 12) AS w FROM (SELECT doc_id, unnest(ts) AS t FROM t)
-  UNION ALL SELECT doc_id, CAST(('0x' || substr(sha1(ts[i] || ' ' || ts[i + 1]), 1, 8)) AS BIGINT) % 128, 3 FROM (SELECT doc_id, ts, unnest(range(1, len(ts))) AS i FROM t))
-SELECT doc_id, CAST(b AS INTEGER) AS bucket, CAST(sum(w) AS BIGINT) AS weight FROM e GROUP BY doc_id, b""")
-def hash_embedding(spark, d):
-    t = table(spark, d, "documents").select("doc_id", tx.embed_tokens(F.col("text")).alias("ts"))
-    one = t.select("doc_id", F.explode("ts").alias("t")).select("doc_id", "t", vectors.token_weight(F.col("t")).alias("w"))
-    two = t.where("size(ts) > 1").select("doc_id", F.explode(F.zip_with(F.slice("ts", F.lit(1), F.size("ts") - 1), F.slice("ts", F.lit(2), F.size("ts") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).alias("t")).withColumn("w", F.lit(3))
-    return one.unionByName(two).groupBy("doc_id", vectors.bucket(F.col("t")).alias("bucket")).agg(F.sum("w").alias("weight"))
-
-
-@query("""SELECT p_partkey AS id, p_name AS name, CASE WHEN lower(p_name) = 'part' THEN 100 WHEN starts_with(lower(p_name), 'part') THEN 80 WHEN contains(lower(p_name), 'part') THEN 60 ELSE 20 END AS score
-FROM part WHERE contains(lower(p_name), 'part') OR contains(lower(p_brand), 'part') ORDER BY score DESC, name, id LIMIT 20""")
-def symbol_search_rank(spark, d):
-    n = F.lower("p_name")
-    score = F.when(n == "part", 100).when(n.startswith("part"), 80).when(n.contains("part"), 60).otherwise(20)
-    p = table(spark, d, "part").where(n.contains("part") | F.lower("p_brand").contains("part"))
-    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), score.alias("score")).orderBy(F.desc("score"), "name", "id").limit(20)
-
-
 @query("""SELECT doc_id, 'chunk_' || substr(sha1(source || '|' || lang || '|' || regexp_replace(regexp_replace(text, '[ \\t\\r\\x0B\\f]+(\\n|$)', '\\1', 'g'), '^\\s+|\\s+$', '', 'g')), 1, 16) AS chunk_id, sha256(text) AS content_hash FROM documents""")
 def chunk_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.chunk_id(F.col("source"), F.col("lang"), F.col("text")).alias("chunk_id"), F.sha2("text", 256).alias("content_hash"))
@@ -136,22 +73,12 @@ def duplicate_content_reuse(spark, d):
     return h.join(k, "h").select("doc_id", "reuse_of", (F.col("doc_id") != F.col("reuse_of")).alias("reused"))
 
 
-@query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS query FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user') WHERE r <= 3 GROUP BY conv_id""")
-def recent_context_window(spark, d):
-    return context.enriched_query(table(spark, d, "conversations"), 3)
-
-
 @query("""SELECT conv_id, turn, cost, CAST(total AS BIGINT) AS total FROM (SELECT conv_id, turn, cost, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS total
 FROM (SELECT conv_id, turn, CASE WHEN length(text) = 0 THEN 0 ELSE length(text) // 3 + 1 END AS cost FROM conversations)) WHERE total <= 300""")
 def history_budget(spark, d):
     return context.history_budget(table(spark, d, "conversations"), 300)
 
 
-@query()
-def context_budget_full(spark, d):
-    return context.context_budget(table(spark, d, "conversations"), 300)
-
-
 @query("SELECT conv_id, max(turn) AS last, count(*) AS n FROM conversations GROUP BY conv_id ORDER BY last DESC, conv_id LIMIT 64")
 def session_recency(spark, d):
     return context.session_recency(table(spark, d, "conversations"), "turn")
@@ -179,10 +106,6 @@ def edges(spark, d) -> DataFrame:
     return out
 
 
-def _ids(spark, *names):
-    return spark.createDataFrame([(n,) for n in names], "id string")
-
-
 @query(f"WITH {_EDGES} SELECT type, count(*) AS n, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst FROM e GROUP BY type")
 def typed_edges(spark, d):
     return edges(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("src").alias("n_src"), F.count_distinct("dst").alias("n_dst"))
@@ -194,51 +117,14 @@ def edge_dedupe_first(spark, d):
     return graph.dedupe_edges(e, "k")
 
 
-@query(f"WITH {_EDGES} SELECT DISTINCT src AS id, dst AS other, type FROM e WHERE src IN ('p1', 'p2', 'c1')")
-def dependencies_1hop(spark, d):
-    return graph.dependencies(edges(spark, d), _ids(spark, "p1", "p2", "c1"))
-
-
-@query(f"WITH {_EDGES} SELECT DISTINCT dst AS id, src AS other, type FROM e WHERE dst IN ('s1', 'n3') AND type = 'located_in'")
-def dependents_1hop(spark, d):
-    return graph.dependents(edges(spark, d), _ids(spark, "s1", "n3"), "located_in")
-
-
-@query(f"WITH {_EDGES} SELECT src AS id, dst AS other FROM e WHERE src IN ('p1', 's1') UNION SELECT dst, src FROM e WHERE dst IN ('p1', 's1')")
-def both_directions(spark, d):
-    return graph.neighbours(edges(spark, d), _ids(spark, "p1", "s1"))
-
-
-@query(f"WITH {_EDGES}, n AS (SELECT src AS id FROM e WHERE dst = 's1' UNION SELECT dst FROM e WHERE src = 's1' UNION SELECT 's1') SELECT DISTINCT src, dst, type FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
-def ego_network(spark, d):
-    return graph.ego_network(edges(spark, d), "s1")
-
-
 @query(f"WITH {_EDGES}, b AS (SELECT src AS id, dst AS o FROM e UNION SELECT dst, src FROM e) SELECT id, count(*) AS degree FROM b GROUP BY id ORDER BY degree DESC, id LIMIT 40")
 def degree_topn(spark, d):
     return graph.degree(edges(spark, d)).orderBy(F.desc("degree"), "id").limit(40)
 
 
-@query(f"WITH RECURSIVE {_EDGES}, b AS (SELECT DISTINCT src, dst FROM e), w AS (SELECT 'c1' AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN b ON src = id WHERE depth < 6) SELECT id, min(depth) AS depth FROM w GROUP BY id")
-def bfs_depth(spark, d):
-    return graph.bfs(edges(spark, d), _ids(spark, "c1"), 6)
-
-
 _CALLS = "c AS (SELECT DISTINCT 'n' || n_nationkey AS callee, 'r' || n_regionkey AS caller, n_nationkey AS line FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, CAST(s_suppkey AS INTEGER) FROM supplier)"
 
 
-@query(f"WITH RECURSIVE {_CALLS}, w AS (SELECT 'r1' AS id, 0 AS depth, 'r1' AS path UNION ALL SELECT callee, depth + 1, path || '/' || lpad(CAST(line AS VARCHAR), 6, '0') || ':' || callee FROM w JOIN c ON caller = id WHERE depth < 6) SELECT id, depth, row_number() OVER (ORDER BY path) - 1 AS position FROM w")
-def dfs_sequence(spark, d):
-    calls = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("callee"), F.concat(F.lit("r"), "n_regionkey").alias("caller"), F.col("n_nationkey").alias("line")).unionByName(
-        table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("callee"), F.concat(F.lit("n"), "s_nationkey").alias("caller"), F.col("s_suppkey").cast("int").alias("line")))
-    level = walk = _ids(spark, "r1").select("id", F.lit(0).alias("depth"), F.col("id").alias("path"))
-    for _ in range(6):
-        step = F.concat("path", F.lit("/"), F.lpad(F.col("line").cast("string"), 6, "0"), F.lit(":"), "callee")
-        level = level.join(calls, F.col("caller") == F.col("id")).select(F.col("callee").alias("id"), (F.col("depth") + 1).alias("depth"), step.alias("path"))
-        walk = walk.unionByName(level)
-    return walk.select("id", "depth", (F.row_number().over(W.orderBy("path")) - 1).cast("bigint").alias("position"))
-
-
 # The graph searches over all nodes, or from every node whose key is divisible by 20, each root by itself.
 _ROOTS = "v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), roots AS (SELECT id FROM v WHERE CAST(substr(id, 2) AS BIGINT) % 20 = 0)"
 
@@ -252,25 +138,25 @@ def _roots(e: DataFrame) -> DataFrame:
 
 
 @query(f"WITH {_EDGES} SELECT DISTINCT src AS id, dst AS other, type FROM e")
-def dependencies_1hop_all(spark, d):
+def dependencies_1hop(spark, d):
     e = edges(spark, d)
     return graph.dependencies(e, _nodes(e))
 
 
 @query(f"WITH {_EDGES} SELECT DISTINCT dst AS id, src AS other, type FROM e WHERE type = 'located_in'")
-def dependents_1hop_all(spark, d):
+def dependents_1hop(spark, d):
     e = edges(spark, d)
     return graph.dependents(e, _nodes(e), "located_in")
 
 
 @query(f"WITH {_EDGES} SELECT src AS id, dst AS other FROM e UNION SELECT dst, src FROM e")
-def both_directions_all(spark, d):
+def both_directions(spark, d):
     e = edges(spark, d)
     return graph.neighbours(e, _nodes(e))
 
 
 @query(f"WITH {_EDGES}, {_ROOTS}, b AS (SELECT src AS id, dst AS o FROM e UNION SELECT dst, src FROM e), n AS (SELECT roots.id AS root, o AS id FROM roots JOIN b ON b.id = roots.id UNION SELECT id, id FROM roots) SELECT DISTINCT x.root, src, dst, type FROM e JOIN n x ON x.id = src JOIN n y ON y.id = dst AND y.root = x.root")
-def ego_network_roots(spark, d):
+def ego_network(spark, d):
     e = edges(spark, d)
     return graph.ego_networks(e, _roots(e))
 
@@ -281,17 +167,21 @@ def bfs_depth_roots(spark, d):
     return graph.bfs_of_each(e, _roots(e), 6)
 
 
-@query(f"WITH RECURSIVE {_CALLS}, e AS (SELECT caller AS src, callee AS dst FROM c), {_ROOTS}, w AS (SELECT id AS root, id, 0 AS depth, id AS path FROM roots UNION ALL SELECT root, callee, depth + 1, path || '/' || lpad(CAST(line AS VARCHAR), 6, '0') || ':' || callee FROM w JOIN c ON caller = id WHERE depth < 6) SELECT root, id, depth, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS position FROM w")
-def dfs_sequence_roots(spark, d):
-    calls = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("callee"), F.concat(F.lit("r"), "n_regionkey").alias("caller"), F.col("n_nationkey").alias("line")).distinct().unionByName(
-        table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("callee"), F.concat(F.lit("n"), "s_nationkey").alias("caller"), F.col("s_suppkey").cast("int").alias("line")))
-    roots = _roots(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")))
-    level = walk = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.col("id").alias("path"))
-    for _ in range(6):
-        step = F.concat("path", F.lit("/"), F.lpad(F.col("line").cast("string"), 6, "0"), F.lit(":"), "callee")
-        level = level.join(calls, F.col("caller") == F.col("id")).select("root", F.col("callee").alias("id"), (F.col("depth") + 1).alias("depth"), step.alias("path"))
-        walk = walk.unionByName(level)
-    return walk.select("root", "id", "depth", (F.row_number().over(W.partitionBy("root").orderBy("path")) - 1).cast("bigint").alias("position"))
+@query(f"WITH RECURSIVE {_EDGES}, {_ROOTS}, b AS (SELECT DISTINCT src, dst FROM e), w AS (SELECT id, 0 AS depth FROM roots UNION SELECT dst, depth + 1 FROM w JOIN b ON src = id WHERE depth < 6) SELECT id, min(depth) AS depth FROM w GROUP BY id")
+def bfs_depth(spark, d):
+    """Least number of steps from any of the roots."""
+    e = edges(spark, d)
+    return graph.bfs(e, _roots(e), 6)
+
+
+@query(f"""WITH RECURSIVE {_CALLS}, e AS (SELECT caller AS src, callee AS dst FROM c), {_ROOTS}, w AS (SELECT id AS root, id, 0 AS depth, '' AS path FROM roots
+UNION ALL SELECT root, callee, depth + 1, path || chr(1) || lpad(CAST(line AS VARCHAR), 9, '0') || ':' || callee FROM w JOIN c ON caller = id WHERE depth < 6),
+p AS (SELECT root, id, depth, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS position, count(*) OVER (PARTITION BY root) > 1000 AS truncated FROM w) SELECT * FROM p WHERE position < 1000""")
+def dfs_sequence(spark, d):
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    calls = n.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"), F.col("n_nationkey").alias("line")).unionByName(
+        s.select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("s"), "s_suppkey").alias("dst"), F.col("s_suppkey").cast("int").alias("line")))
+    return graph.dfs_of_each(calls, _roots(calls))
 
 
 @query("""WITH RECURSIVE a AS (SELECT o_orderkey AS old, o_orderkey // 2 AS new FROM orders WHERE o_orderkey % 3 <> 0),
@@ -301,11 +191,6 @@ def alias_chain(spark, d):
     return graph.alias_targets(a)
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def entry_points_anti(spark, d):
-    return graph.entry_points(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), table(spark, d, "orders").select(F.col("o_custkey").alias("dst")))
-
-
 _PATHS = "p AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS path FROM pages), s AS (SELECT path, array_to_string(list_slice(string_split(path, '/'), i, len(string_split(path, '/'))), '/') AS name FROM (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM p))"
 
 
@@ -319,22 +204,6 @@ def suffix_resolution(spark, d):
     return graph.resolve_unique_suffix(p, p.select(F.element_at(F.split("path", "/"), -1).alias("name")))
 
 
-@query(f"WITH {_PATHS}, u AS (SELECT name, count(*) AS n FROM s GROUP BY name) SELECT path, arg_min(name, length(name)) AS label FROM s JOIN u USING (name) WHERE n = 1 GROUP BY path")
-def labels_disambiguated(spark, d):
-    tails = _paths(spark, d).select("path", F.explode(tx.suffixes(F.col("path"))).alias("name"))
-    n = tails.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1")
-    return n.groupBy("path").agg(F.min_by("name", F.length("name")).alias("label"))
-
-
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate AS a, o_orderdate + INTERVAL 60 DAY AS z FROM orders WHERE o_orderkey % 5 = 0), i AS (SELECT o_custkey, o_orderkey AS k, o_orderdate AS t FROM orders WHERE o_orderkey % 5 <> 0)
-SELECT k, arg_min(o_orderkey, (z - a, -o_orderkey)) AS enclosing FROM i JOIN o ON i.o_custkey = o.o_custkey AND t >= a AND t < z GROUP BY k""".replace("(z - a, -o_orderkey)", "-o_orderkey"))
-def range_containment(spark, d):
-    o = table(spark, d, "orders")
-    spans = o.where("o_orderkey % 5 = 0").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("a"), F.expr("o_orderdate + interval 60 days").alias("z"))
-    points = o.where("o_orderkey % 5 <> 0").select("o_custkey", F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("t"))
-    return points.join(spans, "o_custkey").where("t >= a and t < z").groupBy("k").agg(F.max("o_orderkey").alias("enclosing"))
-
-
 @query("""WITH b AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 1), a AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 2)
 SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.h IS NULL THEN 'CREATED' WHEN a.h IS NULL THEN 'DELETED' ELSE 'MODIFIED' END AS change FROM b FULL JOIN a ON a.doc_id = b.doc_id WHERE a.h IS DISTINCT FROM b.h""")
 def catchup_diff(spark, d):
@@ -393,109 +262,17 @@ def _events(spark, d):
     return table(spark, d, "events")
 
 
-@query("""WITH e AS (SELECT ts, event_id, user_id AS path, CASE event_type WHEN 'signup' THEN 'C' WHEN 'error' THEN 'D' ELSE 'M' END AS c FROM events),
-g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts, event_id) < 300000000 THEN 0 ELSE 1 END AS new FROM e),
-s AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id) AS b FROM g), st AS (SELECT b, min(ts) AS batch_start FROM s GROUP BY b),
-f AS (SELECT b, path, list_reduce(list_prepend('N', list(c ORDER BY ts, event_id)), lambda s, x: CASE WHEN s = 'N' THEN x WHEN s = 'C' AND x = 'D' THEN 'N' WHEN s = 'C' AND x = 'M' THEN 'C' WHEN s = 'D' AND x <> 'D' THEN 'M' ELSE x END) AS change FROM s GROUP BY b, path)
-SELECT batch_start, path, change FROM f JOIN st USING (b) WHERE change <> 'N'""")
-def debounce_merge(spark, d):
-    e = _events(spark, d).select("ts", "event_id", F.col("user_id").alias("path"), changes.change_letter(F.col("event_type")).alias("change"))
-    return changes.debounce(e, 300)
-
-
-@query("""SELECT user_id, count(*) AS n_events, arg_max(event_type, (ts, event_id)) AS last_kind, arg_min(event_type, (ts, event_id)) FILTER (event_type IN ('error', 'purchase')) AS outcome FROM events GROUP BY user_id""".replace("(ts, event_id)", "CAST(epoch_us(ts) AS HUGEINT) * 1000000 + event_id"))
-def run_state_fold(spark, d):
-    return changes.run_state(_events(spark, d))
-
-
 @query("SELECT event_id, coalesce(CASE WHEN value > 50 THEN event_type END, 'interrupted') AS outcome FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def run_log_prune(spark, d):
     e = _events(spark, d).select("event_id", "ts", F.coalesce(F.when(F.col("value") > 50, F.col("event_type")), F.lit("interrupted")).alias("outcome"))
     return store.keep_newest(e, [F.desc("ts"), F.desc("event_id")]).select("event_id", "outcome")
 
 
-@query("SELECT event_id, user_id, CAST(floor(epoch_us(lead(ts) OVER w / 1)) AS BIGINT) AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)".replace("CAST(floor(epoch_us(lead(ts) OVER w / 1)) AS BIGINT) AS x", "CAST(floor(epoch_us(lead(ts) OVER w) / 1000000) - floor(epoch_us(ts) / 1000000) AS BIGINT) AS seconds"))
-def stage_durations(spark, d):
-    return store.stage_durations(_events(spark, d), "user_id", "ts").select("event_id", "user_id", "seconds")
-
-
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)")
 def props_json_parse(spark, d):
     return _events(spark, d).select("event_id", F.from_json("props", "k long", {"mode": "PERMISSIVE"}).alias("p")).where("p is not null").select("event_id", "p.k")
 
 
-_ADJ = "m AS (SELECT DISTINCT l_partkey AS g, l_suppkey AS m FROM lineitem), adj AS (SELECT x.m AS a, y.m AS b, count(*) AS w FROM m x JOIN m y ON x.g = y.g AND x.m <> y.m GROUP BY x.m, y.m)"
-
-
-def _adj(spark, d):
-    return cl.adjacency(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
-
-
-@query(f"WITH {_ADJ} SELECT a, b, w FROM adj")
-def adjacency_weights(spark, d):
-    return _adj(spark, d)
-
-
-@query(f"""WITH {_ADJ}, l0 AS (SELECT s_suppkey AS node, s_nationkey AS label FROM supplier WHERE s_suppkey % 10 = 0),
-v1 AS (SELECT a, label, sum(w) AS w FROM adj JOIN l0 ON b = node GROUP BY a, label), w1 AS (SELECT a AS node, label FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, label) AS r FROM v1) WHERE r = 1),
-l1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM w1 WHERE node NOT IN (SELECT node FROM l0)),
-v2 AS (SELECT a, label, sum(w) AS w FROM adj JOIN l1 ON b = node GROUP BY a, label), w2 AS (SELECT a AS node, label FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, label) AS r FROM v2) WHERE r = 1)
-SELECT * FROM l0 UNION ALL SELECT * FROM w2 WHERE node NOT IN (SELECT node FROM l0)""")
-def label_propagation_2(spark, d):
-    return cl.propagate(_adj(spark, d), table(spark, d, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("label")))
-
-
-@query("""WITH m AS (SELECT c_custkey AS member, r_name || '/' || n_name || '/' || c_mktsegment AS dir FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-SELECT member, CASE WHEN count(*) OVER (PARTITION BY dir) < 12 THEN regexp_replace(dir, '/[^/]*$', '') ELSE dir END AS dir FROM m""")
-def directory_absorb(spark, d):
-    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return cl.absorb_small(c.select(F.col("c_custkey").alias("member"), F.concat_ws("/", "r_name", "n_name", "c_mktsegment").alias("dir")), 12)
-
-
-@query(f"""WITH {_ADJ}, g AS (SELECT s_suppkey AS member, s_nationkey AS grp FROM supplier), i AS (SELECT x.grp, a, sum(w) AS w FROM adj JOIN g x ON a = x.member JOIN g y ON b = y.member WHERE x.grp = y.grp GROUP BY x.grp, a)
-SELECT grp AS "group", a AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY w DESC, a) AS r FROM i) WHERE r = 1""")
-def group_anchor(spark, d):
-    return cl.anchors(_adj(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("member"), F.col("s_nationkey").alias("group")))
-
-
-@query()
-def group_communities(spark, d):
-    adj = _adj(spark, d).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "w")
-    return cl.communities(adj, table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("member"), F.col("s_nationkey").cast("string").alias("group")))
-
-
-@query("""WITH c AS (SELECT source AS feature, doc_id AS ordinal, doc_id - doc_id % 3 AS handle FROM documents), k AS (SELECT doc_id AS handle FROM documents),
-f AS (SELECT handle, feature FROM (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY ordinal, feature) AS r FROM c WHERE handle IN (SELECT handle FROM k)) WHERE r = 1)
-SELECT * FROM f UNION ALL SELECT handle, 'other' FROM k WHERE handle NOT IN (SELECT handle FROM f)""")
-def plan_repair(spark, d):
-    docs = table(spark, d, "documents")
-    claims = docs.select(F.col("source").alias("feature"), F.col("doc_id").alias("ordinal"), (F.col("doc_id") - F.col("doc_id") % 3).alias("handle"))
-    return cl.repair_plan(claims, docs.select(F.col("doc_id").alias("handle")))
-
-
-@query("""SELECT p_partkey, slug, slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS anchor FROM (SELECT p_partkey, slug, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS n FROM
-(SELECT p_partkey, coalesce(nullif(lower(regexp_replace(regexp_replace(p_type, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), ''), 'page') AS slug FROM part))""")
-def slug_anchor(spark, d):
-    p = table(spark, d, "part").select("p_partkey", tx.slugify(F.col("p_type")).alias("slug"))
-    n = F.row_number().over(W.partitionBy("slug").orderBy("p_partkey"))
-    return p.withColumn("n", n).select("p_partkey", "slug", F.concat("slug", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n"))).otherwise("")).alias("anchor"))
-
-
-@query("SELECT doc_id, contains(substr(text, 1, 4096), chr(0)) AS is_binary, CASE WHEN lower(source || '.' || lang) LIKE '%.md' THEN 'markdown' END AS language FROM documents")
-def lang_detect(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.looks_binary(F.col("text")).alias("is_binary"), tx.language_of(F.concat_ws(".", "source", "lang")).alias("language"))
-
-
-@query()
-def markdown_plain(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(tx.markdown_plain(F.col("text")), 256).alias("plain"), tx.sentence_count(F.col("text")).alias("sentences"), tx.excerpt(F.col("text"), 120).alias("excerpt"))
-
-
-@query()
-def html_sanitize(spark, d):
-    return table(spark, d, "pages").select("page_id", html.sanitized("html").alias("html"))
-
-
 @query("SELECT r_name, n_name, count(*) AS n, round(sum(c_acctbal), 2) AS bal, CAST(grouping(r_name) AS TINYINT) AS g FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY CUBE (r_name, n_name)")
 def cube_rollup(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -526,11 +303,6 @@ def window_frames(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("last3"), F.lag("o_orderkey").over(w).alias("before"), F.ntile(4).over(w).cast("bigint").alias("quarter"))
 
 
-@query("SELECT o_custkey, arg_max(o_orderkey, epoch_us(o_orderdate) * 10000000 + o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey".replace("epoch_us(o_orderdate) * 10000000 + o_orderkey", "epoch(o_orderdate) * 10000000 + o_orderkey"))
-def asof_latest(spark, d):
-    return store.latest_by_key(table(spark, d, "orders"), "o_custkey", "o_orderkey", ["o_orderdate", "o_orderkey"])
-
-
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")
 def pricing_summary(spark, d):
     li = table(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'")
@@ -540,3 +312,7 @@ def pricing_summary(spark, d):
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
     return _events(spark, d).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
+
+
+# The other queries register themselves.
+from . import code_queries, feature_queries, retrieval_queries, store_queries, stream_queries, text_queries  # noqa: E402, F401
