@@ -25,7 +25,7 @@ def html_sanitize(spark, d):
 
 
 @query(r"""WITH w AS (SELECT doc_id, regexp_replace(trim(text), '\s+', ' ', 'g') AS t FROM documents)
-SELECT doc_id, CAST(len(regexp_extract_all(t, '[.!?]( |$)')) AS INTEGER) AS sentences, substr(CASE WHEN contains(t, '. ') THEN split_part(t, '. ', 1) || '.' ELSE t END, 1, 120) AS first FROM w""")
+SELECT doc_id, CAST(1 + len(regexp_extract_all(t, '[.!?] [A-Z`\[]')) AS INTEGER) AS sentences, substr(CASE WHEN contains(t, '. ') THEN split_part(t, '. ', 1) || '.' ELSE t END, 1, 120) AS first FROM w""")
 def sentence_rules(spark, d):
     t = F.regexp_replace(F.trim("text"), r"\s+", " ")
     return table(spark, d, "documents").select("doc_id", tx.sentence_count(t).alias("sentences"), tx.planner_sentence(t).alias("first"))

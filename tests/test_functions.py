@@ -1,5 +1,5 @@
 from tessera.functions.html import sanitize
-from tessera.sources import files
+from tessera.sources import extract, files
 
 
 def test_ignore_rules():
@@ -17,11 +17,11 @@ def test_binary():
 
 
 def test_symbols():
-    py = files.python_symbols("import a\nclass B:\n    def c(self):\n        d()\nif 1:\n    def e(): pass\n")
-    assert ("class", "B", 2, 4) in py and ("function", "B.c", 3, 4) in py and ("function", "e", 6, 6) in py and ("call", "B.c->d", 4, 4) in py
-    assert ("class", "A", 1, 3) in files.brace_symbols("class A {\n  int x;\n}\n")
-    md = files.markdown_sections("# t\n## a\nx\n```\n## no\n```\n### b\ny\n## c\n")
-    assert md == [("class", "a", 2, 8), ("function", "b", 7, 8), ("class", "c", 9, 10)]
+    py = extract.python_symbols("import a\nclass B:\n    def c(self):\n        d()\ndef e(): pass\n")
+    assert ("class", "B", 2, 4) in py and ("function", "B.c", 3, 4) in py and ("function", "e", 5, 5) in py and ("call", "d", 4, 4) in py
+    assert ("class", "A", 1, 3) in extract.brace_symbols("class A {\n  int x;\n}\n")
+    md = extract.markdown_sections("# t\n## a\nx\n```\n## no\n```\n### b\ny\n## c\n")
+    assert md == [("class", "a", 2, 8), ("function", "b", 7, 8), ("class", "c", 9, 9)]
 
 
 def test_scan_and_extract(spark, tmp_path):
@@ -35,7 +35,7 @@ def test_scan_and_extract(spark, tmp_path):
     got = {r["relative_path"]: r["language"] for r in files.scan_repository(spark, str(tmp_path)).collect()}
     assert got == {"a.py": "Python", "bad.py": "Python", "run": "Python"}
     df = spark.createDataFrame([("a.py", "Python", "def f(): pass\n"), ("bad.py", "Python", "def ("), ("k.kt", "Kotlin", None)], "path string, language string, text string")
-    assert {(r["path"], r["kind"], r["status"]) for r in files.extract_symbols(df).collect()} == {("a.py", "module", "success"), ("a.py", "function", "success"), ("bad.py", "module", "failure"), ("k.kt", "module", "success")}
+    assert {(r["path"], r["record"], r["status"]) for r in extract.extract(df).collect()} == {("a.py", "module", "success"), ("a.py", "function", "success"), ("bad.py", "module", "failure"), ("k.kt", "module", "success")}
 
 
 def test_sanitize():
