@@ -76,18 +76,23 @@ def tokens_of(text: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """docs(id, text), queries(qid, text) -> qid, id, score, rank.
 
-    Texts are tokenised once, into a table of lengths and of the tokens that some query asks for; statistics
-    cover all documents, and those without a query term count in them.
+    A query term is a run of ASCII letters, digits and underscores; where it holds several words, they must follow
+    one another in the document. Texts are tokenised once, into a table of lengths and of the places of words that
+    some query asks for; statistics cover all documents, and those without a query term count in them.
     """
     terms = queries.select("qid", F.explode(tx.lexical_terms(F.col("text"))).alias("term"))
-    wanted = [r["term"] for r in terms.select("term").distinct().limit(MAX_BROADCAST_QUERIES + 1).collect()]
-    asked = (lambda t: t.isin(wanted)) if len(wanted) <= MAX_BROADCAST_QUERIES else (lambda t: F.lit(True))
-    all_tokens = tokens_of(F.col("text"))
-    base = durable(docs.select("id", all_tokens.alias("t")).select("id", F.size("t").alias("dl"), F.filter("t", asked).alias("t")), "tokens")
+    phrases = terms.select("term").distinct().withColumn("words", tokens_of(F.col("term"))).where("size(words) > 0").withColumn("n", F.size("words"))
+    phrases = durable(phrases, "phrases")
+    parts = phrases.select("term", "n", F.posexplode("words").alias("off", "word"))
+    wanted = [r["word"] for r in parts.select("word").distinct().limit(MAX_BROADCAST_QUERIES + 1).collect()]
+    asked = (lambda t: t["word"].isin(wanted)) if len(wanted) <= MAX_BROADCAST_QUERIES else (lambda t: F.lit(True))
+    placed = F.transform(F.col("t"), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    base = durable(docs.select("id", tokens_of(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), F.filter(placed, asked).alias("t")), "tokens")
     n, avg_dl = base.agg(F.count("*"), F.avg("dl")).first()
-    post = base.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    if len(wanted) > MAX_BROADCAST_QUERIES:
-        post = post.join(terms.select("term").distinct(), "term", "left_semi")
+    met = base.select("id", "dl", F.explode("t").alias("x")).select("id", "dl", "x.word", "x.pos").join(_broadcast_if_small(parts), "word")
+    single = met.where("n = 1").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    whole = met.where("n > 1").groupBy("term", "id", "dl", "n", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("held")).where("held = n")
+    post = single.unionByName(whole.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))) if phrases.where("n > 1").limit(1).count() else single
     post = durable(post, "postings")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))

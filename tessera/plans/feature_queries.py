@@ -279,3 +279,22 @@ _VERDICTS = ["kept", "G1", "G2", "G3", "G4", "G7", "kept", "kept", "kept", "G9",
 def grounding_rules(spark, d):
     p = spark.createDataFrame(_PARAGRAPHS, "doc int, section string, idx int, text string")
     return ft.ground_paragraphs(p, spark.createDataFrame([("api",), ("db",)], "name string"), spark.createDataFrame([("f1",)], "handle string"))
+
+
+@query(f"WITH {_BASE}, t AS (SELECT 's' || s_suppkey AS a, ['n' || s_nationkey, 'r' || s_suppkey % 3] AS xs FROM supplier), u AS (SELECT ['n3', 'r1'] AS ys) SELECT a, NOT list_has_any(xs, ys) AS disjoint, list_has_all(xs, ys) AS covers FROM t, u")
+def disjoint_sets(spark, d):
+    xs = F.array(F.concat(F.lit("n"), "s_nationkey"), F.concat(F.lit("r"), F.col("s_suppkey") % 3))
+    ys = F.array(F.lit("n3"), F.lit("r1"))
+    return table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("a"), (~F.arrays_overlap(xs, ys)).alias("disjoint"), (F.size(F.array_intersect(xs, ys)) == F.size(ys)).alias("covers"))
+
+
+@query(f"""WITH RECURSIVE {_BASE}, w AS (SELECT key AS root, key AS id, 0 AS depth FROM mods WHERE k % 20 = 0 UNION SELECT root, dst, depth + 1 FROM w JOIN imp ON src = id WHERE depth < 2)
+SELECT w.root, dir AS module, min(depth) AS depth FROM w JOIN mods ON key = id GROUP BY w.root, dir""")
+def first_depth_per_module(spark, d):
+    """The depth at which a walk from each root first meets a folder."""
+    from ..operators import graph
+
+    m = modules(spark, d)
+    roots = m.where(F.substring("key", 2, 20).cast("long") % 20 == 0).select(F.col("key").alias("id"))
+    walk = graph.bfs_of_each(imports(spark, d), roots, 2)
+    return walk.join(m.select(F.col("key").alias("id"), F.col("dir").alias("module")), "id").groupBy("root", "module").agg(F.min("depth").alias("depth"))

@@ -201,9 +201,19 @@ def embedding_cache(spark, d):
     return out.select("doc_id", F.get("embedding", F.lit(0)).cast("long").alias("vector"), "hit")
 
 
-@query("SELECT label AS dimensionality, count(*) AS n FROM embeddings GROUP BY label")
+@query("SELECT 16 + label AS dimensionality, count(*) AS n FROM embeddings GROUP BY label")
 def rows_per_dimensionality(spark, d):
-    return table(spark, d, "embeddings").groupBy(F.col("label").alias("dimensionality")).agg(F.count("*").alias("n"))
+    """Vectors cut to lengths by their label."""
+    v = table(spark, d, "embeddings").select(F.slice("embedding", F.lit(1), 16 + F.col("label")).alias("vec"))
+    return v.groupBy(F.size("vec").alias("dimensionality")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH v AS (SELECT vec_id, label, list_slice(embedding, 1, 60 + label % 2) AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, c.vec_id AS id, round(list_cosine_similarity(CAST(c.v AS DOUBLE[]), CAST(q.v AS DOUBLE[])), 9) AS score FROM v c JOIN v q ON len(c.v) = len(q.v) WHERE q.vec_id % 20 = 0)
+SELECT qid, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 3""")
+def knn_mixed_lengths(spark, d):
+    """Vectors of two lengths; a question sees those of its own."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", F.lit(1), 60 + F.col("label") % 2).alias("vec"))
+    return retrieval.knn(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), 3).select("qid", "id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS position FROM conversations")

@@ -118,3 +118,18 @@ def slug_anchor(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("page"), tx.slugify(F.col("p_name")).alias("base"))
     lists = p.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("k", "base"))).alias("xs"))
     return lists.select(F.explode(tx.unique_anchors(F.col("xs"))).alias("x")).select("x.k", "x.anchor")
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'x No Index Found y' WHEN 'click' THEN 'The model for the ''summary'' stage is not available' WHEN 'purchase' THEN 'Could not start the server' WHEN 'error' THEN 'the model for the chat is gone' ELSE 'Address may already be in use' END AS o FROM events)
+SELECT event_id, CASE WHEN contains(lower(o), 'no index found') THEN 'index_missing' WHEN contains(lower(o), 'the model for the') AND contains(lower(o), 'stage is not available') THEN 'provider_unavailable' WHEN contains(lower(o), 'address may already be in use') OR contains(lower(o), 'could not start the server') THEN 'bind_failed' ELSE 'failed' END AS kind,
+CASE WHEN contains(o, '''summary''') THEN 'summary' END AS stage FROM e""")
+def failure_kinds(spark, d):
+    kind = F.col("event_type")
+    o = F.when(kind == "view", "x No Index Found y").when(kind == "click", "The model for the 'summary' stage is not available").when(kind == "purchase", "Could not start the server").when(kind == "error", "the model for the chat is gone").otherwise("Address may already be in use")
+    return table(spark, d, "events").select("event_id", tx.failure_kind(o).alias("kind"), tx.failed_stage(o).alias("stage"))
+
+
+@query("""SELECT doc_id, 'About ' || lang || ' ' || doc_id || ', plainly.' AS lead FROM documents""")
+def readme_leads(spark, d):
+    t = F.concat(F.lit("# Title\n\n[![b](c)](d)\n\n- x\n- y\n\n```\ncode\n\nmore\n```\nSetext\n===\n\n1. one\n\nAbout *"), "lang", F.lit("*\n"), "doc_id", F.lit(", plainly.\n\nNext."))
+    return table(spark, d, "documents").select("doc_id", tx.readme_lead(t).alias("lead"))
