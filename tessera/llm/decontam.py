@@ -18,8 +18,10 @@ gives windows of ``window`` consecutive words (a shorter item, but not an empty
 
 Only the items' words, a table as large as the benchmark, are broadcast, and only up to
 ``MAX_BROADCAST_ROWS`` rows; beyond that the joins shuffle. Null texts have no words. Rows that share a
-doc_id, or have none, are judged each on their own text. Extra columns are of no account.
-An empty benchmark leaves every document clean.
+doc_id, or have none, are judged each on their own text. Extra columns are of no account. Of words that
+occur equally often the lesser one counts as rarer. An empty benchmark leaves every document clean, an
+empty table of documents gives no rows. A text of any length is split whole; its row holds its words and
+the places at which some window's rare words fit.
 """
 
 from __future__ import annotations
