@@ -120,9 +120,13 @@ class Parsers:
         self.own, self.steps, self.start = [], [], []
         for points in clean:
             letters = np.unique(points)
-            own = np.zeros(len(known) + 1, np.int32)
-            own[self.code[letters]] = np.arange(1, len(letters) + 1)
-            edges, width = [*automaton(own[self.code[points]].tolist()), {}], len(letters) + 1
+            codes, width, own = self.code[points], len(known) + 1, None
+            edges = [*automaton(codes.tolist()), {}]
+            if len(edges) * width > dense_cells:  # a table for this language's letters alone, if that is small enough
+                own = np.zeros(width, np.uint32)
+                own[self.code[letters]] = np.arange(1, len(letters) + 1)
+                edges = [{int(own[c]): t for c, t in d.items()} for d in edges]
+                width = len(letters) + 1
             self.own.append(own)
             self.start.append(len(edges) - 1)
             self.steps.append((_Dense if len(edges) * width <= dense_cells else _Sparse)(edges, width))
@@ -159,11 +163,15 @@ class Parsers:
         live = np.searchsorted(-sizes_, -np.arange(1, len(grid) + 1), side="right")
         last = sizes_ - 1
         for k, (own, steps, first) in enumerate(zip(self.own, self.steps, self.start, strict=True)):
+            symbols = grid if own is None else own[grid]
             trail = np.zeros(grid.shape, np.int32)  # 2 * state after each character + 1 where it opens a phrase
             state = np.full(len(rows), first, np.int32)
+            opened = np.zeros(len(rows), np.int64)
             for step, n in enumerate(live):
-                trail[step, :n] = steps.step(state[:n], own[grid[step, :n]])
-                state[:n] = trail[step, :n] >> 1
+                got = steps.step(state[:n], symbols[step, :n])
+                trail[step, :n] = got
+                opened[:n] += got & 1
+                state[:n] = got >> 1
             start = np.full(len(rows), first, np.int32)
             while True:
                 want = np.where(before >= 0, trail[last[before], before] >> 1, first)
@@ -173,15 +181,16 @@ class Parsers:
                 start, state = want, want[active]
                 for step in range(len(grid)):
                     inside = last[active] >= step
-                    active, state = active[inside], state[inside]
+                    if not inside.all():
+                        active, state = active[inside], state[inside]
                     if not len(active):
                         break
-                    got = steps.step(state, own[grid[step, active]])
-                    moved = (got >> 1) != (trail[step, active] >> 1)
+                    got, was = steps.step(state, symbols[step, active]), trail[step, active]
                     trail[step, active] = got
+                    opened[active] += (got & 1) - (was & 1)
+                    moved = (got >> 1) != (was >> 1)
                     active, state = active[moved], got[moved] >> 1
-            opened = (trail & 1) * (np.arange(len(grid))[:, None] <= last[None, :])
-            np.add.at(out[:, k], owner_, opened.sum(0))
+            np.add.at(out[:, k], owner_, opened)
         return out, np.bincount(owner_, sizes_, len(texts))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
