@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -99,16 +100,18 @@ def token_weight(token: Column) -> Column:
 def hash_weights(text: str | None, seen: dict[str, int]) -> np.ndarray:
     """Weights of the buckets in twelfths: each token gives 12 plus its length up to 12, each pair of neighbours 3.
 
-    A text without such tokens is split at white space instead. seen remembers buckets and is emptied when full.
+    A text without such tokens is split at white space instead. seen remembers tokens' buckets and is emptied when full.
     """
-    tokens = [t.lower() for t in _TOKEN.findall(text or "")] or (text or "").lower().split()
+    tokens = _TOKEN.findall((text or "").lower()) or (text or "").lower().split()
     out = np.zeros(DIM, np.int64)
     if len(seen) > _CACHE:
         seen.clear()
-    for counts, weigh in ((Counter(tokens), lambda t: 12 + min(len(t), 12)), (Counter(zip(tokens, tokens[1:], strict=False)), lambda t: 3)):
-        for t, n in counts.items():
-            name = t if isinstance(t, str) else t[0] + " " + t[1]
-            if name not in seen:
-                seen[name] = int.from_bytes(hashlib.sha1(name.encode()).digest()[:4], "big") % DIM
-            out[seen[name]] += n * weigh(t)
+    for t, n in Counter(tokens).items():
+        if t not in seen:
+            seen[t] = int.from_bytes(hashlib.sha1(t.encode()).digest()[:4], "big") % DIM
+        out[seen[t]] += n * (12 + min(len(t), 12))
+    if len(tokens) > 1:
+        sha1 = hashlib.sha1
+        heads = b"".join([sha1(f"{a} {b}".encode(), usedforsecurity=False).digest()[:4] for a, b in itertools.pairwise(tokens)])
+        out += 3 * np.bincount(np.frombuffer(heads, ">u4") % DIM, minlength=DIM)
     return out

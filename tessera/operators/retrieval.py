@@ -80,26 +80,35 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     one another in the document. Texts are tokenised once, into a table of lengths and of the places of words that
     some query asks for; statistics cover all documents, and those without a query term count in them.
     """
-    terms = queries.select("qid", F.explode(tx.lexical_terms(F.col("text"))).alias("term"))
-    phrases = terms.select("term").distinct().withColumn("words", tokens_of(F.col("term"))).where("size(words) > 0").withColumn("n", F.size("words"))
-    phrases = durable(phrases, "phrases")
-    parts = phrases.select("term", "n", F.posexplode("words").alias("off", "word"))
-    wanted = [r["word"] for r in parts.select("word").distinct().limit(MAX_BROADCAST_QUERIES + 1).collect()]
-    asked = (lambda t: t["word"].isin(wanted)) if len(wanted) <= MAX_BROADCAST_QUERIES else (lambda t: F.lit(True))
-    placed = F.transform(F.col("t"), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
-    base = durable(docs.select("id", tokens_of(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), F.filter(placed, asked).alias("t")), "tokens")
+    spark = docs.sparkSession
+    kind = queries.schema["qid"].dataType.simpleString()
+    terms = queries.select("qid", F.explode(tx.lexical_terms(F.col("text"))).alias("term")).withColumn("words", tokens_of(F.col("term"))).where("size(words) > 0")
+    few = terms.limit(MAX_BROADCAST_QUERIES + 1).collect()
+    small = len(few) <= MAX_BROADCAST_QUERIES
+    if small:  # the terms are a local table from here on
+        terms = spark.createDataFrame([(r["qid"], r["term"], r["words"]) for r in few], f"qid {kind}, term string, words array<string>")
+    wanted = sorted({w for r in few for w in r["words"]}) if small else []
+    several = any(len(r["words"]) > 1 for r in few) or not small
+    parts = terms.select("term", F.size("words").alias("n"), F.posexplode("words").alias("off", "word")).distinct()
+    held = lambda w: w.isin(wanted) if small else F.lit(True)
+    words = F.filter(F.transform(F.col("t"), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: held(x["word"])) if several else F.transform(F.filter("t", held), lambda w: F.struct(w.alias("word")))
+    base = durable(docs.select("id", tokens_of(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), words.alias("t")), "tokens")
     n, avg_dl = base.agg(F.count("*"), F.avg("dl")).first()
-    met = base.select("id", "dl", F.explode("t").alias("x")).select("id", "dl", "x.word", "x.pos").join(_broadcast_if_small(parts), "word")
-    single = met.where("n = 1").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    whole = met.where("n > 1").groupBy("term", "id", "dl", "n", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("held")).where("held = n")
-    post = single.unionByName(whole.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))) if phrases.where("n > 1").limit(1).count() else single
+    found = base.select("id", "dl", F.explode("t").alias("x")).select("id", "dl", "x.*")
+    met = found.join(F.broadcast(parts) if small else parts, "word")
+    post = met.where("n = 1").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    if several:
+        whole = met.where("n > 1").groupBy("term", "id", "dl", "n", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("held")).where("held = n")
+        post = post.unionByName(whole.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")))
     post = durable(post, "postings")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
+    if small:
+        df = F.broadcast(spark.createDataFrame([tuple(r) for r in df.collect()], "term string, df long"))
     raw = F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, 1e-6).otherwise(raw)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avg_dl or 1.0)))
-    asking = terms.join(df, "term").select("qid", "term", "df")
-    weighted = post.join(_broadcast_if_small(durable(asking, "asking")), "term").select("qid", "id", part.alias("part"))
+    asking = terms.select("qid", "term").join(df, "term")
+    weighted = post.join(F.broadcast(asking) if small else asking, "term").select("qid", "id", part.alias("part"))
     scored = weighted.groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("id")], k)
 
