@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches
+from ..session import ship_package
+from .common import small_batches
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 30_000
@@ -31,6 +32,7 @@ MAX_LANGS = 256
 DENSE_CELLS = 4_000_000
 _BLOCK = 1024
 _PASS = 4_000_000
+_TOGETHER = 2_000_000
 _MODELS: dict[int, Parsers] = {}
 
 
@@ -261,11 +263,25 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     key = hash(tuple(sorted(samples.items())))
 
-    def run(ids, texts):
+    def judged(ids: list, texts: list) -> pa.RecordBatch:
         got = parsers(key, shared.value).predict(texts)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return map_batches(small_batches(docs).select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
+    def run(batches):
+        """Arrow batches are gathered up to _TOGETHER characters, as a step costs much the same for few texts and for many."""
+        ids, texts, size = [], [], 0
+        for b in batches:
+            ids += b.column(0).to_pylist()
+            texts += (new := b.column(1).to_pylist())
+            size += sum(len(t or "") for t in new)
+            if size >= _TOGETHER:
+                yield judged(ids, texts)
+                ids, texts, size = [], [], 0
+        if ids:
+            yield judged(ids, texts)
+
+    ship_package(docs.sparkSession)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def brute_force(text: str | None, samples: dict[str, str]) -> tuple[str, float]:
