@@ -164,7 +164,8 @@ def disambiguated_labels(modules: DataFrame) -> DataFrame:
     Where the whole path without its ending is shared too, or a label meets one outside its namesakes, the full path with its ending stands.
     """
     bare = F.regexp_replace("path", r"(?<=[^/])\.[^./]*$", "")
-    named = modules.withColumn("n", F.count("*").over(W.partitionBy("name")))
+    shared = modules.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")  # few names, some of them of very many modules
+    named = modules.join(shared, "name", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     tails = named.where("n > 1").select("key", "name", "path", F.explode(tx.suffixes(bare)).alias("tail"))
     free = tails.groupBy("name", "tail").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1")
     short = free.groupBy("key").agg(F.min_by("tail", F.length("tail")).alias("tail"))

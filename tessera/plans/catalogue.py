@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import html
 from ..functions import text as tx
 from ..operators import context, graph, retrieval, store
-from ..session import table
+from ..session import documents, table
 from ..streaming import changes
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -56,7 +56,7 @@ def knn_filtered_topk(spark, d):
 
 @query(f"WITH {_BM25} SELECT qid, id, round(score, 4) AS score FROM lex WHERE rank <= 10")
 def bm25_topk(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     return retrieval.bm25(docs, _text_queries(spark, d), 10).select("qid", "id", F.round("score", 4).alias("score"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import code_graph as cg
 from ..operators import context, retrieval
-from ..session import table
+from ..session import documents, table
 from .catalogue import _BM25, _KNN, _corpus, _text_queries, _vec_queries
 from .registry import query
 
@@ -29,7 +29,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS ra
 
 def _chunks(spark, d) -> DataFrame:
     """All documents, with their vectors where they have one."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text", "lang")
     return docs.join(_corpus(spark, d).select("id", "vec"), "id", "left")
 
 
@@ -47,10 +47,8 @@ def hybrid_filtered_topk(spark, d):
     return retrieval.hybrid(_chunks(spark, d), _questions(spark, d), 5, {"chunkType": "en", "other": 1}, {"chunkType": "lang"})
 
 
-_FLAGS = f"WITH {_KNN.format(where='WHERE label <> 3')}, r AS (SELECT * FROM knn WHERE rank <= 5 AND score > 0.3), t AS (SELECT qid, score AS top FROM r WHERE rank = 1), q AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 20 = 0)"
-
-
-@query(_FLAGS.replace(", q AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 20 = 0)", "") + """, n AS (SELECT qid, top < 0.15 AS insufficient, count(*) FILTER (top - score <= 0.05) >= 2 AS ambiguous FROM r JOIN t USING (qid) GROUP BY qid, top)
+@query(f"""WITH {_KNN.format(where='WHERE label <> 3')}, r AS (SELECT * FROM knn WHERE rank <= 5 AND score > 0.3), t AS (SELECT qid, score AS top FROM r WHERE rank = 1),
+n AS (SELECT qid, top < 0.15 AS insufficient, count(*) FILTER (top - score <= 0.05) >= 2 AS ambiguous FROM r JOIN t USING (qid) GROUP BY qid, top)
 SELECT q.qid, coalesce(insufficient, true) AS insufficient, coalesce(ambiguous, false) AS ambiguous FROM q LEFT JOIN n USING (qid)""")
 def evidence_flags(spark, d):
     q = _vec_queries(spark, d)
@@ -97,7 +95,7 @@ bw AS (SELECT id, b, CAST(sum(w) AS BIGINT) AS w FROM e GROUP BY id, b)"""
 
 @query("WITH " + _EMBED.format(source="(SELECT doc_id AS id, text FROM documents)") + " SELECT id AS doc_id, CAST(b AS INTEGER) AS bucket, w AS weight FROM bw")
 def hash_embedding(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     return retrieval.hash_weights(docs).select(F.col("id").alias("doc_id"), F.posexplode("vec").alias("bucket", "weight")).where("weight > 0").withColumn("weight", F.col("weight").cast("long"))
 
 
@@ -106,7 +104,7 @@ nr AS (SELECT id, sqrt(sum(w * w)) AS n FROM bw GROUP BY id), qs AS (SELECT -1 -
 s AS (SELECT qid, x.id, round(sum(x.w * qs.w) / (min(nr.n) * min(qs.n)), 9) AS score FROM bw x JOIN qs ON qs.b = x.b JOIN nr ON nr.id = x.id WHERE x.id >= 0 GROUP BY qid, x.id)
 SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
 def hash_embed_topk(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
     asked = retrieval.hash_embed(_text_queries(spark, d).select(F.col("qid").alias("id"), "text")).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     return retrieval.knn(retrieval.hash_embed(docs), asked, 5).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 

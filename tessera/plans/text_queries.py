@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import html
 from ..functions import text as tx
-from ..session import table
+from ..session import documents, table
 from .registry import query
 
 
 @query()
 def markdown_plain(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", F.sha2(tx.markdown_plain(t), 256).alias("plain"), tx.sentence_count(t).alias("sentences"), tx.excerpt(t, 120).alias("excerpt"),
         tx.marked_excerpt(t, 120).alias("marked"), tx.first_sentence(t).alias("first"),
     )

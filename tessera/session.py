@@ -38,6 +38,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table of fewer files than cores is dealt over the cores only up to this many bytes.
+SMALL_TABLE_BYTES = 128_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it is, unless it lies in so few and small files that most cores would idle: then its rows are dealt over all cores.
+
+    A file of one row group is one task, however long its texts. Tables of more than SMALL_TABLE_BYTES have row groups enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    files = df.inputFiles()
+    small = 0 < len(files) < cores and sum(_length(df.sparkSession, f) for f in files) <= SMALL_TABLE_BYTES
+    return df.repartition(cores) if small else df
+
+
+def _length(spark: SparkSession, uri: str) -> int:
+    place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).getLen()
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table for work on whole texts."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 _SCRATCH: list[str] = []
 
 
