@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, decontam, langid, near_dedup, pii, quality_gam, quality_rules, suffix_dedup, url_filter
+from ..session import documents
 from .common import table
 
 #: (host, path, verdict) of the page query. Fixed values of its contract.
@@ -20,7 +21,7 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    out = suffix_dedup.suffix_dedup(documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -30,14 +31,14 @@ def _joined(spans: str):
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.find_pii(table(spark, sf_dir, "documents"))
+    out = pii.find_pii(documents(spark, sf_dir))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", *map(count, pii.KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
-    return byte_bpe.bpe_round_trip(table(spark, sf_dir, "documents"), path, pattern, keep_ids=False)
+    return byte_bpe.bpe_round_trip(documents(spark, sf_dir), path, pattern, keep_ids=False)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,18 +51,18 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     out = decontam.scan_documents(docs, table(spark, sf_dir, "benchmark"))
     h = F.col("hits")
     return out.select("row.doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", h["items"]), 256).alias("items_sha256"), (h["n_hit"] > 0).alias("contaminated"), F.size(h["near"]).cast("long").alias("n_near"), F.concat_ws(",", h["near"]).alias("near_items"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+    return near_dedup.near_duplicates(documents(spark, sf_dir), words=4)
 
 
 def _fold(n: int):
@@ -71,12 +72,12 @@ def _fold(n: int):
 
 def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(_fold(5) != 0)
-    out = quality_gam.quality_scores(table(spark, sf_dir, "documents"), labels)
+    out = quality_gam.quality_scores(documents(spark, sf_dir), labels)
     return out.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality_gam.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     out = langid.identify(docs, langid.training_sample(docs.where(_fold(4) != 2)))
     return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
