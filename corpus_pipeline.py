@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import byte_bpe, decontam, near_dedup, pii, quality_gam
 from tessera.llm.common import durable, table
 from tessera.llm.queries import tokenizer
-from tessera.session import scratch, shared_dir
+from tessera.session import documents, scratch, shared_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each result written and read again; what a stage wrote besides goes when it is done."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
         if i == len(STAGES) - 1:
             return stage(spark, docs, sf_dir)
