@@ -114,9 +114,20 @@ sizes AS (SELECT DISTINCT n FROM win),
 g AS (SELECT rn, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS k FROM (SELECT rn, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
 h AS (SELECT g.rn, g.s, g.n, win.item_id FROM g JOIN win ON g.k = win.k AND g.n = win.n),
 hit AS (SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT rn, unnest(range(s, s + n)) AS p FROM h) GROUP BY rn),
-it AS (SELECT rn, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT rn, CAST(item_id AS VARCHAR) AS i FROM h) GROUP BY rn)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (rn) LEFT JOIN it USING (rn)""",
+it AS (SELECT rn, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT rn, CAST(item_id AS VARCHAR) AS i FROM h) GROUP BY rn),
+wt AS (SELECT DISTINCT k, n, unnest(string_split(k, ' ')) AS term FROM win),
+kinds AS (SELECT k, count(*) AS kinds FROM wt GROUP BY k),
+dw AS (SELECT rn, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d),
+dt AS (SELECT rn, p, term FROM dw WHERE term IN (SELECT term FROM wt)),
+cf AS (SELECT term, count(*) AS cf FROM dt GROUP BY term),
+rare AS (SELECT k, n, kinds, term FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY cf, term) AS r FROM wt JOIN cf USING (term) JOIN kinds USING (k)) WHERE r <= 3),
+prs AS (SELECT x.k, x.term AS t1, y.term AS t2, CASE WHEN x.kinds = 1 AND x.n > 1 THEN 1 ELSE 0 END AS least FROM rare x JOIN rare y ON x.k = y.k AND (x.term < y.term OR (x.kinds = 1 AND x.term = y.term))),
+pit AS (SELECT DISTINCT t1, t2, least, CAST(item_id AS VARCHAR) AS i FROM prs JOIN win USING (k)),
+rp AS (SELECT rn, p, term FROM dt WHERE term IN (SELECT t1 FROM pit UNION SELECT t2 FROM pit)),
+met AS (SELECT DISTINCT x.rn, least(x.term, y.term) AS t1, greatest(x.term, y.term) AS t2, gap FROM (SELECT *, unnest(range(0, 6)) AS gap FROM rp) x JOIN rp y ON y.rn = x.rn AND y.p = x.p + gap),
+nr AS (SELECT rn, count(*) AS n_near, string_agg(i, ',' ORDER BY i) AS near_items FROM (SELECT DISTINCT rn, i FROM met JOIN pit USING (t1, t2) WHERE gap >= pit.least) GROUP BY rn)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN hit USING (rn) LEFT JOIN it USING (rn) LEFT JOIN nr USING (rn)""",
     "op8_minhash": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
