@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
 def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, rows as a matrix) of a list column, one pair for each length of its non-null rows."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), -1))
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), -1))
     for n in np.unique(sizes[sizes > 0]):
         at = np.flatnonzero(sizes == n)
         yield at, np.asarray(lists.take(pa.array(at)).flatten().fill_null(0)).astype(np.float64).reshape(len(at), n)

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import html
 from ..functions import text as tx
 from ..operators import context, graph, retrieval, store
 from ..session import documents, table
-from ..streaming import changes
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 _TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda t: t <> '')"

@@ -104,6 +104,9 @@ class DebouncedStream:
         until = done.agg(F.max("batch_end")).first()[0]
         spark.createDataFrame([(until or closed,)], "until timestamp").write.mode("overwrite").parquet(f"{self.folder}/closed-{number}")
         self.on_batch(fold_changes(done, "batch_start"), number)
+        for name in ("seen", "open", "closed"):  # a retry needs the tables of the micro-batch before it, not older ones
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}-{number - 2}")
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def incremental_batch(changes: DataFrame, stored: DataFrame, current: DataFrame) -> DataFrame:
