@@ -77,8 +77,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """docs(id, text), queries(qid, text) -> qid, id, score, rank.
 
     A query term is a run of ASCII letters, digits and underscores; where it holds several words, they must follow
-    one another in the document. Texts are tokenised once, into a table of lengths and of the places of words that
-    some query asks for; statistics cover all documents, and those without a query term count in them.
+    one another in the document. Texts are tokenised once, into a table of postings that also has a row for each
+    document; statistics cover all documents, and those without a query term count in them.
     """
     spark = docs.sparkSession
     kind = queries.schema["qid"].dataType.simpleString()
@@ -87,20 +87,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     small = len(few) <= MAX_BROADCAST_QUERIES
     if small:  # the terms are a local table from here on
         terms = spark.createDataFrame([(r["qid"], r["term"], r["words"]) for r in few], f"qid {kind}, term string, words array<string>")
-    wanted = sorted({w for r in few for w in r["words"]}) if small else []
     several = any(len(r["words"]) > 1 for r in few) or not small
     parts = terms.select("term", F.size("words").alias("n"), F.posexplode("words").alias("off", "word")).distinct()
-    held = lambda w: w.isin(wanted) if small else F.lit(True)
-    words = F.filter(F.transform(F.col("t"), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: held(x["word"])) if several else F.transform(F.filter("t", held), lambda w: F.struct(w.alias("word")))
-    base = durable(docs.select("id", tokens_of(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), words.alias("t")), "tokens")
-    n, avg_dl = base.agg(F.count("*"), F.avg("dl")).first()
-    found = base.select("id", "dl", F.explode("t").alias("x")).select("id", "dl", "x.*")
-    met = found.join(F.broadcast(parts) if small else parts, "word")
+    # every document ends in an empty word, which no text has: its rows are what the statistics are taken from
+    mark = spark.createDataFrame([("", 1, 0, "")], "term string, n int, off int, word string")
+    wanted = parts.unionByName(mark)
+    placed = docs.select("id", tokens_of(F.coalesce("text", F.lit(""))).alias("t")).select("id", F.size("t").alias("dl"), F.posexplode(F.concat("t", F.array(F.lit("")))).alias("pos", "word"))
+    met = placed.join(F.broadcast(wanted) if small else wanted, "word")
     post = met.where("n = 1").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     if several:
         whole = met.where("n > 1").groupBy("term", "id", "dl", "n", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("held")).where("held = n")
         post = post.unionByName(whole.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")))
-    post = durable(post, "postings")
+    every = durable(post, "postings")
+    n, avg_dl = every.where("term = ''").agg(F.count("*"), F.avg("dl")).first()
+    post = every.where("term <> ''")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     if small:
         df = F.broadcast(spark.createDataFrame([tuple(r) for r in df.collect()], "term string, df long"))
