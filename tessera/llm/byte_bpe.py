@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_utf8, map_batches, small_batches
+from .common import as_utf8, map_batches
 
 LEAF = 16
 _NONE = 1 << 60
@@ -184,4 +184,4 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Tr
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), *cols], ["doc_id", "n_tokens", *names])
 
     last = "ids binary, decoded binary" if keep_ids else "ids_sha256 string, decoded_sha256 string"
-    return map_batches(small_batches(docs).select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, n_tokens long, {last}")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, n_tokens long, {last}")

@@ -37,22 +37,22 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                out = fn(*(b.column(n).to_pylist() for n in names))
-                yield from (out if isinstance(out, list) else [out])
+        for b in sliced(batches):
+            out = fn(*(b.column(n).to_pylist() for n in names))
+            yield from (out if isinstance(out, list) else [out])
 
     return df.mapInArrow(run, schema)
 
 
-#: Rows in an Arrow batch of documents: texts can be long, and a worker holds one batch at a time.
+#: Rows that a worker turns into Python objects at a time: texts can be long.
 ARROW_ROWS = 256
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df after ARROW_ROWS is set for the session; all operators set the same number, so their order is of no account."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """Spark bounds an Arrow batch by bytes; this cuts it by rows as well, and leaves the session's settings alone."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def as_utf8(text: str | None) -> bytes:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import small_batches
+from .common import sliced
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 30_000
@@ -270,7 +270,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     def run(batches):
         """Arrow batches are gathered up to _TOGETHER characters, as a step costs much the same for few texts and for many."""
         ids, texts, size = [], [], 0
-        for b in batches:
+        for b in sliced(batches):
             ids += b.column(0).to_pylist()
             texts += (new := b.column(1).to_pylist())
             size += sum(len(t or "") for t in new)
@@ -281,7 +281,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             yield judged(ids, texts)
 
     ship_package(docs.sparkSession)
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def brute_force(text: str | None, samples: dict[str, str]) -> tuple[str, float]:

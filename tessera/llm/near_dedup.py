@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import forget, ship_package
-from .common import NULL_ID, as_utf8, durable, map_batches, row_keys, small_batches
+from .common import NULL_ID, as_utf8, durable, map_batches, row_keys
 
 K = 64
 #: Node ids are broadcast to pick texts only up to this many (16 bytes each); beyond that the join shuffles.
@@ -81,7 +81,7 @@ def sketch_table(docs: DataFrame, words: int, k: int = K) -> DataFrame:
             sketches.append(np.sort(np.partition(m, k - 1)[:k] if len(m) > k else m).view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], ["key", "n", "print", "sketch"])
 
-    return map_batches(small_batches(docs).select(F.col("__key").alias("key"), "text"), run, "key long, n long, print binary, sketch array<long>")
+    return map_batches(docs.select(F.col("__key").alias("key"), "text"), run, "key long, n long, print binary, sketch array<long>")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -148,7 +148,7 @@ def full_sets(keys: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     def sets(keys_, texts):
         return pa.RecordBatch.from_arrays([pa.array(keys_, pa.int64()), pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())], ["key", "set"])
 
-    return map_batches(small_batches(needed), sets, "key long, set binary")
+    return map_batches(needed, sets, "key long, set binary")
 
 
 def _confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         keep = pa.array(ok, pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], ["a", "b"])
 
-    return map_batches(small_batches(joined.select("a", "b", "x", "y")), run, "a long, b long")
+    return map_batches(joined.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def _rare_prefixes(full: DataFrame, percent: int) -> DataFrame:
         flat = [pa.array(np.repeat(np.asarray(c, np.int64), n)) for c in (keys, sid, n)]
         return pa.RecordBatch.from_arrays([*flat, pa.array(np.concatenate(s))], ["key", "sid", "n", "v"])
 
-    values = durable(map_batches(small_batches(full.select("key", "set")), explode, "key long, sid long, n long, v long"), "values")
+    values = durable(map_batches(full.select("key", "set"), explode, "key long, sid long, n long, v long"), "values")
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     held = values.join(shared, "v").groupBy("key", "sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     first = F.size("vs") - F.ceil(F.col("n") * percent / 100).cast("int") + 1

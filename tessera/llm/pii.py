@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches
+from .common import map_batches, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 16
@@ -300,7 +300,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(base, kind), pa.array(spans, kind), pa.array(masked, pa.string())], ["doc_id", "base", "spans", "masked"])
 
-    return map_batches(small_batches(docs).select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, base {_SPANS}, spans {_SPANS}, masked string")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, base {_SPANS}, spans {_SPANS}, masked string")
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = [mask(t, all_spans(t, w)[1]) for t in b.column(at).to_pylist()]
             b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
             yield b
@@ -319,5 +319,5 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     from ..session import ship_package
 
     ship_package(docs.sparkSession)
-    out = small_batches(docs).mapInArrow(run, schema)
+    out = docs.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_utf8, durable, map_batches, small_batches
+from .common import as_utf8, durable, map_batches, sliced
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
@@ -180,7 +180,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
     def run(ids, texts):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([features(t).tobytes() for t in texts], pa.binary())], ["doc_id", "x"])
 
-    return map_batches(small_batches(docs).select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, x binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, x binary")
 
 
 def train(table: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
@@ -230,9 +230,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             if b.num_rows:
                 x = np.stack([features(t) for t in b.column(at).to_pylist()]).astype(float)
                 yield b.filter(pa.array(shared.value.score(x) >= threshold))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

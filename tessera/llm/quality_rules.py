@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_utf8, map_batches, small_batches
+from .common import as_utf8, map_batches
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -227,7 +227,7 @@ def quality_rules(docs: DataFrame, min_share: float = MIN_CONTENT_SHARE) -> Data
                                           ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share", "base_failed", "kept"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean"
-    return map_batches(small_batches(docs).select(F.col("doc_id").cast("long"), "text"), run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontam, langid, near_dedup, pii, quality_gam, quality_rules, suffix_dedup, url_filter
+from . import byte_bpe, chat_format, decontam, langid, near_dedup, packing, pii, quality_gam, quality_rules, suffix_dedup, url_filter
 from ..session import documents
 from .common import table
 
@@ -82,7 +82,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_byte_bpe, op4_url_filter, op5_chat_format, op6_decontam, op7_quality_rules, op8_minhash, op9_quality_gam, op10_langid)}
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as p
+
+    with open(p.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return packing.pack_documents(documents(spark, sf_dir), f.read(), keep_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_byte_bpe, op4_url_filter, op5_chat_format, op6_decontam, op7_quality_rules, op8_minhash, op9_quality_gam, op10_langid, op13_packing)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)

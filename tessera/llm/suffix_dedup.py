@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_utf8, durable, id_key, map_batches, small_batches
+from .common import NULL_ID, as_utf8, durable, id_key, map_batches
 
 GRAM = 24
 #: Longest strings that winnowing in chunks of _CHUNK windows and the packed runs allow.
@@ -261,7 +261,7 @@ def suffix_dedup(docs: DataFrame, min_len: int = 100, block_bytes: int = 500_000
     if not 2 * GRAM <= min_len <= MAX_LEN:
         raise ValueError(f"min_len must be {2 * GRAM} to {MAX_LEN}")
     spark = docs.sparkSession
-    texts, numbers = _keyed(small_batches(docs))
+    texts, numbers = _keyed(docs)
     data = texts.select("key", F.encode("text", "utf-8").alias("data"))
 
     def hashes(keys, blobs):
