@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontam, langid, near_dedup, packing, pii, quality_gam, quality_rules, suffix_dedup, url_filter
+from . import byte_bpe, chat_format, decontam, langid, lexical, near_dedup, packing, pii, quality_gam, quality_rules, suffix_dedup, url_filter
 from ..session import documents
 from .common import table
 
@@ -82,6 +82,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as p
 
@@ -89,7 +93,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return packing.pack_documents(documents(spark, sf_dir), f.read(), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_byte_bpe, op4_url_filter, op5_chat_format, op6_decontam, op7_quality_rules, op8_minhash, op9_quality_gam, op10_langid, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_byte_bpe, op4_url_filter, op5_chat_format, op6_decontam, op7_quality_rules, op8_minhash, op9_quality_gam, op10_langid, op11_lexical_search, op13_packing)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -135,6 +139,16 @@ met AS (SELECT DISTINCT x.rn, least(x.term, y.term) AS t1, greatest(x.term, y.te
 nr AS (SELECT rn, count(*) AS n_near, string_agg(i, ',' ORDER BY i) AS near_items FROM (SELECT DISTINCT rn, i FROM met JOIN pit USING (t1, t2) WHERE gap >= pit.least) GROUP BY rn)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near, coalesce(near_items, '') AS near_items
 FROM d LEFT JOIN hit USING (rn) LEFT JOIN it USING (rn) LEFT JOIN nr USING (rn)""",
+    "op11_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+st AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+q AS (SELECT DISTINCT qn, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS qn, item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+tf AS (SELECT rn, doc_id, n, t, count(*) AS tf FROM (SELECT rn, doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+wt AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, st GROUP BY t, docs),
+im AS (SELECT rn, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))) AS v FROM tf JOIN wt USING (t), st),
+s AS (SELECT qn, item_id, rn, doc_id, CAST(sum(v) AS BIGINT) AS score FROM q JOIN im USING (t) GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY qn ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10""",
     "op8_minhash": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
