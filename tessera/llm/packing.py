@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .common import sliced
 SIZE = 1024
 END = 0
 #: Chunks of text whose ids a worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 40
 #: Pieces in a batch of results.
 _PIECES = 4096
 _WS = " \\t\\n\\r\\f\\v\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -57,16 +58,15 @@ class Coder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Chunks that are not remembered go to the tokenizer in one batch."""
         parts = [_CHUNK.findall(t) if t else [] for t in texts]
-        new = list({c for p in parts for c in p}.difference(self.known))
-        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        new = list(set().union(*parts).difference(self.known))
+        ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         if len(self.known) + len(new) > CACHE_ENTRIES:
             parts = [[self.known.get(c, c) for c in p] for p in parts]  # what is about to be forgotten
             self.known = dict(zip(new, ids, strict=True))
             out = [b"".join([c if isinstance(c, bytes) else self.known[c] for c in p]) for p in parts]
         else:
             self.known.update(zip(new, ids, strict=True))
-            known = self.known
-            out = [b"".join([known[c] for c in p]) for p in parts]
+            out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
         for c in new:
             if len(c) > CACHE_CHARS:
                 del self.known[c]
