@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontam, langid, lexical, near_dedup, packing, pii, quality_gam, quality_rules, suffix_dedup, url_filter
+from . import byte_bpe, chat_format, collocations, decontam, langid, lexical, near_dedup, packing, pii, quality_gam, quality_rules, suffix_dedup, url_filter
 from ..session import documents
 from .common import table
 
@@ -86,6 +86,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir).select("lang", "text"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as p
 
@@ -93,7 +97,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return packing.pack_documents(documents(spark, sf_dir), f.read(), keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_byte_bpe, op4_url_filter, op5_chat_format, op6_decontam, op7_quality_rules, op8_minhash, op9_quality_gam, op10_langid, op11_lexical_search, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_byte_bpe, op4_url_filter, op5_chat_format, op6_decontam, op7_quality_rules, op8_minhash, op9_quality_gam, op10_langid, op11_lexical_search, op12_collocations, op13_packing)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -149,6 +153,19 @@ im AS (SELECT rn, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 9
 s AS (SELECT qn, item_id, rn, doc_id, CAST(sum(v) AS BIGINT) AS score FROM q JOIN im USING (t) GROUP BY ALL),
 r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY qn ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT * FROM r WHERE rank <= 10""",
+    "op12_collocations": rf"""
+WITH p AS (SELECT row_number() OVER () AS pn, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM
+  (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+o AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS a FROM o GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cut AS (SELECT c.lang, c.g, c.a, j, l.a AS l, r.a AS r, CAST(1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.g = list_slice(c.g, 1, j) JOIN f r ON r.lang = c.lang AND r.g = list_slice(c.g, j + 1, c.k)),
+b AS (SELECT lang, g, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS nth FROM cut) WHERE nth = 1),
+h AS (SELECT DISTINCT x.lang, x.g FROM c x JOIN (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS g FROM c WHERE k = 3) y ON x.lang = y.lang AND x.g = y.g WHERE 100 * y.a >= 50 * x.a),
+s AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM b ANTI JOIN h USING (lang, g))
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s JOIN n USING (lang)) WHERE rank <= 2000""",
     "op8_minhash": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
