@@ -156,15 +156,19 @@ SELECT * FROM r WHERE rank <= 10""",
     "op12_collocations": rf"""
 WITH p AS (SELECT row_number() OVER () AS pn, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM
   (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
-o AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)),
-f AS (SELECT lang, k, g, count(*) AS a FROM o GROUP BY ALL),
-n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
-cut AS (SELECT c.lang, c.g, c.a, j, l.a AS l, r.a AS r, CAST(1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
-  JOIN f l ON l.lang = c.lang AND l.g = list_slice(c.g, 1, j) JOIN f r ON r.lang = c.lang AND r.g = list_slice(c.g, j + 1, c.k)),
+t AS (SELECT pn, lang, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM p WHERE len(w) > 0),
+o AS (SELECT lang, x, lead(x, 1) OVER win AS y, lead(x, 2) OVER win AS z FROM t WINDOW win AS (PARTITION BY pn ORDER BY i)),
+u AS (SELECT lang, x AS g, count(*) AS a FROM o GROUP BY ALL),
+d AS (SELECT lang, x, y, x || ' ' || y AS g, count(*) AS a FROM o WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+e AS (SELECT lang, x, x || ' ' || y AS xy, y || ' ' || z AS yz, z, x || ' ' || y || ' ' || z AS g, count(*) AS a FROM o WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM u GROUP BY lang),
+f AS (SELECT lang, g, a FROM u UNION ALL SELECT lang, g, a FROM d),
+c AS (SELECT lang, g, a, 1 AS j, x AS q, y AS v FROM d UNION ALL SELECT lang, g, a, 1, x, yz FROM e UNION ALL SELECT lang, g, a, 2, xy, z FROM e),
+cut AS (SELECT c.lang, c.g, c.a, j, l.a AS l, r.a AS r, CAST(1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score FROM c
+  JOIN f l ON l.lang = c.lang AND l.g = c.q JOIN f r ON r.lang = c.lang AND r.g = c.v),
 b AS (SELECT lang, g, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, j) AS nth FROM cut) WHERE nth = 1),
-h AS (SELECT DISTINCT x.lang, x.g FROM c x JOIN (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS g FROM c WHERE k = 3) y ON x.lang = y.lang AND x.g = y.g WHERE 100 * y.a >= 50 * x.a),
-s AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM b ANTI JOIN h USING (lang, g))
+h AS (SELECT DISTINCT d.lang, d.g FROM d JOIN (SELECT lang, xy AS g, a FROM e UNION ALL SELECT lang, yz, a FROM e) k ON d.lang = k.lang AND d.g = k.g WHERE 100 * k.a >= 50 * d.a),
+s AS (SELECT lang, g AS phrase, a, l, r, score FROM b ANTI JOIN h USING (lang, g))
 SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s JOIN n USING (lang)) WHERE rank <= 2000""",
     "op8_minhash": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
