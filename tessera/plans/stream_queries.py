@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import store
-from ..session import durable, shared_dir, table
-from ..streaming import changes
+from ..session import table
+from ..streaming import changes, feed, run_states
 from .registry import query
 
 
@@ -34,35 +32,90 @@ def _stream(spark, d) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+#: Rows of a micro-batch at most, were events even over time.
+BATCH_ROWS = 1_000_000
 
 
-def _drained(stream: DataFrame, name: str) -> DataFrame:
-    """What the stream gives in append mode until its source is read, as a table."""
-    spark, out = stream.sparkSession, _folder(stream.sparkSession, name)
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-checkpoint").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+def _in_batches(rows: DataFrame, at: str, least: int) -> DataFrame:
+    """rows with a batch: spans of equal length of the timestamp ``at``, ``least`` or more."""
+    us = F.unix_micros(at)
+    lo, hi, n = rows.agg(F.min(us), F.max(us), F.count("*")).first()
+    parts = max(least, -(-n // BATCH_ROWS))
+    return rows.withColumn("batch", ((us - F.lit(lo or 0)) * parts / F.lit((hi or 0) - (lo or 0) + 1)).cast("int"))
+
+
+def _events(spark, d) -> DataFrame:
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
 
+def _closed(rows: DataFrame) -> DataFrame:
+    """rows(ts, batch, ...) with a last micro-batch of one event a century later, which closes all that is open before it."""
+    last = rows.agg(F.max("ts").alias("ts"), F.max("batch").alias("batch")).select(F.expr("ts + interval 100 years").alias("ts"), F.expr("batch + 1").alias("batch"))
+    return rows.unionByName(last, allowMissingColumns=True)
 
-@query(f"WITH {_BATCHES.format(gap=300)}, f AS (SELECT b, path, {_FOLD} AS change FROM s GROUP BY b, path) SELECT batch_start, path, change FROM f JOIN st USING (b) WHERE change <> 'N' AND epoch_us((SELECT max(ts) FROM e)) - epoch_us(batch_end) >= 300000000")
+
+@query(f"WITH {_BATCHES.format(gap=300)}, f AS (SELECT b, path, {_FOLD} AS change FROM s GROUP BY b, path) SELECT batch_start, path, change FROM f JOIN st USING (b) WHERE change <> 'N'")
 def stream_debounce_equals_batch(spark, d):
-    """The batches that a gap has closed when the stream ends."""
-    folder = _folder(spark, "debounce")
-    step = changes.DebouncedStream(folder, 300, lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/n={n}"))
-    s = _stream(spark, d).select("ts", "event_id", F.col("user_id").alias("path"), changes.change_letter(F.col("event_type")).alias("change"))
-    q = s.writeStream.foreachBatch(step).option("checkpointLocation", folder + "-checkpoint").trigger(availableNow=True).start()
+    """Merged changes of all batches, from seven micro-batches or more; a last event closes the last batch."""
+    place = feed.folder(spark, "debounce")
+    step = changes.DebouncedStream(place, 300, lambda rows, n: rows.write.mode("overwrite").parquet(f"{place}/out/n={n}"))
+    e = _events(spark, d).select("ts", "event_id", F.col("user_id").alias("path"), changes.change_letter(F.col("event_type")).alias("change"))
+    s = feed.replay(_closed(_in_batches(e, "ts", 6)))
+    q = s.writeStream.foreachBatch(step).option("checkpointLocation", place + "-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.read.schema("batch_start timestamp, path long, change string").parquet(f"{folder}/out")
+    out = spark.read.schema("batch_start timestamp, path long, change string").parquet(f"{place}/out")
     return out.select(F.col("batch_start").cast("timestamp_ntz").alias("batch_start"), "path", "change")
 
 
-@query("WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM w WHERE hour + INTERVAL 1 HOUR <= (SELECT max(date_trunc('milliseconds', ts)) - INTERVAL 10 MINUTE FROM events)")
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_session_windows(spark, d):
-    """Hourly counts of the windows that the watermark has passed."""
-    s = _stream(spark, d).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return _drained(s.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n"), "windows")
+    """Hourly counts, each given once the watermark has passed its window; a last event closes the last ones."""
+    s = feed.replay(_closed(_in_batches(_events(spark, d).select("ts", "event_type"), "ts", 6)))
+    w = s.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return feed.drained(w.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n"), "windows")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 43200000000 THEN 0 ELSE 1 END AS new, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_user_sessions(spark, d):
+    """Sessions of each user: events less than twelve hours apart, across micro-batches that come out of order by up to a day."""
+    e = _events(spark, d).select("ts", "user_id", (F.col("ts") + F.expr("make_dt_interval(0, event_id % 24)")).alias("came"))
+    s = feed.replay(_closed(_in_batches(e, "came", 6)))
+    w = s.withWatermark("ts", "2 days").groupBy(F.session_window("ts", "12 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    at = lambda k: F.col(f"w.{k}").cast("timestamp_ntz").alias(f"session_{k}")
+    return feed.drained(w.select("user_id", at("start"), at("end"), "n"), "sessions")
+
+
+@query("""SELECT time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL 15 MINUTE AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(0, 4) t(k) GROUP BY ALL""")
+def stream_sliding_windows(spark, d):
+    """Windows of an hour that open every quarter."""
+    s = feed.replay(_closed(_in_batches(_events(spark, d).select("ts", "event_type", "value"), "ts", 6)))
+    w = s.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour", "15 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return feed.drained(w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), "sliding")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_distinct_events(spark, d):
+    """Every event comes twice, the second time up to three micro-batches later, and leaves once."""
+    e = _in_batches(_events(spark, d).select("ts", "event_id", "user_id", "event_type"), "ts", 6)
+    twice = e.unionByName(e.withColumn("batch", F.col("batch") + (F.col("event_id") % 4).cast("int")))
+    s = feed.replay(twice).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["event_id"])
+    return feed.drained(s.select("event_id", "user_id", "event_type"), "distinct")
+
+
+@query("""WITH a AS (SELECT epoch_us(ts) AS us, time_bucket(INTERVAL '1 hour', ts) AS hour, epoch_us(ts) + CASE WHEN event_id % 10 = 0 THEN 36 * 3600000000 ELSE 0 END AS came FROM events),
+b AS (SELECT *, CAST(floor(CAST((came - (SELECT min(came) FROM a)) * 16 AS DOUBLE) / (SELECT max(came) - min(came) + 1 FROM a)) AS INTEGER) AS batch FROM a),
+m AS (SELECT batch, max(us) // 1000 AS ms FROM b GROUP BY batch), w AS (SELECT x.batch, max(y.ms) - 3600000 AS mark FROM m x LEFT JOIN m y ON y.batch < x.batch - 1 GROUP BY x.batch)
+SELECT hour, count(*) FILTER (late IS NOT TRUE) AS kept, count(*) FILTER (late) AS late FROM (SELECT hour, epoch_ms(hour) + 3600000 <= mark AS late FROM b JOIN w USING (batch)) GROUP BY hour""")
+def stream_late_rows(spark, d):
+    """Hourly counts where a tenth of the events comes 36 hours late, in sixteen micro-batches: what was counted and what came too late for its window."""
+    e = _events(spark, d).select("ts", (F.col("ts") + F.expr("make_dt_interval(0, if(event_id % 10 = 0, 36, 0))")).alias("came"))
+    s = feed.replay(_closed(_in_batches(e, "came", 16)))
+    w = s.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("kept"))
+    kept = feed.drained(w.select(F.col("w.start").alias("hour"), "kept"), "late")
+    every = e.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
+    n = F.coalesce("kept", F.lit(0))
+    return every.join(kept, "hour", "left").select(F.col("hour").cast("timestamp_ntz").alias("hour"), n.alias("kept"), (F.col("n") - n).alias("late"))
 
 
 @query("SELECT a.event_id AS purchase, b.event_id AS click FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'click' AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 6 HOUR")
@@ -70,7 +123,7 @@ def stream_stream_join(spark, d):
     """Purchases with the clicks of the same user in the six hours before, both sides as streams bounded by watermarks."""
     a = _stream(spark, d).where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), F.col("user_id").alias("u"), F.col("ts").alias("t")).withWatermark("t", "1 hour")
     b = _stream(spark, d).where("event_type = 'click'").select(F.col("event_id").alias("click"), "user_id", "ts").withWatermark("ts", "1 hour")
-    return _drained(a.join(b, F.expr("u = user_id and ts <= t and ts >= t - interval 6 hours")).select("purchase", "click"), "join")
+    return feed.drained(a.join(b, F.expr("u = user_id and ts <= t and ts >= t - interval 6 hours")).select("purchase", "click"), "join")
 
 
 @query("SELECT user_id, count(*) AS n_events, arg_max(event_type, CAST(epoch_us(ts) AS HUGEINT) * 1000000 + event_id) AS last_kind, arg_min(event_type, CAST(epoch_us(ts) AS HUGEINT) * 1000000 + event_id) FILTER (event_type IN ('error', 'purchase')) AS outcome FROM events GROUP BY user_id")
@@ -138,14 +191,15 @@ def incremental_actions(spark, d):
     return changes.incremental_batch(asked, stored, current)
 
 
-@query()
+@query(f"WITH {_RUN}")
 def stream_run_state(spark, d):
-    """The last snapshot of each run that the stream gave."""
-    folder = _folder(spark, "runs")
-    source = durable(_run_events(spark, d).repartition(3), "run-events")
-    s = spark.readStream.schema(source.schema).parquet(source._durable_path)
-    write = lambda rows, n: rows.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out-{n}")
-    q = changes.stream_stage_status(s).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", folder + "-checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.read.schema("run long, stage int, status string, n long").parquet(f"{folder}/out-*")
-    return out.groupBy("run", "stage").agg(F.max_by("status", "n").alias("status"))
+    """The last snapshot of each run. Events are dealt over eight micro-batches by a hash, so most come after others of a higher seq."""
+    out = feed.folder(spark, "runs")
+    s = feed.replay(_run_events(spark, d).withColumn("batch", F.pmod(F.xxhash64("seq"), F.lit(8)).cast("int")))
+    with feed.rocksdb(spark):
+        states = run_states.stream_run_states(s)
+        write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/n={n}")
+        q = states.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    snapshots = spark.read.schema(run_states.SNAPSHOT).parquet(out)
+    return snapshots.groupBy("run", "stage").agg(F.max_by("status", "version").alias("status"))

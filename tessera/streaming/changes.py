@@ -160,10 +160,10 @@ def stage_status(events: DataFrame) -> DataFrame:
     """events(run, seq, type, stage index) -> run, stage, status of every stage that an event names, or that precedes a started one.
 
     A started stage is running, an ended one done, a failed one failed; items start a pending one. When a stage
-    starts, all earlier ones that are pending or running are done, even if their end was lost.
+    starts, all earlier ones that are pending or running are done, even if their end was lost. Of events with one seq the greater type counts.
     """
     own = events.groupBy("run", "stage").agg(
-        F.max_by("type", F.when(F.col("type").isin("stage", "stage_end", "failed"), F.col("seq"))).alias("hard"),
+        F.max_by("type", F.when(F.col("type").isin("stage", "stage_end", "failed"), F.struct("seq", "type"))).alias("hard"),
         F.max(F.when(F.col("type").isin("stage", "stage_end", "failed"), F.col("seq"))).alias("at"),
         F.max(F.when(F.col("type") == "stage", F.col("seq"))).alias("started"), F.count_if(F.col("type") == "items").alias("items"),
     )
@@ -174,45 +174,6 @@ def stage_status(events: DataFrame) -> DataFrame:
     return j.select("run", "stage", status.alias("status"))
 
 
-def fold_run(state: dict, kind: str, stage: int) -> dict:
-    """One event applied to {stage: status}, as stage_status() does for all."""
-    if kind == "stage":
-        state = {s: "done" if s < stage and v in ("pending", "running") else v for s, v in state.items()} | {stage: "running"}
-    elif kind in ("stage_end", "failed"):
-        state = state | {stage: "done" if kind == "stage_end" else "failed"}
-    elif kind == "items":
-        state = state | {stage: "running" if state.get(stage, "pending") == "pending" else state[stage]}
-    else:
-        state = {stage: "pending"} | state
-    return state
-
-
-def stream_stage_status(events: DataFrame) -> DataFrame:
-    """stage_status() of a stream in update mode: the whole state of each run that a micro-batch touched, as a snapshot.
-
-    A micro-batch's events of a run are folded in order of seq; the state of a run is one short text.
-    """
-    import json
-
-    from ..session import ship_package
-
-    ship_package(events.sparkSession)
-
-    def run(key, frames, state):
-        import pandas as pd
-
-        held = json.loads(state.get[0]) if state.exists else {"status": ["pending"] * len(STAGES), "seen": []}
-        have, seen = dict(enumerate(held["status"])), set(held["seen"])
-        for pdf in frames:
-            for kind, stage in pdf.sort_values("seq")[["type", "stage"]].itertuples(index=False):
-                have = fold_run(have, kind, int(stage))
-                seen.add(int(stage))
-        state.update((json.dumps({"status": [have[i] for i in range(len(STAGES))], "seen": sorted(seen)}),))
-        yield pd.DataFrame([(key[0], s, have[s]) for s in sorted(seen)], columns=["run", "stage", "status"])
-
-    return events.select("run", "seq", "type", "stage").groupBy("run").applyInPandasWithState(run, "run long, stage int, status string", "state string", "update", "NoTimeout")
-
-
 def health(query) -> dict:
     """State of a running query: whether it is active, and what stopped it. Reading it never raises."""
     failed = query.exception()

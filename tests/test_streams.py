@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.streaming import changes
+from tessera.streaming import changes, feed, run_states
 
 
 def test_merge_machine(spark):
@@ -51,7 +51,12 @@ def test_run_states_equal_batch(spark):
         seen = {s for r, _, _, s in rows if r == run}
         state = dict.fromkeys(seen, "pending")
         for _, _, kind, stage in sorted(x for x in rows if x[0] == run):
-            state = changes.fold_run(state, kind, stage)
+            if kind == "stage":
+                state = {k: "done" if k < stage and v in ("pending", "running") else v for k, v in state.items()} | {stage: "running"}
+            elif kind in ("stage_end", "failed"):
+                state[stage] = "done" if kind == "stage_end" else "failed"
+            elif kind == "items" and state[stage] == "pending":
+                state[stage] = "running"
         assert {s: v for (r, s), v in got.items() if r == run} == state
 
 
@@ -63,6 +68,71 @@ def test_stream_of_run_states_equals_batch(spark):
     assert stream == batch and len({r[0] for r in batch}) > 10
 
 
+def _random_events(seed, runs=12):
+    import random
+
+    rng = random.Random(seed)
+    kinds = ["stage", "stage_end", "items", "failed", "catchup"]
+    rows = [(r, i, rng.choice(kinds), rng.randrange(12)) for r in range(runs) for i in range(rng.randrange(1, 40))]
+    rng.shuffle(rows)
+    return [(*x, i * 5 // len(rows)) for i, x in enumerate(rows)]
+
+
+@pytest.mark.parametrize("arrow_rows", ["10000", "3"])
+def test_run_states_for_any_split(spark, tmp_path, arrow_rows):
+    """Late seqs, repeated events, runs that cross Arrow batches, a restart between micro-batches."""
+    rows = _random_events(int(arrow_rows))
+    schema = "run long, seq long, type string, stage int, batch int"
+    again = [(*r[:4], min(4, r[4] + 1)) for r in rows[::3]]
+    want = {tuple(r) for r in changes.stage_status(spark.createDataFrame(rows, schema)).collect()}
+    s = feed.replay(spark.createDataFrame(rows + again, schema))
+    snapshots = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow_rows)
+    try:
+        with feed.rocksdb(spark):
+            for batches in (2, 9):  # stops after two micro-batches, then goes on from the checkpoint
+                def keep(got, n, most=batches):
+                    if n >= most:
+                        raise RuntimeError("stop")
+                    snapshots.extend((n, *r) for r in got.collect())
+
+                q = run_states.stream_run_states(s).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+                try:
+                    q.awaitTermination()
+                except Exception as stopped:
+                    assert batches == 2 and "stop" in str(stopped)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = {}
+    for n, run, stage, status, version, expired in sorted(snapshots):
+        last[run, stage] = status
+        assert not expired and version > 0
+    assert {(*k, v) for k, v in last.items()} == want and len({n for n, *_ in snapshots}) == 5
+
+
+def test_idle_runs_expire(spark, tmp_path):
+    at = lambda m: f"2024-01-01 00:{m:02d}:00"
+    rows = [(1, 1, "stage", 0, at(0), 0), (2, 1, "stage", 3, at(0), 0), (1, 2, "stage", 1, at(20), 1), (2, 2, "items", 2, at(1), 1), (3, 1, "stage_end", 0, at(50), 2), (9, 1, "items", 0, at(59), 3)]
+    s = feed.replay(spark.createDataFrame(rows, "run long, seq long, type string, stage int, t string, batch int").selectExpr("run", "seq", "type", "stage", "cast(t as timestamp) ts", "batch"))
+    with feed.rocksdb(spark):
+        got = []
+        q = run_states.stream_run_states(s.withWatermark("ts", "0 seconds"), idle_ms=600_000).writeStream.foreachBatch(lambda r, n: got.extend(map(tuple, r.collect()))).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert {x[:3] for x in got if x[4]} == {(1, 0, "done"), (1, 1, "failed"), (2, 2, "done"), (2, 3, "failed")}
+    assert (1, 1, "running") in {x[:3] for x in got if not x[4]}
+
+
+def test_an_operator_before_a_stream_changes_nothing(spark):
+    """Queries leave the session's settings as they are."""
+    from tessera.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    before = {k: v for k, v in spark.conf.getAll.items() if k != "spark.checkpoint.dir"}
+    for name in ("hash_embedding", "stream_run_state", "bm25_topk"):
+        catalogue.QUERIES[name](spark, sf).collect()
+    assert {k: v for k, v in spark.conf.getAll.items() if k != "spark.checkpoint.dir"} == before
+
+
 def test_health_of_a_failed_stream(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "in"))
 
