@@ -5,7 +5,9 @@
 2. A count-min sketch gives an upper bound for each phrase. It has one row of counters, at least four for each word of the
    corpus, and is kept as a table of the counters in use, which tasks add to and Spark sums. Longer phrases are added only
    where their shorter parts are not ruled out.
-3. Phrases whose counter has reached ``least`` are candidates; collisions only add to them.
+3. Candidates are phrases whose bound has reached ``least``; collisions only add to them. If the first ``top`` of each language are wanted, the
+   bounds also limit the score, and only the phrases of highest limit are candidates, with their parts and the phrases that may hold them. When
+   these are counted and the last of the first ``top`` scores above the limit of all that was left out, the result is whole; else more are taken.
 4. Candidates, in blocks of up to ``BLOCK_PATTERNS``, are compiled into one Aho-Corasick automaton for each language. A pattern
    has the spaces around its words as guards, so it matches whole words; neighbouring matches share a guard. Every task
    counts all its matches, overlapping ones too; the sums are exact, and those below ``least`` go.
@@ -25,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from itertools import islice
+from itertools import islice, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -118,22 +120,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def guarded(docs: DataFrame, frequent: DataFrame, few: bool) -> DataFrame:
-    """docs(lang, text) -> lang, text with a guard around every word and only pieces of several words; words that are not frequent are borders."""
-    known: dict[str, set] = {}
-    if few:
-        for r in frequent.select("lang", "word").toArrow().to_pylist():
-            known.setdefault(r["lang"], set()).add(r["word"])
-    shared = docs.sparkSession.sparkContext.broadcast(known if few else None)
+def guarded(docs: DataFrame, known) -> DataFrame:
+    """docs(lang, text) -> lang, text with a guard around every word and only pieces of several words; words not in known (a broadcast of lang -> words, counts, or of nothing) are borders."""
 
     def run(batches):
+        sets: dict[str, set] = {}
         for lang, texts in _by_lang(batches):
             out = []
+            if known.value is not None and lang not in sets:
+                sets[lang] = set(known.value[lang][0]) if lang in known.value else set()
             for t in texts:
-                if shared.value is None:
+                if known.value is None:
                     kept = [w for w in words_of(t) if w]
                 else:
-                    own = shared.value.get(lang, ())
+                    own = sets[lang]
                     kept = [w if w in own else b"\n" for w in words_of(t) if w]
                 whole = b"\n".join(p for p in (b" " + b" ".join(kept) + b" ").split(b"\n") if p.count(b" ") > 2)
                 if whole:
@@ -244,40 +244,44 @@ def matches(corpus: DataFrame, patterns: list[tuple[int, str, str]]) -> DataFram
 
 
 def _ranges(counters: DataFrame, total: int, bits: int):
-    """Sorted arrays of the counters' numbers, RANGE_COUNTERS at a time or about so, as hashes are even."""
+    """(sorted numbers of counters, their counts), RANGE_COUNTERS at a time or about so, as hashes are even."""
     parts = max(1, -(-total // RANGE_COUNTERS))
     for i in range(parts):
         lo, hi = (i << bits) // parts, ((i + 1) << bits) // parts
-        got = counters.where((F.col("bucket") >= lo) & (F.col("bucket") < hi)).select("bucket").toArrow().column(0).to_numpy()
+        got = counters.where((F.col("bucket") >= lo) & (F.col("bucket") < hi)).toArrow()
         if len(got):
-            yield np.sort(got).astype(np.uint64)
-
-
-def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """docs(lang, text) -> (lang, phrase, a of phrases of 2 to longest words that occur least times), (lang, word, n of all words)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    words = durable(word_counts(rows), "words")
-    frequent = words.where(F.col("n") >= least)
-    few = frequent.limit(MAX_WORDS + 1).count() <= MAX_WORDS
-    corpus = durable(guarded(rows, frequent, few), "guarded")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = min(62, max(16, math.ceil(math.log2(4 * total + 1))))
-    shorter, found = None, []
-    for n in range(2, longest + 1):
-        counters = durable(sketch(corpus, n, bits, shorter).where(F.col("count") >= least), "counters")
-        some = counters.count()
-        shorter = None
-        for heavy in _ranges(counters, some, bits):
-            found.append(durable(candidates(corpus, n, bits, heavy), "candidates"))
-            shorter = heavy if some <= RANGE_COUNTERS else None
-        if not some:
-            break
-    if not found:
-        return spark.createDataFrame([], "lang string, phrase string, a long"), words
-    listed = found[0]
-    for f in found[1:]:
-        listed = listed.unionByName(f)
+            bucket, count = (got.column(c).to_numpy() for c in ("bucket", "count"))
+            order = np.argsort(bucket)
+            yield bucket[order].astype(np.uint64), count[order]
+
+
+class Corpus:
+    """A corpus made ready: lang, word, n of all words; frequent words, and whether they are few; guarded texts; bits of the sketch's counters."""
+
+    def __init__(self, docs: DataFrame, least: int):
+        rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+        self.least = least
+        self.words = durable(word_counts(rows), "words")
+        self.frequent = self.words.where(F.col("n") >= least)
+        self.few = self.frequent.limit(MAX_WORDS + 1).count() <= MAX_WORDS
+        known: dict[str, tuple[list, list]] = {}
+        if self.few:
+            for r in self.frequent.toArrow().to_batches():
+                for lang, word, n in zip(*(r.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+                    own = known.setdefault(lang, ([], []))
+                    own[0].append(word)
+                    own[1].append(n)
+        self.known = docs.sparkSession.sparkContext.broadcast(known if self.few else None)
+        self.texts = durable(guarded(rows, self.known), "guarded")
+        total = self.words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self.bits = min(62, max(16, math.ceil(math.log2(4 * total + 1))))
+
+    def counters(self, n: int, shorter: np.ndarray | None = None) -> DataFrame:
+        return durable(sketch(self.texts, n, self.bits, shorter).where(F.col("count") >= self.least), "counters")
+
+
+def _counted(corpus: Corpus, listed: DataFrame) -> DataFrame | None:
+    """lang, phrase, a of those of listed(lang, phrase) that occur often enough, block by block."""
     listed = durable(listed.withColumn("id", F.monotonically_increasing_id()).withColumn("h", F.pmod(F.xxhash64("lang", "phrase"), F.lit(1 << 40))), "listed")
     blocks = max(1, -(-listed.count() // BLOCK_PATTERNS))
     counts = None
@@ -285,44 +289,190 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
         got = listed.where((F.col("h") * blocks / (1 << 40)).cast("long") == i).select("id", "lang", "phrase").toArrow()
         patterns = list(zip(*(got.column(c).to_pylist() for c in range(3)), strict=True))
         if patterns:
-            part = durable(matches(corpus, patterns).where(F.col("a") >= least), "matches")
+            part = durable(matches(corpus.texts, patterns).where(F.col("a") >= corpus.least), "matches")
             counts = part if counts is None else counts.unionByName(part)
-    return listed.select("id", "lang", "phrase").join(counts, "id").select("lang", "phrase", "a"), words
+    return None if counts is None else durable(listed.select("id", "lang", "phrase").join(counts, "id").select("lang", "phrase", "a"), "counts")
+
+
+def all_phrases(corpus: Corpus, longest: int) -> DataFrame | None:
+    """lang, phrase, a of all phrases of 2 to longest words that occur often enough."""
+    shorter, found = None, None
+    for n in range(2, longest + 1):
+        counters = corpus.counters(n, shorter)
+        some = counters.count()
+        shorter = None
+        for heavy, _ in _ranges(counters, some, corpus.bits):
+            part = durable(candidates(corpus.texts, n, corpus.bits, heavy), "candidates")
+            found = part if found is None else found.unionByName(part)
+            shorter = heavy if some <= RANGE_COUNTERS else None
+        if not some:
+            break
+    return None if found is None else _counted(corpus, found)
+
+
+def likely(corpus: Corpus, heavy: np.ndarray, counts: np.ndarray, most: int) -> DataFrame:
+    """lang, phrase, bound: of each task and language the ``most`` phrases of two and three words whose score is bounded highest.
+
+    heavy and counts are counters of two words. A phrase of two occurs at most as often as its counter or either word, one of three as its first two
+    words or its last word; the parts of a phrase occur as often as it does at least. The bound of a phrase is the same in all tasks, so whatever is
+    among the first of all is among the first of each task that has it.
+    """
+    shared = corpus.texts.sparkSession.sparkContext.broadcast((heavy, counts))
+    known, shift = corpus.known, np.uint64(64 - corpus.bits)
+
+    def run(batches):
+        heavy, counts = shared.value
+        tables: dict[str, tuple] = {}
+        best: dict[str, dict[int, tuple[float, bytes]]] = {}
+        floor: dict[str, float] = {}
+
+        def prune(lang: str) -> None:
+            own = sorted(best[lang].items(), key=lambda x: (-x[1][0], x[0]))[:most]
+            best[lang] = dict(own)
+            if len(own) == most:
+                floor[lang] = own[-1][1][0]
+
+        for lang, texts in _by_lang(batches):
+            if lang not in tables:
+                names, n = known.value.get(lang, ([], []))
+                tables[lang] = {w: i for i, w in enumerate(names)}, np.array([*n, 0], np.float64)
+                best[lang], floor[lang] = {}, 0.0
+            number, n_of = tables[lang]
+            words = b" \n ".join(texts).split(b" ")
+            h = phrase_hashes(words, lang, 3)
+            n = n_of[np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))]
+            bucket = h[1] >> shift
+            place = np.minimum(np.searchsorted(heavy, bucket), len(heavy) - 1)
+            a = np.where((heavy[place] == bucket) & (h[1] != 0), counts[place], 0).astype(np.float64)
+            a = np.minimum(a, np.minimum(n[:-1], n[1:]))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                two = 1e6 * a * a / (n[:-1] * n[1:])
+                a3 = np.minimum(a[:-1], n[2:])
+                three = np.where(h[2] != 0, 1e6 * a3 / np.maximum(n[:-2], n[2:]), 0)
+            for size, code, bound in ((2, h[1], two), (3, h[2], three)):
+                at = np.flatnonzero((bound > 0) & (bound >= floor[lang]))
+                own, first = np.unique(code[at], return_index=True)
+                for x, i in zip(own.tolist(), at[first].tolist(), strict=True):
+                    if x not in best[lang]:
+                        best[lang][x] = (float(bound[i]), b" ".join(words[i : i + size]))
+            if len(best[lang]) > 4 * most:
+                prune(lang)
+        for lang in best:
+            prune(lang)
+            rows = list(best[lang].values())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array([p for _, p in rows], pa.binary()).cast(pa.string()), pa.array([b * (1 + 1e-9) for b, _ in rows], pa.float64())], ["lang", "phrase", "bound"])
+
+    return corpus.texts.mapInArrow(run, "lang string, phrase string, bound double")
+
+
+def around(corpus: Corpus, pairs: dict[str, list[bytes]]) -> DataFrame:
+    """lang, phrase of the phrases of three words that hold one of the pairs (by language) and occur often enough."""
+    shared = corpus.texts.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches):
+        codes: dict[str, np.ndarray] = {}
+        counts: Counter = Counter()
+        for lang, texts in _by_lang(batches):
+            if lang not in shared.value:
+                continue
+            if lang not in codes:
+                codes[lang] = np.sort(phrase_hashes(b" \n ".join(shared.value[lang]).split(b" "), lang, 2)[1])
+            words = b" \n ".join(texts).split(b" ")
+            _, two, three = phrase_hashes(words, lang, 3)
+            chosen = (two != 0) & _is_in(two, codes[lang])
+            at = np.flatnonzero((three != 0) & (chosen[:-1] | chosen[1:]))
+            counts.update((lang, b" ".join(words[i : i + 3])) for i in at.tolist())
+        rows = iter(counts.items())
+        while part := list(islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part]), pa.array([k[1] for k, _ in part], pa.binary()).cast(pa.string()), pa.array([n for _, n in part], pa.int64())], ["lang", "phrase", "n"])
+
+    return corpus.texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= corpus.least).select("lang", "phrase")
+
+
+def first_phrases(corpus: Corpus, top: int, most: int | None = None) -> DataFrame | None:
+    """scored() of the first ``top`` phrases of each language, with some more.
+
+    The phrases of highest bound are counted, with their parts and what may hold them. If the last of the first ``top`` scores higher than
+    any phrase left out may, all are found; else more are counted.
+    """
+    most = most or 4 * top
+    counters = corpus.counters(2)
+    some = counters.count()
+    if not some:
+        return None
+    while True:
+        found = None
+        for heavy, counts in _ranges(counters, some, corpus.bits):
+            part = durable(likely(corpus, heavy, counts, most).distinct(), "likely")
+            found = part if found is None else found.unionByName(part)
+        ranked = found.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("bound"), "phrase"))).where(F.col("nth") <= most)
+        chosen = durable(ranked, "chosen")
+        limits = chosen.where(F.col("nth") == most).select("lang", F.col("bound").alias("limit"))
+        parts = F.split("phrase", " ")
+        pairs: dict[str, list[bytes]] = {}
+        for r in chosen.where(F.size(parts) == 2).select("lang", "phrase").toArrow().to_pylist():
+            pairs.setdefault(r["lang"], []).append(r["phrase"].encode())
+        own = chosen.select("lang", "phrase")
+        inner = chosen.where(F.size(parts) == 3).select("lang", F.explode(F.array(F.array_join(F.slice(parts, 1, 2), " "), F.array_join(F.slice(parts, 2, 2), " "))).alias("phrase"))
+        listed = own.unionByName(inner)
+        if pairs:
+            listed = listed.unionByName(around(corpus, pairs))
+        counted = _counted(corpus, listed.distinct())
+        if counted is None:
+            if not limits.limit(1).count():
+                return None
+        else:
+            rows = durable(scored(corpus, counted.join(own, ["lang", "phrase"], "left_semi"), counted), "scored")
+            nth = rows.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score")))).where(F.col("nth") == top).select("lang", "score")
+            if not limits.join(nth, "lang", "left").where("score is null or score <= limit").limit(1).count():
+                return rows
+        most *= 4
 
 
 def _part(words: Column, first, n) -> Column:
     return F.array_join(F.slice(words, first, n), " ")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int | None = TOP) -> DataFrame:
-    """docs(lang, text) -> lang, rank (from 1), phrase, a, l, r, n, score of the first ``top`` phrases of each language, or of all."""
-    phrases, words = phrase_counts(docs, least, longest)
-    phrases = durable(phrases, "phrases").withColumn("w", F.split("phrase", " "))
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    single = words.where(F.col("n") >= least).select("lang", F.col("word").cast("string").alias("part"), F.col("n").alias("f"))
-    few = single.limit(MAX_WORDS + 1).count() <= MAX_WORDS
-    several = phrases.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
+def scored(corpus: Corpus, phrases: DataFrame, counted: DataFrame) -> DataFrame:
+    """phrases(lang, phrase, a) that no longer phrase of counted(lang, phrase, a) hides: lang, phrase, a, l, r, score. counted has their parts of several words."""
+    phrases, every = (t.withColumn("w", F.split("phrase", " ")) for t in (phrases, counted))
+    single = corpus.frequent.select("lang", F.col("word").cast("string").alias("part"), F.col("n").alias("f"))
+    several = counted.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
     cuts = phrases.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", F.size("w").alias("of"), _part(F.col("w"), F.lit(1), F.col("k")).alias("first"), _part(F.col("w"), F.col("k") + 1, F.size("w")).alias("rest"))
 
     def looked_up(rows: DataFrame, part: str, name: str, alone: Column) -> DataFrame:
         """One word is looked up in a table that is mostly small; longer parts are as many as phrases."""
         of = lambda t: t.select("lang", F.col("part").alias(part), F.col("f").alias(name))
-        return rows.where(alone).join(F.broadcast(of(single)) if few else of(single), ["lang", part]).unionByName(rows.where(~alone).join(of(several), ["lang", part]))
+        return rows.where(alone).join(F.broadcast(of(single)) if corpus.few else of(single), ["lang", part]).unionByName(rows.where(~alone).join(of(several), ["lang", part]))
 
     both = looked_up(looked_up(cuts, "first", "l", F.col("k") == 1), "rest", "r", F.col("of") - F.col("k") == 1)
     big = lambda c: F.col(c).cast("decimal(16,0)")
-    scored = both.withColumn("a_", big("a")).withColumn("l_", big("l")).withColumn("r_", big("r")).withColumn("score", F.expr("(a_ * a_ * cast(1000000 as decimal(7,0))) div (l_ * r_)"))
-    best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
-    longer = phrases.where(F.size("w") > 2).select("lang", "a", "w", F.explode(F.sequence(F.lit(2), F.size("w") - 1)).alias("k"))
+    each = both.withColumns({"a_": big("a"), "l_": big("l"), "r_": big("r")}).withColumn("score", F.expr("(a_ * a_ * cast(1000000 as decimal(7,0))) div (l_ * r_)"))
+    best = each.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
+    longer = every.where(F.size("w") > 2).select("lang", "a", "w", F.explode(F.sequence(F.lit(2), F.size("w") - 1)).alias("k"))
     inside = longer.select("lang", "a", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice("w", i, F.col("k")), " "))).alias("phrase"))
     held = inside.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = best.join(held, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < 50 * F.col("a"), F.lit(True)))
-    order = W.partitionBy("lang").orderBy(F.desc("b.score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long"))
+    return kept.select("lang", "phrase", "a", F.col("b.l").alias("l"), F.col("b.r").alias("r"), F.col("b.score").alias("score"))
+
+
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int | None = TOP) -> DataFrame:
+    """docs(lang, text) -> lang, rank (from 1), phrase, a, l, r, n, score of the first ``top`` phrases of each language, or of all."""
+    corpus = Corpus(docs, least)
+    if top is not None and longest == 3 and corpus.few:
+        rows = first_phrases(corpus, top)
+    else:
+        counted = all_phrases(corpus, longest)
+        rows = None if counted is None else scored(corpus, counted, counted)
+    if rows is None:
+        return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
+    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long"))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", F.col("b.l").alias("l"), F.col("b.r").alias("r"), "n", F.col("b.score").alias("score"))
+    totals = corpus.words.groupBy("lang").agg(F.sum("n").alias("n"))
+    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def brute_force(docs: list[tuple], least: int = LEAST, longest: int = LONGEST, top: int | None = TOP) -> list[tuple]:

@@ -44,6 +44,21 @@ def test_ties_and_top(spark):
     assert got == sorted(collocations.brute_force(docs, top=2)) and [r[2] for r in got if r[0] == "en"] == ["a d", "b c"]
 
 
+def test_first_phrases_by_bounds(spark, monkeypatch):
+    """The pruned way gives the first rows of all, also when its first lists are too short, and in ranges and blocks."""
+    docs = _docs(3)
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(5)
+    want = sorted(collocations.brute_force(docs, 5, 3, 9))
+    assert sorted(map(tuple, collocations.collocations(df, 5, 3, 9).collect())) == want and len(want) > 20
+    whole = collocations.first_phrases
+    monkeypatch.setattr(collocations, "first_phrases", lambda corpus, top: whole(corpus, top, 2))
+    for name, value in (("RANGE_COUNTERS", 20), ("BLOCK_PATTERNS", 30), ("_TOGETHER", 50)):
+        monkeypatch.setattr(collocations, name, value)
+    assert sorted(map(tuple, collocations.collocations(df, 5, 3, 9).collect())) == want
+    monkeypatch.setattr(collocations, "MAX_WORDS", 2)
+    assert sorted(map(tuple, collocations.collocations(df, 5, 3, 9).collect())) == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "lang string, text string")
     assert collocations.collocations(df).count() == 0
