@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +38,7 @@ def enriched_query(messages: DataFrame, questions: DataFrame, n: int = 3) -> Dat
     lists = F.transform(F.array_sort(F.collect_list(F.struct("turn", "cited"))), lambda m: m["cited"])
     cited = last.groupBy("conv_id").agg(F.array_distinct(F.flatten(lists)).alias("cited"))
     j = questions.join(asked, "conv_id", "left").join(cited, "conv_id", "left")
+    # The titles of both lines
     line = lambda title, items, sep: F.when(F.size(items) > 0, F.concat(F.lit(title), F.array_join(items, sep)))
     return j.select("conv_id", F.concat_ws("\n", line("Recent conversation questions: ", "texts", " | "), line("Recently discussed code: ", "cited", ", "), F.col("question")).alias("query"))
 
@@ -54,34 +57,34 @@ README_TRUNCATED = "\n\n[...truncated...]"
 README_NAMES = ["README", "README.rst", "README.txt", "Readme.rst", "readme.txt"]
 
 
+def _estimate(text: str) -> int:
+    return int(len(text) / 3.0) + 1 if text else 0
+
+
 def fit_context(history: list[str], readme: str, evidence: list[str], budget: int) -> tuple[int, str, list[str]]:
     """(history messages dropped, README, evidence) that fit the budget of estimated tokens.
 
     The oldest messages ("role: text") go first, then the end of the README, then the ends of the evidence
-    from the worst on. No evidence is dropped, and what is left of the best has a character at least.
+    from the worst on. No evidence is dropped: at its shortest it has a character and the mark. So what is over at each
+    place of the evidence is a running sum of what the worse ones save at their shortest, and one cut at the first
+    place that has room for the rest is all there is to do.
     """
-    est = lambda s: int(len(s) / 3.0) + 1 if s else 0
-    costs = [est(m) for m in history]
-    rest, evidence = est(readme) + sum(map(est, evidence)), list(evidence)
-    over = sum(costs) + rest - budget
-    dropped = 0
-    while over > 0 and dropped < len(costs):
-        over -= costs[dropped]
-        dropped += 1
+    rest = _estimate(readme) + sum(map(_estimate, evidence))
+    after = list(accumulate(map(_estimate, reversed(history)), initial=rest))  # cost with the newest 0, 1, ... messages
+    kept = max((n for n, cost in enumerate(after) if cost <= budget), default=0)
+    over = after[kept] - budget
     if over > 0 and readme:
-        keep = len(readme) - 3 * over - len(TRUNCATED)
-        short = readme[:keep].rstrip() + TRUNCATED if keep > 0 else ""
-        over += est(short) - est(readme)
+        room = len(readme) - 3 * over - len(TRUNCATED)
+        short = readme[:room].rstrip() + TRUNCATED if room > 0 else ""
+        over -= _estimate(readme) - _estimate(short)
         readme = short
-    for i in reversed(range(len(evidence))):
-        if over <= 0:
-            break
-        text = evidence[i]
-        keep = max(len(text) - 3 * over - len(TRUNCATED), 1 if i == 0 else 0)
-        if keep < len(text):
-            evidence[i] = (text[:keep].rstrip() or text[:1]) + TRUNCATED
-            over += est(evidence[i]) - est(text)
-    return dropped, readme, evidence
+    shortest = [t[:1] + TRUNCATED if len(t) > (i == 0) else t for i, t in enumerate(evidence)]
+    saved = [_estimate(t) - _estimate(s) for t, s in zip(evidence, shortest, strict=True)]
+    left = list(accumulate((-x for x in reversed(saved)), initial=over))[-2::-1]
+    room = [len(t) - 3 * o - len(TRUNCATED) for t, o in zip(evidence, left, strict=True)]
+    at = max((i for i, (o, r) in enumerate(zip(left, room, strict=True)) if o <= 0 or r > 0), default=-1)
+    cut = [(evidence[at][: room[at]].rstrip() or evidence[at][:1]) + TRUNCATED if left[at] > 0 else evidence[at]] if at >= 0 else []
+    return len(history) - kept, readme, evidence[: max(at, 0)] + cut + shortest[at + 1 :]
 
 
 def context_budget(contexts: DataFrame, budget: int) -> DataFrame:
@@ -115,6 +118,7 @@ def prompt_text(contexts: DataFrame) -> DataFrame:
 
 def answer_text(answers: DataFrame) -> DataFrame:
     """answers(id, raw, insufficient, ambiguous) -> id, text: a note before a weakly founded answer and after an ambiguous one; never empty."""
+    # The notes around an answer
     weak = "The repository does not contain enough evidence to fully answer this question. Here is the nearest relevant local evidence found:"
     close = "Multiple retrieved fragments were similarly relevant to this question."
     none = "The model did not return an answer for this question."

@@ -234,13 +234,13 @@ def seed_cache(entries: DataFrame) -> DataFrame:
     """entries(symbol_id, chunk_type, content, model_id, embedding, seq) -> cache rows by chunk id; rows without model or content are skipped, the last of a chunk stays."""
     usable = entries.where("coalesce(model_id, '') <> '' and coalesce(content, '') <> ''")
     keyed = usable.withColumn("chunk_id", tx.chunk_id(F.col("symbol_id"), F.col("chunk_type"), F.col("content"))).withColumn("norm", F.sha2(tx.normalize_content(F.col("content")), 256))
-    return keyed.groupBy("chunk_id", "chunk_type", "norm").agg(F.max_by(F.struct("model_id", "embedding", "seq"), "seq").alias("x")).select("chunk_id", "chunk_type", "norm", "x.*")
+    return keyed.groupBy("chunk_id", "chunk_type", "norm").agg(F.max_by(F.struct("model_id", "embedding", "seq"), F.struct("seq", "model_id", "embedding")).alias("x")).select("chunk_id", "chunk_type", "norm", "x.*")
 
 
 def cached_embeddings(chunks: DataFrame, cache: DataFrame, model_id: str) -> DataFrame:
     """chunks(chunk_id, chunk_type, content) with the cached embedding: of the same chunk, else of the last equal content of its type, of this model only."""
     norm = F.sha2(tx.normalize_content(F.col("content")), 256)
     by_id = cache.select("chunk_id", F.when(F.col("model_id") == model_id, F.col("embedding")).alias("own"))
-    by_content = cache.groupBy("chunk_type", "norm").agg(F.max_by(F.struct("model_id", "embedding"), "seq").alias("y")).select("chunk_type", "norm", F.when(F.col("y.model_id") == model_id, F.col("y.embedding")).alias("same"))
+    by_content = cache.groupBy("chunk_type", "norm").agg(F.max_by(F.struct("model_id", "embedding"), F.struct("seq", "model_id", "embedding")).alias("y")).select("chunk_type", "norm", F.when(F.col("y.model_id") == model_id, F.col("y.embedding")).alias("same"))
     out = chunks.withColumn("norm", norm).join(by_id, "chunk_id", "left").join(by_content, ["chunk_type", "norm"], "left")
     return out.withColumn("embedding", F.coalesce("own", "same")).withColumn("hit", F.col("embedding").isNotNull()).drop("own", "same", "norm")

@@ -44,9 +44,10 @@ def symmetric_difference(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def ledger_recall(units: DataFrame, ledger: DataFrame) -> DataFrame:
-    """units(unit, name, hash), ledger(name, hash, summary, at): fresh by hash, else stale by the latest of the name, else missing."""
-    exact = ledger.groupBy("hash").agg(F.max_by("summary", "at").alias("exact"))
-    latest = ledger.groupBy("name").agg(F.max_by("summary", "at").alias("latest"))
+    """units(unit, name, hash), ledger(name, hash, summary, at): fresh by hash, else stale by the latest of the name, else missing. Of one time the greater summary counts."""
+    newest = F.max_by("summary", F.struct("at", "summary"))
+    exact = ledger.groupBy("hash").agg(newest.alias("exact"))
+    latest = ledger.groupBy("name").agg(newest.alias("latest"))
     j = units.join(exact, "hash", "left").join(latest, "name", "left")
     state = F.when(F.col("exact").isNotNull(), "fresh").when(F.col("latest").isNotNull(), "stale").otherwise("missing")
     return j.select("unit", state.alias("state"), F.coalesce("exact", "latest").alias("summary"))
@@ -113,8 +114,8 @@ def remove_files(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
 
 
 def last_metadata(edges: DataFrame, order: str) -> DataFrame:
-    """One row a (src, dst, type); the metadata of the last by ``order`` stays."""
-    return edges.groupBy("src", "dst", "type").agg(F.max_by("metadata", order).alias("metadata"))
+    """One row a (src, dst, type); the metadata of the last by ``order`` stays, of equal ones the greater as text."""
+    return edges.groupBy("src", "dst", "type").agg(F.max_by("metadata", F.struct(F.col(order), F.col("metadata").cast("string").alias("text"))).alias("metadata"))
 
 
 def next_sequence(existing: DataFrame, new: DataFrame, value: str, order: list) -> DataFrame:
@@ -176,8 +177,8 @@ def narrative_state(requests: DataFrame, cache: DataFrame, answers: DataFrame) -
     The stored text of the same prompt; else the model's answer; else the latest stored text of the repository, as
     'previous-prompt' where the repository is the one it described and as 'stale' where it is not; else 'none'.
     """
-    hit = cache.groupBy("repo", "key").agg(F.max_by("text", "at").alias("hit"))
-    latest = cache.groupBy("repo").agg(F.max_by(F.struct("text", "fingerprint"), "at").alias("last"))
+    hit = cache.groupBy("repo", "key").agg(F.max_by("text", F.struct("at", "text")).alias("hit"))
+    latest = cache.groupBy("repo").agg(F.max_by(F.struct("text", "fingerprint"), F.struct("at", "text", "fingerprint")).alias("last"))
     j = requests.join(hit, ["repo", "key"], "left").join(answers.select("repo", F.col("text").alias("answer")), "repo", "left").join(latest, "repo", "left")
     same = F.coalesce(F.col("last.fingerprint") == F.col("fingerprint"), F.lit(False))
     state = F.when(F.col("hit").isNotNull(), "cached").when(F.col("answer").isNotNull(), "generated").when(F.col("last").isNull(), "none").when(same, "previous-prompt").otherwise("stale")

@@ -168,16 +168,31 @@ def java_imports(spark, d):
     return cg.java_imports(j.select("file", F.element_at(forms, (F.col("l_linenumber") % 4 + 1).cast("int")).alias("name")), jf)
 
 
-_JS_FILES = [("web/app.ts",), ("web/util.js",), ("web/util/index.ts",), ("web/ui/button.tsx",), ("web/ui/index.jsx",), ("lib/core.mjs",), ("web/data.json",)]
-_JS_NAMES = ["./util", "../lib/core", "./ui", "./ui/button", "react", "./data.json", "../../up", "./app", "./ui/../util.js", "./absent"]
+#: Folder and ending of a page's file, and how a file names another one, by number.
+_JS_PLACES = [("web", ".ts"), ("web", ".js"), ("web/ui", ".tsx"), ("web/ui", "/index.jsx"), ("lib", ".mjs"), ("lib", ".json")]
 
 
-@query(f"""WITH {sql_values('f', _JS_FILES, 'path')}, {sql_values('n', [(x,) for x in _JS_NAMES], 'name')}, {sql_values('e', list(enumerate(cg.JS_ENDINGS)), 'i, ending')},
-{sql_values('w', [('web/app.ts', './util', 'web/util'), ('web/app.ts', '../lib/core', 'lib/core'), ('web/app.ts', './ui', 'web/ui'), ('web/app.ts', './ui/button', 'web/ui/button'), ('web/app.ts', './data.json', 'web/data.json'), ('web/app.ts', './app', 'web/app'), ('web/app.ts', './ui/../util.js', 'web/util.js'), ('web/app.ts', './absent', 'web/absent')], 'file, name, base')}
-SELECT file, name, arg_min(path, i) AS target FROM w, e JOIN f ON f.path = base || ending AND f.path <> file GROUP BY file, name""")
+def _js_sql() -> str:
+    place = lambda k: f"CASE {k} % 6 " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, _) in enumerate(_JS_PLACES)) + " END"
+    end = lambda k: f"CASE {k} % 6 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(_JS_PLACES)) + " END"
+    return f"""p AS (SELECT page_id AS k, {place('page_id')} AS dir, {place('page_id')} || '/p' || page_id || {end('page_id')} AS path FROM pages),
+i AS (SELECT p.k, p.dir, p.path AS file, q.dir || '/p' || q.k AS base, q.path AS target, p.k % 5 AS form, j FROM p, range(1, 4) t(j) JOIN p q ON q.k = p.k + j),
+up AS (SELECT *, CASE k % 6 WHEN 2 THEN '../../' WHEN 3 THEN '../../../' ELSE '../' END AS up FROM i)"""
+
+
+@query(f"""WITH {_js_sql()}, {sql_values('e', list(enumerate(cg.JS_ENDINGS)), 'n, ending')},
+w AS (SELECT file, CASE form WHEN 0 THEN up || base WHEN 1 THEN './' || up || 'x/../' || base WHEN 2 THEN up || target WHEN 3 THEN up || base || '/absent' ELSE 'pkg/' || base END AS name, CASE form WHEN 0 THEN base WHEN 1 THEN base WHEN 2 THEN target WHEN 3 THEN base || '/absent' END AS at_ FROM up)
+SELECT file, name, arg_min(path, n) AS target FROM (SELECT DISTINCT * FROM w) w, e JOIN p ON p.path = at_ || ending AND p.path <> file GROUP BY file, name""")
 def js_imports(spark, d):
-    names = values(spark, [("web/app.ts", x) for x in _JS_NAMES], "file string, name string")
-    return cg.js_imports(names, values(spark, _JS_FILES, "path string"))
+    """Every page is a file that names the next three: without ending, by a detour, with its ending, a file below it, or a package."""
+    k = F.col("page_id")
+    pick = lambda n, at: F.element_at(F.array(*[F.lit(x[at]) for x in _JS_PLACES]), (n % 6 + 1).cast("int"))
+    pages = table(spark, d, "pages").select(k.alias("k"), pick(k, 0).alias("dir"), F.concat(pick(k, 0), F.lit("/p"), k, pick(k, 1)).alias("path"))
+    up = F.when(F.col("k") % 6 == 2, "../../").when(F.col("k") % 6 == 3, "../../../").otherwise("../")
+    q = pages.select(F.col("k").alias("other"), F.concat("dir", F.lit("/p"), "k").alias("base"), F.col("path").alias("target"))
+    named = pages.withColumn("other", F.explode(F.array(*[F.col("k") + i for i in (1, 2, 3)]))).join(q, "other")
+    forms = [F.concat(up, "base"), F.concat(F.lit("./"), up, F.lit("x/../"), "base"), F.concat(up, "target"), F.concat(up, "base", F.lit("/absent")), F.concat(F.lit("pkg/"), "base")]
+    return cg.js_imports(named.select(F.col("path").alias("file"), F.element_at(F.array(*forms), (F.col("k") % 5 + 1).cast("int")).alias("name")), pages.select("path"))
 
 
 def _decorated(spark, d) -> DataFrame:
@@ -241,12 +256,22 @@ def search_index_rows(spark, d):
     return cg.search_entries(files(spark, d), _decorated(spark, d)).select("name", "kind", "id")
 
 
-@query("""WITH t(i, text) AS (VALUES (0, 'import { a } from ''./x'';'), (1, 'from .m import y'), (2, 'import os, sys'), (3, 'import a.b as c'), (4, 'use std::io as io;'), (5, 'extern crate rand;'), (6, 'require lib/core'), (7, 'import (fmt)'), (8, '')),
-r(i, names) AS (VALUES (0, './x'), (1, '.m'), (2, 'os|sys'), (3, 'a.b'), (4, 'std::io'), (5, 'rand'), (6, 'lib/core'), (7, 'fmt'), (8, ''))
-SELECT i, text, names FROM t JOIN r USING (i)""")
+#: Import lines with a name in them and the names they import, by number.
+_IMPORT_FORMS = [("import {{ a }} from './{x}';", "./{x}"), ("from .{x} import y", ".{x}"), ("import {x}, sys", "{x}|sys"), ("import {x}.b as c", "{x}.b"), ("use std::{x} as io;", "std::{x}"), ("extern crate {x};", "{x}"), ("require lib/{x}", "lib/{x}"), ("import ({x})", "{x}"), ("", "")]
+
+
+def _form_sql(at: int) -> str:
+    return "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN replace('" + f[at].format(x="{x}").replace("'", "''") + "', '{x}', x)" for i, f in enumerate(_IMPORT_FORMS)) + " END"
+
+
+@query(f"WITH p AS (SELECT p_partkey, 'n' || p_partkey || '_' || lower(split_part(p_name, ' ', 1)) AS x FROM part) SELECT p_partkey, {_form_sql(0)} AS text, {_form_sql(1)} AS names FROM p")
 def import_names(spark, d):
-    rows = [(0, "import { a } from './x';"), (1, "from .m import y"), (2, "import os, sys"), (3, "import a.b as c"), (4, "use std::io as io;"), (5, "extern crate rand;"), (6, "require lib/core"), (7, "import (fmt)"), (8, "")]
-    return values(spark, rows, "i int, text string").select("i", "text", F.array_join(cg.import_candidates(F.col("text")), "|").alias("names"))
+    """A line of one form or another for each part."""
+    k = F.col("p_partkey")
+    x = F.concat(F.lit("n"), k, F.lit("_"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))))
+    line = F.element_at(F.array(*[F.lit(f.format(x="{x}")) for f, _ in _IMPORT_FORMS]), (k % 9 + 1).cast("int"))
+    lines = table(spark, d, "part").select("p_partkey", F.replace(line, F.lit("{x}"), x).alias("text"))
+    return lines.select("p_partkey", "text", F.array_join(cg.import_candidates(F.col("text")), "|").alias("names"))
 
 
 @query(f"""WITH {_REPO}, s AS (SELECT *, CAST(substr(id, 2) AS BIGINT) AS k FROM syms), o AS (SELECT id, kind, file, CASE WHEN k % 19 = 0 THEN '_' || name ELSE name END AS name, k % 23 = 0 AS nested, k FROM s)

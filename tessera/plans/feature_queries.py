@@ -17,7 +17,7 @@ nc AS (SELECT count(*) AS nc FROM customer),
 imp AS (SELECT 'c' || o_custkey AS src, 'c' || (o_orderkey * 7) % nc AS dst, CAST(count(*) AS BIGINT) AS w FROM orders, nc WHERE o_custkey <> (o_orderkey * 7) % nc GROUP BY 1, 2),
 adj AS (SELECT a, b, CAST(sum(w) AS BIGINT) AS w FROM (SELECT src AS a, dst AS b, w FROM imp UNION ALL SELECT dst, src, w FROM imp) GROUP BY a, b),
 pts AS (SELECT 's' || s_suppkey AS point, 'c' || (s_suppkey * 3) % nc AS key, CASE s_suppkey % 4 WHEN 0 THEN 'cli-command' WHEN 1 THEN 'main' ELSE 'function' END AS kind FROM supplier, nc),
-rch AS (SELECT DISTINCT 's' || l_suppkey AS point, 'c' || l_partkey % nc AS key FROM lineitem, nc WHERE l_linenumber <= 2),
+rch AS (SELECT DISTINCT 's' || l_suppkey AS point, 'c' || l_partkey % nc AS key FROM lineitem, nc),
 mem AS (SELECT 'f' || nat AS feature, key FROM mods),
 ev AS (SELECT m.key, m.name, m.k % 9 = 0 AS is_test, CASE WHEN m.k % 9 = 0 THEN 0 ELSE coalesce(p.n, 0) END AS n_points, m.k % 9 <> 0 AND coalesce(p.e, false) AS is_entry, m.k % 9 <> 0 AND p.n IS NOT NULL AS is_seed
   FROM mods m LEFT JOIN (SELECT key, count(*) AS n, bool_or(kind <> 'function') AS e FROM pts GROUP BY key) p USING (key)),
@@ -52,7 +52,7 @@ def points(spark, d) -> DataFrame:
 
 
 def reach(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.concat(F.lit("s"), "l_suppkey").alias("point"), F.concat(F.lit("c"), F.col("l_partkey") % _n(spark, d)).alias("key")).distinct()
+    return table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("point"), F.concat(F.lit("c"), F.col("l_partkey") % _n(spark, d)).alias("key")).distinct()
 
 
 def members(spark, d) -> DataFrame:

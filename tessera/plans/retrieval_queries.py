@@ -56,32 +56,32 @@ def evidence_flags(spark, d):
     return retrieval.evidence_flags(found, q)
 
 
-_NEAR = """ed AS (SELECT DISTINCT l_partkey % 500 AS a, l_suppkey % 500 AS b FROM lineitem WHERE l_linenumber <= 2), nb AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
-adjn AS (SELECT DISTINCT r.qid, nb.b AS id FROM (SELECT qid FROM q) r JOIN nb ON nb.a = r.qid)"""
+_NEAR = """ed AS (SELECT DISTINCT l_partkey % 500 AS a, l_suppkey % 500 AS b FROM lineitem), nb AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed)"""
 
 
-@query(f"""WITH {_KNN.format(where='')}, r AS (SELECT * FROM knn WHERE rank <= 5), {_NEAR}
+@query(f"""WITH {_KNN.format(where='')}, r AS (SELECT * FROM knn WHERE rank <= 5), {_NEAR}, md AS (SELECT vec_id AS id, vec_id - 1 AS module FROM embeddings WHERE vec_id % 20 = 1),
+at_ AS (SELECT DISTINCT qid, coalesce(md.id, qid) AS n FROM q LEFT JOIN md ON module = qid), n1 AS (SELECT DISTINCT qid, b AS id FROM at_ JOIN nb ON a = n), adjn AS (SELECT qid, id FROM n1 UNION SELECT qid, module FROM n1 JOIN md USING (id))
 SELECT r.qid, r.id, rank, row_number() OVER (PARTITION BY r.qid ORDER BY (adjn.id IS NOT NULL) DESC, rank) AS new_rank FROM r LEFT JOIN adjn ON adjn.qid = r.qid AND adjn.id = r.id""")
 def graph_rerank(spark, d):
-    """The cited node of each question is its own id; line items tie parts and suppliers."""
+    """Line items tie parts and suppliers. A question cites the module of its own id, which stands for the file whose id is one more; neighbouring files bring their modules."""
     r = retrieval.knn(_corpus(spark, d), _vec_queries(spark, d), 5)
-    edges = table(spark, d, "lineitem").where("l_linenumber <= 2").select((F.col("l_partkey") % 500).cast("string").alias("src"), (F.col("l_suppkey") % 500).cast("string").alias("dst")).distinct()
+    edges = table(spark, d, "lineitem").select((F.col("l_partkey") % 500).cast("string").alias("src"), (F.col("l_suppkey") % 500).cast("string").alias("dst")).distinct()
     cited = _vec_queries(spark, d).select("qid", F.col("qid").cast("string").alias("id"))
-    nodes = spark.createDataFrame([], "id string, module_id string")
+    nodes = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.when(F.col("vec_id") % 20 == 1, (F.col("vec_id") - 1).cast("string")).alias("module_id"))
     near = cg.rerank_neighbours(edges, nodes, cited).select("qid", F.col("id").cast("long").alias("id"))
     return retrieval.rerank_adjacent(r, near).select("qid", "id", "rank", "new_rank")
 
 
 @query(f"""WITH {_KNN.format(where='')}, r AS (SELECT * FROM knn WHERE rank <= 5), {_NEAR}, t AS (SELECT qid, score AS top FROM r WHERE rank = 1),
 fl AS (SELECT qid, top < 0.15 AS insufficient, count(*) FILTER (top - score <= 0.05) >= 2 AS ambiguous FROM r JOIN t USING (qid) GROUP BY qid, top),
-o AS (SELECT r.qid, 'sym' || r.id % 7 AS s, 'file' || r.id % 3 AS f, row_number() OVER (PARTITION BY r.qid ORDER BY (adjn.id IS NOT NULL) DESC, rank) AS p FROM r LEFT JOIN (SELECT DISTINCT qid, 'sym' || id % 7 AS id FROM adjn WHERE id % 7 < 2) adjn ON adjn.qid = r.qid AND adjn.id = 'sym' || r.id % 7),
+o AS (SELECT r.qid, 'sym' || r.id % 7 AS s, 'file' || r.id % 3 AS f, row_number() OVER (PARTITION BY r.qid ORDER BY (adjn.id IS NOT NULL) DESC, rank) AS p FROM r LEFT JOIN (SELECT DISTINCT qid, 'sym' || b % 7 AS id FROM q JOIN nb ON a = qid WHERE b % 7 < 2) adjn ON adjn.qid = r.qid AND adjn.id = 'sym' || r.id % 7),
 cs AS (SELECT qid, string_agg(s, ',' ORDER BY p) AS symbols FROM (SELECT qid, s, min(p) AS p FROM o GROUP BY qid, s) GROUP BY qid), cf AS (SELECT qid, string_agg(f, ',' ORDER BY p) AS files FROM (SELECT qid, f, min(p) AS p FROM o GROUP BY qid, f) GROUP BY qid)
 SELECT fl.qid, insufficient, ambiguous, symbols, files FROM fl JOIN cs USING (qid) JOIN cf USING (qid)""")
 def answer_context(spark, d):
     q = _vec_queries(spark, d)
     r = retrieval.knn(_corpus(spark, d), q, 5).withColumns({"symbol_id": F.concat(F.lit("sym"), F.col("id") % 7), "file": F.concat(F.lit("file"), F.col("id") % 3)})
     a, b = F.col("l_partkey") % 500, F.col("l_suppkey") % 500
-    ed = table(spark, d, "lineitem").where("l_linenumber <= 2").select(a.alias("a"), b.alias("b"))
+    ed = table(spark, d, "lineitem").select(a.alias("a"), b.alias("b"))
     near = ed.union(ed.select("b", "a")).distinct().where("b % 7 < 2").select(F.col("a").alias("qid"), F.concat(F.lit("sym"), F.col("b") % 7).alias("id"))
     out = retrieval.answer_context(r.drop("id"), q.select("qid"), near.join(q.select("qid"), "qid", "left_semi"))
     return out.select("qid", "insufficient", "ambiguous", F.array_join("symbol_ids", ",").alias("symbols"), F.array_join("files", ",").alias("files"))
@@ -142,28 +142,35 @@ def recent_citations(spark, d):
     return context.recent_citations(_messages(spark, d)).select("conv_id", F.array_join("cited", ",").alias("cited"))
 
 
-def _contexts(spark, d) -> DataFrame:
+def _conversations(spark, d) -> DataFrame:
     m = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.coalesce("text", F.lit(""))).alias("t")))).alias("h"))
-    docs = table(spark, d, "documents").select((F.col("doc_id") % 1000).alias("id"), F.col("doc_id").alias("n"), "text").where(F.col("n") < 3000).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("e"))
-    j = m.join(docs, "id", "left")
-    return j.select("id", F.transform("h", lambda x: x["t"]).alias("history"), F.substring(F.get("e", F.lit(0))["text"], 1, 500).alias("readme"), F.transform("e", lambda x: x["text"]).alias("evidence"))
+    return m.select("id", F.transform("h", lambda x: x["t"]).alias("history"))
+
+
+def _contexts(spark, d) -> DataFrame:
+    """Conversations with documents dealt to them by id; the first is the README. As many documents a conversation as there are of each."""
+    chats = _conversations(spark, d)
+    n = chats.agg(F.max("id")).first()[0] + 1
+    docs = table(spark, d, "documents").select(F.pmod("doc_id", F.lit(n)).alias("id"), F.col("doc_id").alias("n"), "text").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("e"))
+    return chats.join(docs, "id", "left").select("id", "history", F.get("e", F.lit(0))["text"].alias("readme"), F.transform("e", lambda x: x["text"]).alias("evidence"))
 
 
 @query()
 def context_budget_full(spark, d):
-    """Conversations with documents as README and evidence, within 300 estimated tokens."""
-    out = context.context_budget(_contexts(spark, d), 300)
+    """Conversations with all documents as README and evidence, whole, within 3,000 estimated tokens."""
+    out = context.context_budget(_contexts(spark, d), 3000)
     return out.select("id", "dropped", F.size("history").alias("n_history"), F.length("readme").alias("readme_length"), F.sha1(F.array_join("evidence", "\0")).alias("evidence"))
 
 
-@query("""WITH m AS (SELECT conv_id AS id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS h FROM conversations WHERE turn < 3 GROUP BY conv_id)
-SELECT id, concat_ws(chr(10) || chr(10), 'Conversation so far:' || chr(10) || h, CASE WHEN id % 2 = 0 THEN 'Project README (README):' || chr(10) || 'about ' || id END, CASE WHEN id % 3 = 0 THEN 'Retrieved evidence:' || chr(10) || 'a' || chr(10) || chr(10) || 'b' END, 'q' || id) AS prompt FROM m""")
+@query("""WITH m AS (SELECT conv_id AS id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS h FROM conversations GROUP BY conv_id), e AS (SELECT doc_id // 10 AS id, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS e FROM documents GROUP BY 1)
+SELECT m.id, sha256(concat_ws(chr(10) || chr(10), 'Conversation so far:' || chr(10) || h, CASE WHEN m.id % 2 = 0 THEN 'Project README (README):' || chr(10) || text END, 'Retrieved evidence:' || chr(10) || e, 'q' || m.id)) AS prompt FROM m LEFT JOIN e USING (id) LEFT JOIN documents ON doc_id = m.id""")
 def prompt_assembly(spark, d):
-    m = table(spark, d, "conversations").where("turn < 3").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t")))).alias("h"))
-    even, third = F.col("id") % 2 == 0, F.col("id") % 3 == 0
-    rows = m.select("id", F.transform("h", lambda x: x["t"]).alias("history"), F.concat(F.lit("q"), "id").alias("question"), F.lit("README").alias("readme_path"),
-                    F.when(even, F.concat(F.lit("about "), "id")).otherwise("").alias("readme"), F.when(third, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("evidence"))
-    return context.prompt_text(rows)
+    """Whole conversations; every second has the document of its id as README, and ten documents are its evidence."""
+    docs = table(spark, d, "documents")
+    found = docs.groupBy(F.floor(F.col("doc_id") / 10).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]).alias("evidence"))
+    rows = _conversations(spark, d).join(found, "id", "left").join(docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("readme")), "id", "left")
+    rows = rows.withColumns({"question": F.concat(F.lit("q"), "id"), "readme_path": F.lit("README"), "evidence": F.coalesce("evidence", F.array().cast("array<string>"))})
+    return context.prompt_text(rows).select("id", F.sha2("prompt", 256).alias("prompt"))
 
 
 @query("""SELECT event_id AS id, CASE WHEN event_type = 'view' AND value <= 50 AND user_id % 2 = 0 THEN 'The model did not return an answer for this question.' ELSE concat_ws(chr(10) || chr(10),
@@ -173,13 +180,13 @@ def answer_assembly(spark, d):
     return context.answer_text(table(spark, d, "events").select(F.col("event_id").alias("id"), said.alias("raw"), (F.col("value") > 50).alias("insufficient"), (F.col("user_id") % 2 == 1).alias("ambiguous")))
 
 
-_SYMS = "sy AS (SELECT doc_id AS id, source AS file, CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(substr(text, 1, 40), ' ' || chr(10)) END AS src, 'f' || doc_id || '()' AS sig, CASE WHEN doc_id % 4 = 0 THEN 'sum ' || lang END AS summary, CASE WHEN doc_id % 8 = 0 THEN 'doc' END AS doc FROM documents)"
+_SYMS = "sy AS (SELECT doc_id AS id, source AS file, CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS src, 'f' || doc_id || '()' AS sig, CASE WHEN doc_id % 4 = 0 THEN 'sum ' || lang END AS summary, CASE WHEN doc_id % 8 = 0 THEN 'doc' END AS doc FROM documents)"
 
 
 @query(f"WITH {_SYMS} SELECT id AS symbol_id, file, 'code' AS chunk_type, src AS content FROM sy WHERE src <> '' UNION ALL SELECT id, file, 'summary', concat_ws(chr(10) || chr(10), sig, doc, summary) FROM sy WHERE summary IS NOT NULL")
 def chunk_building(spark, d):
     k = F.col("doc_id")
-    s = table(spark, d, "documents").select(k.alias("symbol_id"), F.col("source").alias("file"), F.when(k % 3 == 0, "  ").otherwise(F.substring("text", 1, 40)).alias("source"), F.concat(F.lit("f"), k, F.lit("()")).alias("signature"),
+    s = table(spark, d, "documents").select(k.alias("symbol_id"), F.col("source").alias("file"), F.when(k % 3 == 0, "  ").otherwise(F.col("text")).alias("source"), F.concat(F.lit("f"), k, F.lit("()")).alias("signature"),
                                             F.when(k % 4 == 0, F.concat(F.lit("sum "), "lang")).alias("summary"), F.when(k % 8 == 0, " doc ").alias("docstring"))
     return retrieval.build_chunks(s.withColumn("symbol_id", F.col("symbol_id").cast("string"))).select(F.col("symbol_id").cast("long").alias("symbol_id"), "file", "chunk_type", "content")
 

@@ -79,14 +79,32 @@ def pages_in_target(spark, d):
     return store.pages_in_target(pages, table(spark, d, "lineitem").where("l_quantity > 45").select(F.concat(F.lit("p"), "l_partkey").alias("page")), False)
 
 
-@query("SELECT 'titles' AS case_, true AS navigation, false AS diagrams, false AS everything UNION ALL SELECT 'same', false, false, false UNION ALL SELECT 'module gone', true, true, false UNION ALL SELECT 'diagram came', false, true, false UNION ALL SELECT 'template', false, false, true")
+#: Kinds of pages by number.
+_PAGE_KINDS = ["module", "feature", "sequence-diagram", "class-diagram", "readme"]
+#: What happened to the pages between two builds: a condition for each that is gone, came, has another title or another template.
+_PAGE_CASES = {
+    "same": {}, "one gone": {"gone": "page_id % 5 = 0 and page_id < 20"}, "diagram came": {"came": "page_id % 5 = 3"}, "readme came": {"came": "page_id % 5 = 4"}, "feature titles": {"title": "page_id % 10 = 1"},
+    "module titles": {"title": "page_id % 5 = 0"}, "template of some": {"template": "page_id % 11 = 2"}, "all": {"gone": "page_id % 7 = 0", "came": "page_id % 7 = 1", "title": "page_id % 7 = 2", "template": "page_id % 7 = 3"},
+}
+
+
+def _flags_sql(case: str) -> str:
+    c = {k: _PAGE_CASES[case].get(k, "false") for k in ("gone", "came", "title", "template")}
+    return f"""SELECT '{case}' AS case_, coalesce(bool_or((moved AND kind IN ('module', 'feature')) OR (NOT moved AND kind = 'feature' AND {c['title']})), false) AS navigation,
+coalesce(bool_or(moved AND kind IN ('module', 'sequence-diagram', 'class-diagram', 'use-case-diagram')), false) AS diagrams, coalesce(bool_or(NOT moved AND {c['template']}), false) AS everything
+FROM (SELECT *, {c['gone']} OR {c['came']} AS moved FROM pg WHERE NOT ({c['gone']} AND {c['came']}))"""
+
+
+@query(f"WITH pg AS (SELECT page_id, {_PAGE_KINDS}[page_id % 5 + 1] AS kind FROM pages) " + " UNION ALL ".join(map(_flags_sql, _PAGE_CASES)))
 def regeneration_flags(spark, d):
-    base = [("m1", "module", "M", "t"), ("f1", "feature", "F", "t"), ("s1", "sequence-diagram", "S", "t")]
-    cases = {"titles": [base[0], ("f1", "feature", "G", "t"), base[2]], "same": base, "module gone": base[1:], "diagram came": [*base, ("s2", "sequence-diagram", "S", "t")], "template": [(a, b, c, "u") for a, b, c, _ in base]}
-    schema = "page string, kind string, title string, template string"
+    """The pages table before and after each of _PAGE_CASES."""
+    k = F.col("page_id")
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("p"), k).alias("page"), F.element_at(F.array(*map(F.lit, _PAGE_KINDS)), (k % 5 + 1).cast("int")).alias("kind"), F.col("url").alias("title"), F.lit("t").alias("template"))
     out = None
-    for name, rows in cases.items():
-        one = store.regeneration_flags(spark.createDataFrame(base, schema), spark.createDataFrame(rows, schema)).select(F.lit(name).alias("case_"), "*")
+    for name, case in _PAGE_CASES.items():
+        holds = lambda what: F.expr(case.get(what, "false"))
+        after = pages.where(~holds("gone")).withColumns({"title": F.when(holds("title"), F.concat("title", F.lit("!"))).otherwise(F.col("title")), "template": F.when(holds("template"), "u").otherwise(F.col("template"))})
+        one = store.regeneration_flags(pages.where(~holds("came")), after).select(F.lit(name).alias("case_"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -201,15 +219,15 @@ def range_containment(spark, d):
 
 
 @query("""WITH l AS (SELECT event_id, ts, user_id FROM events WHERE event_type = 'purchase'), r AS (SELECT event_id AS view_id, ts AS vt, user_id FROM events WHERE event_type = 'view')
-SELECT event_id, arg_max(view_id, vt) AS last_view, count(*) AS n FROM l JOIN r ON l.user_id = r.user_id AND vt <= ts AND vt > ts - INTERVAL 12 HOUR GROUP BY event_id""")
+SELECT event_id, arg_max(view_id, CAST(epoch_us(vt) AS HUGEINT) * 1000000000000 + view_id) AS last_view, count(*) AS n FROM l JOIN r ON l.user_id = r.user_id AND vt <= ts AND vt > ts - INTERVAL 12 HOUR GROUP BY event_id""")
 def interval_join(spark, d):
-    """Events and the earlier ones of the same user within twelve hours, met by half-day cells; the last of them is the as-of match."""
+    """Events and the earlier ones of the same user within twelve hours, met by half-day cells; the last of them, of one time that of greater id, is the as-of match."""
     e = table(spark, d, "events")
     cell = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / 43_200)
     left = e.where("event_type = 'purchase'").select("event_id", "ts", "user_id", F.explode(F.array(cell("ts"), cell("ts") - 1)).alias("cell"))
     right = e.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("ts").alias("vt"), "user_id", cell("ts").alias("cell"))
     j = left.join(right, ["user_id", "cell"]).where("vt <= ts and vt > ts - interval 12 hours")
-    return j.groupBy("event_id").agg(F.max_by("view_id", "vt").alias("last_view"), F.count("*").alias("n"))
+    return j.groupBy("event_id").agg(F.max_by("view_id", F.struct("vt", "view_id")).alias("last_view"), F.count("*").alias("n"))
 
 
 @query("SELECT user_id, count(*) AS n_events, arg_max(event_type, CAST(epoch_us(ts) AS HUGEINT) * 1000000 + event_id) AS last_kind FROM events GROUP BY user_id")
