@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from itertools import islice, repeat
 from operator import itemgetter
@@ -48,6 +49,7 @@ _TOGETHER, _ENTRIES = 2_000_000, 1_000_000
 #: A-Z lower-cased, a tab is a space, the marks that end a piece are line feeds. Works on UTF-8.
 _FOLD = bytes(10 if chr(c) in ".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _AUTOMATA: dict[str, dict] = {}
+_TABLES: dict[str, Table] = {}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -143,14 +145,47 @@ def guarded(docs: DataFrame, known) -> DataFrame:
     return docs.mapInArrow(run, "lang string, text string")
 
 
-def _is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """known is sorted and not empty."""
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+class Table:
+    """Numbers of a sorted array, found by hashing with open addressing for many values at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys = np.append(keys, np.uint64(2**64 - 1))  # a free slot leads to this one, which no value equals
+        left, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several the last one stays
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def _home(self, values: np.ndarray) -> np.ndarray:
+        return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """For each value its number, or -1."""
+        at = self._home(values)
+        out = self.slots[at]
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != values))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+            out[todo] = self.slots[at[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[out[todo]] != values[todo])]
+        return out
+
+
+def table(key: str, numbers: np.ndarray) -> Table:
+    """The table of these numbers; a worker keeps the last few."""
+    if key not in _TABLES:
+        if len(_TABLES) > 2:
+            _TABLES.clear()
+        _TABLES[key] = Table(numbers)
+    return _TABLES[key]
 
 
 def sketch(corpus: DataFrame, n: int, bits: int, shorter: np.ndarray | None) -> DataFrame:
     """bucket, count of the phrases of n words of guarded texts; shorter: the counters that phrases of n - 1 words must have, if they are known."""
-    shared = corpus.sparkSession.sparkContext.broadcast(shorter)
+    shared, key = corpus.sparkSession.sparkContext.broadcast(shorter), uuid.uuid4().hex
     shift = np.uint64(64 - bits)
 
     def run(batches):
@@ -164,7 +199,7 @@ def sketch(corpus: DataFrame, n: int, bits: int, shorter: np.ndarray | None) ->
             hashes = phrase_hashes(b" \n ".join(texts).split(b" "), lang, n)
             ok = hashes[-1] != 0
             if shared.value is not None and len(ok):
-                part = _is_in(hashes[-2] >> shift, shared.value) if len(shared.value) else np.zeros(len(hashes[-2]), bool)
+                part = table(key, shared.value).find(hashes[-2] >> shift) >= 0
                 ok &= part[:-1] & part[1:]
             held.append(hashes[-1][ok])
             size += len(held[-1])
@@ -178,7 +213,7 @@ def sketch(corpus: DataFrame, n: int, bits: int, shorter: np.ndarray | None) ->
 
 def candidates(corpus: DataFrame, n: int, bits: int, heavy: np.ndarray) -> DataFrame:
     """lang, phrase: the phrases of n words whose counter is in heavy (sorted), each once."""
-    shared = corpus.sparkSession.sparkContext.broadcast(heavy)
+    shared, key = corpus.sparkSession.sparkContext.broadcast(heavy), uuid.uuid4().hex
     shift = np.uint64(64 - bits)
 
     def run(batches):
@@ -187,7 +222,7 @@ def candidates(corpus: DataFrame, n: int, bits: int, heavy: np.ndarray) -> DataF
             words = b" \n ".join(texts).split(b" ")
             h = phrase_hashes(words, lang, n)[-1]
             at = np.flatnonzero(h)
-            at = at[_is_in(h[at] >> shift, shared.value)]
+            at = at[table(key, shared.value).find(h[at] >> shift) >= 0]
             own, first = np.unique(h[at], return_index=True)
             out = []
             for x, i in zip(own.tolist(), at[first].tolist(), strict=True):
@@ -220,8 +255,6 @@ def automata(key: str, patterns: list[tuple[int, str, str]]) -> dict:
 
 def matches(corpus: DataFrame, patterns: list[tuple[int, str, str]]) -> DataFrame:
     """id, a: occurrences, overlapping ones too, of patterns(id, lang, phrase) in guarded texts of their language."""
-    import uuid
-
     shared, key = corpus.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
 
     def run(batches):
@@ -310,19 +343,18 @@ def all_phrases(corpus: Corpus, longest: int) -> DataFrame | None:
     return None if found is None else _counted(corpus, found)
 
 
-def likely(corpus: Corpus, heavy: np.ndarray, counts: np.ndarray, most: int) -> DataFrame:
-    """lang, phrase, bound: of each task and language the ``most`` phrases of two and three words whose score is bounded highest.
+def likely(corpus: Corpus, parts: list[tuple[int, np.ndarray, np.ndarray]], most: int) -> DataFrame:
+    """lang, phrase, bound: of each task and language the ``most`` phrases whose score is bounded highest, for counters (words, numbers, counts) of two and three words.
 
-    heavy and counts are counters of two words. A phrase of two occurs at most as often as its counter or either word, one of three as its first two
-    words or its last word; the parts of a phrase occur as often as it does at least. The bound of a phrase is the same in all tasks, so whatever is
-    among the first of all is among the first of each task that has it.
+    A phrase occurs at most as often as its counter or any of its words, and its parts of several words as often as it does at least. The bound of a
+    phrase is the same in all tasks, so whatever is among the first of all is among the first of each task that has it.
     """
-    shared = corpus.texts.sparkSession.sparkContext.broadcast((heavy, counts))
+    shared = corpus.texts.sparkSession.sparkContext.broadcast(parts)
+    keys = [uuid.uuid4().hex for _ in parts]
     known, shift = corpus.known, np.uint64(64 - corpus.bits)
 
     def run(batches):
-        heavy, counts = shared.value
-        tables: dict[str, tuple] = {}
+        vocabulary: dict[str, tuple] = {}
         best: dict[str, dict[int, tuple[float, bytes]]] = {}
         floor: dict[str, float] = {}
 
@@ -333,28 +365,28 @@ def likely(corpus: Corpus, heavy: np.ndarray, counts: np.ndarray, most: int) ->
                 floor[lang] = own[-1][1][0]
 
         for lang, texts in _by_lang(batches):
-            if lang not in tables:
+            if lang not in vocabulary:
                 names, n = known.value.get(lang, ([], []))
-                tables[lang] = {w: i for i, w in enumerate(names)}, np.array([*n, 0], np.float64)
+                vocabulary[lang] = {w: i for i, w in enumerate(names)}, np.array([*n, 0], np.float64)
                 best[lang], floor[lang] = {}, 0.0
-            number, n_of = tables[lang]
+            number, n_of = vocabulary[lang]
             words = b" \n ".join(texts).split(b" ")
             h = phrase_hashes(words, lang, 3)
             n = n_of[np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))]
-            bucket = h[1] >> shift
-            place = np.minimum(np.searchsorted(heavy, bucket), len(heavy) - 1)
-            a = np.where((heavy[place] == bucket) & (h[1] != 0), counts[place], 0).astype(np.float64)
-            a = np.minimum(a, np.minimum(n[:-1], n[1:]))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                two = 1e6 * a * a / (n[:-1] * n[1:])
-                a3 = np.minimum(a[:-1], n[2:])
-                three = np.where(h[2] != 0, 1e6 * a3 / np.maximum(n[:-2], n[2:]), 0)
-            for size, code, bound in ((2, h[1], two), (3, h[2], three)):
-                at = np.flatnonzero((bound > 0) & (bound >= floor[lang]))
-                own, first = np.unique(code[at], return_index=True)
-                for x, i in zip(own.tolist(), at[first].tolist(), strict=True):
+            for key, (size, numbers, counts) in zip(keys, shared.value, strict=True):
+                code = h[size - 1]
+                at = np.flatnonzero(code)
+                found = table(key, numbers).find(code[at] >> shift)
+                at, found = at[found >= 0], found[found >= 0]
+                first, last = n[at], n[at + size - 1]
+                a = np.minimum(counts[found].astype(np.float64), np.minimum(first, last))
+                bound = 1e6 * a * a / (first * last) if size == 2 else 1e6 * np.minimum(a, n[at + 1]) / np.maximum(first, last)
+                ok = bound >= floor[lang]
+                at, bound = at[ok], bound[ok]
+                own, nth = np.unique(code[at], return_index=True)
+                for x, i, b in zip(own.tolist(), at[nth].tolist(), bound[nth].tolist(), strict=True):
                     if x not in best[lang]:
-                        best[lang][x] = (float(bound[i]), b" ".join(words[i : i + size]))
+                        best[lang][x] = (b, b" ".join(words[i : i + size]))
             if len(best[lang]) > 4 * most:
                 prune(lang)
         for lang in best:
@@ -370,16 +402,17 @@ def around(corpus: Corpus, pairs: dict[str, list[bytes]]) -> DataFrame:
     shared = corpus.texts.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches):
-        codes: dict[str, np.ndarray] = {}
+        codes: dict[str, Table] = {}
         counts: Counter = Counter()
         for lang, texts in _by_lang(batches):
             if lang not in shared.value:
                 continue
             if lang not in codes:
-                codes[lang] = np.sort(phrase_hashes(b" \n ".join(shared.value[lang]).split(b" "), lang, 2)[1])
+                pairs_of = phrase_hashes(b" \n ".join(shared.value[lang]).split(b" "), lang, 2)[1]
+                codes[lang] = Table(np.unique(pairs_of[pairs_of > 0]))
             words = b" \n ".join(texts).split(b" ")
             _, two, three = phrase_hashes(words, lang, 3)
-            chosen = (two != 0) & _is_in(two, codes[lang])
+            chosen = (two != 0) & (codes[lang].find(two) >= 0)
             at = np.flatnonzero((three != 0) & (chosen[:-1] | chosen[1:]))
             counts.update((lang, b" ".join(words[i : i + 3])) for i in at.tolist())
         rows = iter(counts.items())
@@ -396,15 +429,24 @@ def first_phrases(corpus: Corpus, top: int, most: int | None = None) -> DataFram
     any phrase left out may, all are found; else more are counted.
     """
     most = most or 4 * top
-    counters = corpus.counters(2)
-    some = counters.count()
+    pairs_, shorter = corpus.counters(2), None
+    some = pairs_.count()
     if not some:
         return None
+    if some <= RANGE_COUNTERS:
+        shorter = next(_ranges(pairs_, some, corpus.bits))[0]
+    triples = corpus.counters(3, shorter)
+    more = triples.count()
     while True:
+        ranges = [(2, *x) for x in _ranges(pairs_, some, corpus.bits)] if some + more <= RANGE_COUNTERS else None
         found = None
-        for heavy, counts in _ranges(counters, some, corpus.bits):
-            part = durable(likely(corpus, heavy, counts, most).distinct(), "likely")
-            found = part if found is None else found.unionByName(part)
+        if ranges is not None:  # both in one pass
+            found = durable(likely(corpus, ranges + [(3, *x) for x in _ranges(triples, more, corpus.bits)], most).distinct(), "likely")
+        else:
+            for size, counters, n in ((2, pairs_, some), (3, triples, more)):
+                for x in _ranges(counters, n, corpus.bits):
+                    part = durable(likely(corpus, [(size, *x)], most).distinct(), "likely")
+                    found = part if found is None else found.unionByName(part)
         ranked = found.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("bound"), "phrase"))).where(F.col("nth") <= most)
         chosen = durable(ranked, "chosen")
         limits = chosen.where(F.col("nth") == most).select("lang", F.col("bound").alias("limit"))
