@@ -313,4 +313,4 @@ def event_windows(spark, d):
 
 
 # The other queries register themselves.
-from . import code_queries, feature_queries, retrieval_queries, source_queries, store_queries, stream_queries, text_queries  # noqa: E402, F401
+from . import code_queries, feature_queries, incremental_queries, retrieval_queries, source_queries, store_queries, stream_queries, text_queries  # noqa: E402, F401

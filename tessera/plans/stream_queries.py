@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import store
@@ -156,16 +156,20 @@ def stage_durations(spark, d):
 _STAGE_OF = "[" + ", ".join(f"'{s}'" for s in [*changes.STAGES, "ELSEWHERE"]) + "][event_id % 10 + 1]"
 
 
-@query(f"SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'stage' WHEN 1 THEN 'items' WHEN 2 THEN 'failed' ELSE 'server_ready' END AS type, nullif({_STAGE_OF}, 'ELSEWHERE') AS stage FROM events WHERE event_id % 7 < 3")
-def progress_lines_parse(spark, d):
-    """A line in seven each is of another protocol, broken, without a whole seq or of an unknown type."""
+def progress_text() -> Column:
+    """A progress line of an event."""
     k = F.col("event_id")
     stage = F.element_at(F.array(*map(F.lit, [*changes.STAGES, "ELSEWHERE"])), (k % 10 + 1).cast("int"))
     kind = F.element_at(F.array(*map(F.lit, ["stage", "items", "failed", "server_ready"])), (k % 4 + 1).cast("int"))
     good = F.concat(F.lit(changes.SENTINEL + " "), F.to_json(F.struct(k.alias("seq"), kind.alias("type"), stage.alias("stage"))))
     m = k % 7
-    text = F.when(m == 3, F.concat(F.lit("log "), good)).when(m == 4, F.concat(good, F.lit("}{"))).when(m == 5, F.replace(good, F.lit('"seq":'), F.lit('"seq":0.5,"n":'))).when(m == 6, F.replace(good, F.lit('"type":"'), F.lit('"type":"new-'))).otherwise(good)
-    return changes.parse_progress(table(spark, d, "events").select(text.alias("value"))).select("seq", "type", "stage")
+    return F.when(m == 3, F.concat(F.lit("log "), good)).when(m == 4, F.concat(good, F.lit("}{"))).when(m == 5, F.replace(good, F.lit('"seq":'), F.lit('"seq":0.5,"n":'))).when(m == 6, F.replace(good, F.lit('"type":"'), F.lit('"type":"new-'))).otherwise(good)
+
+
+@query(f"SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'stage' WHEN 1 THEN 'items' WHEN 2 THEN 'failed' ELSE 'server_ready' END AS type, nullif({_STAGE_OF}, 'ELSEWHERE') AS stage FROM events WHERE event_id % 7 < 3")
+def progress_lines_parse(spark, d):
+    """A line in seven each is of another protocol, broken, without a whole seq or of an unknown type."""
+    return changes.parse_progress(table(spark, d, "events").select(progress_text().alias("value"))).select("seq", "type", "stage")
 
 
 @query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, '@@PROGRESS@@{\"seq\":' || row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) || ',\"type\":\"' || event_type || '\",\"stage\":\"s' || event_id % 3 || '\"}' AS value FROM events")
