@@ -465,7 +465,7 @@ def first_phrases(corpus: Corpus, top: int, most: int | None = None) -> DataFram
                 return None
         else:
             rows = durable(scored(corpus, counted.join(own, ["lang", "phrase"], "left_semi"), counted), "scored")
-            nth = rows.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score")))).where(F.col("nth") == top).select("lang", "score")
+            nth = rows.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score")))).where(F.col("nth") <= top).groupBy("lang").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == top)
             if not limits.join(nth, "lang", "left").where("score is null or score <= limit").limit(1).count():
                 return rows
         most *= 4
@@ -484,9 +484,9 @@ def scored(corpus: Corpus, phrases: DataFrame, counted: DataFrame) -> DataFrame:
     cuts = cuts.select("lang", "phrase", "a", "k", F.size("w").alias("of"), _part(F.col("w"), F.lit(1), F.col("k")).alias("first"), _part(F.col("w"), F.col("k") + 1, F.size("w")).alias("rest"))
 
     def looked_up(rows: DataFrame, part: str, name: str, alone: Column) -> DataFrame:
-        """One word is looked up in a table that is mostly small; longer parts are as many as phrases."""
+        """Words and longer parts have their counts in tables of their own."""
         of = lambda t: t.select("lang", F.col("part").alias(part), F.col("f").alias(name))
-        return rows.where(alone).join(F.broadcast(of(single)) if corpus.few else of(single), ["lang", part]).unionByName(rows.where(~alone).join(of(several), ["lang", part]))
+        return rows.where(alone).join(of(single), ["lang", part]).unionByName(rows.where(~alone).join(of(several), ["lang", part]))
 
     both = looked_up(looked_up(cuts, "first", "l", F.col("k") == 1), "rest", "r", F.col("of") - F.col("k") == 1)
     big = lambda c: F.col(c).cast("decimal(16,0)")
