@@ -18,6 +18,23 @@ def id_key(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col), F.lit(NULL_ID))
 
 
+def free_name(docs: DataFrame, name: str = "__key") -> str:
+    """name, or as many underscores after it as no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def key_set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with a caller's own column __key under a free name, and the columns' names then by their names before."""
+    own = next((c for c in docs.columns if c.lower() == "__key"), None)
+    if own is None:
+        return docs, {c: c for c in docs.columns}
+    aside = free_name(docs)
+    return docs.withColumnRenamed(own, aside), {c: aside if c == own else c for c in docs.columns}
+
+
 def row_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
     """docs with a long __key of its own for each row, in the order of doc_id, and whether doc_ids repeat.
 

@@ -17,7 +17,7 @@ gives windows of ``window`` consecutive words (a shorter item, but not an empty
    returned beside the exact ones and leave a document as clean as it was.
 
 Only the items' words, a table as large as the benchmark, are broadcast, and only up to
-``MAX_BROADCAST_ROWS`` rows; beyond that the joins shuffle. Null texts have no words. Rows that share a
+``MAX_BROADCAST_ROWS`` rows; beyond that the joins shuffle, and the rows of a word are dealt over ``SPLITS`` tasks. Null texts have no words. Rows that share a
 doc_id, or have none, are judged each on their own text. Extra columns are of no account. Of words that
 occur equally often the lesser one counts as rarer. An empty benchmark leaves every document clean, an
 empty table of documents gives no rows. A text of any length is split whole; its row holds its words and
@@ -31,12 +31,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, row_keys
+from .common import durable, key_set_aside, row_keys
 
 WINDOW = 10
 PIVOTS = 3
 DISTANCE = 5
 MAX_BROADCAST_ROWS = 200_000
+SPLITS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -49,6 +50,15 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
+def _met(large: DataFrame, small: DataFrame, rows: int, on: list[str], spread: list[str]) -> DataFrame:
+    """large joined with small on ``on``. Beyond the broadcast limit each row of small goes to SPLITS places, and rows of large are dealt over these by the columns ``spread``, so that no frequent word is one task."""
+    if rows <= MAX_BROADCAST_ROWS:
+        return large.join(F.broadcast(small), on)
+    dealt = large.withColumn("place", F.pmod(F.xxhash64(*spread), F.lit(SPLITS)).cast("int"))
+    everywhere = small.withColumn("place", F.explode(F.array(*map(F.lit, range(SPLITS)))))
+    return dealt.join(everywhere, [*on, "place"]).drop("place")
+
+
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """win (number by content), words, n and item_id, one row for each window of each item."""
     w = items.select(F.col("item_id"), words_of(F.col("text")).alias("w")).where("size(w) > 0")
@@ -59,14 +69,14 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """term, cf: occurrences in all documents of the given terms; terms that never occur are left out."""
-    words = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
-    return words.join(_small(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("cf"))
+    words = docs.select(F.posexplode(words_of(F.col("text"))).alias("pos", "term")) if n_terms > MAX_BROADCAST_ROWS else docs.select(F.explode(words_of(F.col("text"))).alias("term"))
+    return _met(words, terms, n_terms, ["term"], ["pos"]).groupBy("term").agg(F.count("*").alias("cf"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """term, key, pos: the index rows of the given terms in keyed rows."""
     words = docs.select(F.col("__key").alias("key"), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return words.join(_small(terms, n_terms), "term").select("term", "key", "pos")
+    return _met(words, terms, n_terms, ["term"], ["key", "pos"]).select("term", "key", "pos")
 
 
 def rare_terms(windows: DataFrame, counts: DataFrame, n_rows: int, pivots: int = PIVOTS) -> DataFrame:
@@ -94,7 +104,7 @@ def near_hits(index: DataFrame, pairs: DataFrame, n_pairs: int, distance: int =
     after = [F.struct(F.lead("pos", i).over(w).alias("pos"), F.lead("term", i).over(w).alias("term")) for i in range(1, distance + 1)]
     around = index.select("key", "pos", "term", F.array(F.struct("pos", "term"), *after).alias("xs")).select("key", "pos", "term", F.explode("xs").alias("x")).where(F.col("x.pos") - F.col("pos") <= distance)
     met = around.select("key", F.least("term", "x.term").alias("t1"), F.greatest("term", "x.term").alias("t2"), (F.col("x.pos") - F.col("pos")).alias("gap"))
-    return met.join(_small(pairs.select("pair", "t1", "t2", "least").distinct(), n_pairs), ["t1", "t2"]).where("gap >= least").select("key", "pair").distinct()
+    return _met(met, pairs.select("pair", "t1", "t2", "least").distinct(), n_pairs, ["t1", "t2"], ["key"]).where("gap >= least").select("key", "pair").distinct()
 
 
 def _indexed(docs: DataFrame, items: DataFrame, window: int, pivots: int, near: bool) -> tuple:
@@ -117,8 +127,8 @@ def phrase_matches(index: DataFrame, rare: DataFrame, n_rare: int, pivots: int =
     """key, win, start of each place where all of a window's rare words stand at their offsets."""
     hits = None
     for nth in range(pivots):
-        own = _small(rare.where(F.col("nth") == nth).select("term", "win", "off", "lists"), n_rare)
-        shifted = index.join(own, "term").select("key", "win", (F.col("pos") - F.col("off")).alias("start"), "lists").where("start >= 0")
+        own = rare.where(F.col("nth") == nth).select("term", "win", "off", "lists")
+        shifted = _met(index, own, n_rare, ["term"], ["key"]).select("key", "win", (F.col("pos") - F.col("off")).alias("start"), "lists").where("start >= 0")
         if hits is None:
             hits = shifted.distinct()
         else:
@@ -129,13 +139,13 @@ def phrase_matches(index: DataFrame, rare: DataFrame, n_rare: int, pivots: int =
 
 def scan_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, pivots: int = PIVOTS, near: bool = True) -> DataFrame:
     """All columns of docs as row; n_words, n_hit, items (ids as sorted strings) and, of proximity matches, near (same) in a struct named hits."""
-    names = docs.columns
+    docs, names = key_set_aside(docs)
     docs, _ = row_keys(docs)
     windows, rare, n_rare, pairs, n_pairs, index = _indexed(docs, items, window, pivots, near)
     found = phrase_matches(index, rare, n_rare, pivots)
     by_win = windows.groupBy("win").agg(F.first("words").alias("words"), F.first("n").alias("n"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
     places = found.join(_small(by_win, windows.count()), "win").groupBy("key").agg(F.collect_list(F.struct(F.col("start"), F.col("n"), F.col("words"), F.col("items"))).alias("places"))
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("__key").alias("key"))
+    kept = docs.select(F.struct(*[F.col(f"`{now}`").alias(was) for was, now in names.items()]).alias("row"), F.col("__key").alias("key"))
     if near:
         by_pair = durable(pairs.join(windows.select("win", F.col("item_id").cast("string").alias("item")), "win").select("pair", "item").distinct(), "pair-items")
         close = near_hits(index, pairs, n_pairs).join(_small(by_pair, by_pair.count()), "pair").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("near"))
@@ -160,6 +170,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, pivot
 
 def near_matches(docs: DataFrame, items: DataFrame, distance: int = DISTANCE, window: int = WINDOW) -> DataFrame:
     """key (of row_keys), win: documents with a proximity match of each window."""
-    docs, _ = row_keys(docs)
+    docs, _ = row_keys(key_set_aside(docs)[0])
     _, _, _, pairs, n_pairs, index = _indexed(docs, items, window, PIVOTS, near=True)
     return near_hits(index, pairs, n_pairs, distance).join(_small(pairs.select("pair", "win"), n_pairs), "pair").select("key", "win").distinct()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import forget, ship_package
-from .common import NULL_ID, as_utf8, durable, map_batches, row_keys
+from .common import NULL_ID, as_utf8, durable, key_set_aside, map_batches, row_keys
 
 K = 64
 #: Node ids are broadcast to pick texts only up to this many (16 bytes each); beyond that the join shuffles.
@@ -320,6 +320,7 @@ def _fitting_pairs(rest: DataFrame, percent: int) -> DataFrame:
 
 def dedup_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose component has a lesser row."""
+    docs, names = key_set_aside(docs)
     keyed, _ = row_keys(docs)
     kept = _grouped(keyed, words, percent).where("key = root").select(F.col("key").alias("__key"))
-    return keyed.join(_sized(durable(kept, "kept")), "__key", "left_semi").drop("__key")
+    return keyed.join(_sized(durable(kept, "kept")), "__key", "left_semi").select(*[F.col(f"`{now}`").alias(was) for was, now in names.items()])

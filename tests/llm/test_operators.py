@@ -442,3 +442,25 @@ def test_near_dedup_meets_few_rows_of_a_template(spark):
     fits = lambda x, y: 180 * min(x[1], y[1]) >= 80 * (x[0] + y[0]) and 100 * min(x[0], y[0]) >= 80 * max(x[0], y[0])
     sets = {1: (100, 100), 2: (120, 100), 3: (126, 101), 4: (90, 80)}
     assert {(r["a"], r["b"]) for r in inner(rest, 80).collect()} == {(a, b) for a in sets for b in sets if a > b and fits(sets[a], sets[b])}
+
+
+def test_decontam_beyond_the_broadcast_limit(spark, monkeypatch):
+    """One word is a third of the corpus and in every window; nothing is broadcast."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join("the" if rng.random() < 0.34 else rng.choice(words) for _ in range(n))
+    items = [(i, text(14)) for i in range(8)] + [(8, "the the the")]
+    docs = [(i, text(60) + (" " + items[i % 9][1] if i % 5 == 0 else "") + " " + text(20)) for i in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    flat = lambda: sorted((r["row"]["doc_id"], r["hits"]["n_words"], r["hits"]["n_hit"], tuple(r["hits"]["items"]), tuple(r["hits"]["near"])) for r in decontam.scan_documents(d, b).collect())
+    want = flat()
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_ROWS", 10)
+    assert flat() == want and sum(r[2] > 0 for r in want) >= 12 and any(r[4] for r in want)
+
+
+def test_a_column_named_like_the_key(spark):
+    d = spark.createDataFrame([(1, TEXT, "x"), (2, TEXT, "y"), (3, "other words here", "z")], "doc_id long, text string, __KEY string")
+    kept = near_dedup.dedup_documents(d)
+    assert kept.columns == d.columns and sorted(map(tuple, kept.collect())) == [(1, TEXT, "x"), (3, "other words here", "z")]
+    clean = decontam.decontaminate(d, spark.createDataFrame([(1, "other words here")], "item_id long, text string"))
+    assert clean.columns == d.columns and sorted(r["__KEY"] for r in clean.collect()) == ["x", "y"]
