@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..session import durable, ship_package
+from .knn_blocks import knn_blocks
 
 RRF = 60
 K1, B = 1.2, 0.75
@@ -45,17 +46,13 @@ def _broadcast_if_small(rows: DataFrame) -> DataFrame:
 def knn(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """corpus(id, vec) x queries(qid, qvec) -> qid, id, score, rank: exact cosine, ties by id. Rows of another length are invisible.
 
-    Queries go to the executors as matrices of at most MAX_BROADCAST_QUERIES rows; each task multiplies its
-    batches with them and sends its own k best. Each further block of queries is one more pass over the corpus.
+    Up to half of MAX_BROADCAST_QUERIES questions go to the executors as matrices; each task multiplies its batches with them
+    and sends its own k best. More questions meet the corpus in blocks, of which the driver sees none.
     """
     asked = queries.where("qvec is not null and size(qvec) > 0").select("qid", "qvec")
-    n = asked.count()
-    blocks = max(1, -(-n // (MAX_BROADCAST_QUERIES // 2)))
-    parts = None
-    for i in range(blocks):
-        part = _knn_block(corpus, asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else asked, k)
-        parts = part if parts is None else parts.unionByName(part)
-    return top_k(parts, ["qid"], [F.desc("score"), F.asc("id")], k)
+    if asked.limit(MAX_BROADCAST_QUERIES // 2 + 1).count() > MAX_BROADCAST_QUERIES // 2:
+        return knn_blocks(corpus, asked, k)
+    return top_k(_knn_block(corpus, asked, k), ["qid"], [F.desc("score"), F.asc("id")], k)
 
 
 def _knn_block(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:

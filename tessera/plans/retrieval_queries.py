@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import code_graph as cg
-from ..operators import context, retrieval
+from ..operators import context, knn_blocks, retrieval
 from ..session import documents, table
 from .catalogue import _BM25, _KNN, _corpus, _text_queries, _vec_queries
 from .registry import query
@@ -221,6 +221,14 @@ def knn_mixed_lengths(spark, d):
     return retrieval.knn(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), 3).select("qid", "id", F.round("score", 6).alias("score"))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS qid, c.vec_id AS id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM embeddings c, embeddings q)
+SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+def knn_of_every_vector(spark, d):
+    """Every vector is a question; blocks of questions meet blocks of vectors."""
+    c = _corpus(spark, d).select("id", "vec")
+    return knn_blocks.knn_blocks(c, c.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), 5).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS position FROM conversations")
 def message_order(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "text")).cast("bigint").alias("position"))
