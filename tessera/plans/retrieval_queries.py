@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import code_graph as cg
-from ..operators import context, knn_blocks, retrieval
+from ..operators import bm25_index, context, knn_blocks, retrieval
 from ..session import documents, table
+from ..streaming import feed
 from .catalogue import _BM25, _KNN, _corpus, _text_queries, _vec_queries
 from .registry import query
 
@@ -27,6 +28,18 @@ f AS (SELECT coalesce(v.qid, x.qid) AS qid, coalesce(v.id, x.id) AS id, v.rank A
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS rank FROM f)"""
 
 
+@query(f"WITH {_BM25} SELECT qid, id, round(score, 4) AS score, rank FROM lex WHERE rank <= 10")
+def bm25_stored_index(spark, d):
+    """The stored index after three updates: every third document comes first with another text, some come and go, then all have the text they have."""
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text")
+    k = F.col("id")
+    index = bm25_index.Bm25Index(spark, feed.folder(spark, "bm25"))
+    index.update(0, docs.where(k % 3 != 1).select("id", F.when(k % 3 == 0, F.concat(F.lit("before "), "text")).otherwise(F.col("text")).alias("text")))
+    index.update(1, docs.where(k % 3 == 1).unionByName(docs.where(k % 6 == 0).select((-1 - k).alias("id"), "text")))
+    index.update(2, docs.where(k % 3 == 0), docs.where(k % 6 == 0).select((-1 - k).alias("id")))
+    return index.search(_text_queries(spark, d), 10, 2).select("qid", "id", F.round("score", 4).alias("score"), "rank")
+
+
 def _chunks(spark, d) -> DataFrame:
     """All documents, with their vectors where they have one."""
     docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text", "lang")

@@ -12,13 +12,20 @@ class StateLog:
     A micro-batch writes the keys it touches and their new rows, nothing else, so its cost is that of the change. The
     rows of a key are those of the last micro-batch that touched it; a key without rows then is gone. Every ``compact_every``
     micro-batches the rows in force are written once more as a base, so that readers meet a bounded number of
-    micro-batches. Running a micro-batch again overwrites what it wrote.
+    micro-batches. Running a micro-batch again overwrites what it wrote. Rows may be laid out by a column ``partition``, in the
+    order that the writer gave them.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, key: str, schema: str, compact_every: int = 20):
-        self.spark, self.folder, self.key, self.schema, self.compact_every = spark, folder, key, schema, compact_every
+    def __init__(self, spark: SparkSession, folder: str, key: str, schema: str, compact_every: int = 20, partition: str | None = None):
+        self.spark, self.folder, self.key, self.schema, self.compact_every, self.partition = spark, folder, key, schema, compact_every, partition
         self.kind = next(c.split()[1] for c in schema.split(", ") if c.split()[0] == key)
 
+        self.columns = [c.split()[0] for c in schema.split(", ")]
+
+    def _save(self, rows: DataFrame, place: str) -> None:
+        w = rows.write.mode("overwrite")
+        (w.partitionBy(self.partition) if self.partition else w).parquet(f"{self.folder}/{place}")
+
     def _exists(self, path: str) -> bool:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
@@ -42,17 +49,17 @@ class StateLog:
         last = self._read("touched", f"{self.key} {self.kind}", base, until).groupBy(self.key).agg(F.max("batch").alias("batch"))
         rows = self._read("rows", self.schema, base, until).join(last, [self.key, "batch"], "left_semi").drop("batch")
         if not base:
-            return rows.select(*[c.split()[0] for c in self.schema.split(", ")])
+            return rows.select(*self.columns)
         # a base has what the micro-batches before it left
         kept = self.spark.read.schema(self.schema).parquet(f"{self.folder}/base/until={base}").join(last, self.key, "left_anti")
-        return kept.unionByName(rows)
+        return kept.select(*self.columns).unionByName(rows.select(*self.columns))
 
     def write(self, batch: int, touched: DataFrame, rows: DataFrame) -> None:
         """rows of the keys in touched(key) replace all that these had."""
         touched.select(self.key).distinct().write.mode("overwrite").parquet(f"{self.folder}/touched/batch={batch}")
-        rows.select(*[c.split()[0] for c in self.schema.split(", ")]).write.mode("overwrite").parquet(f"{self.folder}/rows/batch={batch}")
+        self._save(rows.select(*self.columns), f"rows/batch={batch}")
         if batch and batch % self.compact_every == 0:
-            self.current(batch - 1).write.mode("overwrite").parquet(f"{self.folder}/base/until={batch}")
+            self._save(self.current(batch - 1), f"base/until={batch}")
 
     def written(self, batch: int) -> DataFrame:
         """The rows that this micro-batch wrote."""
