@@ -45,7 +45,7 @@ MAX_WORDS = 1_000_000
 RANGE_COUNTERS = 2_000_000
 BLOCK_PATTERNS = 250_000
 #: Phrases that a task sorts before it adds them to the sketch, and entries of a worker's tables.
-_TOGETHER, _ENTRIES = 2_000_000, 1_000_000
+_TOGETHER, _ENTRIES = 1_000_000, 200_000
 #: A-Z lower-cased, a tab is a space, the marks that end a piece are line feeds. Works on UTF-8.
 _FOLD = bytes(10 if chr(c) in ".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _AUTOMATA: dict[str, dict] = {}
