@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors
+from ..session import durable
 
 
 def adjacency(imports: DataFrame) -> DataFrame:
@@ -52,13 +53,57 @@ def anchors(adj: DataFrame, groups: DataFrame) -> DataFrame:
     return inner.groupBy("ga").agg(F.min_by("a", F.struct(-F.col("w"), F.col("a"))).alias("anchor")).select(F.col("ga").alias("group"), "anchor")
 
 
+#: Members and edges of the groups that one task may hold.
+TASK_MEMBERS, TASK_EDGES = 20_000, 400_000
+
+
+def settle_in_order(members: DataFrame, edges: DataFrame, sweeps: int) -> DataFrame:
+    """members(group, member), edges(group, a, b, w) -> group, member, label: in-place propagation in the order of the members' names, over all tasks.
+
+    In a sweep a member takes the heaviest label around it, where lesser members have their new label and greater ones the old one. These
+    equations have one solution, as each label depends on lesser members only. It is found by starting with the old labels and doing anew
+    those members of which a lesser neighbour changed, until none did. A round costs what changed; a sweep takes as many rounds as its longest
+    chain of changes has members. Groups that a sweep left as they were are done.
+    """
+    label = durable(members.select("group", "member", F.col("member").alias("label")), "labels")
+    near = durable(edges.select("group", "a", "b", "w", (F.col("b") < F.col("a")).alias("lesser")), "near")
+    done = None
+    for _ in range(sweeps):
+        old, todo, now = label, None, label
+        while True:
+            own = near if todo is None else near.join(todo, ["group", "a"], "left_semi")
+            of = lambda t, name: t.select("group", F.col("member").alias("b"), F.col("label").alias(name))
+            votes = own.join(of(now, "new"), ["group", "b"]).join(of(old, "was"), ["group", "b"]).withColumn("vote", F.when(F.col("lesser"), F.col("new")).otherwise(F.col("was")))
+            won = votes.groupBy("group", "a", "vote").agg(F.sum("w").alias("w")).groupBy("group", "a").agg(F.min_by("vote", F.struct(-F.col("w"), F.col("vote"))).alias("won"))
+            after = now.join(won.withColumnRenamed("a", "member"), ["group", "member"], "left").select("group", "member", F.coalesce("won", "label").alias("label"), (F.col("won") != F.col("label")).alias("changed"))
+            now = durable(after, "labels")
+            moved = now.where("changed").select("group", F.col("member").alias("b"))
+            if not moved.limit(1).count():
+                break
+            todo = durable(near.where("lesser").join(moved, ["group", "b"], "left_semi").select("group", "a").distinct(), "todo")
+            now = now.drop("changed")
+            if not todo.limit(1).count():
+                break
+        now = now.select("group", "member", "label")
+        changed = now.join(old.withColumnRenamed("label", "was"), ["group", "member"]).where("label <> was").select("group").distinct()
+        changed = durable(changed, "changed")
+        still = durable(now.join(changed, "group", "left_anti"), "still")
+        done = still if done is None else done.unionByName(still)
+        label = durable(now.join(changed, "group", "left_semi"), "labels")
+        near = near.join(changed, "group", "left_semi")
+        if not changed.limit(1).count():
+            return done
+    return label if done is None else done.unionByName(label)
+
+
 def communities(adj: DataFrame, groups: DataFrame, sweeps: int = 10, threshold: int = 12) -> DataFrame:
     """adj(a, b, w), groups(group, member) of strings -> group, member, community for every member.
 
     Groups of more than ``threshold`` members are split by propagation in key order, in place. A split with a
     community of one member, or of one community, is dropped: then all members have the least of them as their
-    community. The order makes a group one task; a folder of a repository is meant, not an unbounded key.
+    community. Groups within TASK_MEMBERS and TASK_EDGES are a task each; larger ones are settled by rounds of joins, with the same labels.
     """
+    from ..session import ship_package
 
     def run(members, edges):
         import pandas as pd
@@ -68,7 +113,7 @@ def communities(adj: DataFrame, groups: DataFrame, sweeps: int = 10, threshold:
         for a, b, w in zip(edges["a"], edges["b"], edges["w"], strict=True):
             near[a].append((b, w))
         label = {n: n for n in nodes}
-        for _ in range(sweeps if len(nodes) > threshold else 0):
+        for _ in range(sweeps):
             before = dict(label)
             for n in nodes:
                 votes: dict = {}
@@ -78,16 +123,21 @@ def communities(adj: DataFrame, groups: DataFrame, sweeps: int = 10, threshold:
                     label[n] = min(votes, key=lambda x: (-votes[x], x))
             if label == before:
                 break
-        sizes = pd.Series(label).value_counts()
-        if len(sizes) < 2 or (sizes < 2).any():
-            label = dict.fromkeys(nodes, nodes[0])
-        return pd.DataFrame({"group": members["group"].iloc[0], "member": nodes, "community": [label[n] for n in nodes]})
-
-    from ..session import ship_package
+        return pd.DataFrame({"group": members["group"].iloc[0], "member": nodes, "label": [label[n] for n in nodes]})
 
     ship_package(adj.sparkSession)
-    g = groups.select(F.col("member").alias("a"), F.col("group"))
-    h = groups.select(F.col("member").alias("b"), F.col("group").alias("gb"))
-    inner = adj.join(g, "a").join(h, "b").where("`group` = gb").select(F.col("group").alias("group"), "a", "b", "w")
-    members = groups.select(F.col("group").alias("group"), "member")
-    return members.groupBy("group").cogroup(inner.groupBy("group")).applyInPandas(run, "group string, member string, community string")
+    members = durable(groups.select(F.col("group").alias("group"), F.col("member").alias("member")), "members")
+    g, h = members.select(F.col("member").alias("a"), "group"), members.select(F.col("member").alias("b"), F.col("group").alias("gb"))
+    inner = durable(adj.join(g, "a").join(h, "b").where("`group` = gb").select("group", "a", "b", "w"), "inner")
+    sizes = members.groupBy("group").agg(F.count("*").alias("n")).join(inner.groupBy("group").agg(F.count("*").alias("e")), "group", "left")
+    sizes = durable(sizes.select("group", (F.col("n") <= threshold).alias("whole"), ((F.col("n") > TASK_MEMBERS) | (F.coalesce("e", F.lit(0)) > TASK_EDGES)).alias("large")), "sizes")
+    of = lambda t, which: t.join(sizes.where(which).select("group"), "group", "left_semi")
+    parts = of(members, "not whole and not large").groupBy("group").cogroup(of(inner, "not whole and not large").groupBy("group")).applyInPandas(run, "group string, member string, label string")
+    if sizes.where("large and not whole").limit(1).count():
+        parts = parts.unionByName(settle_in_order(of(members, "not whole and large"), of(inner, "not whole and large"), sweeps))
+    label = durable(parts, "labels")
+    found = label.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg((F.count("*") > 1).alias("several"), (F.min("n") > 1).alias("full"))
+    least = members.groupBy("group").agg(F.min("member").alias("least"))
+    split = label.join(found.where("several and full").select("group"), "group", "left_semi")
+    out = members.join(least, "group").join(split, ["group", "member"], "left")
+    return out.select("group", "member", F.coalesce("label", "least").alias("community"))

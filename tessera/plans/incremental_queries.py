@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import durable, table
 from ..sources import change_source as cs
 from ..streaming import changes, feed
+from ..streaming.message_log import MessageLog
 from ..streaming.reindex import Reindexer
 from .registry import ORACLES, query
 from .stream_queries import _events, _in_batches, progress_text
@@ -136,3 +137,19 @@ def incremental_reindex(spark, d):
     vec = keep.current("chunks", len(steps) - 1).join(keep.current("vectors", len(steps) - 1), "content").join(t["symbols"].select("file", "name", "content"), ["file", "content"])
     out = out.unionByName(row(vec, "chunk", c("name"), F.concat_ws(",", F.transform("vector", lambda x: x.cast("long").cast("string")))))
     return out.unionByName(row(t["search"], "search", c("name"), c("kind")))
+
+
+@query("SELECT conv_id AS session, turn, row_number() OVER (PARTITION BY conv_id ORDER BY least(turn, 5), turn, role, text) AS seq, role, sha256(coalesce(text, '')) AS text FROM conversations")
+def stream_message_log(spark, d):
+    """Conversations appended turn by turn in six micro-batches, each of which is run twice."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("session"), "turn", "role", "text", F.least("turn", F.lit(5)).cast("int").alias("batch"))
+    place = feed.folder(spark, "messages")
+    log = MessageLog(spark, place, "session long, turn long, role string, text string", ["turn", "role", "text"])
+
+    def twice(changed: DataFrame, number: int) -> None:
+        log(changed, number)
+        log(changed, number)
+
+    q = feed.replay(rows).writeStream.foreachBatch(twice).option("checkpointLocation", place + "-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return log.messages().select("session", "turn", "seq", "role", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"))

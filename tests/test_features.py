@@ -53,7 +53,7 @@ def propagated(members, edges, sweeps=10, threshold=12):
     return label if len(set(label.values())) > 1 and min(sizes) > 1 else dict.fromkeys(members, min(members))
 
 
-def test_communities_keep_members_without_edges(spark):
+def test_communities_keep_members_without_edges(spark, monkeypatch):
     rng = random.Random(7)
     groups = {g: [f"{g}{i:02d}" for i in range(n)] for g, n in (("a", 20), ("b", 5), ("c", 30), ("d", 16))}
     edges = {}
@@ -71,4 +71,29 @@ def test_communities_keep_members_without_edges(spark):
     for m in groups.values():
         want |= propagated(m, rows)
     assert got == want and len(got) == 71
+    monkeypatch.setattr(cl, "TASK_MEMBERS", 1)  # by rounds of joins
+    assert {r["member"]: r["community"] for r in cl.communities(adj, member).collect()} == want
     assert len({got[k] for k in groups["a"]}) > 1 and len({got[k] for k in groups["c"]}) == 1
+
+
+def test_one_large_group_settles_over_tasks(spark):
+    """A group of 4,000 members and chains of changes, by joins and in place."""
+    rng = random.Random(3)
+    names = [f"m{i:04d}" for i in range(4000)]
+    rows = {}
+    for i in range(4000):
+        for j in {i - 1 if i % 40 else i, rng.randrange(i // 40 * 40, i // 40 * 40 + 40), rng.randrange(4000) if i % 97 == 0 else i} - {i}:
+            rows[names[i], names[j]] = rows[names[j], names[i]] = rng.randrange(1, 5)
+    edges = spark.createDataFrame([("g", a, b, w) for (a, b), w in rows.items()], "group string, a string, b string, w long")
+    members = spark.createDataFrame([("g", n) for n in names], "group string, member string")
+    label, near = {n: n for n in names}, {n: [] for n in names}
+    for (a, b), w in rows.items():
+        near[a].append((b, w))
+    for _ in range(2):
+        for n in names:
+            votes = {}
+            for b, w in near[n]:
+                votes[label[b]] = votes.get(label[b], 0) + w
+            label[n] = min(votes, key=lambda x: (-votes[x], x)) if votes else label[n]
+    got = cl.settle_in_order(members, edges, 2)
+    assert {r["member"]: r["label"] for r in got.collect()} == label

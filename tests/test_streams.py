@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.streaming import changes, feed, run_states
+from tessera.streaming import changes, feed, message_log, run_states
 
 
 def test_merge_machine(spark):
@@ -146,6 +146,34 @@ def test_health_of_a_failed_stream(spark, tmp_path):
     assert state["active"] is False and "no luck" in str(q.exception())
 
 
+def test_watch_reports_a_failure_once(spark, tmp_path):
+    import time
+
+    told = []
+    watch = message_log.QueryWatch(lambda name, why: told.append((name, why)))
+    spark.streams.addListener(watch)
+    try:
+        spark.range(5).write.parquet(str(tmp_path / "in"))
+        s = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+
+        def broken(rows, n):
+            raise ValueError("no luck")
+
+        for name, step in (("good", lambda rows, n: rows.count()), ("bad", broken)):
+            q = s.writeStream.queryName(name).foreachBatch(step).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+            try:
+                q.awaitTermination(60)
+            except Exception:
+                assert name == "bad"
+        until = time.time() + 20
+        while len(watch.ended) < 2 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(watch)
+    assert [n for n, _ in told] == ["bad"] and "no luck" in told[0][1]
+    assert 5 in watch.rows.values()
+
+
 def test_rule_files(spark):
     df = spark.createDataFrame([("a/b.py",), ("sub/.gitignore",)], "path string")
     assert changes.rules_changed(df) and not changes.rules_changed(df.where("path = 'a/b.py'"))
