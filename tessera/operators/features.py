@@ -296,26 +296,71 @@ def overview_caps(features: DataFrame, features_cap: int = 12, majors: int = 8)
     return first.join(able.select("key").withColumn("is_major", F.lit(True)), "key", "left").select("position", "key", "prompted", F.coalesce("is_major", F.lit(False)).alias("major"))
 
 
-def ground_paragraphs(paragraphs: DataFrame, known: DataFrame, handles: DataFrame, lead_cap: int = 4, words_cap: int = 720) -> DataFrame:
-    """paragraphs(doc, section 'lead' or 'subsystem', idx, text), known(name) of symbols and files, handles(handle) -> doc, section, idx, verdict.
-
-    A paragraph fails by the first rule that it breaks: G1 empty, G2 unbalanced marks, G3 unknown ``[[handle]]``, G4 a
-    code name that nothing bears, G7 no code name at all. Of what passes, lead paragraphs beyond ``lead_cap`` and, from
-    the end and subsystems first, those that bring a document to ``words_cap`` words fail by G9; without the opening
-    paragraph all other lead paragraphs fail by G10.
+#: Words of praise that no reader can check.
+PRAISE = [
+    "powerful", "robust", "seamless", "seamlessly", "modern", "cutting-edge", "state-of-the-art", "state of the art", "best-in-class", "world-class", "blazing", "blazingly", "effortless",
+    "effortlessly", "elegant", "innovative", "revolutionary", "next-generation", "high-performance", "enterprise-grade", "industry-leading", "leading-edge", "sleek", "stunning", "delightful", "game-changing",
+]
+#: Forms of address.
+ADDRESS = ["you", "your", "yours", "yourself", "yourselves"]
+#: Endings that make a word with a dot a file.
+FILE_ENDINGS = "py pyi js jsx mjs cjs ts tsx java kt kts go rs rb cs cpp cc cxx c h hpp php swift scala md rst toml json yaml yml sql sh ps1 html css scss vue svelte".split()
+#: A name in code marks, or a subsystem's handle.
+_MARKED = r"`[^`\n]+`|\[\[\s*f\d+\s*\]\]"
+#: Shapes that names have and prose has not: files, words with underscores, dotted names, calls, words with a capital inside.
+_NAME_SHAPES = [
+    (r"(?U)\b[\w\-]+\.(?:" + "|".join(FILE_ENDINGS) + r")\b", 0), (r"(?U)\b\w*_\w*\b", 0), (r"\b[a-z_][a-z0-9_]+(?:\.[a-z_][a-z0-9_]+)+\b", 0), (r"(?U)\b(\w+)\(\)", 1),
+]
+_CAPITAL_INSIDE = r"\b(?:[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+|[a-z]+[A-Z][A-Za-z0-9]*)\b"
+_PATH = r"(?U)[\w.\-]+(?:/[\w.\-]+)+"
+
+
+def names_in_prose(text: Column) -> Column:
+    """What looks like a name: the shapes above, and paths with an ending, an underscore or several slashes ("and/or" is prose)."""
+    found = [F.filter(F.regexp_extract_all(text, F.lit(p), g), lambda x: F.regexp_like(x, F.lit("[A-Za-z]"))) for p, g in _NAME_SHAPES]
+    paths = F.transform(F.regexp_extract_all(text, F.lit(_PATH), 0), lambda x: F.rtrim(x, F.lit(".")))
+    real = F.filter(paths, lambda x: F.contains(F.element_at(F.split(x, "/"), -1), F.lit(".")) | F.contains(x, F.lit("_")) | (F.size(F.split(x, "/")) > 2))
+    return F.array_distinct(F.concat(real, *found, F.regexp_extract_all(text, F.lit(_CAPITAL_INSIDE), 0)))
+
+
+def ground_paragraphs(paragraphs: DataFrame, known: DataFrame, handles: DataFrame, lead_cap: int = 4, words_cap: int = 720, sentences_cap: int = 3, said: DataFrame | None = None) -> DataFrame:
+    """paragraphs(doc, section 'lead' or 'subsystem', idx, text), known(name) of symbols and files, handles(handle), said(word) of what the repository says of itself -> doc, section, idx, verdict.
+
+    G1 is an empty paragraph, G2 one with unbalanced marks. Then the first thing in the text that is wrong decides: G3 a handle that no subsystem has,
+    G4 a code name that nothing bears, G5 what looks like a name in prose and is none (words of ``said`` may have capitals inside), G6 praise or address in
+    prose. G7 has no code name at all, G8 too many sentences for a subsystem. Of what passes, lead paragraphs beyond ``lead_cap`` and, from the end
+    and subsystems first, those that bring a document to ``words_cap`` words fail by G9; without the opening paragraph all other lead paragraphs
+    fail by G10.
     """
-    t = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
-    p = paragraphs.select("doc", "section", "idx", t.alias("t"))
-    codes = F.transform(F.regexp_extract_all("t", F.lit("`([^`]+)`"), 1), lambda c: F.trim(c))
-    links = F.regexp_extract_all("t", F.lit(r"\[\[([^\[\]]+)\]\]"), 1)
-    bare = F.regexp_replace("t", r"`[^`]+`|\[\[[^\[\]]+\]\]", "")
-    p = p.withColumns({"codes": codes, "links": links, "bare": bare})
     key = ["doc", "section", "idx"]
-    bad = lambda col, table, name: p.select(*key, F.explode(col).alias(name)).join(table, name, "left_anti").select(*key).distinct()
-    p = p.join(bad("links", handles, "handle").withColumn("g3", F.lit(True)), key, "left").join(bad("codes", known, "name").withColumn("g4", F.lit(True)), key, "left")
+    p = paragraphs.select(*key, F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")).alias("t"))
+    marked, prose = F.regexp_extract_all("t", F.lit(_MARKED), 0), F.split("t", _MARKED, -1)
+    p = p.withColumns({"marked": marked, "prose": prose})
+    torn = F.exists("prose", lambda x: F.contains(x, F.lit("`")) | F.contains(x, F.lit("[[")) | F.contains(x, F.lit("]]")))
+    whole = p.where(~torn)
+    inner = lambda x: F.trim(F.regexp_replace(x, r"^(`|\[\[)|(`|\]\])$", ""))
+    marks = whole.select(*key, F.posexplode("marked").alias("i", "m")).select(*key, (2 * F.col("i") + 1).alias("at"), F.startswith("m", F.lit("`")).alias("code"), inner(F.col("m")).alias("name"))
+    texts = whole.select(*key, F.posexplode("prose").alias("i", "x")).select(*key, (2 * F.col("i")).alias("at"), "x")
+    names = texts.select(*key, "at", F.explode(names_in_prose(F.col("x"))).alias("name"))
+    as_file = F.replace("name", F.lit("."), F.lit("/"))
+    dotted = F.regexp_like("name", F.lit(r"^[a-z_][a-z0-9_]*(\.[a-z_][a-z0-9_]*)+$"))
+    unknown = names.join(known, "name", "left_anti")
+    files = unknown.where(dotted).select(*key, "at", "name", F.explode(F.array(F.concat(as_file, F.lit(".py")), F.concat(as_file, F.lit("/__init__.py")))).alias("file"))
+    unknown = unknown.join(files.join(known.select(F.col("name").alias("file")), "file", "left_semi").select("name").distinct(), "name", "left_anti")
+    if said is not None:
+        unknown = unknown.join(said.select(F.col("word").alias("name")).distinct().where(F.regexp_like("name", F.lit(f"^{_CAPITAL_INSIDE}$"))), "name", "left_anti")
+    style = r"(?i)\b(" + "|".join([*ADDRESS, *sorted(PRAISE, key=len, reverse=True)]) + r")\b"
+    wrong = [
+        marks.where("not code").select(*key, "at", F.col("name").alias("handle")).join(handles, "handle", "left_anti").select(*key, "at", F.lit("G3").alias("rule")),
+        marks.where("code").join(known, "name", "left_anti").select(*key, "at", F.lit("G4").alias("rule")),
+        unknown.select(*key, "at", F.lit("G5").alias("rule")), texts.where(F.regexp_like("x", F.lit(style))).select(*key, "at", F.lit("G6").alias("rule")),
+    ]
+    every = wrong[0].unionByName(wrong[1]).unionByName(wrong[2]).unionByName(wrong[3])
+    p = p.join(every.groupBy(*key).agg(F.min_by("rule", F.struct("at", "rule")).alias("wrong")), key, "left")
+    cited = F.exists("marked", lambda m: F.startswith(m, F.lit("`")))
+    long = (F.col("section") == "subsystem") & (tx.sentence_count(F.col("t")) > sentences_cap)
+    first = F.when(F.col("t") == "", "G1").when(torn, "G2").when(F.col("wrong").isNotNull(), F.col("wrong")).when(~cited, "G7").when(long, "G8")
     words = F.size(F.filter(F.split(F.regexp_replace("t", "`[^`]+`", "c"), " "), lambda w: w != ""))
-    first = (F.when(F.col("t") == "", "G1").when(F.contains("bare", F.lit("`")) | F.contains("bare", F.lit("[[")) | F.contains("bare", F.lit("]]")), "G2")
-             .when(F.col("g3"), "G3").when(F.col("g4"), "G4").when(F.size("codes") == 0, "G7"))
     p = p.withColumn("v", first).withColumn("words", F.when(F.col("v").isNull(), words).otherwise(0))
     nth = F.sum(F.when(F.col("v").isNull(), 1).otherwise(0)).over(W.partitionBy("doc", "section").orderBy("idx"))
     p = p.withColumn("nth", nth).withColumn("v", F.when(F.col("v").isNull() & (F.col("section") == "lead") & (F.col("nth") > lead_cap), "G9").otherwise(F.col("v")))

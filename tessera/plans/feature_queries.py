@@ -267,18 +267,27 @@ def group_communities(spark, d):
     return cl.communities(adjacency(spark, d), modules(spark, d).select(F.col("key").alias("member"), F.col("dir").alias("group")))
 
 
-_PARAGRAPHS = [
-    (1, "lead", 0, "The `api` does things."), (1, "lead", 1, ""), (1, "lead", 2, "A lone ` tick"), (1, "lead", 3, "See [[f9]] and `api`"), (1, "lead", 4, "The `nothing` is unknown"), (1, "lead", 5, "No code at all"),
-    (1, "lead", 6, "More of `db` here"), (1, "lead", 7, "Third with [[f1]] and `db`"), (1, "lead", 8, "Fourth `api`"), (1, "lead", 9, "Fifth `api` is over the cap"), (1, "subsystem", 0, "Sub `api` " + "word " * 715),
-    (2, "lead", 0, "Opening without code"), (2, "lead", 1, "Good `api`"), (2, "subsystem", 0, "Stands alone `db`"), (3, "lead", 0, None),
-]
-_VERDICTS = ["kept", "G1", "G2", "G3", "G4", "G7", "kept", "kept", "kept", "G9", "G9", "G7", "G10", "kept", "G1"]
-
-
-@query("WITH t(doc, section, idx, verdict) AS (VALUES " + ", ".join(f"({p[0]}, '{p[1]}', {p[2]}, '{v}')" for p, v in zip(_PARAGRAPHS, _VERDICTS, strict=True)) + ") SELECT * FROM t")
+#: What follows a paragraph's letters, by number; SRC is the document's source, which is known.
+_ENDS = [" and nothing", " and/or `SRC`", " `no SRC`", " [[ f1 ]] `SRC`", " [[f99]] `SRC`", " lone ` tick", " uses some_name in `SRC`", " CamelCase by `SRC`", " for your `SRC`", " run_all() is robust `no SRC`", " One. Two, e.g. Three. Four? Five with `SRC`", ""]
+_G = "SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx, doc_id AS doc, source FROM documents"
+_STYLE = r"\b(" + "|".join([*ft.ADDRESS, *sorted(ft.PRAISE, key=len, reverse=True)]) + r")\b"
+
+
+@query(rf"""WITH l AS (SELECT *, (doc * 7 + idx) % 12 AS k, trim(regexp_replace(lower(line), '[^a-z]+', ' ', 'g')) AS base FROM ({_G})),
+a AS (SELECT doc, idx, k, base, CASE WHEN idx % 3 = 2 THEN 'subsystem' ELSE 'lead' END AS section, regexp_matches(base, '{_STYLE}') AS styled, len(string_split(base, ' ')) - CASE WHEN base = '' THEN 1 ELSE 0 END AS n FROM l),
+v AS (SELECT *, CASE WHEN k = 11 THEN 'G1' WHEN k = 5 THEN 'G2' WHEN k IN (6, 7, 9) THEN 'G5' WHEN styled OR k = 8 THEN 'G6' WHEN k = 4 THEN 'G3' WHEN k = 2 THEN 'G4' WHEN k = 0 THEN 'G7' WHEN k = 10 AND section = 'subsystem' THEN 'G8' END AS v1, n + CASE k WHEN 10 THEN 8 WHEN 3 THEN 4 ELSE 2 END AS words FROM a),
+c AS (SELECT *, CASE WHEN v1 IS NULL AND section = 'lead' AND count(*) FILTER (v1 IS NULL) OVER (PARTITION BY doc, section ORDER BY idx) > 4 THEN 'G9' ELSE v1 END AS v2 FROM v),
+s AS (SELECT *, CASE WHEN v2 IS NULL AND sum(CASE WHEN v2 IS NULL THEN words ELSE 0 END) OVER (PARTITION BY doc ORDER BY section <> 'lead', idx) >= 720 THEN 'G9' ELSE v2 END AS v3 FROM c)
+SELECT doc, section, CAST(idx AS INTEGER) AS idx, coalesce(v3, CASE WHEN section = 'lead' AND bool_or(section = 'lead' AND idx = 0 AND v3 IS NOT NULL) OVER (PARTITION BY doc) THEN 'G10' ELSE 'kept' END) AS verdict FROM s""")
 def grounding_rules(spark, d):
-    p = spark.createDataFrame(_PARAGRAPHS, "doc int, section string, idx int, text string")
-    return ft.ground_paragraphs(p, spark.createDataFrame([("api",), ("db",)], "name string"), spark.createDataFrame([("f1",)], "handle string"))
+    """Every line of every document is a paragraph: its letters, and an end that keeps a rule or breaks one."""
+    docs = table(spark, d, "documents")
+    lines = docs.select(F.col("doc_id").alias("doc"), "source", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
+    end = F.replace(F.element_at(F.array(*map(F.lit, _ENDS)), ((F.col("doc") * 7 + F.col("idx")) % 12 + 1).cast("int")), F.lit("SRC"), F.col("source"))
+    text = F.when((F.col("doc") * 7 + F.col("idx")) % 12 == 11, " ").otherwise(F.concat(F.regexp_replace(F.lower("line"), "[^a-z]+", " "), end))
+    p = lines.select("doc", F.when(F.col("idx") % 3 == 2, "subsystem").otherwise("lead").alias("section"), "idx", text.alias("text"))
+    handles = table(spark, d, "region").select(F.concat(F.lit("f"), "r_regionkey").alias("handle"))
+    return ft.ground_paragraphs(p, docs.select(F.col("source").alias("name")).distinct(), handles)
 
 
 @query(f"WITH {_BASE}, t AS (SELECT 's' || s_suppkey AS a, ['n' || s_nationkey, 'r' || s_suppkey % 3] AS xs FROM supplier), u AS (SELECT ['n3', 'r1'] AS ys) SELECT a, NOT list_has_any(xs, ys) AS disjoint, list_has_all(xs, ys) AS covers FROM t, u")
