@@ -193,7 +193,7 @@ def _fit(samples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 6,
 def _generated(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghilmnoprstuvz") for _ in range(rng.randint(2, 8)))
-    kind = rng.choice(["email", "ip", "card", "phone", "phone", "", "", "", "", ""])
+    kind = rng.choice(["email", "ip", "card", "phone", "phone", "phone", "", "", "", "", "", ""])
     if kind == "email":
         s = rng.choice(["", word() + ".", word() + "_"]) + word() + rng.choice(["", n(2)]) + "@" + word() + rng.choice(["", "-" + word()]) + "." + rng.choice(["com", "org", "net", "co.uk", "de"])
     elif kind == "ip":
@@ -205,14 +205,14 @@ def _generated(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
         s = sep.join(body[i : i + 4] for i in range(0, 16, 4))
     elif kind == "phone":
         a, b, c = str(rng.randint(2, 9)) + n(2), n(3), n(4)
-        s = rng.choice([f"+1 ({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{rng.randint(20, 99)} {n(3)} {n(3)} {n(3)}", f"1-{a}-{b}-{c}", f"({a}) {b} {c}"])
+        s = rng.choice([f"+1 ({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{rng.randint(20, 99)} {n(3)} {n(3)} {n(3)}", f"1-{a}-{b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}){b}-{c}", f"1 ({a}) {b}-{c}"])
     else:
         s = rng.choice([f"{rng.randint(1900, 2030)}-{n(2)}-{n(2)}", f"{n(2)}/{n(2)}/{n(4)}", f"{n(2)}:{n(2)}:{n(2)}", n(rng.randint(1, 19)), f"{n(1)}.{n(1)}.{n(2)}", f"{n(3)},{n(3)}", f"{n(3)}.{n(2)}", f"v{n(1)}.{n(2)}",
                         f"{rng.randint(256, 999)}.{n(2)}.{n(3)}.{rng.randint(300, 999)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)), f"{word()}{n(4)}", f"978-{n(1)}-{n(4)}-{n(4)}-{n(1)}", f"{n(4)} {n(4)} {n(4)} {n(3)}", f"{n(4)} {n(4)} {n(4)} {n(4)}", f"{n(4)}-{n(4)}-{n(4)}-{n(4)}", n(16), f"{n(4)} {n(4)} {n(4)} {n(4)}", f"{n(2)}%", f"@{word()}", f"{word()}@",
                         f"{n(4)}-{n(4)}", f"{n(5)}-{n(4)}", f"ID-{n(6)}-{n(4)}", f"{n(1)} {n(2)} {n(3)} {n(4)}", f"{n(4)} {n(4)}", f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}"])
         if 12 <= len(_digits(s)) <= 19 and luhn(_digits(s)):
             s = s[:-1] + str((int(s[-1]) + 1) % 10) if s[-1].isdigit() else s
-    left, right = rng.choice(["", "", "(", '"']), rng.choice(["", "", ".", ",", ")"])
+    left, right = rng.choice(["", "", "(", '"', word() + " ", word() + " ", word() + ": "]), rng.choice(["", "", ".", ",", ")", " " + word(), " " + word()])
     text = left + s + right
     return text, [(kind, len(left), len(left) + len(s))] if kind else []
 
@@ -220,7 +220,7 @@ def _generated(rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
 @lru_cache(maxsize=1)
 def model() -> dict[str, list[float]]:
     rng = random.Random(7)
-    return _fit([_generated(rng) for _ in range(900)])
+    return _fit([_generated(rng) for _ in range(1500)])
 
 
 def decode(text: str, a: int, z: int, w: dict[str, list[float]]) -> list[tuple[str, int, int]]:

@@ -1,6 +1,7 @@
 """The pipeline and personal data against plain Python, and their edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import sys
@@ -62,12 +63,86 @@ def test_pii_query_against_patterns(spark):
     assert found > 5
 
 
+def _scored(text, a, z, w):
+    """(start, end, kind, score) of every candidate segment of a zone."""
+    cuts, ends = pii._segments(text, a, z)
+    return cuts, [(b, e, k, sum(w[x][k] for x in f if x in w)) for e, at in enumerate(ends) for b, f in at for k in range(4)]
+
+
 def test_decoder_against_all_segmentations():
-    """The dynamic programme finds a cut of a zone as good as the best of all cuts."""
-    w = pii.model()
-    for text in ["(651) 555-8500", "at 10:20:30", "4111-1111-1111-1112", "a1@b", "12.50 7"]:
-        spans = pii.all_spans(text, w)[1]
-        assert all(0 <= a < z <= len(text) for _, a, z in spans) and len(spans) == len(set(spans))
+    """The dynamic programme finds the best of all sets of disjoint segments with their types, by trying every one."""
+    rng, w = random.Random(3), pii.model()
+    marks = ["651", "555", "8500", "4111", "10", "0", "255", ".", "-", " ", "(", ")", "+1 ", "a", "@", "b.org", ":", "/"]
+    texts = ["(651) 555-8500", "at 10:20:30", "4111-1111-1111-1112", "a1@b", "12.50 7", "+1 (651) 555-8500, 10.0.0.1", "651-555-8500 651 555 8501"]
+    texts += ["".join(rng.choice(marks) for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    several = 0
+    for text in texts:
+        for a, z in pii.zones(text):
+            cuts, segments = _scored(text, a, z, w)
+
+            def sets(e, done):  # every set of disjoint segments, from the end
+                if e <= 0:
+                    yield 0.0, []
+                    return
+                yield from sets(e - 1, done)
+                for b, end, k, v in done.get(e, ()):
+                    yield from ((v + x, [(b, end, k), *rest]) for x, rest in sets(b, done))
+
+            by_end = {}
+            for seg in segments:
+                if seg[3] > -1:  # a segment that takes away is in no best set
+                    by_end.setdefault(seg[1], []).append(seg)
+            if sum(map(len, by_end.values())) > 24:
+                continue
+            best = max(sets(len(cuts) - 1, by_end), key=lambda x: x[0])
+            got = pii.decode(text, a, z, w)
+            value = {(cuts[b], cuts[e], k): v for b, e, k, v in segments}
+            assert abs(sum(value[s, e, pii.KINDS.index(k)] for k, s, e in got) - best[0]) < 1e-9, text
+            several += len(got) > 0
+    assert several > 10
+
+
+def _digits(rng, n):
+    return "".join(rng.choice("0123456789") for _ in range(n))
+
+
+def test_added_spans_on_planted_documents(spark):
+    """Phones in forms that the base does not read, and numbers that are none, planted in documents: 7 forms and 9 forms, 40 of each."""
+    rng, w = random.Random(12), pii.model()
+    prose = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) between 100 and 3000").collect()]
+    area = lambda: str(rng.randint(2, 9)) + _digits(rng, 2)
+    n = lambda k: _digits(rng, k)
+    phones = [lambda: f"({area()}) {n(3)}-{n(4)}", lambda: f"{area()}-{n(3)}-{n(4)}", lambda: f"1-{area()}-{n(3)}-{n(4)}", lambda: f"{area()}.{n(3)}.{n(4)}", lambda: f"{area()} {n(3)} {n(4)}", lambda: f"({area()}){n(3)}-{n(4)}", lambda: f"1 ({area()}) {n(3)}-{n(4)}"]
+    others = [lambda: f"{rng.randint(1990, 2030)}-{n(2)}-{n(2)}", lambda: f"{n(2)}:{n(2)}:{n(2)}", lambda: f"{n(3)},{n(3)}.{n(2)}", lambda: f"978-{n(1)}-{n(4)}-{n(4)}-{n(1)}", lambda: f"{n(1)}.{n(2)}.{n(1)}", lambda: n(6), lambda: f"{n(5)}-{n(4)}", lambda: f"{n(4)}-{n(4)}-{n(4)}", lambda: f"{n(2)}/{n(2)}"]
+    hit = wrong = 0
+    for i in range(40 * 16):
+        form = (phones + others)[i % 16]
+        text, s = rng.choice(prose), form()
+        at = rng.choice([k for k, c in enumerate(text) if c == " "])
+        base, spans = pii.all_spans(f"{text[:at]} {s}{text[at:]}", w)
+        own = [x for x in spans if x[1] < at + 1 + len(s) and x[2] > at + 1]
+        if form in phones:
+            hit += ("phone", at + 1, at + 1 + len(s)) in own
+        else:
+            wrong += any(x not in base for x in own)
+    assert hit >= 0.97 * 280 and wrong <= 0.01 * 360
+
+
+def test_line_labels_against_all_sequences():
+    """Viterbi's sequence is the best of all."""
+    from tessera.llm import quality_rules as qr
+
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n = int(rng.integers(1, 9))
+        emit, move = rng.normal(size=(n, 2)) * 2, rng.normal(size=(2, 2))
+        score = lambda y: sum(emit[i, c] for i, c in enumerate(y)) + sum(move[p, q] for p, q in zip(y, y[1:], strict=False))
+        assert list(qr.viterbi(emit, move)) == list(max(itertools.product((0, 1), repeat=n), key=score))
+    w, t = qr.model()
+    lines = [b"home | about | contact", b"A long line of plain words that tells of something and goes on.", b"click here", b"home | about | contact"]
+    x = qr.line_features(lines, qr._again(lines)) @ w
+    best = max(itertools.product((0, 1), repeat=4), key=lambda y: sum(x[i, c] for i, c in enumerate(y)) + sum(t[p, q] for p, q in zip(y, y[1:], strict=False)))
+    assert list(qr.viterbi(x, t)) == list(best)
 
 
 def words5(text):
