@@ -6,6 +6,11 @@ modules each entry point reaches, adj(a, b, w), members(feature, key).
 
 from __future__ import annotations
 
+from collections import Counter
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -201,6 +206,99 @@ def repair_plan(plan: DataFrame, claims: DataFrame, candidates: DataFrame, least
     return placed.unionByName(rest)
 
 
+class _Groups:
+    """Groups of one repository as tables: members, coupling from group to group, and modules of each group by folder. Joining two groups adds rows."""
+
+    def __init__(self, rows: list[tuple], edges: list[tuple]):
+        self.home = {key: folder for _, key, folder, _ in rows}
+        self.members: dict[str, set[str]] = {}
+        self.has_entry: dict[str, bool] = {}
+        for group, key, _, entry in rows:
+            self.members.setdefault(group, set()).add(key)
+            self.has_entry[group] = self.has_entry.get(group, False) or bool(entry)
+        of = {key: group for group, keys in self.members.items() for key in keys}
+        self.modules: dict[tuple[str, str], float] = {}
+        self.weight: dict[str, Counter] = {g: Counter() for g in self.members}
+        for a, b, w in edges:
+            self.modules[a, b] = self.modules.get((a, b), 0) + w
+            if a in of and b in of:
+                self.weight[of[a]][of[b]] += w
+        self.folders = {g: Counter(self.home[k] for k in keys) for g, keys in self.members.items()}
+
+    def size(self, group: str) -> int:
+        return len(self.members[group])
+
+    def folder(self, group: str) -> str:
+        """That of the module the group is named after, else the folder of most modules."""
+        if group in self.members[group]:
+            return self.home[group]
+        return min(self.folders[group], key=lambda d: (-self.folders[group][d], d))
+
+    def join(self, group: str, into: str) -> None:
+        self.members.setdefault(into, set()).update(self.members.pop(group))
+        self.has_entry[into] = self.has_entry.pop(group) or self.has_entry.get(into, False)
+        self.folders[into] = self.folders.get(into, Counter()) + self.folders.pop(group)
+        own = self.weight.pop(group)
+        self.weight.setdefault(into, Counter()).update(own)
+        for row in self.weight.values():
+            if group in row:
+                row[into] += row.pop(group)
+
+    def closest(self, group: str, targets: list[str], any_kin: bool) -> str | None:
+        """By coupling; else by modules in the group's folder or the nearest above it; else, with any_kin, by the longest common path. Ties: the least name."""
+        votes = {t: self.weight[group][t] for t in targets if self.weight[group][t] > 0}
+        path = [p for p in self.folder(group).split("/") if p not in ("", ".")]
+        levels = list(accumulate(path, "{}/{}".format)) or ["."]
+        held = ({t: n for t in targets if (n := self.folders[t][level])} for level in reversed(levels))
+        votes = votes or next(filter(None, held), {})
+        if not votes and any_kin:
+            own = self.folder(group).split("/")
+            votes = {t: max(len(commonprefix([own, d.split("/")])) for d in self.folders[t] if self.folders[t][d]) for t in targets}
+        return min(votes, key=lambda t: (-votes[t], t), default=None)
+
+
+def _folded(groups: _Groups, least: int, cap: int) -> dict[str, set[str]]:
+    small = lambda g: groups.size(g) < least
+    entry = groups.has_entry
+    fits = lambda g, t: g != t and (entry[t] or not entry[g])
+
+    # small groups wait by size and name; whoever finds a home sends all that found none back into the queue
+    if any(entry[g] or not small(g) for g in groups.members):
+        queue, waiting = [(groups.size(g), g) for g in groups.members if small(g)], []
+        heapify(queue)
+        while queue:
+            n, g = heappop(queue)
+            if g not in groups.members or n != groups.size(g):
+                continue
+            home = groups.closest(g, [t for t in groups.members if fits(g, t) and (entry[t] or not small(t))], any_kin=False)
+            if home is None:
+                waiting.append((n, g))
+                continue
+            groups.join(g, home)
+            for x in waiting + ([(groups.size(home), home)] if small(home) else []):
+                heappush(queue, x)
+            waiting = []
+        shared: dict[str, list[str]] = {}
+        for g in sorted(groups.members):
+            if small(g) and not entry[g]:
+                shared.setdefault(groups.folder(g), []).append(g)
+        for _, left in sorted(shared.items()):
+            keys = set().union(*(groups.members[g] for g in left))
+            inner = {k: sum(groups.modules.get((k, b), 0) for b in keys) for k in keys}
+            name = TERMINAL if len(left) == 1 else min(keys, key=lambda k: (-inner[k], k))
+            aside = "\0"  # a name that no group has, as the new one may be that of a group among them
+            for g in left:
+                groups.join(g, aside)
+            groups.join(aside, name)
+    while len(groups.members) > cap:
+        order = sorted((entry[g], groups.size(g), g) for g in groups.members if g != TERMINAL)
+        home = groups.closest(order[0][2], [t for _, _, t in order if fits(order[0][2], t)], any_kin=True) if order else None
+        if home is None:
+            break
+        groups.join(order[0][2], home)
+    return groups.members
+
+
 def fold(repositories: DataFrame, adj: DataFrame, least: int = 2, cap: int = 32) -> DataFrame:
     """repositories(repo, group, key, dir, is_entry), adj(repo, a, b, w) -> repo, key, group after folding.
 
@@ -208,79 +306,14 @@ def fold(repositories: DataFrame, adj: DataFrame, least: int = 2, cap: int = 32)
     that holds most modules of its folder or of the nearest folder above it; a group with an entry module only
     joins another such. Small groups left without one combine by folder, single ones in the terminal group. Beyond
     ``cap`` groups the smallest fold on, without regard to size. Each step depends on the one before, so a
-    repository is one task; repositories are independent.
+    repository is one task, which keeps tables of groups and looks at no pair of modules twice; repositories are independent.
     """
 
     def run(pdf, edges):
         import pandas as pd
 
-        home = dict(zip(pdf["key"], pdf["dir"], strict=True))
-        entries = set(pdf.loc[pdf["is_entry"], "key"])
-        groups: dict[str, set[str]] = {}
-        for g, k in zip(pdf["group"], pdf["key"], strict=True):
-            groups.setdefault(g, set()).add(k)
-        near: dict[str, dict[str, float]] = {}
-        for a, b, w in zip(edges["a"], edges["b"], edges["w"], strict=True):
-            near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0) + w
-
-        small = lambda g: len(groups[g]) < least
-        entry = lambda g: bool(entries & groups[g])
-
-        def folder_of(g):
-            if g in groups[g]:
-                return home[g]
-            names = [home[k] for k in groups[g]]
-            return min(set(names), key=lambda d: (-names.count(d), d))
-
-        def coupled(g, targets):
-            score = {t: sum(w for k in groups[g] for b, w in near.get(k, {}).items() if b in groups[t]) for t in targets}
-            return min((t for t in targets if score[t] > 0), key=lambda t: (-score[t], t), default=None)
-
-        def neighbour(g, targets):
-            parts = [p for p in folder_of(g).split("/") if p not in ("", ".")]
-            for level in ["/".join(parts[:n]) for n in range(len(parts), 0, -1)] or ["."]:
-                held = {t: sum(home[k] == level for k in groups[t]) for t in targets}
-                if any(held.values()):
-                    return min((t for t in targets if held[t]), key=lambda t: (-held[t], t))
-            return None
-
-        def kin(g, targets):
-            own = folder_of(g).split("/")
-            shared = lambda d: next((i for i, (x, y) in enumerate(zip(own, d.split("/"), strict=False)) if x != y), min(len(own), d.count("/") + 1))
-            return min(targets, key=lambda t: (-max(shared(home[k]) for k in groups[t]), t))
-
-        def smallest():
-            return sorted(groups, key=lambda g: (len(groups[g]), g))
-
-        def step():
-            for g in filter(small, smallest()):
-                targets = [t for t in groups if t != g and (not small(t) or entry(t)) and (entry(t) or not entry(g))]
-                t = coupled(g, targets) or neighbour(g, targets)
-                if t is not None:
-                    groups[t] |= groups.pop(g)
-                    return True
-            return False
-
-        if any(not small(g) or entry(g) for g in groups):
-            while step():
-                pass
-            left: dict[str, list[str]] = {}
-            for g in [g for g in smallest() if small(g) and not entry(g)]:
-                left.setdefault(folder_of(g), []).append(g)
-            for _, sharing in sorted(left.items()):
-                joined = set().union(*(groups.pop(g) for g in sharing))
-                inner = lambda k, own=joined: sum(w for b, w in near.get(k, {}).items() if b in own)
-                name = TERMINAL if len(sharing) < 2 else min(joined, key=lambda k: (-inner(k), k))
-                groups[name] = groups.get(name, set()) | joined
-        while len(groups) > cap:
-            order = [g for g in smallest() if g != TERMINAL]
-            g = next((g for g in order if not entry(g)), order[0] if order else None)
-            targets = [t for t in groups if g is not None and t not in (g, TERMINAL) and (entry(t) or not entry(g))]
-            if not targets:
-                break
-            t = coupled(g, targets) or neighbour(g, targets) or kin(g, targets)
-            groups[t] |= groups.pop(g)
-        rows = [(pdf["repo"].iloc[0], k, g) for g, keys in groups.items() for k in sorted(keys)]
+        groups = _Groups(list(pdf[["group", "key", "dir", "is_entry"]].itertuples(index=False)), list(edges[["a", "b", "w"]].itertuples(index=False)))
+        rows = [(pdf["repo"].iloc[0], k, g) for g, keys in _folded(groups, least, cap).items() for k in sorted(keys)]
         return pd.DataFrame(rows, columns=["repo", "key", "group"])
 
     ship_package(repositories.sparkSession)
