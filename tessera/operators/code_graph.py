@@ -46,6 +46,7 @@ def import_candidates(text: Column) -> Column:
         .when(line.startswith("import "), listed)
         .when(line.startswith("use "), F.array(F.split_part(F.substring(line, 5, 1 << 20), F.lit(" as "), F.lit(1))))
         .when(line.startswith("extern crate "), F.array(F.substring(line, 14, 1 << 20)))
+        # Fixed value: what a name is where no form fits; the last one counts
         .otherwise(F.slice(F.reverse(F.regexp_extract_all(line, F.lit(r"[A-Za-z_][A-Za-z0-9_./:]*"), 0)), 1, 1))
     )
     return F.filter(F.transform(names, lambda c: F.regexp_replace(F.trim(c), r"^[{}()]+|[{}()]+$", "")), lambda c: c != "")

@@ -118,11 +118,12 @@ def feature_edges(members: DataFrame, adj: DataFrame) -> tuple[DataFrame, DataFr
     return inner, j.where("feature <> other").select("feature", "other").distinct()
 
 
-def navigation(features: DataFrame) -> DataFrame:
-    """features(key, title, kind, n_points) in order: kinds from general to specific, more entry points, title."""
+def navigation(features: DataFrame, repository: str | None = None) -> DataFrame:
+    """features(key, title, kind, n_points) with position, from 1 within each ``repository`` (a column): kinds from general to specific, more entry points, title, key."""
     rank = F.array_position(F.array(*map(F.lit, FEATURE_KINDS)), F.col("kind"))
     default = FEATURE_KINDS.index(DEFAULT_KIND) + 1
-    return features.orderBy(F.when(rank > 0, rank).otherwise(default), F.desc("n_points"), "title")
+    within = W.partitionBy(repository) if repository else W.partitionBy(F.lit(0))
+    return features.withColumn("position", F.row_number().over(within.orderBy(F.when(rank > 0, rank).otherwise(default), F.desc("n_points"), "title", "key")).cast("bigint"))
 
 
 def entry_flows(points: DataFrame, depths: DataFrame, members: DataFrame, handles: DataFrame, flows: int = 6, reached: int = 5) -> DataFrame:
@@ -322,11 +323,13 @@ def fold(repositories: DataFrame, adj: DataFrame, least: int = 2, cap: int = 32)
     return sides[0].groupBy("repo").cogroup(sides[1].groupBy("repo")).applyInPandas(run, "repo string, key string, group string")
 
 
-def overview_caps(features: DataFrame, features_cap: int = 12, majors: int = 8) -> DataFrame:
-    """features(position, key, kind, prose_or_tests) -> position, key, prompted, major: the first ``features_cap`` are prompted, of these the first ``majors`` that are not tooling, documents or tests are major."""
+def overview_caps(features: DataFrame, features_cap: int = 12, majors: int = 8, repository: str | None = None) -> DataFrame:
+    """features(position, key, kind, prose_or_tests) -> position, key, prompted, major: the first ``features_cap`` are prompted, of these the first ``majors`` that are not tooling, documents or tests are major. Within each ``repository`` (a column), if there is one."""
     first = features.withColumn("prompted", F.col("position") <= features_cap)
-    able = first.where("prompted and kind <> 'tooling' and not prose_or_tests").select("key", F.row_number().over(W.orderBy("position")).alias("m")).where(F.col("m") <= majors)
-    return first.join(able.select("key").withColumn("is_major", F.lit(True)), "key", "left").select("position", "key", "prompted", F.coalesce("is_major", F.lit(False)).alias("major"))
+    able = F.col("prompted") & (F.col("kind") != "tooling") & ~F.col("prose_or_tests")
+    within = W.partitionBy(F.col(repository) if repository else F.lit(0)).orderBy("position").rowsBetween(W.unboundedPreceding, 0)
+    nth = F.sum(F.when(able, 1).otherwise(0)).over(within)
+    return first.withColumn("major", able & (nth <= majors)).select(*([repository] if repository else []), "position", "key", "prompted", "major")
 
 
 #: Words of praise that no reader can check.

@@ -158,29 +158,25 @@ def feature_edges(spark, d):
     return inner.withColumn("other", none).unionByName(outer.select("feature", none.alias("a"), none.alias("b"), "other"))
 
 
-_FEATURES = """ftab AS (SELECT 'f' || n_nationkey AS key, n_name AS title, CASE n_nationkey % 5 WHEN 0 THEN 'tooling' WHEN 1 THEN 'overview' WHEN 2 THEN 'odd' WHEN 3 THEN 'capability' ELSE 'subsystem' END AS kind, n_regionkey AS n_points FROM nation),
-nav AS (SELECT *, row_number() OVER (ORDER BY CASE kind WHEN 'overview' THEN 1 WHEN 'capability' THEN 2 WHEN 'tooling' THEN 4 ELSE 3 END, n_points DESC, title) AS position FROM ftab)"""
+_FEATURES = """ftab AS (SELECT s_nationkey AS repo, 'f' || s_suppkey AS key, s_name AS title, CASE s_suppkey % 5 WHEN 0 THEN 'tooling' WHEN 1 THEN 'overview' WHEN 2 THEN 'odd' WHEN 3 THEN 'capability' ELSE 'subsystem' END AS kind, s_suppkey % 4 AS n_points FROM supplier),
+nav AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY CASE kind WHEN 'overview' THEN 1 WHEN 'capability' THEN 2 WHEN 'tooling' THEN 4 ELSE 3 END, n_points DESC, title, key) AS position FROM ftab)"""
 
 
 def _features(spark, d) -> DataFrame:
-    k = F.col("n_nationkey")
+    """Suppliers are features, nations their repositories."""
+    k = F.col("s_suppkey")
     kind = F.element_at(F.array(*map(F.lit, ["tooling", "overview", "odd", "capability", "subsystem"])), (k % 5 + 1).cast("int"))
-    return table(spark, d, "nation").select(F.concat(F.lit("f"), k).alias("key"), F.col("n_name").alias("title"), kind.alias("kind"), F.col("n_regionkey").alias("n_points"))
-
-
-def _numbered(spark, d) -> DataFrame:
-    """Features with their place in the navigation: a handful of rows a repository."""
-    return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(ft.navigation(_features(spark, d)).collect())], "position long, key string, title string, kind string, n_points int")
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("repo"), F.concat(F.lit("f"), k).alias("key"), F.col("s_name").alias("title"), kind.alias("kind"), (k % 4).alias("n_points"))
 
 
-@query(f"WITH {_FEATURES} SELECT position, key, title, kind FROM nav")
+@query(f"WITH {_FEATURES} SELECT repo, position, key, title, kind FROM nav")
 def navigation_order(spark, d):
-    return _numbered(spark, d).select("position", "key", "title", "kind")
+    return ft.navigation(_features(spark, d), "repo").select("repo", "position", "key", "title", "kind")
 
 
-@query(f"WITH {_FEATURES}, p AS (SELECT *, position <= 12 AS prompted FROM nav), m AS (SELECT key, row_number() OVER (ORDER BY position) AS m FROM p WHERE prompted AND kind <> 'tooling' AND n_points <> 2) SELECT position, p.key, prompted, coalesce(m <= 8, false) AS major FROM p LEFT JOIN m USING (key)")
+@query(f"WITH {_FEATURES}, p AS (SELECT *, position <= 12 AS prompted FROM nav), m AS (SELECT key, row_number() OVER (PARTITION BY repo ORDER BY position) AS m FROM p WHERE prompted AND kind <> 'tooling' AND n_points <> 2) SELECT repo, position, p.key, prompted, coalesce(m <= 8, false) AS major FROM p LEFT JOIN m USING (key)")
 def overview_caps(spark, d):
-    return ft.overview_caps(_numbered(spark, d).withColumn("prose_or_tests", F.col("n_points") == 2))
+    return ft.overview_caps(ft.navigation(_features(spark, d), "repo").withColumn("prose_or_tests", F.col("n_points") == 2), repository="repo")
 
 
 @query(f"""WITH {_BASE}, dep AS (SELECT point, key, 1 + CAST(substr(key, 2) AS BIGINT) % 4 AS depth FROM rch), hd AS (SELECT 'f' || n_nationkey AS feature, n_nationkey AS handle FROM nation),

@@ -122,6 +122,36 @@ def hash_embed_topk(spark, d):
     return retrieval.knn(retrieval.hash_embed(docs), asked, 5).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def _index(spark, d) -> DataFrame:
+    """Documents as the rows of a search index, with vectors of the hashing embedder; every fifth is of another model."""
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    vec = retrieval.hash_embed(docs.select("id", "text"))
+    k = F.col("id")
+    return docs.join(vec, "id").select(k.alias("chunk_id"), F.col("text").alias("content"), F.col("vec").alias("embedding"), F.lit("code").alias("chunk_type"), F.when(k % 5 == 0, "m2").otherwise("m1").alias("model_id"), F.col("source").alias("file"), F.concat(F.lit("sym"), k % 50).alias("symbol_id"))
+
+
+_SEARCH = _EMBED.format(source="(SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark WHERE item_id % 20 = 0)") + f""", {_BM25},
+nr AS (SELECT id, sqrt(sum(w * w)) AS n FROM bw GROUP BY id), qs AS (SELECT -1 - id AS qid, b, w, n FROM bw JOIN nr USING (id) WHERE id < 0),
+dt AS (SELECT qs.qid, x.id, sum(x.w * qs.w) / (min(nr.n) * min(qs.n)) AS score FROM bw x JOIN qs ON qs.b = x.b JOIN nr ON nr.id = x.id WHERE x.id >= 0 GROUP BY qs.qid, x.id),
+sc AS (SELECT q.qid, doc_id AS id, round(coalesce(dt.score, 0), 9) AS score FROM documents, (SELECT item_id AS qid FROM benchmark WHERE item_id % 20 = 0) q LEFT JOIN dt ON dt.qid = q.qid AND dt.id = doc_id WHERE doc_id % 5 <> 0),
+vec AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc),
+lx AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY lex.rank) AS rank FROM lex JOIN sc USING (qid, id) WHERE lex.rank <= 20),
+f AS (SELECT coalesce(v.qid, x.qid) AS qid, coalesce(v.id, x.id) AS id, round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + x.rank), 0), 9) AS rrf FROM (SELECT * FROM vec WHERE rank <= 20) v FULL JOIN lx x ON v.qid = x.qid AND v.id = x.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS rank FROM f)"""
+
+
+@query(f"WITH {_SEARCH} SELECT qid, id AS chunk_id, rank, round(score, 5) AS score FROM r JOIN sc USING (qid, id) WHERE rank <= 5")
+def search_implicit_model(spark, d):
+    """Questions as texts; only vectors of the embedder's own model answer, the lexical side is cut before that."""
+    return retrieval.search(_index(spark, d), _text_queries(spark, d), retrieval.hash_embed, 5, model_id="m1").select("qid", "chunk_id", "rank", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {_SEARCH} SELECT qid, id AS chunk_id, rank, 'sym' || id % 50 AS symbol_id, source AS file, sha256(text) AS content FROM r JOIN sc USING (qid, id) JOIN documents ON doc_id = id WHERE rank <= 5")
+def evidence_retrieval(spark, d):
+    found = retrieval.retrieve_evidence(_index(spark, d), _text_queries(spark, d), retrieval.hash_embed, 5, model_id="m1")
+    return found.select("qid", "chunk_id", "rank", "symbol_id", "file", F.sha2("content", 256).alias("content"))
+
+
 @query("""SELECT p_partkey AS id, p_name AS name, CASE WHEN lower(p_name) = 'red bolt' THEN 100 WHEN starts_with(lower(p_name), 'red bolt') THEN 80 WHEN contains(lower(p_name), 'bolt') THEN 60 ELSE 20 END AS score
 FROM part WHERE contains(lower(p_name), 'bolt') OR contains(lower(p_brand), 'brand#1') ORDER BY score DESC, name, id LIMIT 400""")
 def symbol_search_rank(spark, d):

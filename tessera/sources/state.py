@@ -27,15 +27,16 @@ def _fs(spark: SparkSession, root: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file in one step: written beside, then renamed over the old one."""
+    """A small file in one step: written beside, then renamed over the old one, so a reader finds the old text or the new one."""
     fs, place = _fs(spark, path)
     beside = place(f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    fs.delete(place(path), False)
-    if not fs.rename(beside, place(path)):
-        raise OSError(f"could not write {path}")
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    over = gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(place(path)), over)
 
 
 class Published:
@@ -125,21 +126,18 @@ def deletable(removed: DataFrame, manifest: DataFrame, aliases: DataFrame) -> Da
 
 
 def history(spark: SparkSession, root: str) -> DataFrame:
-    """state, path, indexed_at: the latest row of the repositories table of each state folder, newest first; folders without a readable one are skipped."""
+    """state, path, indexed_at: the latest row of the repositories table of each state folder, newest first; folders without a readable one are skipped.
+
+    All folders are read by one scan; a row's folder is in the path of its file.
+    """
     fs, place = _fs(spark, root)
-    out = None
-    for f in sorted(fs.listStatus(place(root)), key=lambda x: x.getPath().getName()):
-        if not f.isDirectory() or f.getPath().getName().startswith("."):
-            continue
-        try:
-            t = spark.read.parquet(f"{root}/{f.getPath().getName()}/repositories").select("root_path", "last_indexed_at")
-            one = t.where("coalesce(root_path, '') <> ''").orderBy(F.desc("last_indexed_at")).limit(1).collect()
-        except Exception as unreadable:  # noqa: BLE001
-            if not re.search("PATH_NOT_FOUND|UNABLE_TO_INFER|UNRESOLVED_COLUMN|not a Parquet file|CANNOT_READ_FILE|FAILED_READ_FILE", str(unreadable)):
-                raise
-            continue
-        out = (out or []) + [(f.getPath().getName(), r["root_path"], r["last_indexed_at"]) for r in one]
-    return spark.createDataFrame(out or [], "state string, path string, indexed_at string").orderBy(F.desc_nulls_last("indexed_at"), "state")
+    if not fs.globStatus(place(f"{root}/*/repositories")):
+        return spark.createDataFrame([], "state string, path string, indexed_at string")
+    rows = spark.read.schema("root_path string, last_indexed_at string").option("ignoreCorruptFiles", "true").parquet(f"{root}/*/repositories")
+    named = rows.select(F.regexp_extract("_metadata.file_path", "([^/]+)/repositories/", 1).alias("state"), F.col("root_path").alias("path"), F.col("last_indexed_at").alias("indexed_at"))
+    known = named.where("coalesce(path, '') <> '' and state not like '.%'")
+    latest = known.groupBy("state").agg(F.max(F.struct("indexed_at", "path")).alias("x")).select("state", "x.path", "x.indexed_at")
+    return latest.orderBy(F.desc_nulls_last("indexed_at"), "state")
 
 
 def commit_of(spark: SparkSession, root: str) -> str:
