@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import durable
 
 # Endings that a relative JavaScript or TypeScript import may leave out, in order of preference.
 JS_ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs"]
@@ -57,37 +58,50 @@ def _only(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count_distinct(value).alias("n"), F.min(value).alias(value)).where("n = 1").drop("n")
 
 
+def _places(rows: DataFrame, name: str) -> DataFrame:
+    """rows(name, path) -> name and, as a struct, how many files it may mean and the first and last of them."""
+    return rows.groupBy("name").agg(F.struct(F.count_distinct("path").alias("n"), F.min("path").alias("lo"), F.max("path").alias("hi")).alias(name))
+
+
+def _other(places: str) -> Column:
+    """The one file besides the importer's own that a name may mean."""
+    p = F.col(places)
+    return F.when((p["n"] == 1) & (p["lo"] != F.col("file")), p["lo"]).when((p["n"] == 2) & (p["lo"] == F.col("file")), p["hi"]).when((p["n"] == 2) & (p["hi"] == F.col("file")), p["lo"])
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports(file, text, seq) -> file, text, seq, name and target, the imported file's path or null.
 
     A name with leading dots is a path from the importer's folder, one level up for each further dot, to
-    ``.py`` or ``/__init__.py``. A dotted name is a file whose path ends with the whole name, if exactly one
-    does; else, like a bare one, a file of that name or stem, if exactly one other file has it.
+    ``.py`` or ``/__init__.py``. A dotted name is a file whose path ends with the whole name, if exactly one other
+    does; else, like a bare one, a file of that name or stem, if exactly one other file has it. What a name may mean is looked up once for
+    each name, not for each file that imports it.
     """
-    asked = imports.select("file", "text", "seq", F.explode(import_candidates(F.col("text"))).alias("name"))
-    refs = asked.select("file", "name").distinct()
+    asked = durable(imports.select("file", "text", "seq", F.explode(import_candidates(F.col("text"))).alias("name")), "names")
     dots = F.length(F.regexp_extract("name", r"^(\.*)", 1))
     parts = F.split(folder(F.col("file")), "/")
     base = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - (dots - 1), F.lit(0)))
     rest = F.filter(F.split(F.trim(F.regexp_replace("name", r"^\.+", "")), r"\."), lambda s: s != "")
     place = F.array_join(F.filter(F.concat(base, rest), lambda s: s != ""), "/")
-    relative = refs.where("name like '.%'").select("file", "name", F.explode(F.array(F.concat(place, F.lit(".py")), F.regexp_replace(F.concat(place, F.lit("/__init__.py")), "^/", ""))).alias("path"))
-    relative = relative.join(files.select("path"), "path", "left_semi").where("path <> file").groupBy("file", "name").agg(F.min("path").alias("target"))
+    near = asked.where("name like '.%'").select("file", "name").distinct()
+    near = near.select("file", "name", F.explode(F.array(F.concat(place, F.lit(".py")), F.regexp_replace(F.concat(place, F.lit("/__init__.py")), "^/", ""))).alias("path"))
+    relative = near.join(files.select("path"), "path", "left_semi").where("path <> file").groupBy("file", "name").agg(F.min("path").alias("target"))
 
+    names = asked.where("name not like '.%'").select("name").distinct()
     no_py = F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), r"/__init__$", "")
     tails = files.select("path", F.explode(F.array_union(tx.suffixes(F.regexp_replace("path", r"\.py$", "")), tx.suffixes(no_py))).alias("tail"))
     segments = F.filter(F.split("name", r"\."), lambda s: s != "")
-    dotted = refs.where("name not like '.%' and name like '%.%'").where(F.size(segments) >= 2).select("file", "name", F.array_join(segments, "/").alias("tail"))
-    dotted = _only(dotted.join(tails, "tail").where("path <> file"), ["file", "name"], "path").withColumnRenamed("path", "by_tail")
+    dotted = names.where("name like '%.%'").where(F.size(segments) >= 2).select("name", F.array_join(segments, "/").alias("tail"))
+    by_tail = _places(dotted.join(tails, "tail"), "by_tail")
 
     known = files.select("path", F.explode(F.array_distinct(F.array(tx.normalize_identifier(stem(F.col("path"))), stem(F.col("path"))))).alias("key"))
     name = F.regexp_replace("name", r"""^['"]+|['"]+$""", "")
     last = F.element_at(F.split(name, "/"), -1)
     keys = F.array_distinct(F.array(tx.normalize_identifier(F.col("name")), stem(name), F.when(last.rlike(r".\.[^.]+$"), stem(name)).otherwise(F.element_at(F.split(last, r"\."), -1))))
-    bare = refs.where("name not like '.%'").select("file", "name", F.explode(keys).alias("key")).where("key <> ''")
-    bare = _only(bare.join(known, "key").where("path <> file"), ["file", "name"], "path").withColumnRenamed("path", "by_name")
-    found = refs.join(relative, ["file", "name"], "left").join(dotted, ["file", "name"], "left").join(bare, ["file", "name"], "left")
-    return asked.join(found.select("file", "name", F.coalesce("target", "by_tail", "by_name").alias("target")), ["file", "name"])
+    by_name = _places(names.select("name", F.explode(keys).alias("key")).where("key <> ''").join(known, "key"), "by_name")
+    meant = durable(names.join(by_tail, "name", "left").join(by_name, "name", "left"), "meant")
+    found = asked.join(meant, "name", "left").join(relative, ["file", "name"], "left")
+    return found.select("file", "name", "text", "seq", F.coalesce("target", _other("by_tail"), _other("by_name")).alias("target"))
 
 
 def import_edges(resolved: DataFrame) -> DataFrame:
