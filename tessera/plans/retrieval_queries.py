@@ -140,10 +140,10 @@ f AS (SELECT coalesce(v.qid, x.qid) AS qid, coalesce(v.id, x.id) AS id, round(co
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS rank FROM f)"""
 
 
-@query(f"WITH {_SEARCH} SELECT qid, id AS chunk_id, rank, round(score, 5) AS score FROM r JOIN sc USING (qid, id) WHERE rank <= 5")
+@query(f"WITH {_SEARCH} SELECT qid, id AS chunk_id, rank, round(score, 6) AS score FROM r JOIN sc USING (qid, id) WHERE rank <= 5")
 def search_implicit_model(spark, d):
     """Questions as texts; only vectors of the embedder's own model answer, the lexical side is cut before that."""
-    return retrieval.search(_index(spark, d), _text_queries(spark, d), retrieval.hash_embed, 5, model_id="m1").select("qid", "chunk_id", "rank", F.round("score", 5).alias("score"))
+    return retrieval.search(_index(spark, d), _text_queries(spark, d), retrieval.hash_embed, 5, model_id="m1").select("qid", "chunk_id", "rank", "score")
 
 
 @query(f"WITH {_SEARCH} SELECT qid, id AS chunk_id, rank, 'sym' || id % 50 AS symbol_id, source AS file, sha256(text) AS content FROM r JOIN sc USING (qid, id) JOIN documents ON doc_id = id WHERE rank <= 5")
