@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package, table
+from ..session import ship_package, spread, table
 from ..sources import extract, files
 from .registry import query
 
@@ -60,6 +60,7 @@ def binary_sniff(spark, d):
 
     @F.pandas_udf("boolean")
     def binary(c):
-        return c.map(lambda x: files.is_binary(bytes(x[:4096])))
+        return c.map(lambda x: files.is_binary(bytes(x)))
 
-    return table(spark, d, "part").select("p_partkey", binary(data).alias("is_binary"))
+    head = F.substring(data, 1, 4096)  # what the sniffer looks at is all that leaves the JVM
+    return spread(table(spark, d, "part").select("p_partkey", "p_name")).select("p_partkey", binary(head).alias("is_binary"))

@@ -209,3 +209,10 @@ def test_mermaid(spark):
     assert got["d"] == "flowchart LR\n    n1[\"A 'q'\"]\n    n2[\"B\"]\n    n1 -->|calls| n2\n    n2 --> n1" and got["e"] == 'flowchart LR\n    n1["O"]'
     assert "n2 <|-- n1: calls" in state.mermaid(nodes, edges, "class").where("diagram = 'd'").first()["text"]
     assert re.search(r"participant n1 as A 'q'", state.mermaid(nodes, edges, "sequence").where("diagram = 'd'").first()["text"])
+
+
+def test_small_table_of_files_is_dealt_over_the_cores(spark):
+    from tessera.plans import source_queries as q
+
+    for name in ("python_symbols", "brace_symbols", "binary_sniff"):
+        assert getattr(q, name)(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
