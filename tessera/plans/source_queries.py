@@ -11,10 +11,10 @@ from .registry import query
 
 
 def _sources(spark, d, language: str, pieces: list) -> DataFrame:
-    """One file a part: pieces are texts, or numbers taken from the key (key modulo the number; 0: the key)."""
+    """One file a part: pieces are texts, or numbers taken from the key (key modulo the number; 0: the key). The table of parts is small, the files' reading is not: they are dealt over all cores."""
     k = F.col("p_partkey")
     parts = [F.lit(p) if isinstance(p, str) else (k if p == 0 else k % p).cast("string") for p in pieces]
-    return table(spark, d, "part").select(F.concat(F.lit("m"), k).alias("path"), F.lit(language).alias("language"), F.concat(*parts).alias("text"))
+    return spread(table(spark, d, "part").select("p_partkey")).select(F.concat(F.lit("m"), k).alias("path"), F.lit(language).alias("language"), F.concat(*parts).alias("text"))
 
 
 def _records(df: DataFrame) -> DataFrame:
