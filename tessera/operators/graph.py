@@ -18,17 +18,27 @@ def dedupe_edges(edges: DataFrame, order: str) -> DataFrame:
     return edges.groupBy("src", "dst", "type").agg(F.min_by("metadata", order).alias("metadata"))
 
 
-def dependencies(edges: DataFrame, ids: DataFrame, kind: str | None = None) -> DataFrame:
+def count_by_type(edges: DataFrame) -> DataFrame:
+    """edges without repeats -> type, n, n_src, n_dst: edges and different ends of each type. Each side is counted by its own shuffle; no row is copied for the other one."""
+    ends = [edges.groupBy("type", end).agg(F.count("*").alias("n")).groupBy("type").agg(F.sum("n").alias("n"), F.count(end).alias("ends")) for end in ("src", "dst")]
+    both = ends[0].select("type", "n", F.col("ends").alias("n_src"), F.lit(0).alias("n_dst")).unionByName(ends[1].select("type", F.lit(0).alias("n"), F.lit(0).alias("n_src"), F.col("ends").alias("n_dst")))
+    return both.groupBy("type").agg(F.sum("n").alias("n"), F.sum("n_src").alias("n_src"), F.sum("n_dst").alias("n_dst"))
+
+
+def dependencies(edges: DataFrame, ids: DataFrame | None = None, kind: str | None = None) -> DataFrame:
+    """id, other, type: what each of ids(id) points at; without ids, what any node does."""
     e = edges if kind is None else edges.where(F.col("type") == kind)
     return e.join(ids, F.col("src") == F.col("id"), "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("other"), "type").distinct()
 
 
-def dependents(edges: DataFrame, ids: DataFrame, kind: str | None = None) -> DataFrame:
+def dependents(edges: DataFrame, ids: DataFrame | None = None, kind: str | None = None) -> DataFrame:
     return dependencies(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"), ids, kind)
 
 
-def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    return dependencies(edges, ids).select("id", "other").union(dependents(edges, ids).select("id", "other")).distinct()
+def neighbours(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """id, other: both ways, of ids(id) or of all nodes. Repeats leave once, at the end."""
+    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(edges.select(F.col("dst").alias("id"), F.col("src").alias("other")))
+    return (both if ids is None else both.join(ids.select("id"), "id", "left_semi")).distinct()
 
 
 def ego_network(edges: DataFrame, root: str) -> DataFrame:

@@ -90,11 +90,11 @@ UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'located_in' FROM custome
 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'located_in' FROM nation)"""
 
 
-def edges(spark, d) -> DataFrame:
-    """The star schema as a typed property graph."""
+def edges(spark, d, once: bool = True) -> DataFrame:
+    """The star schema as a typed property graph. With ``once`` no edge repeats; what drops repeated edges itself needs none of that."""
     def e(t, a, ka, b, kb, kind):
         x = table(spark, d, t).select(F.concat(F.lit(a), F.col(ka)).alias("src"), F.concat(F.lit(b), F.col(kb)).alias("dst"), F.lit(kind).alias("type"))
-        return x.distinct() if t == "lineitem" else x
+        return x.distinct() if once and t == "lineitem" else x
 
     parts = [("orders", "c", "o_custkey", "o", "o_orderkey", "placed"), ("lineitem", "o", "l_orderkey", "p", "l_partkey", "contains"), ("lineitem", "p", "l_partkey", "s", "l_suppkey", "supplied_by"),
              ("supplier", "s", "s_suppkey", "n", "s_nationkey", "located_in"), ("customer", "c", "c_custkey", "n", "c_nationkey", "located_in"), ("nation", "n", "n_nationkey", "r", "n_regionkey", "located_in")]
@@ -117,7 +117,7 @@ def edge_dedupe_first(spark, d):
 
 @query(f"WITH {_EDGES}, b AS (SELECT src AS id, dst AS o FROM e UNION SELECT dst, src FROM e) SELECT id, count(*) AS degree FROM b GROUP BY id ORDER BY degree DESC, id LIMIT 40")
 def degree_topn(spark, d):
-    return graph.degree(edges(spark, d)).orderBy(F.desc("degree"), "id").limit(40)
+    return graph.degree(edges(spark, d, once=False)).orderBy(F.desc("degree"), "id").limit(40)
 
 
 _CALLS = "c AS (SELECT DISTINCT 'n' || n_nationkey AS callee, 'r' || n_regionkey AS caller, n_nationkey AS line FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, CAST(s_suppkey AS INTEGER) FROM supplier)"
@@ -137,20 +137,17 @@ def _roots(e: DataFrame) -> DataFrame:
 
 @query(f"WITH {_EDGES} SELECT DISTINCT src AS id, dst AS other, type FROM e")
 def dependencies_1hop(spark, d):
-    e = edges(spark, d)
-    return graph.dependencies(e, _nodes(e))
+    return graph.dependencies(edges(spark, d, once=False))
 
 
 @query(f"WITH {_EDGES} SELECT DISTINCT dst AS id, src AS other, type FROM e WHERE type = 'located_in'")
 def dependents_1hop(spark, d):
-    e = edges(spark, d)
-    return graph.dependents(e, _nodes(e), "located_in")
+    return graph.dependents(edges(spark, d, once=False), kind="located_in")
 
 
 @query(f"WITH {_EDGES} SELECT src AS id, dst AS other FROM e UNION SELECT dst, src FROM e")
 def both_directions(spark, d):
-    e = edges(spark, d)
-    return graph.neighbours(e, _nodes(e))
+    return graph.neighbours(edges(spark, d, once=False))
 
 
 @query(f"WITH {_EDGES}, {_ROOTS}, b AS (SELECT src AS id, dst AS o FROM e UNION SELECT dst, src FROM e), n AS (SELECT roots.id AS root, o AS id FROM roots JOIN b ON b.id = roots.id UNION SELECT id, id FROM roots) SELECT DISTINCT x.root, src, dst, type FROM e JOIN n x ON x.id = src JOIN n y ON y.id = dst AND y.root = x.root")
