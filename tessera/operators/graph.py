@@ -49,13 +49,14 @@ def ego_network(edges: DataFrame, root: str) -> DataFrame:
     return inside.join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "type").distinct()
 
 
-def ego_networks(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """root, src, dst, type: for each root(id) the edges induced by it and its neighbours; none for a root without edges."""
+def ego_networks(edges: DataFrame, roots: DataFrame, once: bool = False) -> DataFrame:
+    """root, src, dst, type: for each root(id) the edges induced by it and its neighbours; none for a root without edges. With ``once`` edges are a stored table without repeats."""
     r = roots.select(F.col("id").alias("root")).distinct()
     out = edges.join(r, F.col("src") == F.col("root")).select("root", "src", "dst")
     into = edges.join(r, F.col("dst") == F.col("root")).select("root", "src", "dst")
     nodes = out.union(into).select("root", F.explode(F.array("src", "dst")).alias("id")).distinct()
-    inside = edges.select("src", "dst", "type").distinct().join(nodes.withColumnRenamed("id", "src"), "src")
+    every = edges.select("src", "dst", "type")
+    inside = (every if once else every.distinct()).join(nodes.withColumnRenamed("id", "src"), "src")
     return inside.join(nodes.withColumnRenamed("id", "dst"), ["root", "dst"], "left_semi").select("root", "src", "dst", "type")
 
 

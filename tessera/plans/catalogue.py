@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import context, graph, retrieval, store
-from ..session import documents, table
+from ..session import documents, durable, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 _TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda t: t <> '')"
@@ -152,8 +152,8 @@ def both_directions(spark, d):
 
 @query(f"WITH {_EDGES}, {_ROOTS}, b AS (SELECT src AS id, dst AS o FROM e UNION SELECT dst, src FROM e), n AS (SELECT roots.id AS root, o AS id FROM roots JOIN b ON b.id = roots.id UNION SELECT id, id FROM roots) SELECT DISTINCT x.root, src, dst, type FROM e JOIN n x ON x.id = src JOIN n y ON y.id = dst AND y.root = x.root")
 def ego_network(spark, d):
-    e = edges(spark, d)
-    return graph.ego_networks(e, _roots(e))
+    e = durable(edges(spark, d, once=False).distinct(), "graph")
+    return graph.ego_networks(e, _roots(e), once=True)
 
 
 @query(f"WITH RECURSIVE {_EDGES}, {_ROOTS}, b AS (SELECT DISTINCT src, dst FROM e), w AS (SELECT id AS root, id, 0 AS depth FROM roots UNION SELECT root, dst, depth + 1 FROM w JOIN b ON src = id WHERE depth < 6) SELECT root, id, min(depth) AS depth FROM w GROUP BY root, id")
