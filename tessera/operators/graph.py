@@ -71,19 +71,19 @@ def _if_small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-def bfs(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
-    """id, depth: least number of steps from any root. Each level writes its new nodes only; seen nodes leave by anti-join."""
-    found = _levels(edges, roots.select(F.lit(0).alias("root"), "id").distinct(), depth)
+def bfs(edges: DataFrame, roots: DataFrame, depth: int = 6, once: bool = False) -> DataFrame:
+    """id, depth: least number of steps from any root. With ``once`` edges are a stored table without repeats. Each level writes its new nodes only; seen nodes leave by anti-join."""
+    found = _levels(edges, roots.select(F.lit(0).alias("root"), "id").distinct(), depth, once)
     return found.select("id", "depth")
 
 
-def bfs_of_each(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
+def bfs_of_each(edges: DataFrame, roots: DataFrame, depth: int = 6, once: bool = False) -> DataFrame:
     """root, id, depth: least number of steps from each root(id), as in bfs but for each root alone."""
-    return _levels(edges, roots.select(F.col("id").alias("root"), "id").distinct(), depth)
+    return _levels(edges, roots.select(F.col("id").alias("root"), "id").distinct(), depth, once)
 
 
-def _levels(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    e = durable(edges.select("src", "dst").distinct(), "edges")
+def _levels(edges: DataFrame, starts: DataFrame, depth: int, once: bool) -> DataFrame:
+    e = edges if once else durable(edges.select("src", "dst").distinct(), "edges")
     seen = frontier = durable(starts.withColumn("depth", F.lit(0)), "frontier")
     for d in range(1, depth + 1):
         step = e.join(_if_small(frontier.select("root", F.col("id").alias("src"))), "src").select("root", F.col("dst").alias("id")).distinct()

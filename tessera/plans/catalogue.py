@@ -158,15 +158,15 @@ def ego_network(spark, d):
 
 @query(f"WITH RECURSIVE {_EDGES}, {_ROOTS}, b AS (SELECT DISTINCT src, dst FROM e), w AS (SELECT id AS root, id, 0 AS depth FROM roots UNION SELECT root, dst, depth + 1 FROM w JOIN b ON src = id WHERE depth < 6) SELECT root, id, min(depth) AS depth FROM w GROUP BY root, id")
 def bfs_depth_roots(spark, d):
-    e = edges(spark, d)
-    return graph.bfs_of_each(e, _roots(e), 6)
+    e = durable(edges(spark, d, once=False).select("src", "dst").distinct(), "graph")
+    return graph.bfs_of_each(e, _roots(e), 6, once=True)
 
 
 @query(f"WITH RECURSIVE {_EDGES}, {_ROOTS}, b AS (SELECT DISTINCT src, dst FROM e), w AS (SELECT id, 0 AS depth FROM roots UNION SELECT dst, depth + 1 FROM w JOIN b ON src = id WHERE depth < 6) SELECT id, min(depth) AS depth FROM w GROUP BY id")
 def bfs_depth(spark, d):
     """Least number of steps from any of the roots."""
-    e = edges(spark, d)
-    return graph.bfs(e, _roots(e), 6)
+    e = durable(edges(spark, d, once=False).select("src", "dst").distinct(), "graph")
+    return graph.bfs(e, _roots(e), 6, once=True)
 
 
 @query(f"""WITH RECURSIVE {_CALLS}, e AS (SELECT caller AS src, callee AS dst FROM c), {_ROOTS}, w AS (SELECT id AS root, id, 0 AS depth, '' AS path FROM roots
