@@ -28,7 +28,8 @@ def count_by_type(edges: DataFrame) -> DataFrame:
 def dependencies(edges: DataFrame, ids: DataFrame | None = None, kind: str | None = None) -> DataFrame:
     """id, other, type: what each of ids(id) points at; without ids, what any node does."""
     e = edges if kind is None else edges.where(F.col("type") == kind)
-    return e.join(ids, F.col("src") == F.col("id"), "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("other"), "type").distinct()
+    e = e if ids is None else e.join(ids, F.col("src") == F.col("id"), "left_semi")
+    return e.select(F.col("src").alias("id"), F.col("dst").alias("other"), "type").distinct()
 
 
 def dependents(edges: DataFrame, ids: DataFrame | None = None, kind: str | None = None) -> DataFrame:

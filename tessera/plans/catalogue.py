@@ -106,7 +106,7 @@ def edges(spark, d, once: bool = True) -> DataFrame:
 
 @query(f"WITH {_EDGES} SELECT type, count(*) AS n, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst FROM e GROUP BY type")
 def typed_edges(spark, d):
-    return edges(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("src").alias("n_src"), F.count_distinct("dst").alias("n_dst"))
+    return graph.count_by_type(edges(spark, d))
 
 
 @query("SELECT l_partkey AS src, l_suppkey AS dst, 'supplied_by' AS type, arg_min(l_shipmode, k) AS metadata FROM (SELECT *, l_returnflag AS l_shipmode, l_orderkey * 10 + l_linenumber AS k FROM lineitem) GROUP BY l_partkey, l_suppkey")
