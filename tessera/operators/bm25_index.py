@@ -24,8 +24,8 @@ BUCKETS = 32
 FIRST_BLOCKS = 4
 #: Questions' terms are broadcast up to this many.
 MAX_BROADCAST = 10_000
-POSTINGS = "block long, bucket int, word string, ids array<long>, tfs array<int>, dls array<int>, places array<array<int>>, max_tf int, min_dl int"
-DOCS = "block long, id long, dl int"
+POSTINGS = "block long, bucket int, word string, at array<int>, ids array<long>, tfs array<int>, dls array<int>, places array<array<int>>, max_tf int, min_dl int"
+DOCS = "block long, at int, id long, dl int"
 
 
 def tokens_of(text: Column) -> Column:
@@ -37,16 +37,16 @@ def _bucket(word: Column) -> Column:
 
 
 def _blocks(docs: DataFrame, batch: int) -> DataFrame:
-    """docs(id, text) -> block, word, ids, tfs, dls, places; the row without a word has all documents of the block, which are in no order."""
+    """docs(id, text) -> block, word, at, ids, tfs, dls, places; ``at`` is a document's number in its block. The row without a word has all documents of the block, which are in no order."""
 
     def rows(block: int, ids: list, dls: list, held: dict) -> pa.RecordBatch:
         words = list(held)
         lists = [held[w] for w in words]
         ints, places = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([
-            pa.array([block] * (len(words) + 1), pa.int64()), pa.array([None, *words], pa.string()), pa.array([ids, *([ids[d] for d, _ in x] for x in lists)], pa.list_(pa.int64())),
+            pa.array([block] * (len(words) + 1), pa.int64()), pa.array([None, *words], pa.string()), pa.array([list(range(len(ids))), *([d for d, _ in x] for x in lists)], ints), pa.array([ids, *([ids[d] for d, _ in x] for x in lists)], pa.list_(pa.int64())),
             pa.array([[0] * len(ids), *([len(p) for _, p in x] for x in lists)], ints), pa.array([dls, *([dls[d] for d, _ in x] for x in lists)], ints), pa.array([[[] for _ in ids], *([p for _, p in x] for x in lists)], places),
-        ], ["block", "word", "ids", "tfs", "dls", "places"])
+        ], ["block", "word", "at", "ids", "tfs", "dls", "places"])
 
     def run(batches):
         from pyspark import TaskContext
@@ -69,7 +69,7 @@ def _blocks(docs: DataFrame, batch: int) -> DataFrame:
             yield rows(block, ids, dls, held)
 
     ship_package(docs.sparkSession)
-    return docs.select(F.col("id").cast("long").alias("id"), tokens_of(F.col("text")).alias("t")).mapInArrow(run, "block long, word string, ids array<long>, tfs array<int>, dls array<int>, places array<array<int>>")
+    return docs.select(F.col("id").cast("long").alias("id"), tokens_of(F.col("text")).alias("t")).mapInArrow(run, "block long, word string, at array<int>, ids array<long>, tfs array<int>, dls array<int>, places array<array<int>>")
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -87,18 +87,21 @@ class Bm25Index:
     def update(self, number: int, came: DataFrame, gone: DataFrame | None = None) -> None:
         """came(id, text) are new or changed documents, gone(id) have left. Ids are distinct."""
         fresh = durable(_blocks(came, number), "blocks")
-        docs = fresh.where("word is null").select("block", F.explode(F.arrays_zip("ids", "dls")).alias("x")).select("block", F.col("x.ids").alias("id"), F.col("x.dls").alias("dl"))
+        docs = fresh.where("word is null").select("block", F.explode(F.arrays_zip("at", "ids", "dls")).alias("x")).select("block", F.col("x.at").alias("at"), F.col("x.ids").alias("id"), F.col("x.dls").alias("dl"))
         added = fresh.where("word is not null")
         touched = fresh.select("block").distinct()
         if number:
             ids = came.select(F.col("id").cast("long").alias("id"))
             ids = ids.unionByName(gone.select(F.col("id").cast("long").alias("id"))) if gone is not None else ids
             before = self.docs.current(number - 1)
-            dead = durable(before.join(ids.distinct(), "id", "left_semi").groupBy("block").agg(F.collect_set("id").alias("dead")), "dead")  # a block's documents at most
-            left = F.filter(F.arrays_zip("ids", "tfs", "dls", "places"), lambda x: ~F.array_contains(F.col("dead"), x["ids"]))
+            gone_at = before.join(ids.distinct(), "id", "left_semi").groupBy("block").agg(F.collect_set("at").alias("at"))  # a block's documents at most
+            # one flag for each place of the block: whether a document left is one look, however many left
+            marks = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_DOCS - 1)), lambda i: F.array_contains(F.col("at"), i))
+            dead = durable(gone_at.select("block", marks.alias("dead")), "dead")
+            left = F.filter(F.arrays_zip("at", "ids", "tfs", "dls", "places"), lambda x: ~F.get(F.col("dead"), x["at"]))
             old = self.postings.current(number - 1).join(dead, "block").withColumn("x", left).where("size(x) > 0")
-            added = added.unionByName(old.select("block", "word", *[F.col(f"x.{c}").alias(c) for c in ("ids", "tfs", "dls", "places")]))
-            docs = docs.unionByName(before.join(dead, "block").where(~F.array_contains(F.col("dead"), F.col("id"))).select("block", "id", "dl"))
+            added = added.unionByName(old.select("block", "word", *[F.col(f"x.{c}").alias(c) for c in ("at", "ids", "tfs", "dls", "places")]))
+            docs = docs.unionByName(before.join(dead, "block").where(~F.get("dead", F.col("at"))).select("block", "at", "id", "dl"))
             touched = touched.unionByName(dead.select("block"))
         rows = _bounded(added).withColumn("bucket", _bucket(F.col("word"))).repartition("bucket").sortWithinPartitions("bucket", "word", "block")
         self.postings.write(number, touched, rows)

@@ -57,3 +57,16 @@ def test_bounds_skip_blocks_and_no_text_is_read(spark, tmp_path, monkeypatch):
     assert [r["id"] for r in sorted(got.collect(), key=lambda r: r["rank"])] == [3, 0]
     assert index.rest.count() < 5  # of some forty blocks that hold the word
     assert all(str(tmp_path) in f or "tessera-" in f for f in got.inputFiles())
+
+
+def test_places_in_blocks_outlive_updates(spark, tmp_path):
+    """Postings carry the place of a document in its block, by which an update finds who left; it stays as it was when others leave."""
+    index = bi.Bm25Index(spark, str(tmp_path / "places"))
+    docs = spark.createDataFrame([(i, f"word{i % 3} all") for i in range(30)], "id long, text string").coalesce(1)
+    index.update(0, docs)
+    index.update(1, docs.where("id % 5 = 0").selectExpr("id", "'new all' as text"), docs.where("id % 7 = 1").select("id"))
+    at = {(r["block"], r["at"]): r["id"] for r in index.docs.current(1).collect()}
+    assert sorted(at.values()) == [i for i in range(30) if i % 7 != 1 or i % 5 == 0]
+    rows = index.postings.current(1).select("block", "word", "at", "ids").collect()
+    assert all(at[r["block"], p] == i for r in rows for p, i in zip(r["at"], r["ids"], strict=True))
+    assert sum(len(r["ids"]) for r in rows if r["word"] == "all") == len(at)
