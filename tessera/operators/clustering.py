@@ -65,28 +65,27 @@ def settle_in_order(members: DataFrame, edges: DataFrame, sweeps: int) -> DataFr
     those members of which a lesser neighbour changed, until none did. A round costs what changed; a sweep takes as many rounds as its longest
     chain of changes has members. Groups that a sweep left as they were are done.
     """
+    # labels of a round are small as files and large in memory: all joins are by shuffles, none is sent through the driver
     label = durable(members.select("group", "member", F.col("member").alias("label")), "labels")
     near = durable(edges.select("group", "a", "b", "w", (F.col("b") < F.col("a")).alias("lesser")), "near")
     done = None
     for _ in range(sweeps):
-        old, todo, now = label, None, label
+        todo, now = None, durable(label.select("group", "member", F.col("label").alias("was"), "label"), "labels")
         while True:
-            own = near if todo is None else near.join(todo, ["group", "a"], "left_semi")
-            of = lambda t, name: t.select("group", F.col("member").alias("b"), F.col("label").alias(name))
-            votes = own.join(of(now, "new"), ["group", "b"]).join(of(old, "was"), ["group", "b"]).withColumn("vote", F.when(F.col("lesser"), F.col("new")).otherwise(F.col("was")))
+            own = near if todo is None else near.join(todo.hint("merge"), ["group", "a"], "left_semi")
+            votes = own.join(now.select("group", F.col("member").alias("b"), "was", "label").hint("merge"), ["group", "b"]).withColumn("vote", F.when(F.col("lesser"), F.col("label")).otherwise(F.col("was")))
             won = votes.groupBy("group", "a", "vote").agg(F.sum("w").alias("w")).groupBy("group", "a").agg(F.min_by("vote", F.struct(-F.col("w"), F.col("vote"))).alias("won"))
-            after = now.join(won.withColumnRenamed("a", "member"), ["group", "member"], "left").select("group", "member", F.coalesce("won", "label").alias("label"), (F.col("won") != F.col("label")).alias("changed"))
+            after = now.join(won.withColumnRenamed("a", "member").hint("merge"), ["group", "member"], "left").select("group", "member", "was", F.coalesce("won", "label").alias("label"), (F.col("won") != F.col("label")).alias("changed"))
             now = durable(after, "labels")
             moved = now.where("changed").select("group", F.col("member").alias("b"))
             if not moved.limit(1).count():
                 break
-            todo = durable(near.where("lesser").join(moved, ["group", "b"], "left_semi").select("group", "a").distinct(), "todo")
+            todo = durable(near.where("lesser").join(moved.hint("merge"), ["group", "b"], "left_semi").select("group", "a").distinct(), "todo")
             now = now.drop("changed")
             if not todo.limit(1).count():
                 break
+        changed = durable(now.where("label <> was").select("group").distinct(), "changed")
         now = now.select("group", "member", "label")
-        changed = now.join(old.withColumnRenamed("label", "was"), ["group", "member"]).where("label <> was").select("group").distinct()
-        changed = durable(changed, "changed")
         still = durable(now.join(changed, "group", "left_anti"), "still")
         done = still if done is None else done.unionByName(still)
         label = durable(now.join(changed, "group", "left_semi"), "labels")
