@@ -162,7 +162,7 @@ def java_imports(spark, d):
     k = F.col("p_partkey")
     jf = table(spark, d, "part").select(k.alias("k"), F.concat(F.lit("app/src/main/java/com/acme/"), F.lower("p_type"), F.lit("/g"), F.floor(k / 20), F.lit("/C"), k, F.lit(".java")).alias("path"), F.concat(F.lit("com.acme."), F.lower("p_type"), F.lit(".g"), F.floor(k / 20)).alias("pkg"))
     li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber").distinct()
-    j = li.join(jf.select(F.col("k").alias("l_partkey"), F.col("path").alias("file")), "l_partkey").join(jf.select(F.col("k").alias("l_suppkey"), "k", "pkg"), "l_suppkey")
+    j = li.join(jf.select(F.col("k").alias("l_partkey"), F.col("path").alias("file")).hint("merge"), "l_partkey").join(jf.select(F.col("k").alias("l_suppkey"), "k", "pkg").hint("merge"), "l_suppkey")
     c = F.concat("pkg", F.lit(".C"), "k")
     forms = F.array(F.concat("pkg", F.lit(".*")), c, F.concat(F.lit("static "), c, F.lit(".method")), F.lit("java.util.List"))
     return cg.java_imports(j.select("file", F.element_at(forms, (F.col("l_linenumber") % 4 + 1).cast("int")).alias("name")), jf)
