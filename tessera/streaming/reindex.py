@@ -3,7 +3,8 @@
 Each micro-batch carries its change through all tables, and after any stream of changes they equal those of a full
 build over the files as they are:
 
-1. Changes of a path are merged. A change of a rule file makes the rules be read again first, and the paths whose scope they
+1. A path that changed stands once, also where its changes cancel one another: what was created again and then deleted may have been
+   in the index before. A change of a rule file makes the rules be read again first, and the paths whose scope they
    change join the micro-batch.
 2. Files that are gone or out of scope lose their rows; of the others those whose content differs from the stored hash are read.
    A file that cannot be read keeps its place with a status, without rows, and costs the others nothing.
@@ -27,7 +28,7 @@ from ..operators import code_graph as cg
 from ..operators import store
 from ..session import durable, scratch
 from ..sources import extract
-from .changes import RULE_FILES, fold_changes, rules_changed
+from .changes import RULE_FILES, rules_changed
 from .state_log import StateLog
 
 TABLES = {
@@ -41,9 +42,9 @@ TABLES = {
 }
 
 
-def merged(changes: DataFrame) -> DataFrame:
-    """changes(ts, event_id, path, change) -> path, change: the merged change of each path of a micro-batch."""
-    return fold_changes(changes.withColumn("all", F.lit(0)), "all").select("path", "change")
+def named_paths(changes: DataFrame) -> DataFrame:
+    """changes(ts, event_id, path, change) -> path: what a micro-batch names. The files as they are decide what becomes of it."""
+    return changes.select("path").distinct()
 
 
 class Reindexer:
@@ -67,10 +68,10 @@ class Reindexer:
 
     def _step(self, changes: DataFrame, number: int) -> None:
         before = {name: log.current(number - 1) for name, log in self.logs.items()}
-        named = durable(merged(changes), "named")
+        named = durable(named_paths(changes), "named")
         excluded = self.rules(number)
         listed = self.listing(number)
-        paths = named.select("path")
+        paths = named
         if rules_changed(named):  # what comes into scope, and what leaves it
             inside = listed.where(~excluded(F.col("path"))).select("path")
             known = before["files"].select("path")

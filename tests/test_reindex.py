@@ -55,6 +55,18 @@ def test_stream_equals_full_build(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/live/summaries/rows").groupBy("content").count().where("count > 1").count() == 0  # nothing is summarised twice
 
 
+def test_created_again_and_deleted(spark, tmp_path):
+    """A file of the index that one micro-batch names as created and as deleted is gone."""
+    states = [{"a.py": source(1, [2]), "b.py": source(2, [1])}, {"b.py": source(2, [1])}]
+    frame = lambda n: spark.createDataFrame(list(states[n].items()), "path string, text string")
+    index = Reindexer(spark, str(tmp_path / "index"), lambda n: frame(n).select("path", F.lit("Python").alias("language")), lambda paths, n: frame(n).join(paths, "path", "left_semi"), lambda n: lambda p: F.lit(False), lambda t: F.upper(t), lambda t: F.array(F.length(t).cast("double")))
+    for n, changes in enumerate([[("a.py", "C"), ("b.py", "C")], [("a.py", "C"), ("a.py", "D"), ("new.py", "C"), ("new.py", "D")]]):
+        index(spark.createDataFrame([(i, i, *c) for i, c in enumerate(changes)], "ts long, event_id long, path string, change string"), n)
+    t = index.tables(1)
+    assert [r["path"] for r in t["files"].collect()] == ["b.py"] and {r["file"] for r in t["symbols"].collect()} == {"b.py"}
+    assert {r["file"] for r in t["chunks"].collect()} == {"b.py"} and all(r["dst"].startswith("unresolved::") for r in t["edges"].collect())
+
+
 def test_state_log(spark, tmp_path):
     log = StateLog(spark, str(tmp_path / "log"), "k", "k string, v long", compact_every=3)
     frame = lambda rows: spark.createDataFrame(rows, "k string, v long")
