@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import code_graph as cg
 from ..operators import bm25_index, context, knn_blocks, retrieval
-from ..session import documents, table
+from ..session import documents, durable, table
 from ..streaming import feed
 from .catalogue import _BM25, _KNN, _corpus, _text_queries, _vec_queries
 from .registry import query
@@ -125,7 +125,7 @@ def hash_embed_topk(spark, d):
 def _index(spark, d) -> DataFrame:
     """Documents as the rows of a search index, with vectors of the hashing embedder; every fifth is of another model."""
     docs = documents(spark, d).select(F.col("doc_id").alias("id"), "text", "lang", "source")
-    vec = retrieval.hash_embed(docs.select("id", "text"))
+    vec = durable(retrieval.hash_embed(docs.select("id", "text")), "vectors")  # texts are embedded once, however often a search reads the index
     k = F.col("id")
     return docs.join(vec, "id").select(k.alias("chunk_id"), F.col("text").alias("content"), F.col("vec").alias("embedding"), F.lit("code").alias("chunk_type"), F.when(k % 5 == 0, "m2").otherwise("m1").alias("model_id"), F.col("source").alias("file"), F.concat(F.lit("sym"), k % 50).alias("symbol_id"))
 

@@ -89,3 +89,10 @@ def test_terms_of_several_words(spark):
     q = spark.createDataFrame([(1, "a_b"), (2, "x zz"), (3, "??")], "qid long, text string")
     got = {(r["qid"], r["id"]): r["rank"] for r in retrieval.bm25(docs, q, 5).collect()}
     assert got == {(1, 1): 1, (1, 5): 2, (2, 6): 1} or got == {(1, 5): 1, (1, 1): 2, (2, 6): 1}
+
+
+def test_texts_of_the_search_index_are_embedded_once(spark):
+    from tessera.plans import retrieval_queries
+
+    plan = retrieval_queries._index(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # vectors are read, not made, by each reader of the index
