@@ -70,3 +70,26 @@ def test_large_counts_are_exact(spark):
     """Products beyond 64 bits."""
     row = spark.range(1).selectExpr("cast(3000000000000 as decimal(16,0)) a", "cast(3000000000001 as decimal(16,0)) l")
     assert row.selectExpr("(a * a * cast(1000000 as decimal(7,0))) div (l * l)").first()[0] == 10**6 * 9 * 10**24 // 3000000000001**2
+
+
+def test_only_counters_of_high_scores_are_sent(spark, monkeypatch):
+    """Pairs that are frequent but score low stay in Spark, however many: the counters that leave it do not grow with them."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    docs = [("en", " ".join(rng.choice(words) for _ in range(200)) + f". only{i % 30} here{i % 30}.") for i in range(300)]
+    sent = []
+    ranges = collocations._ranges
+    monkeypatch.setattr(collocations, "_ranges", lambda counters, total, bits: sent.append(total) or ranges(counters, total, bits))
+    df = spark.createDataFrame(docs, "lang string, text string")
+    got = sorted(map(tuple, collocations.collocations(df, 10, 3, 20).collect()))
+    assert got == sorted(collocations.brute_force(docs, 10, 3, 20)) and sum(sent) < 200
+
+
+def test_long_words_and_parts(spark, monkeypatch):
+    """Words across the lots of bytes that are looked at together."""
+    monkeypatch.setattr(collocations, "_BYTES", 16)
+    docs = [("en", f"{'x' * 100} {'y' * 33}\t{'z' * 5}. a b\na b ")] * 12 + [("fr", "")]
+    places = [(w[s:e], int(h)) for w, start, end, code in collocations.word_places([t.encode() for _, t in docs], "en") for s, e, h in zip(start, end, code, strict=True)]
+    assert [w for w, _ in places] == [w for _, t in docs for w in collocations.words_of(t.encode()) if w != b"."] and len(set(places)) == len({w for w, _ in places}) == 5
+    df = spark.createDataFrame(docs, "lang string, text string")
+    assert sorted(map(tuple, collocations.collocations(df).collect())) == sorted(collocations.brute_force(docs))
