@@ -55,6 +55,8 @@ def anchors(adj: DataFrame, groups: DataFrame) -> DataFrame:
 
 #: Members and edges of the groups that one task may hold.
 TASK_MEMBERS, TASK_EDGES = 20_000, 400_000
+#: Tables of a row a group are broadcast up to this many groups.
+MAX_BROADCAST = 10_000
 
 
 def settle_in_order(members: DataFrame, edges: DataFrame, sweeps: int) -> DataFrame:
@@ -101,6 +103,7 @@ def communities(adj: DataFrame, groups: DataFrame, sweeps: int = 10, threshold:
     Groups of more than ``threshold`` members are split by propagation in key order, in place. A split with a
     community of one member, or of one community, is dropped: then all members have the least of them as their
     community. Groups within TASK_MEMBERS and TASK_EDGES are a task each; larger ones are settled by rounds of joins, with the same labels.
+    No table of a row a member is sent through the driver, however small its files are.
     """
     from ..session import ship_package
 
@@ -126,17 +129,18 @@ def communities(adj: DataFrame, groups: DataFrame, sweeps: int = 10, threshold:
 
     ship_package(adj.sparkSession)
     members = durable(groups.select(F.col("group").alias("group"), F.col("member").alias("member")), "members")
-    g, h = members.select(F.col("member").alias("a"), "group"), members.select(F.col("member").alias("b"), F.col("group").alias("gb"))
+    g, h = members.select(F.col("member").alias("a"), "group").hint("merge"), members.select(F.col("member").alias("b"), F.col("group").alias("gb")).hint("merge")
     inner = durable(adj.join(g, "a").join(h, "b").where("`group` = gb").select("group", "a", "b", "w"), "inner")
-    sizes = members.groupBy("group").agg(F.count("*").alias("n")).join(inner.groupBy("group").agg(F.count("*").alias("e")), "group", "left")
-    sizes = durable(sizes.select("group", (F.col("n") <= threshold).alias("whole"), ((F.col("n") > TASK_MEMBERS) | (F.coalesce("e", F.lit(0)) > TASK_EDGES)).alias("large")), "sizes")
-    of = lambda t, which: t.join(sizes.where(which).select("group"), "group", "left_semi")
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.min("member").alias("least")).join(inner.groupBy("group").agg(F.count("*").alias("e")).hint("merge"), "group", "left")
+    sizes = durable(sizes.select("group", "least", (F.col("n") <= threshold).alias("whole"), ((F.col("n") > TASK_MEMBERS) | (F.coalesce("e", F.lit(0)) > TASK_EDGES)).alias("large")), "sizes")
+    few = sizes.count() <= MAX_BROADCAST
+    by_group = lambda t: F.broadcast(t) if few else t.hint("merge")
+    of = lambda t, which: t.join(by_group(sizes.where(which).select("group")), "group", "left_semi")
     parts = of(members, "not whole and not large").groupBy("group").cogroup(of(inner, "not whole and not large").groupBy("group")).applyInPandas(run, "group string, member string, label string")
     if sizes.where("large and not whole").limit(1).count():
         parts = parts.unionByName(settle_in_order(of(members, "not whole and large"), of(inner, "not whole and large"), sweeps))
     label = durable(parts, "labels")
     found = label.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg((F.count("*") > 1).alias("several"), (F.min("n") > 1).alias("full"))
-    least = members.groupBy("group").agg(F.min("member").alias("least"))
-    split = label.join(found.where("several and full").select("group"), "group", "left_semi")
-    out = members.join(least, "group").join(split, ["group", "member"], "left")
+    split = label.join(by_group(found.where("several and full").select("group")), "group", "left_semi")
+    out = members.join(by_group(sizes.select("group", "least")), "group").join(split.hint("merge"), ["group", "member"], "left")
     return out.select("group", "member", F.coalesce("label", "least").alias("community"))

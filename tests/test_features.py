@@ -76,6 +76,22 @@ def test_communities_keep_members_without_edges(spark, monkeypatch):
     assert len({got[k] for k in groups["a"]}) > 1 and len({got[k] for k in groups["c"]}) == 1
 
 
+def test_communities_send_no_members_through_the_driver(spark, monkeypatch):
+    """Files of members are small and their rows many: joins by member shuffle, whatever the size of the files."""
+    plans, plain = [], cl.durable
+    monkeypatch.setattr(cl, "durable", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *a))
+    member = spark.createDataFrame([(g, f"{g}{i:02d}") for g in "ab" for i in range(20)], "group string, member string")
+    adj = spark.createDataFrame([(f"{g}{i:02d}", f"{g}{j:02d}", 1) for g in "ab" for i in range(20) for j in range(20) if i != j and i // 10 == j // 10], "a string, b string, w long")
+    out = cl.communities(adj, member)
+    assert len({r["community"] for r in out.collect()}) == 4
+    inner = next(p for p in plans if "gb" in p)
+    last = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Broadcast" not in inner and inner.count("SortMergeJoin") == 2 and "rightHint=(strategy=merge)" in last
+    monkeypatch.setattr(cl, "MAX_BROADCAST", 1)  # as many groups as members
+    plans.clear()
+    assert sorted(map(tuple, cl.communities(adj, member).collect())) == sorted(map(tuple, out.collect())) and not any("Broadcast" in p for p in plans)
+
+
 def test_one_large_group_settles_over_tasks(spark):
     """A group of 4,000 members and chains of changes, by joins and in place."""
     rng = random.Random(3)
