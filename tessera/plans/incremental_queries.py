@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable, table
+from ..session import durable, shared_dir, table
 from ..sources import change_source as cs
 from ..streaming import changes, feed
 from ..streaming.message_log import MessageLog
@@ -104,12 +104,19 @@ UNION ALL SELECT 'search', file, name, 'function' FROM s UNION ALL SELECT 'searc
 @query(f"WITH {_INDEX}")
 def incremental_reindex(spark, d):
     """The index after seven micro-batches of changes, held against a full build: in the fourth a rule file moves some files out of scope and others into it."""
-    e = durable(_in_batches(_events(spark, d).select("ts", "event_id", "user_id", "event_type"), "ts", 7), "index-events")
+    e = durable(_in_batches(_events(spark, d).select("ts", "event_id", "user_id", "event_type"), "ts", 7).sortWithinPartitions("batch"), "index-events")
     steps = [r[0] for r in e.select("batch").distinct().orderBy("batch").collect()]
+    lasts: dict[int, DataFrame] = {}
+
+    def last(number: int) -> DataFrame:
+        """The users' last events; those of a micro-batch are put to what the one before left, so events are read once."""
+        if number not in lasts:
+            x = e.where(F.col("batch") == steps[number]).select("user_id", F.struct("ts", "event_id", "event_type").alias("x"))
+            lasts[number] = durable((x.unionByName(last(number - 1)) if number else x).groupBy("user_id").agg(F.max_by("x", F.struct("x.ts", "x.event_id")).alias("x")), "last", shared_dir(spark))
+        return lasts[number]
 
     def state(number: int) -> DataFrame:
-        last = e.where(F.col("batch") <= steps[number]).groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("x"))
-        return last.where("x.event_type <> 'error'").select(_path(F.col("user_id")).alias("path"), _content(F.col("user_id"), F.col("x.event_id")).alias("text"))
+        return last(number).where("x.event_type <> 'error'").select(_path(F.col("user_id")).alias("path"), _content(F.col("user_id"), F.col("x.event_id")).alias("text"))
 
     def listing(number: int) -> DataFrame:
         return state(number).select("path", F.when(F.col("path").endswith(".py"), "Python").alias("language"))

@@ -8,8 +8,11 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -92,6 +95,13 @@ def durable(df: DataFrame, tag: str, folder: str | None = None) -> DataFrame:
     return out
 
 
+def together(*jobs: Callable[[], object]) -> None:
+    """Jobs that do not need one another, at the same time: small ones mostly wait for the driver, not for cores."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for running in [pool.submit(inheritable_thread_target(job)) for job in jobs]:
+            running.result()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

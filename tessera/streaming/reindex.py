@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import code_graph as cg
 from ..operators import store
-from ..session import durable, scratch
+from ..session import durable, scratch, together
 from ..sources import extract
 from .changes import RULE_FILES, rules_changed
 from .state_log import StateLog
@@ -87,22 +87,28 @@ class Reindexer:
 
         records = durable(extract.extract(work.where("action = 'read'")), "records")
         status = records.groupBy("path").agg(F.max("status").alias("status"))  # one status a file
-        self.logs["files"].write(number, work.select("path"), work.where("action = 'read'").join(status, "path").select("path", "hash", "language", "status"))
+        files = work.where("action = 'read'").join(status, "path").select("path", "hash", "language", "status")
         good = records.where("status = 'success'")
         symbols, _, calls, _ = extract.graph_tables(good)
         lines = work.select(F.col("path").alias("file"), F.split("text", "\n").alias("lines"))
         spans = good.where(F.col("record").isin("class", "function")).select("id", "start", "end")
         text = F.array_join(F.slice("lines", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int")), "\n")
         bodies = symbols.join(spans, "id").join(lines, "file").withColumn("text", text).withColumn("content", F.sha2("text", 256))
-        self.logs["symbols"].write(number, touched, bodies)
-        self.logs["calls"].write(number, touched, calls)
-
-        self._edges(before, number, touched)
-        self._kept_by_content("summaries", "summary", self.summarize, before["summaries"], number)
-        self._kept_by_content("vectors", "vector", self.embed, before["vectors"], number)
-        self.logs["chunks"].write(number, touched, self.logs["symbols"].written(number).select("file", tx.chunk_id(F.col("id"), F.lit("code"), F.col("text")).alias("id"), "content"))
-
-    def _edges(self, before: dict[str, DataFrame], number: int, touched: DataFrame) -> None:
+        together(
+            lambda: self.logs["files"].write(number, work.select("path"), files),
+            lambda: self.logs["symbols"].write(number, touched, bodies),
+            lambda: self.logs["calls"].write(number, touched, calls),
+        )
+        now = durable(self.current("symbols", number), "symbols")  # the log is merged once, however often a step reads it
+        written = self.logs["symbols"].written(number)
+        together(
+            lambda: self._edges(before, number, touched, now),
+            lambda: self._kept_by_content("summaries", "summary", self.summarize, before["summaries"], now, number),
+            lambda: self._kept_by_content("vectors", "vector", self.embed, before["vectors"], written, number),
+            lambda: self.logs["chunks"].write(number, touched, written.select("file", tx.chunk_id(F.col("id"), F.lit("code"), F.col("text")).alias("id"), "content")),
+        )
+
+    def _edges(self, before: dict[str, DataFrame], number: int, touched: DataFrame, symbols: DataFrame) -> None:
         """Calls of touched files, and calls anywhere of names that a touched file defined before or defines now."""
         key = tx.normalize_identifier(F.col("name"))
         old, new = before["symbols"].join(touched, "file", "left_semi"), self.logs["symbols"].written(number)
@@ -113,12 +119,11 @@ class Reindexer:
         files = durable(asked.join(names, "key", "left_semi").select("file").distinct().unionByName(touched).distinct(), "edge-files")
         wanted = durable(calls.join(files, "file", "left_semi"), "wanted")
         home = wanted.select("file", "caller").distinct()
-        found = cg.call_edges(wanted, self.current("symbols", number)).select("src", "dst").join(home.withColumnRenamed("caller", "src"), "src")
+        found = cg.call_edges(wanted, symbols).select("src", "dst").join(home.withColumnRenamed("caller", "src"), "src")
         self.logs["edges"].write(number, files, found.select("file", "src", "dst").distinct())
 
-    def _kept_by_content(self, name: str, value: str, make: Callable[[Column], Column], known: DataFrame, number: int) -> None:
+    def _kept_by_content(self, name: str, value: str, make: Callable[[Column], Column], known: DataFrame, texts: DataFrame, number: int) -> None:
         """New contents only; one whose value cannot be made gets no row."""
-        texts = self.current("symbols", number) if name == "summaries" else self.logs["symbols"].written(number)
         new = texts.groupBy("content").agg(F.min("text").alias("text")).join(known.select("content"), "content", "left_anti")
         made = durable(new.select("content", make(F.col("text")).alias(value)).where(F.col(value).isNotNull()), name)
         self.logs[name].write(number, made, made)

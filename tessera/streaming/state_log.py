@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import together
+
 
 class StateLog:
     """Rows that belong to a key, of which a micro-batch replaces those of the keys it touches.
@@ -56,10 +58,10 @@ class StateLog:
 
     def write(self, batch: int, touched: DataFrame, rows: DataFrame) -> None:
         """rows of the keys in touched(key) replace all that these had."""
-        touched.select(self.key).distinct().write.mode("overwrite").parquet(f"{self.folder}/touched/batch={batch}")
-        self._save(rows.select(*self.columns), f"rows/batch={batch}")
-        if batch and batch % self.compact_every == 0:
-            self._save(self.current(batch - 1), f"base/until={batch}")
+        jobs = [lambda: touched.select(self.key).distinct().write.mode("overwrite").parquet(f"{self.folder}/touched/batch={batch}"), lambda: self._save(rows.select(*self.columns), f"rows/batch={batch}")]
+        if batch and batch % self.compact_every == 0:  # what earlier micro-batches left
+            jobs.append(lambda: self._save(self.current(batch - 1), f"base/until={batch}"))
+        together(*jobs)
 
     def written(self, batch: int) -> DataFrame:
         """The rows that this micro-batch wrote."""

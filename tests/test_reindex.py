@@ -82,3 +82,30 @@ def test_state_log(spark, tmp_path):
             want.setdefault(k, []).append(v)
         assert sorted(map(tuple, log.current(n).collect())) == sorted((k, v) for k, vs in want.items() for v in vs)
     assert log._base(7) == 6 and log.current(-1).count() == 0
+
+
+def test_a_step_merges_each_log_few_times_and_writes_at_once(spark, tmp_path, monkeypatch):
+    """Resolving names reads the symbols in force many times: the log is merged once for all of it, and tables that do not need one another are written at the same time."""
+    import threading
+
+    merged, threads = [], set()
+    current, save = StateLog.current, StateLog._save
+    monkeypatch.setattr(StateLog, "current", lambda self, until: merged.append((self.folder.rsplit("/", 1)[1], until)) or current(self, until))
+    monkeypatch.setattr(StateLog, "_save", lambda self, rows, place: threads.add((self.folder.rsplit("/", 1)[1], threading.get_ident())) or save(self, rows, place))
+    files = {"a.py": source(1, [2]), "b.py": source(2, [1])}
+    frame = spark.createDataFrame(list(files.items()), "path string, text string")
+    index = Reindexer(spark, str(tmp_path / "index"), lambda n: frame.select("path", F.lit("Python").alias("language")), lambda paths, n: frame.join(paths, "path", "left_semi"), lambda n: lambda p: F.lit(False), lambda t: F.upper(t), lambda t: F.array(F.length(t).cast("double")))
+    index(spark.createDataFrame([(0, 0, p, "C") for p in files], "ts long, event_id long, path string, change string"), 0)
+    assert merged.count(("symbols", 0)) == 1 and {r["file"] for r in index.current("edges", 0).collect()} == set(files)
+    assert threading.get_ident() not in {t for _, t in threads} and len({n for n, _ in threads}) == 7
+
+
+def test_together_raises_what_a_job_raises():
+    import pytest
+
+    from tessera.session import together
+
+    done = []
+    with pytest.raises(ZeroDivisionError):
+        together(lambda: done.append(1), lambda: 1 / 0)
+    assert done == [1]
