@@ -8,7 +8,9 @@ come or change, never by a search. An update writes the blocks of changed docume
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,34 +41,45 @@ def _bucket(word: Column) -> Column:
 def _blocks(docs: DataFrame, batch: int) -> DataFrame:
     """docs(id, text) -> block, word, at, ids, tfs, dls, places; ``at`` is a document's number in its block. The row without a word has all documents of the block, which are in no order."""
 
-    def rows(block: int, ids: list, dls: list, held: dict) -> pa.RecordBatch:
-        words = list(held)
-        lists = [held[w] for w in words]
-        ints, places = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([
-            pa.array([block] * (len(words) + 1), pa.int64()), pa.array([None, *words], pa.string()), pa.array([list(range(len(ids))), *([d for d, _ in x] for x in lists)], ints), pa.array([ids, *([ids[d] for d, _ in x] for x in lists)], pa.list_(pa.int64())),
-            pa.array([[0] * len(ids), *([len(p) for _, p in x] for x in lists)], ints), pa.array([dls, *([dls[d] for d, _ in x] for x in lists)], ints), pa.array([[[] for _ in ids], *([p for _, p in x] for x in lists)], places),
-        ], ["block", "word", "at", "ids", "tfs", "dls", "places"])
+    def rows(block: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        held = pa.Table.from_batches(parts)
+        ids, t = held.column("id").combine_chunks(), held.column("t")
+        dls = pc.list_value_length(t).to_numpy().astype(np.int32)
+        words = pc.list_flatten(t).dictionary_encode().unify_dictionaries().combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+        code = words.indices.to_numpy(zero_copy_only=False)
+        # tokens in order of word, document and place, as sorting keeps the order of those of a word
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), dls)[order]
+        place = (np.arange(len(order)) - np.repeat(np.cumsum(dls, dtype=np.int64) - dls, dls)).astype(np.int32)[order]
+        new_word = np.diff(code, prepend=-1) != 0
+        pair = np.flatnonzero(new_word | (np.diff(doc, prepend=-1) != 0))  # where a word's next document begins
+        of_word = np.flatnonzero(new_word[pair])
+        none, n = len(ids), len(pair)
+        at = np.concatenate([np.arange(none, dtype=np.int32), doc[pair]])
+        tf = np.concatenate([np.zeros(none, np.int32), np.diff(pair, append=len(order)).astype(np.int32)])
+        lists = pa.array(np.concatenate([[0], none + of_word, [none + n]]), pa.int32())
+        each = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(none), pair, [len(order)]]), pa.int32()), pa.array(place))
+        nested = [pa.array(at), ids.take(pa.array(at)), pa.array(tf), pa.array(dls[at]), each]
+        word = pa.concat_arrays([pa.array([None], pa.string()), words.dictionary.cast(pa.string()).take(pa.array(code[pair[of_word]]))])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), block)), word, *(pa.ListArray.from_arrays(lists, x) for x in nested)], ["block", "word", "at", "ids", "tfs", "dls", "places"])
 
     def run(batches):
         from pyspark import TaskContext
 
         block = (batch << 44) + (TaskContext.get().partitionId() << 20)
-        ids, dls, held = [], [], {}
+        parts, n = [], 0
         for b in batches:
-            for i, words in zip(b.column("id").to_pylist(), b.column("t").to_pylist(), strict=True):
-                own: dict[str, list[int]] = {}
-                for at, w in enumerate(words):
-                    own.setdefault(w, []).append(at)
-                for w, at in own.items():
-                    held.setdefault(w, []).append((len(ids), at))
-                ids.append(i)
-                dls.append(len(words))
-                if len(ids) == BLOCK_DOCS:
-                    yield rows(block, ids, dls, held)
-                    ids, dls, held, block = [], [], {}, block + 1
-        if ids:
-            yield rows(block, ids, dls, held)
+            while b.num_rows:
+                parts.append(b.slice(0, BLOCK_DOCS - n))
+                b = b.slice(parts[-1].num_rows)
+                n += parts[-1].num_rows
+                if n == BLOCK_DOCS:
+                    yield rows(block, parts)
+                    parts, n, block = [], 0, block + 1
+        if n:
+            yield rows(block, parts)
 
     ship_package(docs.sparkSession)
     return docs.select(F.col("id").cast("long").alias("id"), tokens_of(F.col("text")).alias("t")).mapInArrow(run, "block long, word string, at array<int>, ids array<long>, tfs array<int>, dls array<int>, places array<array<int>>")
